@@ -1,0 +1,20 @@
+"""Join helpers: broadcast only what has been measured to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import materialize
+
+
+def join_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Materialise a side that is expected to be small, count it, and mark it
+    for broadcast only when the count is within ``max_rows``. Above that the
+    side is returned unmarked and the join shuffles (AQE may still split skewed
+    partitions). The checkpoint also keeps the side from being computed twice.
+    """
+    df = materialize(df)
+    if df.count() <= max_rows:
+        return F.broadcast(df)
+    return df

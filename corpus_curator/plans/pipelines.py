@@ -1,0 +1,58 @@
+"""End-to-end flows as single DataFrame plans (no exit from the cluster)."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..constants import RATING_WEIGHTS, SCORE_FIELDS, TAG_EXPONENTS
+from ..operators import sampling, scores, tags
+from ..operators.retrieve import retrieve_by_uuid
+from ..session import materialize
+
+
+def rating_sample(rated: DataFrame, corpus: DataFrame, n: int | None = None,
+                  seed: int | str = 0, fields: Sequence[str] = SCORE_FIELDS,
+                  weights: Mapping[str, float] = RATING_WEIGHTS,
+                  fraction: float | None = None) -> DataFrame:
+    """Rating-based sampling: clean scores -> exp z-scores -> combined weight ->
+    n ids weighted without replacement -> full records of those ids.
+    ``fraction`` instead of ``n`` draws that share of the rows with a positive
+    weight."""
+    # the narrow weight table is read several times by the sampler (checks,
+    # histogram, selection): write it once, as the toolkit does with its
+    # probability files
+    w = materialize(scores.rating_probability(rated, fields, weights, keep=("uuid",))
+                    .select("uuid", "weight"))
+    if n is None:
+        positive = w.filter(F.col("weight") > 0).count()
+        n = int(positive * (fraction if fraction is not None else 0.5))
+    ids = sampling.weighted_sample(w.select("uuid", "weight"), n, seed=seed, validate=False)
+    return retrieve_by_uuid(ids.select("uuid"), corpus)
+
+
+def tag_weights(tagged: DataFrame, boost_tags: Sequence[str] = (),
+                exponents: tuple[float, float, float] = TAG_EXPONENTS,
+                normalize: bool = False) -> DataFrame:
+    """in_tree filter -> tag probability -> boost."""
+    t = tags.filter_in_tree(tagged)
+    p = tags.tag_probability(t, *exponents, normalize=normalize)
+    if boost_tags:
+        p = tags.boost_weight(p, boost_tags)
+    return p
+
+
+def tag_sample(tagged: DataFrame, corpus: DataFrame, quotas: DataFrame | Mapping[str, int] | None = None,
+               boost_tags: Sequence[str] = (), seed: int | str = 0, by: str = "dataset",
+               fraction: float = 0.5) -> DataFrame:
+    """Tag-based sampling with per-dataset quotas, joined back to the records.
+    Without ``quotas`` each dataset gets ``fraction`` of its weighted rows."""
+    p = materialize(tag_weights(tagged, boost_tags).select("uuid", by, "probability"))
+    if quotas is None:
+        quotas = (p.filter(F.col("probability") > 0).groupBy(by)
+                  .agg(F.floor(F.count(F.lit(1)) * F.lit(fraction)).cast("long").alias("n")))
+    ids = sampling.weighted_sample_by(p, quotas, by=by, weight="probability", seed=seed,
+                                      validate=False)
+    return retrieve_by_uuid(ids.select("uuid"), corpus)

@@ -215,3 +215,244 @@ SQL["q_union_datasets"] = ("SELECT doc_id AS id, text, source AS dataset FROM do
                            "SELECT item_id AS id, text, 'benchmark' AS dataset FROM benchmark")
 SQL["q_total_quota"] = ("SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS n_datasets FROM "
                         "(SELECT source, count(*) // 2 AS n FROM documents GROUP BY source)")
+
+
+# ---------------------------------------------------------------- pairs
+from ..constants import FAILED, PAIR_COMPARE, PAIR_SEED  # noqa: E402
+from ..functions.replies import STRICT_SHAPE, _FENCE_BODY  # noqa: E402
+
+S = PAIR_SEED
+PPD = 3  # pairs per document
+
+cte("ids", "SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM "
+    "(SELECT DISTINCT doc_id AS id FROM documents WHERE doc_id IS NOT NULL)")
+cte("nn", "SELECT count(*) AS n FROM ids", ["ids"])
+cte("base0", "SELECT pair_id, a, (a + 1 + CAST(floor(uj * (n - 1)) AS BIGINT)) % n AS b, uo FROM "
+    f"(SELECT pair_id, n, CAST(floor({U('pair_id', f'{S}:i')} * n) AS BIGINT) AS a, "
+    f"{U('pair_id', f'{S}:j')} AS uj, {U('pair_id', f'{S}:o')} AS uo FROM "
+    f"(SELECT unnest(range({PPD} * n)) AS pair_id, n FROM nn))", ["nn"])
+cte("base", "SELECT pair_id, i1.id AS id_1, i2.id AS id_2 FROM base0 "
+    "JOIN ids i1 ON i1.idx = CASE WHEN uo < 0.5 THEN b ELSE a END "
+    "JOIN ids i2 ON i2.idx = CASE WHEN uo < 0.5 THEN a ELSE b END", ["base0", "ids"])
+cte("deg0", "SELECT id, count(*) AS degree FROM (SELECT id_1 AS id FROM base UNION ALL "
+    "SELECT id_2 FROM base) GROUP BY id", ["base"])
+cte("need", "SELECT self, si, deficit FROM (SELECT i.id AS self, i.idx AS si, "
+    f"greatest({PAIR_COMPARE} - coalesce(d.degree, 0), 0) AS deficit FROM ids i "
+    "LEFT JOIN deg0 d ON d.id = i.id) WHERE deficit > 0", ["ids", "deg0"])
+cte("extra0", "SELECT self, si, k, "
+    f"(si + 1 + CAST(floor({U('draw', f'{S}:p')} * (n - 1)) AS BIGINT)) % n AS pi, "
+    f"{U('draw', f'{S}:o')} < 0.5 AS flip FROM (SELECT self, si, k, "
+    "CAST(self AS VARCHAR) || ':' || CAST(k AS VARCHAR) AS draw FROM "
+    "(SELECT self, si, unnest(range(1, deficit + 1)) AS k FROM need)) x, nn", ["need", "nn"])
+cte("extra", "SELECT e.pair_id, i1.id AS id_1, i2.id AS id_2 FROM (SELECT "
+    f"(SELECT {PPD} * n FROM nn) + row_number() OVER (ORDER BY self, k) - 1 AS pair_id, "
+    "CASE WHEN flip THEN pi ELSE si END AS x1, CASE WHEN flip THEN si ELSE pi END AS x2 "
+    "FROM extra0) e JOIN ids i1 ON i1.idx = e.x1 JOIN ids i2 ON i2.idx = e.x2",
+    ["extra0", "ids", "nn"])
+cte("pairs", "SELECT pair_id, id_1, id_2, false AS added FROM base UNION ALL "
+    "SELECT pair_id, id_1, id_2, true AS added FROM extra", ["base", "extra"])
+NL = "chr(10)"
+cte("preplies", "SELECT p.pair_id, p.id_1, p.id_2, CASE WHEN u < 0.04 THEN '<<FAILED>>' "
+    f"WHEN u < 0.08 THEN 'Choice: 1' || {NL} || 'Choice: 2' "
+    f"WHEN d.n_chars % 2 = 0 THEN 'Choice: 1' || {NL} || 'Why: even length' "
+    f"ELSE '  Choice: 2' || {NL} || 'Why: odd length' END AS reply FROM "
+    f"(SELECT *, {U('pair_id', 'r')} AS u FROM pairs) p JOIN documents d ON d.doc_id = p.id_1",
+    ["pairs"])
+cte("choice", "SELECT pair_id, id_1, id_2, reply, status, "
+    "CASE WHEN status = 'ok' THEN choices[1] END AS win, "
+    "CASE WHEN status = 'ok' THEN regexp_extract(r, 'Why: ([^\\n]*)', 1) END AS why FROM "
+    f"(SELECT *, CASE WHEN reply = '{FAILED}' THEN 'failed' WHEN len(choices) <> 1 "
+    "THEN 'no_choice' ELSE 'ok' END AS status FROM (SELECT *, "
+    "regexp_extract_all(r, 'Choice: ([12])', 1) AS choices FROM (SELECT *, "
+    "regexp_replace(reply, '^\\s+|\\s+$', '', 'g') AS r FROM preplies)))", ["preplies"])
+cte("judg", "SELECT 'educational_value' AS task, pair_id, [id_1, id_2] AS pair_ids, win, why "
+    "FROM choice WHERE status = 'ok'", ["choice"])
+cte("matches", "SELECT task, pair_id, CASE WHEN win = '1' THEN pair_ids[1] ELSE pair_ids[2] END "
+    "AS winner, CASE WHEN win = '1' THEN pair_ids[2] ELSE pair_ids[1] END AS loser FROM judg",
+    ["judg"])
+cte("mc", "SELECT task, winner, loser, count(*) AS n FROM matches GROUP BY ALL", ["matches"])
+cte("items", "SELECT DISTINCT task, id FROM (SELECT task, winner AS id FROM matches UNION ALL "
+    "SELECT task, loser AS id FROM matches)", ["matches"])
+cte("rec", "SELECT task, id, CAST(sum(w) AS BIGINT) AS wins, CAST(sum(l) AS BIGINT) AS losses FROM "
+    "(SELECT task, winner AS id, 1 AS w, 0 AS l FROM matches UNION ALL "
+    "SELECT task, loser AS id, 0 AS w, 1 AS l FROM matches) GROUP BY task, id", ["matches"])
+cte("net", "SELECT task, id, CAST(wins - losses AS DOUBLE) AS theta FROM rec", ["rec"])
+cte("t0", "SELECT task, id, CAST(0.0 AS DOUBLE) AS theta FROM items", ["items"])
+for _s in range(1, 6):
+    _p = f"t{_s - 1}"
+    _q = "m.n / (CAST(1.0 AS DOUBLE) + exp(w.theta - l.theta))"
+    _j = (f"FROM mc m JOIN {_p} w ON w.task = m.task AND w.id = m.winner "
+          f"JOIN {_p} l ON l.task = m.task AND l.id = m.loser")
+    cte(f"g{_s}", f"SELECT task, id, sum(g) AS g FROM (SELECT m.task, m.winner AS id, {_q} AS g {_j} "
+        f"UNION ALL SELECT m.task, m.loser AS id, -({_q}) AS g {_j}) GROUP BY task, id", ["mc", _p])
+    cte(f"t{_s}", f"SELECT t.task, t.id, t.theta + CAST(0.05 AS DOUBLE) * coalesce(g.g, 0.0) AS theta "
+        f"FROM {_p} t LEFT JOIN g{_s} g ON g.task = t.task AND g.id = t.id", [_p, f"g{_s}"])
+
+
+def _uniform(src: str) -> str:
+    return ("SELECT task, id, CASE WHEN n = 1 THEN CAST(99.0 AS DOUBLE) ELSE CAST(99.0 AS DOUBLE) - "
+            "CAST(rn - 1 AS DOUBLE) * CAST(98.0 AS DOUBLE) / CAST(n - 1 AS DOUBLE) END AS score, "
+            "theta FROM (SELECT task, id, theta, row_number() OVER (PARTITION BY task ORDER BY "
+            f"theta DESC, id) AS rn, count(*) OVER (PARTITION BY task) AS n FROM {src})")
+
+
+SQL["q_random_pairs"] = with_(["base"], "SELECT pair_id, id_1, id_2 FROM base")
+SQL["q_balanced_pairs"] = with_(["pairs"], "SELECT pair_id, id_1, id_2, added FROM pairs")
+SQL["q_pair_degrees"] = with_(["pairs"], "SELECT id, count(*) AS degree FROM (SELECT id_1 AS id "
+                              "FROM pairs UNION ALL SELECT id_2 FROM pairs) GROUP BY id")
+SQL["q_pair_report"] = with_(["pairs"], "SELECT count(*) AS n_pairs, count_if(added) AS n_added "
+                             "FROM pairs")
+SQL["q_pair_texts"] = with_(["pairs"], "SELECT p.pair_id, p.id_1, p.id_2, md5(a.text) AS md5_1, "
+                            "md5(b.text) AS md5_2 FROM pairs p JOIN documents a ON a.doc_id = p.id_1 "
+                            "JOIN documents b ON b.doc_id = p.id_2")
+SQL["q_check_pairs"] = with_(["pairs"], "SELECT (SELECT count(*) FROM pairs) AS n_pairs, "
+                             "count(*) AS n_ids, count_if(d.doc_id IS NULL) AS missing_ids FROM "
+                             "(SELECT DISTINCT id FROM (SELECT id_1 AS id FROM pairs UNION ALL "
+                             "SELECT id_2 FROM pairs)) u LEFT JOIN (SELECT DISTINCT doc_id FROM "
+                             "documents) d ON d.doc_id = u.id")
+SQL["q_remaining_anti"] = with_(["pairs", "judg"], "SELECT pair_id, id_1, id_2 FROM pairs "
+                                "WHERE pair_id NOT IN (SELECT pair_id FROM judg)")
+SQL["q_remaining_watermark"] = with_(
+    ["pairs", "judg"], "SELECT pair_id, id_1, id_2 FROM pairs WHERE pair_id > (SELECT "
+    "coalesce(max(j.pair_id), -1) FROM judg j JOIN pairs p USING (pair_id) WHERE NOT p.added)")
+SQL["q_parse_choice"] = with_(["choice"], "SELECT pair_id, status, win, why FROM choice")
+SQL["q_matches"] = with_(["matches"], "SELECT task, pair_id, winner, loser FROM matches")
+SQL["q_match_counts"] = with_(["mc"], "SELECT task, winner, loser, n FROM mc")
+SQL["q_all_items"] = with_(["items"], "SELECT task, id FROM items")
+SQL["q_item_record"] = with_(["rec"], "SELECT task, id, wins, losses FROM rec")
+SQL["q_index_items"] = with_(["items"], "SELECT task, id, row_number() OVER (ORDER BY task, id) - 1 "
+                             "AS idx FROM items")
+SQL["q_bt_gradient"] = with_(["t5"], "SELECT task, id, round(theta, 6) AS theta FROM t5")
+SQL["q_bt_loss"] = with_(["t5", "mc"], "SELECT m.task, round(sum(m.n * ln(1 + exp(l.theta - w.theta))), "
+                         "6) AS loss FROM mc m JOIN t5 w ON w.task = m.task AND w.id = m.winner "
+                         "JOIN t5 l ON l.task = m.task AND l.id = m.loser GROUP BY m.task")
+SQL["q_uniform_scores"] = with_(["net"], "SELECT task, id, round(score, 6) AS score FROM ("
+                                + _uniform("net") + ")")
+SQL["q_order_scores"] = with_(["net"], "SELECT task, id, theta, row_number() OVER (PARTITION BY task "
+                              "ORDER BY theta DESC, id) AS rank FROM net")
+SQL["q_finalize_scores"] = with_(["net"], "SELECT task, id, round(theta, 6) AS score_bt, "
+                                 "round(score, 6) AS score_uniform FROM (" + _uniform("net") + ")")
+
+
+# ---------------------------------------------------------------- replies
+def _body(reply: str) -> str:
+    """Fence removal + strict shape check, as SQL."""
+    unf = (f"CASE WHEN starts_with({reply}, '```json') AND ends_with({reply}, '```') "
+           f"THEN regexp_extract({reply}, {lit(_FENCE_BODY)}, 1) ELSE {reply} END")
+    return f"CASE WHEN regexp_matches({unf}, {lit(STRICT_SHAPE)}) THEN {unf} END"
+
+
+def _keys(body: str) -> str:
+    return (f"CASE WHEN {body} IS NOT NULL AND json_valid({body}) AND json_type({body}) = 'OBJECT' "
+            f"THEN json_keys({body}) END")
+
+
+def _has(keys: str, *names) -> str:
+    return " AND ".join(f"coalesce(list_contains({keys}, {lit(n)}), false)" for n in names)
+
+
+def _obj_status(required, extra: str = "") -> str:
+    return (f"CASE WHEN reply = '{FAILED}' THEN 'failed' WHEN body IS NULL OR keys IS NULL "
+            f"THEN 'no_json' WHEN NOT ({_has('keys', *required)}) THEN 'missing_key' {extra} "
+            "ELSE 'ok' END")
+
+
+def _name_at(u: str, names: str) -> str:
+    return f"{names}[CAST(floor(21 * {u} * {u}) AS INTEGER) + 1]"
+
+
+def _j(*parts) -> str:
+    return " || ".join(parts)
+
+
+_tbody = _j(lit('{"tag": "'), "name", lit('", "explanation": "rule"}'))
+cte("trep", "SELECT doc_id, CASE WHEN u < 0.10 THEN " + _j(lit("```json"), NL, "body", NL, lit("```"))
+    + " WHEN u < 0.15 THEN " + lit('{"tag": "Cooking", "explanation": "rule"}')
+    + " WHEN u < 0.20 THEN " + _j(lit('{"tag": "'), "lower(name)", lit('", "explanation": "rule"}'))
+    + " WHEN u < 0.25 THEN " + _j(lit('{"tag": "'), "name", lit('"}'))
+    + " WHEN u < 0.30 THEN " + _j("body", lit(" trailing"))
+    + f" WHEN u < 0.32 THEN '{FAILED}' ELSE body END AS reply FROM (SELECT doc_id, u, name, "
+    + _tbody + " AS body FROM (SELECT doc_id, " + U("doc_id", "j") + " AS u, "
+    + _name_at("u1", NAMES_PROPER) + " AS name FROM (SELECT doc_id, " + U("doc_id", "t1")
+    + " AS u1 FROM documents)))")
+cte("tparsed", "SELECT doc_id, reply, body, keys, " + _obj_status(("tag", "explanation"))
+    + " AS status FROM (SELECT doc_id, reply, body, " + _keys("body") + " AS keys FROM "
+    "(SELECT doc_id, reply, " + _body("reply") + " AS body FROM trep))", ["trep"])
+cte("tfirst", "SELECT doc_id, status, CASE WHEN status = 'ok' THEN lower(tag) END AS first_level_tag, "
+    "CASE WHEN status = 'ok' THEN expl END AS first_level_explanation FROM (SELECT doc_id, "
+    f"CASE WHEN status = 'ok' AND NOT coalesce(list_contains({NAMES_PROPER}, tag), false) "
+    "THEN 'bad_first_level' ELSE status END AS status, tag, expl FROM (SELECT doc_id, status, "
+    "CASE WHEN keys IS NOT NULL THEN body->>'tag' END AS tag, "
+    "CASE WHEN keys IS NOT NULL THEN body->>'explanation' END AS expl FROM tparsed))", ["tparsed"])
+
+SQL["q_parse_reply"] = with_(["tparsed"], "SELECT doc_id, status, CASE WHEN status = 'ok' THEN "
+                             "body->>'tag' END AS tag FROM tparsed")
+SQL["q_validate_first_level"] = with_(["tfirst"], "SELECT doc_id, status, first_level_tag, "
+                                      "first_level_explanation FROM tfirst")
+SQL["q_reject_reasons"] = with_(["tfirst"], "SELECT status, count(*) AS n FROM tfirst GROUP BY status")
+
+cte("srep", "SELECT doc_id, CASE WHEN u < 0.05 THEN '<<FAILED>>' WHEN u < 0.10 THEN "
+    + lit('{"note": "none"}') + " WHEN u < 0.15 THEN 'Summary: plain text' ELSE "
+    + _j(lit('{"summary": "A text of '), "CAST(n_chars AS VARCHAR)", lit(" characters in "), "lang",
+         lit('."}')) + " END AS reply FROM (SELECT *, " + U("doc_id", "sm") + " AS u FROM documents)")
+SQL["q_validate_summary"] = with_(
+    ["srep"], "SELECT doc_id, status, CASE WHEN status = 'ok' THEN body->>'summary' END AS summary "
+    "FROM (SELECT doc_id, body, " + _obj_status(("summary",)) + " AS status FROM (SELECT doc_id, "
+    "reply, body, " + _keys("body") + " AS keys FROM (SELECT doc_id, reply, " + _body("reply")
+    + " AS body FROM srep)))")
+
+_second = _j("f", lit(" s"), "sx")
+_third = _j("f", lit(" s"), "sx", lit(" t"), "tx")
+cte("strep", "SELECT doc_id, f AS first_level_tag, CASE WHEN u < 0.05 THEN '<<FAILED>>' "
+    "WHEN u < 0.10 THEN " + _j(lit('{"second_level_tag": "'), _second, lit('", "explanation": "rule"}'))
+    + " WHEN u < 0.15 THEN " + lit('{"second_level_tag": "cooking s1", "third_level_tag": '
+                                   '"cooking s1 t0", "explanation": "rule"}')
+    + " ELSE " + _j(lit('{"second_level_tag": "'), _second, lit('", "third_level_tag": "'), _third,
+                    lit('", "explanation": "rule"}'))
+    + " END AS reply FROM (SELECT doc_id, uv AS u, " + _name_at("u1", NAMES_LOWER) + " AS f, "
+    "CAST(CAST(floor(5 * u2) AS INTEGER) AS VARCHAR) AS sx, CAST(CAST(floor(4 * u3) AS INTEGER) "
+    "AS VARCHAR) AS tx FROM (SELECT doc_id, " + U("doc_id", "t1") + " AS u1, " + U("doc_id", "s2")
+    + " AS u2, " + U("doc_id", "s3") + " AS u3, " + U("doc_id", "st") + " AS uv FROM documents))")
+SQL["q_validate_second_third"] = with_(
+    ["strep", "taxonomy"],
+    "SELECT doc_id, status, CASE WHEN status = 'ok' THEN lower(first_level_tag) ELSE first_level_tag "
+    "END AS first_level_tag, CASE WHEN status = 'ok' THEN lower(s) END AS second_level_tag, "
+    "CASE WHEN status = 'ok' THEN lower(t) END AS third_level_tag FROM (SELECT doc_id, "
+    "first_level_tag, s, t, CASE WHEN st = 'ok' AND x.first IS NULL THEN 'bad_path' ELSE st END "
+    "AS status FROM (SELECT doc_id, first_level_tag, " + _obj_status(
+        ("second_level_tag", "third_level_tag", "explanation")) + " AS st, "
+    "CASE WHEN keys IS NOT NULL THEN body->>'second_level_tag' END AS s, "
+    "CASE WHEN keys IS NOT NULL THEN body->>'third_level_tag' END AS t FROM (SELECT *, "
+    + _keys("body") + " AS keys FROM (SELECT doc_id, first_level_tag, reply, " + _body("reply")
+    + " AS body FROM strep))) r LEFT JOIN (SELECT DISTINCT lower(first) AS first, second, third "
+    "FROM taxonomy) x ON x.first = lower(r.first_level_tag) AND x.second = r.s AND x.third = r.t)")
+
+_path = _j(lit(" > "), "f", lit(" s"), "sx", lit(" > "), "f", lit(" s"), "sx", lit(" t"), "tx")
+_good = _j(lit('{"tag": "'), "name", _path, lit('", "explanation": "rule"}'))
+_lower = _j(lit('{"tag": "'), "f", _path, lit('", "explanation": "rule"}'))
+_two = _j(lit('{"tag": "'), "name", lit(' > misc", "explanation": "rule"}'))
+_two_nokey = _j(lit('{"tag": "'), "name", lit(' > misc"}'))
+cte("frep", "SELECT doc_id, CASE WHEN u < 0.10 THEN " + _j(lit("["), _good, lit(", "), _two_nokey,
+                                                           lit("]"))
+    + " WHEN u < 0.20 THEN " + _j(lit("["), _two, lit("]")) + f" WHEN u < 0.25 THEN '{FAILED}' "
+    "WHEN u < 0.30 THEN " + _j(lit("["), _lower, lit(", "), _two, lit("]"))
+    + " ELSE " + _j(lit("["), _good, lit(", "), _two, lit("]")) + " END AS reply FROM (SELECT "
+    "doc_id, uv AS u, " + _name_at("u1", NAMES_PROPER) + " AS name, " + _name_at("u1", NAMES_LOWER)
+    + " AS f, CAST(CAST(floor(5 * u2) AS INTEGER) AS VARCHAR) AS sx, CAST(CAST(floor(4 * u3) AS "
+    "INTEGER) AS VARCHAR) AS tx FROM (SELECT doc_id, " + U("doc_id", "t1") + " AS u1, "
+    + U("doc_id", "t2") + " AS u2, " + U("doc_id", "t3") + " AS u3, " + U("doc_id", "ft")
+    + " AS uv FROM documents))")
+_items = ("CASE WHEN body IS NOT NULL AND json_valid(body) AND json_type(body) = 'ARRAY' THEN "
+          "CAST(json_extract(body, '$[*]') AS JSON[]) END")
+_kept = ("list_filter(items, lambda x: len(string_split(x->>'tag', '>')) = 3 AND coalesce(list_contains("
+         + NAMES_PROPER + ", trim(string_split(x->>'tag', '>')[1])), false))")
+SQL["q_validate_flat_tags"] = with_(
+    ["frep"],
+    "SELECT doc_id, status, CASE WHEN status = 'ok' THEN len(kept) END AS n_tags, "
+    "CASE WHEN status = 'ok' THEN array_to_string(list_transform(kept, lambda x: x->>'tag'), '|') END "
+    f"AS tags_joined FROM (SELECT doc_id, kept, CASE WHEN reply = '{FAILED}' THEN 'failed' "
+    "WHEN items IS NULL THEN 'no_json' WHEN NOT list_bool_and(list_transform(items, lambda x: "
+    "json_exists(x, '$.tag') AND json_exists(x, '$.explanation'))) THEN 'missing_key' "
+    "WHEN len(kept) = 0 THEN 'not_three_levels' ELSE 'ok' END AS status FROM (SELECT doc_id, reply, "
+    "items, " + _kept + " AS kept FROM (SELECT doc_id, reply, " + _items + " AS items FROM "
+    "(SELECT doc_id, reply, " + _body("reply") + " AS body FROM frep))))")

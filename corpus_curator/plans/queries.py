@@ -194,3 +194,150 @@ def q_total_quota(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}
+
+
+# ---------------------------------------------------------------- pairs
+from ..constants import PAIR_SEED  # noqa: E402
+from ..functions import replies as RP  # noqa: E402
+from ..operators import bradley_terry as BT  # noqa: E402
+from ..operators import pairs as P  # noqa: E402
+
+
+def q_random_pairs(spark, sf):
+    ids = D.documents(spark, sf).select(F.col("doc_id").alias("id"))
+    n = ids.count()
+    return P.random_pairs(ids, D.PAIRS_PER_DOC * n, PAIR_SEED)
+
+
+def q_balanced_pairs(spark, sf):
+    return D.pairs(spark, sf).select("pair_id", "id_1", "id_2", "added")
+
+
+def q_pair_degrees(spark, sf):
+    return P.pair_degrees(D.pairs(spark, sf))
+
+
+def q_pair_report(spark, sf):
+    return P.pair_report(D.pairs(spark, sf))
+
+
+def q_pair_texts(spark, sf):
+    t = P.pair_texts(D.pairs(spark, sf), D.documents(spark, sf))
+    return t.select("pair_id", "id_1", "id_2", F.md5("text_1").alias("md5_1"),
+                    F.md5("text_2").alias("md5_2"))
+
+
+def q_check_pairs(spark, sf):
+    return P.check_pairs(D.pairs(spark, sf), D.documents(spark, sf))
+
+
+def q_remaining_anti(spark, sf):
+    return P.remaining(D.pairs(spark, sf), D.judgements(spark, sf), "anti").select(
+        "pair_id", "id_1", "id_2")
+
+
+def q_remaining_watermark(spark, sf):
+    pairs = D.pairs(spark, sf)
+    first_round = pairs.filter(~F.col("added")).select("pair_id")
+    done = D.judgements(spark, sf).join(first_round, "pair_id", "left_semi")
+    return P.remaining(pairs, done, "watermark").select("pair_id", "id_1", "id_2")
+
+
+# ---------------------------------------------------------------- replies
+def q_parse_choice(spark, sf):
+    return RP.parse_choice(D.pair_replies(spark, sf)).select("pair_id", "status", "win", "why")
+
+
+def q_parse_reply(spark, sf):
+    r = RP.parse_reply(D.tag_replies(D.documents(spark, sf)), "tag string, explanation string",
+                       required=("tag", "explanation"))
+    return r.select("doc_id", "status", F.col("parsed.tag").alias("tag"))
+
+
+def q_validate_first_level(spark, sf):
+    v = RP.validate_first_level(D.tag_replies(D.documents(spark, sf)))
+    return v.select("doc_id", "status", "first_level_tag", "first_level_explanation")
+
+
+def q_validate_summary(spark, sf):
+    v = RP.validate_summary(D.summary_replies(D.documents(spark, sf)))
+    return v.select("doc_id", "status", "summary")
+
+
+def q_validate_second_third(spark, sf):
+    v = RP.validate_second_third(D.second_third_replies(D.documents(spark, sf)), D.taxonomy(spark))
+    return v.select("doc_id", "status", "first_level_tag", "second_level_tag", "third_level_tag")
+
+
+def q_validate_flat_tags(spark, sf):
+    v = RP.validate_flat_tags(D.flat_replies(D.documents(spark, sf)))
+    return v.select("doc_id", "status", F.size("tags").alias("n_tags"),
+                    F.array_join(F.transform("tags", lambda t: t["tag"]), "|").alias("tags_joined"))
+
+
+def q_reject_reasons(spark, sf):
+    v = RP.validate_first_level(D.tag_replies(D.documents(spark, sf)))
+    return RP.reject_reasons(v)
+
+
+# ---------------------------------------------------------------- Bradley-Terry
+def _matches(spark, sf):
+    return BT.to_matches(D.judgements(spark, sf))
+
+
+def _net_scores(spark, sf):
+    rec = BT.item_record(_matches(spark, sf))
+    return rec.select("task", "id", (F.col("wins") - F.col("losses")).cast("double").alias("theta"))
+
+
+def q_matches(spark, sf):
+    return _matches(spark, sf)
+
+
+def q_match_counts(spark, sf):
+    return BT.match_counts(_matches(spark, sf))
+
+
+def q_all_items(spark, sf):
+    return BT.all_items(_matches(spark, sf))
+
+
+def q_item_record(spark, sf):
+    return BT.item_record(_matches(spark, sf))
+
+
+def q_index_items(spark, sf):
+    return BT.index_items(_matches(spark, sf))
+
+
+def q_bt_gradient(spark, sf):
+    return _round(BT.bt_gradient(_matches(spark, sf), 0.05, 5), ["theta"])
+
+
+def q_bt_loss(spark, sf):
+    m = _matches(spark, sf)
+    return _round(BT.bt_loss(m, BT.bt_gradient(m, 0.05, 5)), ["loss"])
+
+
+def q_bt_mle(spark, sf):
+    return _round(BT.bt_scores(_matches(spark, sf), reg=1e-3), ["theta"])
+
+
+def q_uniform_scores(spark, sf):
+    u = BT.uniform_scores(_net_scores(spark, sf))
+    return _round(u.select("task", "id", "score"), ["score"])
+
+
+def q_order_scores(spark, sf):
+    return BT.order_scores(_net_scores(spark, sf)).select("task", "id", "theta", "rank")
+
+
+def q_finalize_scores(spark, sf):
+    net = _net_scores(spark, sf)
+    bt = BT.finalize_scores(net, "bradley_terry").withColumnRenamed("score", "score_bt")
+    un = BT.finalize_scores(net, "uniform").withColumnRenamed("score", "score_uniform")
+    return _round(bt.join(un, ["task", "id"]), ["score_bt", "score_uniform"])
+
+
+QUERIES = {name: fn for name, fn in list(globals().items())
+           if name.startswith("q_") and callable(fn)}

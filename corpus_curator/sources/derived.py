@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import FIRST_LEVEL_TAGS, SCORE_FIELDS
+from ..constants import FIRST_LEVEL_TAGS, PAIR_COMPARE, PAIR_SEED, SCORE_FIELDS
 from ..functions.rand import uniform
 from ..operators.shape import stable_uuid
 from ..session import materialize
@@ -93,13 +93,39 @@ def boost_list() -> list[str]:
     return ["law", "education s1", "sports s0 t2", "military s2 t1"]
 
 
-def pair_reply(pair_id: Column, n_chars_1: Column) -> Column:
-    """Model reply of a pairwise comparison (failed, ambiguous, leading blanks)."""
-    u = uniform(pair_id, "r")  # callers project it first when it is used often
-    return (F.when(u < 0.04, F.lit("<<FAILED>>"))
-            .when(u < 0.08, F.lit("Choice: 1\nChoice: 2"))
-            .when(F.pmod(n_chars_1, F.lit(2)) == 0, F.lit("Choice: 1\nWhy: even length"))
-            .otherwise(F.lit("  Choice: 2\nWhy: odd length")))
+PAIRS_PER_DOC = 3
+RATE_TASK = "educational_value"
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balanced comparison pairs over all documents: 3 random pairs per
+    document, topped up to 6 comparisons each. Materialised."""
+    from ..operators.pairs import balanced_pairs
+    ids = documents(spark, sf_dir).select(F.col("doc_id").alias("id"))
+    n = ids.count()
+    return materialize(balanced_pairs(ids, PAIRS_PER_DOC * n, PAIR_COMPARE, PAIR_SEED))
+
+
+def pair_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pair_id, id_1, id_2, reply``: model reply per pair (failed calls,
+    ambiguous answers, leading blanks included)."""
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("id_1"), F.col("n_chars").alias("_n1"))
+    p = pairs(spark, sf_dir).join(d, "id_1").withColumn("_u", uniform("pair_id", "r"))
+    u = F.col("_u")
+    reply = (F.when(u < 0.04, F.lit("<<FAILED>>"))
+             .when(u < 0.08, F.lit("Choice: 1\nChoice: 2"))
+             .when(F.pmod(F.col("_n1"), F.lit(2)) == 0, F.lit("Choice: 1\nWhy: even length"))
+             .otherwise(F.lit("  Choice: 2\nWhy: odd length")))
+    return p.select("pair_id", "id_1", "id_2", reply.alias("reply"))
+
+
+def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``task, pair_id, pair_ids, win, why`` for the pairs with a valid choice.
+    Materialised like the judgement files it stands for."""
+    from ..functions.replies import parse_choice
+    j = parse_choice(pair_replies(spark, sf_dir)).filter(F.col("status") == "ok")
+    return materialize(j.select(F.lit(RATE_TASK).alias("task"), "pair_id",
+                                F.array("id_1", "id_2").alias("pair_ids"), "win", "why"))
 
 
 def tag_replies(docs: DataFrame) -> DataFrame:
@@ -120,3 +146,65 @@ def tag_replies(docs: DataFrame) -> DataFrame:
              .when(u < 0.32, F.lit("<<FAILED>>"))
              .otherwise(body))
     return d.select("doc_id", reply.alias("reply"))
+
+
+def summary_replies(docs: DataFrame) -> DataFrame:
+    """``doc_id, reply``: summary replies (failed, missing key, not JSON, ok)."""
+    d = docs.select("doc_id", "n_chars", "lang", uniform("doc_id", "sm").alias("_u"))
+    u = F.col("_u")
+    ok = F.concat(F.lit('{"summary": "A text of '), F.col("n_chars").cast("string"),
+                  F.lit(" characters in "), F.col("lang"), F.lit('."}'))
+    reply = (F.when(u < 0.05, F.lit("<<FAILED>>"))
+             .when(u < 0.10, F.lit('{"note": "none"}'))
+             .when(u < 0.15, F.lit("Summary: plain text"))
+             .otherwise(ok))
+    return d.select("doc_id", reply.alias("reply"))
+
+
+def second_third_replies(docs: DataFrame) -> DataFrame:
+    """``doc_id, first_level_tag, reply``: second/third-level replies for the
+    first tag of each document (failed, missing key, foreign path, ok; about a
+    tenth of the paths are not in the taxonomy)."""
+    d = docs.select("doc_id", uniform("doc_id", "t1").alias("_u1"),
+                    uniform("doc_id", "s2").alias("_u2"), uniform("doc_id", "s3").alias("_u3"),
+                    uniform("doc_id", "st").alias("_uv"))
+    d = d.select("doc_id", "_uv", _pick_first(F.col("_u1")).alias("_f"),
+                 F.floor(F.lit(5) * F.col("_u2")).cast("int").cast("string").alias("_sx"),
+                 F.floor(F.lit(4) * F.col("_u3")).cast("int").cast("string").alias("_tx"))
+    second = F.concat("_f", F.lit(" s"), "_sx")
+    third = F.concat("_f", F.lit(" s"), "_sx", F.lit(" t"), "_tx")
+    u = F.col("_uv")
+    full = F.concat(F.lit('{"second_level_tag": "'), second, F.lit('", "third_level_tag": "'),
+                    third, F.lit('", "explanation": "rule"}'))
+    reply = (F.when(u < 0.05, F.lit("<<FAILED>>"))
+             .when(u < 0.10, F.concat(F.lit('{"second_level_tag": "'), second,
+                                      F.lit('", "explanation": "rule"}')))
+             .when(u < 0.15, F.lit('{"second_level_tag": "cooking s1", "third_level_tag": '
+                                   '"cooking s1 t0", "explanation": "rule"}'))
+             .otherwise(full))
+    return d.select("doc_id", F.col("_f").alias("first_level_tag"), reply.alias("reply"))
+
+
+def flat_replies(docs: DataFrame) -> DataFrame:
+    """``doc_id, reply``: flat three-level tag lists (missing key, two-level
+    only, failed, unknown first part, ok with one two-level element dropped)."""
+    d = docs.select("doc_id", uniform("doc_id", "t1").alias("_u1"),
+                    uniform("doc_id", "t2").alias("_u2"), uniform("doc_id", "t3").alias("_u3"),
+                    uniform("doc_id", "ft").alias("_uv"))
+    d = d.select("doc_id", "_uv", _pick_first(F.col("_u1"), proper=True).alias("_name"),
+                 _pick_first(F.col("_u1")).alias("_f"),
+                 F.floor(F.lit(5) * F.col("_u2")).cast("int").cast("string").alias("_sx"),
+                 F.floor(F.lit(4) * F.col("_u3")).cast("int").cast("string").alias("_tx"))
+    path = F.concat(F.lit(" > "), "_f", F.lit(" s"), "_sx", F.lit(" > "), "_f", F.lit(" s"), "_sx",
+                    F.lit(" t"), "_tx")
+    good = F.concat(F.lit('{"tag": "'), F.col("_name"), path, F.lit('", "explanation": "rule"}'))
+    lower = F.concat(F.lit('{"tag": "'), F.col("_f"), path, F.lit('", "explanation": "rule"}'))
+    two = F.concat(F.lit('{"tag": "'), F.col("_name"), F.lit(' > misc", "explanation": "rule"}'))
+    two_nokey = F.concat(F.lit('{"tag": "'), F.col("_name"), F.lit(' > misc"}'))
+    u = F.col("_uv")
+    reply = (F.when(u < 0.10, F.concat(F.lit("["), good, F.lit(", "), two_nokey, F.lit("]")))
+             .when(u < 0.20, F.concat(F.lit("["), two, F.lit("]")))
+             .when(u < 0.25, F.lit("<<FAILED>>"))
+             .when(u < 0.30, F.concat(F.lit("["), lower, F.lit(", "), two, F.lit("]")))
+             .otherwise(F.concat(F.lit("["), good, F.lit(", "), two, F.lit("]"))))
+    return d.select("doc_id", reply.alias("reply"))

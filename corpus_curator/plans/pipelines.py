@@ -56,3 +56,42 @@ def tag_sample(tagged: DataFrame, corpus: DataFrame, quotas: DataFrame | Mapping
     ids = sampling.weighted_sample_by(p, quotas, by=by, weight="probability", seed=seed,
                                       validate=False)
     return retrieve_by_uuid(ids.select("uuid"), corpus)
+
+
+def rate(docs: DataFrame, task: str, fn, n_pairs: int | None = None, compare: int = 6,
+         seed: int | str = 0, method: str = "gradient", iterations: int = 5000,
+         lr: float = 0.05, reg: float = 0.0, score_type: str = "uniform",
+         templates=None, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """Pairwise rating pipeline: balanced pairs -> prompts -> annotator ->
+    judgements -> Bradley-Terry (``gradient`` steps or ``mle``) -> scores
+    ``(task, id, score)``. Pairs and judgements are written once (checkpoint),
+    as the toolkit hands them over by file."""
+    from ..operators import bradley_terry as BT
+    from ..operators.annotate import rate_pairs
+    from ..operators.pairs import balanced_pairs
+    ids = docs.select(F.col(id_col).alias("id"))
+    if n_pairs is None:
+        n_pairs = 5 * ids.count()
+    pairs = materialize(balanced_pairs(ids, n_pairs, compare, seed))
+    judg = materialize(rate_pairs(docs, pairs, task, fn, templates, id_col, text_col, **kw)
+                       .filter(F.col("status") == "ok"))
+    matches = BT.to_matches(judg)
+    if method == "gradient":
+        theta = BT.bt_gradient(matches, lr, iterations)
+    elif method == "mle":
+        theta = BT.bt_scores(matches, reg=reg)
+    else:
+        raise ValueError("method must be 'gradient' or 'mle'")
+    return BT.finalize_scores(theta, score_type)
+
+
+def tag(docs: DataFrame, taxonomy: DataFrame, summary_fn, first_fn, second_fn,
+        templates=None, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """Tagging pipeline: summary -> first-level tag -> second/third-level tag
+    -> in_tree flag. Each accepted stage is written once before the next."""
+    from ..operators.annotate import summarize, tag_first_level, tag_second_third
+    s = materialize(summarize(docs, summary_fn, templates, id_col, text_col, **kw)
+                    .filter(F.col("status") == "ok"))
+    f = materialize(tag_first_level(s, first_fn, templates, **kw).filter(F.col("status") == "ok"))
+    t = tag_second_third(f, taxonomy, second_fn, templates, **kw).filter(F.col("status") == "ok")
+    return tags.mark_in_tree(t.drop("status"), taxonomy)

@@ -8,22 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import queries
+    from . import queries, queries_annotate, queries_io
     out = dict(queries.QUERIES)
-    try:
-        from . import queries_annotate
-        out.update(queries_annotate.QUERIES)
-    except ImportError:
-        pass
+    out.update(queries_annotate.QUERIES)
+    out.update(queries_io.QUERIES)
     return out
 
 
 def all_oracle_sql() -> dict[str, str]:
-    from . import oracle
+    from . import oracle, oracle_annotate, oracle_io
     out = dict(oracle.SQL)
-    try:
-        from . import oracle_annotate
-        out.update(oracle_annotate.SQL)
-    except ImportError:
-        pass
-    return {k: v for k, v in out.items() if k in all_queries()}
+    out.update(oracle_annotate.SQL)
+    out.update(oracle_io.SQL)
+    names = all_queries()
+    return {k: v for k, v in out.items() if k in names}

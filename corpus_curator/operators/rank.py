@@ -45,13 +45,13 @@ def global_rank(df: DataFrame, order_by: Sequence[Column | str], by: Sequence[st
         .select("_pid", "_offset")
     )
     ranked = tagged.join(F.broadcast(offsets), "_pid").withColumn(
-        "_ord", F.col("_offset") + F.col("_local"))
+        "_gord", F.col("_offset") + F.col("_local"))
     if by:
-        firsts = ranked.groupBy(*by).agg(F.min("_ord").alias("_first"))
-        ranked = ranked.join(firsts, by).withColumn("_ord", F.col("_ord") - F.col("_first"))
+        firsts = ranked.groupBy(*by).agg(F.min("_gord").alias("_first"))
+        ranked = ranked.join(firsts, by).withColumn("_gord", F.col("_gord") - F.col("_first"))
         ranked = ranked.drop("_first")
-    return ranked.withColumn(name, F.col("_ord") + F.lit(start)).drop(
-        "_pid", "_local", "_offset", "_ord")
+    return ranked.withColumn(name, F.col("_gord") + F.lit(start)).drop(
+        "_pid", "_local", "_offset", "_gord")
 
 
 def dense_index(df: DataFrame, cols: Sequence[str], name: str = "idx") -> DataFrame:

@@ -1 +1,194 @@
-QUERIES = {}
+"""Registered queries for sources, sinks, record shaping and streaming.
+
+File formats are exercised by writing data derived from the given tables to a
+fresh folder under the shared checkpoint root and reading it back; the oracle
+computes the expected rows from the tables directly."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..constants import MD_SAMPLE_MARKER
+from ..functions import annotators as A
+from ..functions import prompts as PR
+from ..functions import replies as RP
+from ..functions.rand import uniform
+from ..operators import bradley_terry as BT
+from ..operators import sampling, shape
+from ..session import scratch_path
+from ..sources import derived as D
+from ..sources import readers as RD
+from ..sources import writers as W
+from ..streaming.annotate_stream import annotate_stream, read_annotated
+from .queries import SEED, _rating_weights
+
+TEXT_SCHEMA = "doc_id long, text string, lang string"
+
+
+def _raw_records(spark, sf) -> DataFrame:
+    """Raw JSONL shapes derived from documents: own ``instance_id`` for about
+    half, text under ``original_content`` (JSON string with ``clean_text`` or
+    ``raw_content``), ``content`` or ``summary`` by language."""
+    d = D.documents(spark, sf).select("doc_id", "text", "lang", uniform("doc_id", "iid").alias("_u"))
+    oc = (F.when(F.col("lang") == "en", F.to_json(F.struct(F.col("text").alias("clean_text"))))
+          .when(F.col("lang") == "de", F.to_json(F.struct(F.col("text").alias("raw_content")))))
+    return d.select(F.col("doc_id").alias("key"),
+                    F.when(F.col("_u") < 0.5, F.col("doc_id")).alias("instance_id"),
+                    oc.alias("original_content"),
+                    F.when(F.col("lang") == "fr", F.col("text")).alias("content"),
+                    F.when(F.col("lang") == "es", F.col("text")).alias("summary"))
+
+
+def _titled(spark, sf) -> DataFrame:
+    """Records with two optional content keys (``title`` may be null or empty,
+    ``before`` may be null)."""
+    d = D.documents(spark, sf).select("doc_id", "source", "text",
+                                      uniform("doc_id", "title").alias("_u1"),
+                                      uniform("doc_id", "before").alias("_u2"))
+    return d.select("doc_id",
+                    F.when(F.col("_u1") < 0.3, F.lit(None).cast("string"))
+                    .when(F.col("_u1") < 0.4, F.lit("")).otherwise(F.col("source")).alias("title"),
+                    F.when(F.col("_u2") < 0.1, F.lit(None).cast("string"))
+                    .otherwise(F.col("text")).alias("before"))
+
+
+def q_roundtrip_records(spark, sf):
+    path = scratch_path(spark, "records")
+    docs = D.documents(spark, sf).select("doc_id", "text", "lang", F.col("source").alias("dataset"))
+    W.write_records(docs, path, partition_by="dataset")
+    back = RD.read_records(spark, path, TEXT_SCHEMA)
+    return back.select("doc_id", "dataset", F.md5("text").alias("text_md5"))
+
+
+def q_normalize_records(spark, sf):
+    n = shape.normalize_records(_raw_records(spark, sf))
+    return n.select("key", "instance_id", F.md5("text").alias("text_md5"))
+
+
+def q_read_raw(spark, sf):
+    path = scratch_path(spark, "raw") + ".jsonl"
+    W.write_records(_raw_records(spark, sf), path)
+    back = RD.read_raw_jsonl(spark, path, T.StructType([T.StructField("key", T.LongType())]))
+    return back.select("key", "instance_id", F.md5("text").alias("text_md5"))
+
+
+def q_read_raw_txt(spark, sf):
+    path = scratch_path(spark, "raw") + ".txt"
+    d = D.documents(spark, sf)
+    line = F.to_json(F.struct(F.col("doc_id").alias("instance_id"),
+                              F.to_json(F.struct(F.col("text").alias("raw_content")))
+                              .alias("original_content")))
+    d.select(line.alias("value")).write.mode("overwrite").text(path)
+    back = RD.read_raw(spark, path)
+    return back.select("instance_id", F.md5("text").alias("text_md5"))
+
+
+def q_read_md(spark, sf):
+    path = scratch_path(spark, "samples") + ".md"
+    d = D.documents(spark, sf)
+    block = F.concat(F.lit(MD_SAMPLE_MARKER + " "), F.col("doc_id").cast("string"), F.lit("\n"),
+                     F.col("text"))
+    d.select(block.alias("value")).write.mode("overwrite").text(path)
+    back = RD.read_raw(spark, path)
+    return back.select(F.col("label").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
+def q_assign_instance_id(spark, sf):
+    path = scratch_path(spark, "raw") + ".jsonl"
+    W.write_records(_raw_records(spark, sf), path)
+    back = RD.read_raw_jsonl(spark, path, T.StructType([T.StructField("key", T.LongType())]))
+    return shape.assign_instance_id(back, ["key"], start=1_000_000).select("key", "instance_id")
+
+
+def q_concat_keys(spark, sf):
+    c = shape.concat_keys(_titled(spark, sf), ["title", "missing_key", "before"], out="content")
+    return c.select("doc_id", F.md5("content").alias("content_md5"),
+                    F.length("content").alias("content_len"))
+
+
+def q_empty_content(spark, sf):
+    c = shape.concat_keys(_titled(spark, sf), ["title", "missing_key", "before"], out="content")
+    return c.agg(F.count(F.lit(1)).alias("n_rows"),
+                 F.count_if(F.length("content") == 0).alias("n_empty"))
+
+
+def q_truncate_text(spark, sf):
+    t = shape.truncate_text(D.documents(spark, sf), 2500, out="cut")
+    return t.select("doc_id", F.length("cut").alias("cut_len"), F.md5("cut").alias("cut_md5"))
+
+
+def q_read_pairs(spark, sf):
+    pairs = D.pairs(spark, sf)
+    path = scratch_path(spark, "pairs")
+    n = D.documents(spark, sf).count()
+    W.write_pairs(pairs, path, n=n, compare=6, fmt="table")
+    back = RD.read_pairs(spark, path, fmt="table")
+    meta = RD.read_pairs_meta(spark, path, fmt="table").first()  # one line
+    return back.select("pair_id", "id_1", "id_2", "added",
+                       *[F.lit(meta[c]).cast("long").alias(c) for c in ("n", "n_pairs", "compare")])
+
+
+def q_read_pairs_object(spark, sf):
+    pairs = D.pairs(spark, sf)
+    path = scratch_path(spark, "pairs-object")
+    n = D.documents(spark, sf).count()
+    W.write_pairs(pairs, path, n=n, compare=6, fmt="object")
+    return RD.read_pairs(spark, path, fmt="object")
+
+
+def q_read_judgements(spark, sf):
+    path = scratch_path(spark, "judgements")
+    W.append_records(D.judgements(spark, sf), path)
+    back = RD.read_judgements(spark, path)
+    return back.select("task", "pair_id", "pair_ids", "win", "why")
+
+
+def q_read_taxonomy(spark, sf):
+    path = scratch_path(spark, "taxonomy")
+    W.write_taxonomy(D.taxonomy(spark), path)
+    # the tree is small; the documents decide which first tags are looked up
+    edges = RD.read_taxonomy(spark, path)
+    used = D.tagged(spark, sf).select(F.col("first_level_tag").alias("first")).distinct()
+    return edges.join(used, "first", "left_semi").select("first", "second", "third")
+
+
+def q_write_ids(spark, sf):
+    w = _rating_weights(spark, sf).select("uuid", "weight")
+    n = w.filter(F.col("weight") > 0).count() // 2
+    ids = sampling.weighted_sample(w, n, seed=SEED)
+    path = scratch_path(spark, "ids")
+    W.write_ids(ids, path)
+    return spark.read.schema("uuid string").json(path)
+
+
+def q_write_scores(spark, sf):
+    rec = BT.item_record(BT.to_matches(D.judgements(spark, sf)))
+    net = rec.select("task", "id", (F.col("wins") - F.col("losses")).cast("double").alias("theta"))
+    scores = BT.finalize_scores(net, "uniform")
+    path = scratch_path(spark, "scores")
+    W.write_scores(scores, path)
+    back = RD.read_scores(spark, path)
+    return back.select("task", "id", F.round("score", 6).alias("score"))
+
+
+def q_annotate_stream(spark, sf):
+    """Summary annotation as a catch-up streaming job over prompt files; a
+    second run over the same folder adds nothing."""
+    base = scratch_path(spark, "stream")
+    in_dir, out_dir, ckpt = f"{base}/in", f"{base}/out", f"{base}/checkpoint"
+    docs = D.documents(spark, sf)
+    prompts = PR.render_prompt(docs.select(F.col("doc_id").alias("instance_id"), "text"),
+                               PR.default_templates()["summary"]).drop("text")
+    prompts.write.mode("overwrite").json(in_dir)
+    schema = "instance_id long, prompt string"
+    for _ in range(2):
+        annotate_stream(spark, in_dir, out_dir, ckpt, A.summary_rule, schema)
+    out = read_annotated(spark, out_dir, schema + ", reply string")
+    v = RP.validate_summary(out)
+    return v.select("instance_id", "status", "summary")
+
+
+QUERIES = {name: fn for name, fn in list(globals().items())
+           if name.startswith("q_") and callable(fn)}

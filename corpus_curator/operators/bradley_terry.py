@@ -101,8 +101,8 @@ def bt_loss(matches: DataFrame, scores: DataFrame) -> DataFrame:
     return j.groupBy("task").agg(F.sum(nll).alias("loss"))
 
 
-def bt_scores(matches: DataFrame, reg: float = 0.0, max_iter: int = 200,
-              tol: float = 1e-10) -> DataFrame:
+def bt_scores(matches: DataFrame, reg: float = 0.0, max_iter: int = 100,
+              tol: float = 1e-8) -> DataFrame:
     """``(task, id, theta)``: the Bradley-Terry maximum-likelihood scores
     (L2 penalty ``reg`` on theta when > 0), centred to mean 0 per task."""
     from pyspark.ml.classification import LogisticRegression

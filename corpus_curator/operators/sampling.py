@@ -24,6 +24,8 @@ from ..functions.rand import sampling_key, uniform
 
 _RESOLUTION = 1024  # log buckets per unit of ln(key); relative width ~0.1 %
 _LOW_BUCKET = -(1 << 40)
+_EDGE_MAX = 2_000_000  # rows of the boundary bucket ranked in one task; finer buckets above
+_MAX_REFINE = 3
 
 
 def _bucket(key: Column, resolution: int) -> Column:
@@ -31,58 +33,96 @@ def _bucket(key: Column, resolution: int) -> Column:
                       F.lit(_LOW_BUCKET))
 
 
+def _below(key: str, tie: str, ts: Column, tk: Column) -> Column:
+    """(key, tie) <= (ts, tk) in lexicographic order, as one struct
+    comparison so the (md5-based) key is referenced once."""
+    return F.struct(F.col(key).alias("k"), F.col(tie).alias("t")) <= F.struct(
+        ts.alias("k"), tk.alias("t"))
+
+
 def select_smallest(df: DataFrame, key: str, tie: str, need: DataFrame | int,
                     by: Sequence[str] = (), resolution: int = _RESOLUTION) -> DataFrame:
     """Rows with the ``need`` smallest ``(key, tie)`` per ``by`` group.
 
     ``key`` must be a positive double (null keys are never selected); ``need``
-    is an int for all groups or a DataFrame ``(*by, need)``; groups missing from
-    it select nothing. Exact: equal to ``row_number() over (partition by by
-    order by key, tie) <= need``.
+    is an int (no groups) or a DataFrame ``(*by, need)``; groups missing from it
+    select nothing. Exact: equal to ``row_number() over (partition by by order
+    by key, tie) <= need``. The result is one filter over ``df`` against the
+    threshold ``(key*, tie*)`` of each group, found from a histogram of
+    logarithmic key buckets and an exact ranking of the boundary bucket only.
+    The density of ln(-ln u / w) is at most 1/e, so a bucket of width
+    1/resolution holds at most ~0.04 % of a group's rows.
     """
-    by = list(by)
-    grp = by if by else ["_g"]
     keyed = df.filter(F.col(key).isNotNull())
     if not by:
-        keyed = keyed.withColumn("_g", F.lit(0))
-    keyed = keyed.withColumn("_b", _bucket(F.col(key), resolution))
-
-    if isinstance(need, int):
-        quotas = keyed.sparkSession.range(1).select(F.lit(0).alias("_g"),
-                                                    F.lit(need).cast("long").alias("_need"))
-    else:
-        quotas = need.select(*by, F.col("need").cast("long").alias("_need"))
-
-    hist = keyed.groupBy(*grp, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.partitionBy(*grp).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_cum", F.sum("_c").over(run)).join(quotas, grp)
-    # the first bucket whose running count reaches the quota; groups that never
-    # reach it keep everything (no boundary row)
-    boundary = (
-        hist.filter(F.col("_cum") >= F.col("_need"))
-        .groupBy(*grp)
+        return _select_smallest_global(keyed, key, tie, int(need), resolution)
+    return _select_smallest_by(keyed, key, tie, need, list(by), resolution)
+
+
+def _select_smallest_global(keyed: DataFrame, key: str, tie: str, need: int,
+                            resolution: int) -> DataFrame:
+    if need <= 0:
+        return keyed.limit(0)
+    rows, res, rest = keyed, resolution, need
+    cond = None
+    for depth in range(_MAX_REFINE + 1):
+        b = _bucket(F.col(key), res)
+        hist = rows.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+        # the histogram has one row per occupied bucket: a running sum over it
+        # in one partition is small
+        run = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        hit = (hist.withColumn("_cum", F.sum("_c").over(run)).filter(F.col("_cum") >= rest)
+               .orderBy("_b").limit(1).collect())
+        if not hit:  # fewer rows than asked for: all of them
+            return keyed if cond is None else keyed.filter(cond)
+        bb, cnt = hit[0]["_b"], hit[0]["_c"]
+        rest = rest - (hit[0]["_cum"] - cnt)
+        in_bucket = b == F.lit(bb)
+        cond = in_bucket if cond is None else cond & in_bucket
+        rows = rows.filter(in_bucket)
+        if cnt <= _EDGE_MAX or depth == _MAX_REFINE:
+            break
+        res *= 1024
+    # the rest-th smallest row of the boundary bucket is the threshold
+    last = (rows.orderBy(F.col(key), F.col(tie)).limit(rest)
+            .agg(F.max(F.struct(F.col(key).alias("k"), F.col(tie).alias("t"))).alias("m"))
+            .first()["m"])
+    return keyed.filter(_below(key, tie, F.lit(last["k"]), F.lit(last["t"])))
+
+
+def _select_smallest_by(keyed: DataFrame, key: str, tie: str, need: DataFrame, by: list[str],
+                        resolution: int) -> DataFrame:
+    from ..functions.joins import join_small
+    from ..session import materialize
+    quotas = join_small(need.select(*by, F.col("need").cast("long").alias("_need"))
+                        .filter(F.col("_need") > 0), max_rows=1_000_000)
+    b = _bucket(F.col(key), resolution)
+    hist = keyed.groupBy(*by, b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("_cum", F.sum("_c").over(run)).join(quotas, by)
+    # first bucket whose running count reaches the quota, one row per group
+    boundary = materialize(
+        hist.filter(F.col("_cum") >= F.col("_need")).groupBy(*by)
         .agg(F.min(F.struct("_b", (F.col("_need") - F.col("_cum") + F.col("_c")).alias("_rest")))
              .alias("_m"))
-        .select(*grp, F.col("_m._b").alias("_bb"), F.col("_m._rest").alias("_rest"))
-    )
-    groups = quotas.filter(F.col("_need") > 0).select(*grp).join(boundary, grp, "left")
-    # one row per group: bounded by the number of quota groups
-    sel = keyed.join(F.broadcast(groups), grp)
-    whole = sel.filter(F.col("_bb").isNull() | (F.col("_b") < F.col("_bb")))
-    edge_w = Window.partitionBy(*grp, "_b").orderBy(F.col(key), F.col(tie))
-    edge = (sel.filter(F.col("_b") == F.col("_bb"))
-            .withColumn("_rn", F.row_number().over(edge_w))
-            .filter(F.col("_rn") <= F.col("_rest"))
-            .drop("_rn"))
-    out = whole.unionByName(edge).drop("_b", "_bb", "_rest")
-    return out.drop("_g") if not by else out
+        .select(*by, F.col("_m._b").alias("_bb"), F.col("_m._rest").alias("_rest")))
+    edge = keyed.join(F.broadcast(boundary), by).filter(b == F.col("_bb"))
+    rank = Window.partitionBy(*by).orderBy(F.col(key), F.col(tie))
+    cut = (edge.withColumn("_rn", F.row_number().over(rank)).filter(F.col("_rn") == F.col("_rest"))
+           .select(*by, F.col(key).alias("_ts"), F.col(tie).alias("_tk")))
+    # groups whose rows do not reach the quota keep everything (null threshold)
+    thresholds = materialize(quotas.select(*by).join(cut, by, "left"))
+    sel = keyed.join(F.broadcast(thresholds), by)
+    keep = F.col("_ts").isNull() | _below(key, tie, F.col("_ts"), F.col("_tk"))
+    return sel.filter(keep).drop("_ts", "_tk")
 
 
 def check_weights(df: DataFrame, weight: str, n: int | None = None,
                   by: Sequence[str] = (), need: DataFrame | None = None,
-                  cap: bool = False) -> None:
+                  cap: bool = False) -> int:
     """Raise like pandas' weighted sample does: negative or infinite weights, or
-    more rows asked for than have a positive weight (unless ``cap``)."""
+    more rows asked for than have a positive weight (unless ``cap``). Returns
+    the number of rows with a positive weight (one aggregate pass)."""
     w = F.col(weight).cast("double")
     row = df.agg(F.count_if((w < 0) | F.isnan(w) | (F.abs(w) == F.lit(float("inf"))))
                  .alias("bad"), F.count_if(w > 0).alias("p")).first()
@@ -90,24 +130,33 @@ def check_weights(df: DataFrame, weight: str, n: int | None = None,
     if bad:
         raise ValueError(f"{bad} weights are negative, NaN or infinite")
     if cap:
-        return
+        return positive
     if need is None:
         if n is not None and n > positive:
             raise ValueError(f"cannot draw {n} rows: only {positive} have a positive weight")
-        return
+        return positive
     short = (df.groupBy(*by).agg(F.count_if(w > 0).alias("p"))
              .join(need, list(by), "right")
              .filter(F.coalesce(F.col("p"), F.lit(0)) < F.col("need")).limit(1).collect())
     if short:
         raise ValueError(f"quota larger than the rows with positive weight: {short[0]}")
+    return positive
 
 
-def weighted_sample(df: DataFrame, n: int, weight: str = "weight", key: str = "uuid",
-                    seed: int | str = 0, cap: bool = False, validate: bool = True) -> DataFrame:
+def weighted_sample(df: DataFrame, n: int | None = None, weight: str = "weight", key: str = "uuid",
+                    seed: int | str = 0, cap: bool = False, validate: bool = True,
+                    fraction: float | None = None) -> DataFrame:
     """n rows without replacement, successive draws proportional to ``weight``.
-    Null weight counts as 0; weight 0 is never drawn; ties broken by ``key``."""
-    if validate:
-        check_weights(df, weight, n=n, cap=cap)
+    Null weight counts as 0; weight 0 is never drawn; ties broken by ``key``.
+    ``fraction`` instead of ``n``: that share of the rows with a positive
+    weight (counted in the same pass as the weight checks)."""
+    if fraction is not None:
+        positive = check_weights(df, weight, cap=True)
+        n = int(positive * fraction)
+    elif validate:
+        positive = check_weights(df, weight, n=n, cap=cap)
+        if cap:
+            n = min(n, positive)
     keyed = df.withColumn("_sk", sampling_key(weight, key, seed))
     return select_smallest(keyed, "_sk", key, n).drop("_sk")
 

@@ -187,6 +187,10 @@ SQL["q_weighted_sample_by"] = with_(
     f"dataset ORDER BY sk, uuid) AS rn FROM (SELECT uuid, dataset, -ln({U('uuid', SEED)}) / "
     "probability AS sk FROM tprob WHERE probability > 0) k JOIN (SELECT dataset, count(*) // 2 "
     "AS need FROM tprob WHERE probability > 0 GROUP BY dataset) USING (dataset)) WHERE rn <= need")
+SQL["q_weighted_sample_lineitem"] = (
+    f"SELECT lkey FROM (SELECT lkey, row_number() OVER (ORDER BY -ln({U('lkey', SEED)}) / weight, "
+    "lkey) AS rn FROM (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS lkey, "
+    "l_extendedprice AS weight FROM lineitem)) WHERE rn <= (SELECT count(*) // 2 FROM lineitem)")
 SQL["q_sample_k"] = (
     f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY -ln({U('doc_id', SEED)}), "
     "doc_id) AS rn FROM documents) WHERE rn <= (SELECT count(*) // 2 FROM documents)")

@@ -119,6 +119,19 @@ def q_weighted_sample_by(spark, sf):
     return s.select("uuid", "dataset")
 
 
+def _lineitem_keyed(spark, sf):
+    li = D.table(spark, sf, "lineitem")
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in
+                             ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    return li.select(key.alias("lkey"), F.col("l_extendedprice").alias("weight"))
+
+
+def q_weighted_sample_lineitem(spark, sf):
+    """Half of lineitem, weighted by extended price (the large-n path)."""
+    w = _lineitem_keyed(spark, sf)
+    return sampling.weighted_sample(w, key="lkey", seed=SEED, fraction=0.5).select("lkey")
+
+
 def q_sample_k(spark, sf):
     d = D.documents(spark, sf).select("doc_id")
     k = d.count() // 2

@@ -54,17 +54,41 @@ def select_smallest(df: DataFrame, key: str, tie: str, need: DataFrame | int,
     1/resolution holds at most ~0.04 % of a group's rows.
     """
     keyed = df.filter(F.col(key).isNotNull())
+    thr = smallest_threshold(keyed, key, tie, need, by, resolution)
+    return apply_threshold(keyed, key, tie, thr, by)
+
+
+def smallest_threshold(keyed: DataFrame, key: str, tie: str, need: DataFrame | int,
+                       by: Sequence[str] = (), resolution: int = _RESOLUTION):
+    """The selection threshold: ``None`` (nothing), ``"all"``, a ``(key*, tie*)``
+    pair (no groups), or a small DataFrame ``(*by, _ts, _tk)`` (null threshold:
+    the whole group)."""
+    keyed = keyed.filter(F.col(key).isNotNull())
+    if not by:
+        return _global_threshold(keyed, key, tie, int(need), resolution)
+    return _group_thresholds(keyed, key, tie, need, list(by), resolution)
+
+
+def apply_threshold(df: DataFrame, key: str, tie: str, thr, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``df`` at or below the threshold of their group."""
+    df = df.filter(F.col(key).isNotNull())
     if not by:
-        return _select_smallest_global(keyed, key, tie, int(need), resolution)
-    return _select_smallest_by(keyed, key, tie, need, list(by), resolution)
+        if thr is None:
+            return df.limit(0)
+        if thr == "all":
+            return df
+        return df.filter(_below(key, tie, F.lit(thr[0]), F.lit(thr[1])))
+    by = list(by)
+    # one row per quota group, counted before (quota table checked by join_small)
+    sel = df.join(F.broadcast(thr), by)
+    keep = F.col("_ts").isNull() | _below(key, tie, F.col("_ts"), F.col("_tk"))
+    return sel.filter(keep).drop("_ts", "_tk")
 
 
-def _select_smallest_global(keyed: DataFrame, key: str, tie: str, need: int,
-                            resolution: int) -> DataFrame:
+def _global_threshold(keyed: DataFrame, key: str, tie: str, need: int, resolution: int):
     if need <= 0:
-        return keyed.limit(0)
+        return None
     rows, res, rest = keyed, resolution, need
-    cond = None
     for depth in range(_MAX_REFINE + 1):
         b = _bucket(F.col(key), res)
         hist = rows.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
@@ -74,12 +98,10 @@ def _select_smallest_global(keyed: DataFrame, key: str, tie: str, need: int,
         hit = (hist.withColumn("_cum", F.sum("_c").over(run)).filter(F.col("_cum") >= rest)
                .orderBy("_b").limit(1).collect())
         if not hit:  # fewer rows than asked for: all of them
-            return keyed if cond is None else keyed.filter(cond)
+            return "all"
         bb, cnt = hit[0]["_b"], hit[0]["_c"]
         rest = rest - (hit[0]["_cum"] - cnt)
-        in_bucket = b == F.lit(bb)
-        cond = in_bucket if cond is None else cond & in_bucket
-        rows = rows.filter(in_bucket)
+        rows = rows.filter(b == F.lit(bb))
         if cnt <= _EDGE_MAX or depth == _MAX_REFINE:
             break
         res *= 1024
@@ -87,11 +109,11 @@ def _select_smallest_global(keyed: DataFrame, key: str, tie: str, need: int,
     last = (rows.orderBy(F.col(key), F.col(tie)).limit(rest)
             .agg(F.max(F.struct(F.col(key).alias("k"), F.col(tie).alias("t"))).alias("m"))
             .first()["m"])
-    return keyed.filter(_below(key, tie, F.lit(last["k"]), F.lit(last["t"])))
+    return (last["k"], last["t"])
 
 
-def _select_smallest_by(keyed: DataFrame, key: str, tie: str, need: DataFrame, by: list[str],
-                        resolution: int) -> DataFrame:
+def _group_thresholds(keyed: DataFrame, key: str, tie: str, need: DataFrame, by: list[str],
+                      resolution: int) -> DataFrame:
     from ..functions.joins import join_small
     from ..session import materialize
     quotas = join_small(need.select(*by, F.col("need").cast("long").alias("_need"))
@@ -111,10 +133,42 @@ def _select_smallest_by(keyed: DataFrame, key: str, tie: str, need: DataFrame, b
     cut = (edge.withColumn("_rn", F.row_number().over(rank)).filter(F.col("_rn") == F.col("_rest"))
            .select(*by, F.col(key).alias("_ts"), F.col(tie).alias("_tk")))
     # groups whose rows do not reach the quota keep everything (null threshold)
-    thresholds = materialize(quotas.select(*by).join(cut, by, "left"))
-    sel = keyed.join(F.broadcast(thresholds), by)
-    keep = F.col("_ts").isNull() | _below(key, tie, F.col("_ts"), F.col("_tk"))
-    return sel.filter(keep).drop("_ts", "_tk")
+    return materialize(quotas.select(*by).join(cut, by, "left"))
+
+
+def draw_rule(df: DataFrame, weight: str = "weight", key: str = "uuid", seed: int | str = 0,
+              n: int | None = None, fraction: float | None = None,
+              quotas: DataFrame | Mapping[str, int] | None = None, by: str | None = None,
+              cap: bool = False, validate: bool = True):
+    """Decide a weighted sample on ``df`` (only ``key``, ``weight`` and ``by``
+    are read) and return a function that keeps the sampled rows of any
+    DataFrame carrying the same ``key`` and ``weight`` columns, e.g. the full
+    records, so the sample needs no join back."""
+    if quotas is not None:
+        if isinstance(quotas, Mapping):
+            quotas = df.sparkSession.createDataFrame(
+                [(k, int(v)) for k, v in quotas.items()], f"`{by}` string, n long")
+        need = quotas.select(by, F.col("n").alias("need"))
+        if validate:
+            check_weights(df, weight, by=[by], need=need, cap=cap)
+        narrow = df.select(key, weight, by).withColumn("_sk", sampling_key(weight, key, seed))
+        thr = smallest_threshold(narrow, "_sk", key, need, [by])
+        groups = [by]
+    else:
+        if fraction is not None:
+            n = int(check_weights(df, weight, cap=True) * fraction)
+        elif validate:
+            positive = check_weights(df, weight, n=n, cap=cap)
+            n = min(n, positive) if cap else n
+        narrow = df.select(key, weight).withColumn("_sk", sampling_key(weight, key, seed))
+        thr = smallest_threshold(narrow, "_sk", key, n)
+        groups = []
+
+    def keep(records: DataFrame) -> DataFrame:
+        keyed = records.withColumn("_sk", sampling_key(weight, key, seed))
+        return apply_threshold(keyed, "_sk", key, thr, groups).drop("_sk")
+
+    return keep
 
 
 def check_weights(df: DataFrame, weight: str, n: int | None = None,
@@ -150,15 +204,8 @@ def weighted_sample(df: DataFrame, n: int | None = None, weight: str = "weight",
     Null weight counts as 0; weight 0 is never drawn; ties broken by ``key``.
     ``fraction`` instead of ``n``: that share of the rows with a positive
     weight (counted in the same pass as the weight checks)."""
-    if fraction is not None:
-        positive = check_weights(df, weight, cap=True)
-        n = int(positive * fraction)
-    elif validate:
-        positive = check_weights(df, weight, n=n, cap=cap)
-        if cap:
-            n = min(n, positive)
-    keyed = df.withColumn("_sk", sampling_key(weight, key, seed))
-    return select_smallest(keyed, "_sk", key, n).drop("_sk")
+    rule = draw_rule(df, weight, key, seed, n=n, fraction=fraction, cap=cap, validate=validate)
+    return rule(df)
 
 
 def weighted_sample_by(df: DataFrame, quotas: DataFrame | Mapping[str, int],
@@ -166,14 +213,8 @@ def weighted_sample_by(df: DataFrame, quotas: DataFrame | Mapping[str, int],
                        seed: int | str = 0, cap: bool = False,
                        validate: bool = True) -> DataFrame:
     """Per-group quotas: ``quotas`` is ``(by, n)`` as a DataFrame or a dict."""
-    if isinstance(quotas, Mapping):
-        quotas = df.sparkSession.createDataFrame(
-            [(k, int(v)) for k, v in quotas.items()], f"`{by}` string, n long")
-    need = quotas.select(by, F.col("n").alias("need"))
-    if validate:
-        check_weights(df, weight, by=[by], need=need, cap=cap)
-    keyed = df.withColumn("_sk", sampling_key(weight, key, seed))
-    return select_smallest(keyed, "_sk", key, need, by=[by]).drop("_sk")
+    rule = draw_rule(df, weight, key, seed, quotas=quotas, by=by, cap=cap, validate=validate)
+    return rule(df)
 
 
 def sample_k(df: DataFrame, k: int, key: str, seed: int | str = 0) -> DataFrame:

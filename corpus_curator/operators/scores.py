@@ -74,21 +74,41 @@ def score_stats(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS) -> DataFram
     return df.agg(*aggs)
 
 
-def exp_zscores(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS,
-                keep: Sequence[str] = ("uuid",)) -> DataFrame:
-    """``keep`` columns plus exp(z) of every field, for rows whose scores are
-    clean; a null z (zero or undefined std) drops the row."""
-    # one aggregate pass for all 16 statistics; they come back as scalars
+def _exp_z(df: DataFrame, fields: Sequence[str]):
+    """exp(z) column and non-null condition per field, from one aggregate pass
+    over ``df`` (the 16 statistics come back as scalars)."""
     stats = score_stats(df, fields).first().asDict()
-    out = [F.col(c) for c in keep]
-    cond = None
+    cols, cond = {}, None
     for f in fields:
         mean, std = stats[f"{f}_mean"], stats[f"{f}_std"]
         z = F.try_divide(F.col(f"`{f}`") - F.lit(mean).cast("double"), F.lit(std).cast("double"))
-        out.append(F.exp(z).alias(f))
+        cols[f] = F.exp(z)
         c = z.isNotNull()
         cond = c if cond is None else cond & c
-    return df.filter(cond).select(*out)
+    return cols, cond
+
+
+def exp_zscores(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS,
+                keep: Sequence[str] = ("uuid",)) -> DataFrame:
+    """``keep`` columns plus exp(z) of every field, for rows whose scores are
+    clean; a null z (zero or undefined std) drops the row."""
+    cols, cond = _exp_z(df, fields)
+    return df.filter(cond).select(*[F.col(c) for c in keep],
+                                  *[c.alias(f) for f, c in cols.items()])
+
+
+def with_rating_weight(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS,
+                       weights: Mapping[str, float] = RATING_WEIGHTS,
+                       name: str = "weight") -> DataFrame:
+    """Clean records plus ``name`` = sum of w_f * exp(z_f); every other column
+    (text included) is kept as it is."""
+    clean = clean_scores(df, fields)
+    cols, cond = _exp_z(clean, fields)
+    total = None
+    for f, w in weights.items():
+        term = cols[f] * F.lit(float(w))
+        total = term if total is None else total + term
+    return clean.filter(cond).withColumn(name, total)
 
 
 def rating_weight(df: DataFrame, weights: Mapping[str, float] = RATING_WEIGHTS,

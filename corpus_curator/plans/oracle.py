@@ -215,6 +215,14 @@ SQL["q_pipeline_rating_sample"] = with_(["rsample", "corpus"],
 SQL["q_pipeline_tag_sample"] = with_(["tsample", "corpus"],
                                      "SELECT s.uuid, c.doc_id, c.source, c.lang, c.text "
                                      "FROM tsample s LEFT JOIN corpus c ON s.uuid = c.uuid")
+SQL["q_pipeline_rating_records"] = with_(
+    ["rsample", "rweight", "corpus"],
+    "SELECT s.uuid, c.doc_id, w.dataset, c.lang, c.text, round(w.weight, 6) AS weight FROM rsample s "
+    "JOIN rweight w ON w.uuid = s.uuid JOIN corpus c ON c.uuid = s.uuid")
+SQL["q_pipeline_tag_records"] = with_(
+    ["tsample", "tboost", "corpus"],
+    "SELECT s.uuid, c.doc_id, s.dataset, c.lang, c.text, round(b.weight, 6) AS probability "
+    "FROM tsample s JOIN tboost b ON b.uuid = s.uuid JOIN corpus c ON c.uuid = s.uuid")
 SQL["q_union_datasets"] = ("SELECT doc_id AS id, text, source AS dataset FROM documents UNION ALL "
                            "SELECT item_id AS id, text, 'benchmark' AS dataset FROM benchmark")
 SQL["q_total_quota"] = ("SELECT CAST(sum(n) AS BIGINT) AS total, count(*) AS n_datasets FROM "

@@ -13,24 +13,27 @@ from ..operators.retrieve import retrieve_by_uuid
 from ..session import materialize
 
 
-def rating_sample(rated: DataFrame, corpus: DataFrame, n: int | None = None,
+def rating_sample(rated: DataFrame, corpus: DataFrame | None = None, n: int | None = None,
                   seed: int | str = 0, fields: Sequence[str] = SCORE_FIELDS,
                   weights: Mapping[str, float] = RATING_WEIGHTS,
-                  fraction: float | None = None) -> DataFrame:
+                  fraction: float | None = None, key: str = "uuid") -> DataFrame:
     """Rating-based sampling: clean scores -> exp z-scores -> combined weight ->
-    n ids weighted without replacement -> full records of those ids.
-    ``fraction`` instead of ``n`` draws that share of the rows with a positive
-    weight."""
-    # the narrow weight table is read several times by the sampler (checks,
-    # histogram, selection): write it once, as the toolkit does with its
-    # probability files
-    w = materialize(scores.rating_probability(rated, fields, weights, keep=("uuid",))
-                    .select("uuid", "weight"))
-    if n is None:
-        positive = w.filter(F.col("weight") > 0).count()
-        n = int(positive * (fraction if fraction is not None else 0.5))
-    ids = sampling.weighted_sample(w.select("uuid", "weight"), n, seed=seed, validate=False)
-    return retrieve_by_uuid(ids.select("uuid"), corpus)
+    n records weighted without replacement (``fraction`` instead of ``n``:
+    that share of the rows with a positive weight; default one half).
+
+    ``corpus=None``: the rated records are the corpus; the sample is a filter
+    over them (no join). With a separate ``corpus`` the sampled ids are joined
+    back to it (left join from the ids)."""
+    if n is None and fraction is None:
+        fraction = 0.5
+    recs = rated if corpus is None else rated.select(key, *[F.col(f"`{f}`") for f in fields])
+    weighted = scores.with_rating_weight(recs, fields, weights)
+    # the decision reads only (key, weight); the records are filtered once
+    rule = sampling.draw_rule(weighted, "weight", key, seed, n=n, fraction=fraction)
+    if corpus is None:
+        return rule(weighted)
+    ids = rule(weighted.select(key, "weight")).select(key)
+    return retrieve_by_uuid(ids, corpus, key)
 
 
 def tag_weights(tagged: DataFrame, boost_tags: Sequence[str] = (),
@@ -44,18 +47,24 @@ def tag_weights(tagged: DataFrame, boost_tags: Sequence[str] = (),
     return p
 
 
-def tag_sample(tagged: DataFrame, corpus: DataFrame, quotas: DataFrame | Mapping[str, int] | None = None,
+def tag_sample(tagged: DataFrame, corpus: DataFrame | None = None,
+               quotas: DataFrame | Mapping[str, int] | None = None,
                boost_tags: Sequence[str] = (), seed: int | str = 0, by: str = "dataset",
-               fraction: float = 0.5) -> DataFrame:
-    """Tag-based sampling with per-dataset quotas, joined back to the records.
-    Without ``quotas`` each dataset gets ``fraction`` of its weighted rows."""
-    p = materialize(tag_weights(tagged, boost_tags).select("uuid", by, "probability"))
+               fraction: float = 0.5, key: str = "uuid") -> DataFrame:
+    """Tag-based sampling with per-dataset quotas. Without ``quotas`` each
+    dataset gets ``fraction`` of its rows with a positive weight.
+    ``corpus=None``: the tagged records are the corpus (a filter, no join);
+    otherwise the sampled ids are joined back to ``corpus``."""
+    recs = tagged if corpus is None else tagged.select(key, by, *tags.TAGS, "in_tree")
+    p = tag_weights(recs, boost_tags)
     if quotas is None:
         quotas = (p.filter(F.col("probability") > 0).groupBy(by)
                   .agg(F.floor(F.count(F.lit(1)) * F.lit(fraction)).cast("long").alias("n")))
-    ids = sampling.weighted_sample_by(p, quotas, by=by, weight="probability", seed=seed,
-                                      validate=False)
-    return retrieve_by_uuid(ids.select("uuid"), corpus)
+    rule = sampling.draw_rule(p, "probability", key, seed, quotas=quotas, by=by, validate=False)
+    if corpus is None:
+        return rule(p)
+    ids = rule(p.select(key, by, "probability")).select(key)
+    return retrieve_by_uuid(ids, corpus, key)
 
 
 def rate(docs: DataFrame, task: str, fn, n_pairs: int | None = None, compare: int = 6,

@@ -190,6 +190,22 @@ def q_pipeline_tag_sample(spark, sf):
     return out.select("uuid", "doc_id", "source", "lang", "text")
 
 
+def q_pipeline_rating_records(spark, sf):
+    """O-Q3 on records that carry their text: the sample is a filter, no join."""
+    recs = D.with_text(spark, sf, D.rated(spark, sf))
+    out = pipelines.rating_sample(recs, corpus=None, seed=SEED)
+    return out.select("uuid", "doc_id", "dataset", "lang", "text",
+                      F.round("weight", R).alias("weight"))
+
+
+def q_pipeline_tag_records(spark, sf):
+    """O-Q4 on records that carry their text: the sample is a filter, no join."""
+    recs = D.with_text(spark, sf, D.tagged(spark, sf))
+    out = pipelines.tag_sample(recs, corpus=None, boost_tags=D.boost_list(), seed=SEED)
+    return out.select("uuid", "doc_id", "dataset", "lang", "text",
+                      F.round("probability", R).alias("probability"))
+
+
 def q_union_datasets(spark, sf):
     docs = D.documents(spark, sf).select(F.col("doc_id").alias("id"), "text",
                                          F.col("source").alias("dataset"))

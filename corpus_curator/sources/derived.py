@@ -64,6 +64,13 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
           for i, f in enumerate(SCORE_FIELDS)]))
 
 
+def with_text(spark: SparkSession, sf_dir: str, records: DataFrame) -> DataFrame:
+    """Decorated records that carry their document (text, language), as the
+    decorated corpus files do. Materialised."""
+    d = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return materialize(records.join(d, "doc_id"))
+
+
 def _pick_first(u: Column, proper: bool = False) -> Column:
     names = FIRST_LEVEL_TAGS if proper else FIRST_LOWER
     return F.element_at(F.array(*[F.lit(n) for n in names]),

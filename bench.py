@@ -62,7 +62,9 @@ def bt_mle_large(spark, sf):
 
 HEADLINE = {
     "q3_rating_sample": "q_pipeline_rating_sample",
+    "q3_rating_sample_records": "q_pipeline_rating_records",
     "q4_tag_sample": "q_pipeline_tag_sample",
+    "q4_tag_sample_records": "q_pipeline_tag_records",
     "r8_weighted_sample_half_lineitem": "q_weighted_sample_lineitem",
     "q1_rate_pipeline": "q_pipeline_rate",
     "q2_tag_pipeline": "q_pipeline_tag",

@@ -16,6 +16,11 @@ SQL["q_roundtrip_records"] = "SELECT doc_id, source AS dataset, md5(text) AS tex
 _raw = (f"SELECT doc_id AS key, CASE WHEN {U('doc_id', 'iid')} < 0.5 THEN doc_id END AS instance_id, "
         "md5(text) AS text_md5 FROM documents")
 SQL["q_normalize_records"] = _raw
+SQL["q_dataset_from_path"] = "SELECT doc_id, source AS dataset FROM documents"
+SQL["q_write_single"] = with_(["tagged"], "SELECT first_level_tag, count(*) AS count, "
+                              "CAST(1 AS BIGINT) AS n_files FROM tagged GROUP BY first_level_tag")
+SQL["q_assign_uuid_random"] = ("SELECT count(*) AS n_rows, count(*) AS n_distinct, count(*) AS n_v4 "
+                               "FROM documents")
 SQL["q_read_raw"] = _raw
 SQL["q_read_raw_txt"] = "SELECT doc_id AS instance_id, md5(text) AS text_md5 FROM documents"
 _md_text = (f"regexp_replace(array_to_string(list_transform(string_split(text, {NL}), lambda l: "

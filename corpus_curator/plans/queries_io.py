@@ -62,6 +62,40 @@ def q_roundtrip_records(spark, sf):
     return back.select("doc_id", "dataset", F.md5("text").alias("text_md5"))
 
 
+def q_dataset_from_path(spark, sf):
+    """Records stored one directory per dataset (plain names); the dataset
+    comes from the path of each file."""
+    base = scratch_path(spark, "by-dir")
+    docs = D.documents(spark, sf).select("doc_id", "text", "lang", "source")
+    # one write; Spark names the folders source=<name>, renamed by the reader rule
+    W.write_records(docs, base, partition_by="source")
+    back = RD.read_records(spark, f"{base}/*/*.json", "doc_id long, text string, lang string",
+                           dataset_from_path=True)
+    return back.select("doc_id", F.regexp_replace("dataset", "^source=", "").alias("dataset"))
+
+
+def q_write_single(spark, sf):
+    """A small aggregate written as exactly one file and read back."""
+    counts = D.tagged(spark, sf).groupBy("first_level_tag").agg(F.count(F.lit(1)).alias("count"))
+    path = scratch_path(spark, "single")
+    W.write_single(counts, path)
+    back = spark.read.schema("first_level_tag string, count long").json(path)
+    files = back.select(F.input_file_name().alias("f")).distinct().count()
+    return back.withColumn("n_files", F.lit(files).cast("long"))
+
+
+def q_assign_uuid_random(spark, sf):
+    """Random uuids: written once (they change on every computation), then
+    checked for format and uniqueness."""
+    path = scratch_path(spark, "random-uuid")
+    shape.assign_uuid(D.documents(spark, sf).select("doc_id"), mode="random").write.json(path)
+    back = spark.read.schema("doc_id long, uuid string").json(path)
+    pattern = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+    return back.agg(F.count(F.lit(1)).alias("n_rows"),
+                    F.count_distinct("uuid").alias("n_distinct"),
+                    F.count_if(F.col("uuid").rlike(pattern)).alias("n_v4"))
+
+
 def q_normalize_records(spark, sf):
     n = shape.normalize_records(_raw_records(spark, sf))
     return n.select("key", "instance_id", F.md5("text").alias("text_md5"))

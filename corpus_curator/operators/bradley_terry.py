@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BT_LEARNING_RATE, UNIFORM_BOTTOM, UNIFORM_TOP
+from ..functions.joins import join_small
 from ..session import materialize
 from .rank import dense_index, global_rank
 
@@ -137,7 +138,7 @@ def bt_scores(matches: DataFrame, reg: float = 0.0, max_iter: int = 100,
     items = enc.fit(idx).transform(idx)
     theta = model.transform(items).select(
         "task", "id", vector_to_array("rawPrediction")[1].alias("theta"))
-    mean = theta.groupBy("task").agg(F.avg("theta").alias("_m"))
+    mean = join_small(theta.groupBy("task").agg(F.avg("theta").alias("_m")))
     return theta.join(mean, "task").select("task", "id", (F.col("theta") - F.col("_m"))
                                            .alias("theta"))
 
@@ -146,7 +147,7 @@ def uniform_scores(scores: DataFrame, score_col: str = "theta", name: str = "sco
     """Best item 99, worst 1, evenly spaced by rank within each task (ties by
     id); a single item gets 99."""
     ranked = global_rank(scores, [F.col(score_col).desc(), F.col("id")], by=["task"], name="_r")
-    n = scores.groupBy("task").agg(F.count(F.lit(1)).alias("_n"))
+    n = join_small(scores.groupBy("task").agg(F.count(F.lit(1)).alias("_n")))
     span = UNIFORM_TOP - UNIFORM_BOTTOM
     s = F.when(F.col("_n") == 1, F.lit(UNIFORM_TOP)).otherwise(
         F.lit(UNIFORM_TOP) - (F.col("_r") - 1) * F.lit(span) / (F.col("_n") - 1))

@@ -47,7 +47,10 @@ def global_rank(df: DataFrame, order_by: Sequence[Column | str], by: Sequence[st
     ranked = tagged.join(F.broadcast(offsets), "_pid").withColumn(
         "_gord", F.col("_offset") + F.col("_local"))
     if by:
-        firsts = ranked.groupBy(*by).agg(F.min("_gord").alias("_first"))
+        # one row per group; broadcast after a size check, so a group holding
+        # most of the rows does not land in one shuffle partition
+        from ..functions.joins import join_small
+        firsts = join_small(ranked.groupBy(*by).agg(F.min("_gord").alias("_first")))
         ranked = ranked.join(firsts, by).withColumn("_gord", F.col("_gord") - F.col("_first"))
         ranked = ranked.drop("_first")
     return ranked.withColumn(name, F.col("_gord") + F.lit(start)).drop(

@@ -118,19 +118,32 @@ def _group_thresholds(keyed: DataFrame, key: str, tie: str, need: DataFrame, by:
     from ..session import materialize
     quotas = join_small(need.select(*by, F.col("need").cast("long").alias("_need"))
                         .filter(F.col("_need") > 0), max_rows=1_000_000)
-    b = _bucket(F.col(key), resolution)
-    hist = keyed.groupBy(*by, b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.withColumn("_cum", F.sum("_c").over(run)).join(quotas, by)
-    # first bucket whose running count reaches the quota, one row per group
-    boundary = materialize(
-        hist.filter(F.col("_cum") >= F.col("_need")).groupBy(*by)
-        .agg(F.min(F.struct("_b", (F.col("_need") - F.col("_cum") + F.col("_c")).alias("_rest")))
-             .alias("_m"))
-        .select(*by, F.col("_m._b").alias("_bb"), F.col("_m._rest").alias("_rest")))
-    edge = keyed.join(F.broadcast(boundary), by).filter(b == F.col("_bb"))
+    state = quotas.select(*by, F.col("_need").alias("_rest"))  # rows still to take per group
+    rows, res = keyed, resolution
+    for depth in range(_MAX_REFINE + 1):
+        b = _bucket(F.col(key), res)
+        hist = rows.groupBy(*by, b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+        run = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+        hist = hist.withColumn("_cum", F.sum("_c").over(run)).join(F.broadcast(state), by)
+        # first bucket whose running count reaches what is still needed, one
+        # row per group; a group that never reaches it is absent (takes all)
+        boundary = materialize(
+            hist.filter(F.col("_cum") >= F.col("_rest")).groupBy(*by)
+            .agg(F.min(F.struct("_b", (F.col("_rest") - F.col("_cum") + F.col("_c")).alias("_r"),
+                                F.col("_c").alias("_n"))).alias("_m"))
+            .select(*by, F.col("_m._b").alias("_bb"), F.col("_m._r").alias("_rest"),
+                    F.col("_m._n").alias("_n")))
+        rows = (rows.join(F.broadcast(boundary.select(*by, "_bb")), by)
+                .filter(b == F.col("_bb")).drop("_bb"))
+        state = boundary.select(*by, "_rest")
+        largest = boundary.agg(F.max("_n")).first()[0]
+        if largest is None or largest <= _EDGE_MAX or depth == _MAX_REFINE:
+            break
+        res *= 1024
+    # exact rank inside each group's boundary bucket only
     rank = Window.partitionBy(*by).orderBy(F.col(key), F.col(tie))
-    cut = (edge.withColumn("_rn", F.row_number().over(rank)).filter(F.col("_rn") == F.col("_rest"))
+    cut = (rows.join(F.broadcast(state), by).withColumn("_rn", F.row_number().over(rank))
+           .filter(F.col("_rn") == F.col("_rest"))
            .select(*by, F.col(key).alias("_ts"), F.col(tie).alias("_tk")))
     # groups whose rows do not reach the quota keep everything (null threshold)
     return materialize(quotas.select(*by).join(cut, by, "left"))

@@ -17,8 +17,21 @@ def write_records(df: DataFrame, path: str, fmt: str = "json", mode: str = "over
     w.save(path)
 
 
-def write_single(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
-    """One output file. Funnels all rows through one task: small results only."""
+SINGLE_TASK_ROWS = 5_000_000
+
+
+def _guard(df: DataFrame, max_rows: int, what: str) -> None:
+    n = df.count()
+    if n > max_rows:
+        raise ValueError(f"{what}: {n} rows would pass through one task (limit {max_rows}); "
+                         "use the partitioned form")
+
+
+def write_single(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite",
+                 max_rows: int = SINGLE_TASK_ROWS) -> None:
+    """One output file. Funnels all rows through one task, so the row count is
+    checked first: small results only."""
+    _guard(df, max_rows, "write_single")
     df.coalesce(1).write.mode(mode).format(fmt).save(path)
 
 
@@ -50,6 +63,7 @@ def write_pairs(pairs: DataFrame, path: str, n: int, compare: int, fmt: str = "t
         meta.coalesce(1).write.mode(mode).json(f"{path}/meta")
         return
     if fmt == "object":
+        _guard(pairs, SINGLE_TASK_ROWS, "write_pairs(fmt='object')")
         obj = pairs.agg(
             F.lit(n).cast("long").alias("n"), F.count(F.lit(1)).alias("n_pairs"),
             F.lit(compare).cast("long").alias("compare"),
@@ -61,7 +75,9 @@ def write_pairs(pairs: DataFrame, path: str, n: int, compare: int, fmt: str = "t
 
 
 def write_taxonomy(edges: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Edges -> one nested JSON object ``{first: {second: {third: ""}}}``."""
+    """Edges -> one nested JSON object ``{first: {second: {third: ""}}}``
+    (a taxonomy is small; its size is checked)."""
+    _guard(edges, SINGLE_TASK_ROWS, "write_taxonomy")
     lvl2 = edges.groupBy("first", "second").agg(F.map_from_entries(F.collect_list(
         F.struct("third", F.lit("")))).alias("m3"))
     lvl1 = lvl2.groupBy("first").agg(F.map_from_entries(F.collect_list(

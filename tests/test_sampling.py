@@ -94,3 +94,17 @@ def test_assign_batches_last_short(spark):
     out = sampling.assign_batches(df, 20, order_by=["doc_id"])
     sizes = sorted(r["count"] for r in out.groupBy("batch_id").count().collect())
     assert sizes == [5, 20, 20]
+
+
+def test_grouped_refinement_path(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(f"id{i:05d}", "hot" if i % 4 else "cold", rnd.random() + 1e-9) for i in range(3000)]
+    df = spark.createDataFrame(rows, "uuid string, g string, k double")
+    need = spark.createDataFrame([("hot", 1100), ("cold", 300)], "g string, need long")
+    monkeypatch.setattr(sampling, "_EDGE_MAX", 3)
+    got = sorted(r["uuid"] for r in sampling.select_smallest(df, "k", "uuid", need, by=["g"],
+                                                                 resolution=1).collect())
+    want = []
+    for g, q in (("hot", 1100), ("cold", 300)):
+        want += [r[0] for r in _brute([(u, k) for u, gg, k in rows if gg == g], q)]
+    assert got == sorted(want)

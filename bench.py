@@ -61,13 +61,13 @@ def bt_mle_large(spark, sf):
 
 
 HEADLINE = {
-    "q3_rating_sample": "q_pipeline_rating_sample",
-    "q3_rating_sample_records": "q_pipeline_rating_records",
-    "q4_tag_sample": "q_pipeline_tag_sample",
-    "q4_tag_sample_records": "q_pipeline_tag_records",
+    "q3_rating_sample": "q_rating_sample",
+    "q3_rating_sample_records": "q_rating_sample_records",
+    "q4_tag_sample": "q_tag_sample",
+    "q4_tag_sample_records": "q_tag_sample_records",
     "r8_weighted_sample_half_lineitem": "q_weighted_sample_lineitem",
-    "q1_rate_pipeline": "q_pipeline_rate",
-    "q2_tag_pipeline": "q_pipeline_tag",
+    "q1_rate_scores": "q_rate_scores",
+    "q2_tag_documents": "q_tag_documents",
     "tag_probability": "q_tag_probability",
     "exp_zscores": "q_exp_zscores",
     "balanced_pairs": "q_balanced_pairs",

@@ -131,7 +131,7 @@ def render_edit_prompt(df: DataFrame, templates: Mapping[str, str], lang_col: st
 def token_count(c: Column | str, pattern: str = TOKEN_PATTERN) -> Column:
     """Approximate token count: matches of ``pattern``."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.size(F.regexp_extract_all(col, F.lit(pattern), 0))
+    return F.size(F.regexp_extract_all(col, F.lit(pattern), 0)).cast("long")
 
 
 def classify_prompt_size(df: DataFrame, prompt_col: str = "prompt", counter=None,
@@ -144,3 +144,16 @@ def classify_prompt_size(df: DataFrame, prompt_col: str = "prompt", counter=None
     return d.withColumn(out, F.when(F.col("n_tokens") < SMALL_PROMPT_TOKENS, F.lit("small"))
                         .when(F.col("n_tokens") < MAX_PROMPT_TOKENS, F.lit("large"))
                         .otherwise(F.lit("fail")))
+
+
+def pandas_token_counter(count_one):
+    """Wrap a Python ``str -> int`` tokenizer count (e.g. a local BPE model) as
+    an Arrow-batched pandas UDF usable as ``classify_prompt_size(counter=...)``.
+    The tokenizer is created once per Python worker by the caller's closure."""
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def _count(prompts: pd.Series) -> pd.Series:
+        return prompts.map(lambda p: None if p is None else int(count_one(p))).astype("Int64")
+
+    return lambda c: _count(c)

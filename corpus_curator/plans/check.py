@@ -23,6 +23,21 @@ def _norm(v):
     return v
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+          "boolean": "BOOLEAN", "array<bigint>": "BIGINT[]", "float": "FLOAT"}
+
+
+def type_mismatches(spark_dtypes, duck_cols, duck_types) -> list:
+    """Columns whose Spark type does not map to the DuckDB type."""
+    duck = dict(zip(duck_cols, (str(t) for t in duck_types)))
+    out = []
+    for name, t in spark_dtypes:
+        want = _TYPES.get(t, t.upper())
+        if name in duck and duck[name] != want:
+            out.append((name, t, duck[name]))
+    return out
+
+
 def duck_connect(sf_dir: str, tables=None):
     import duckdb
     con = duckdb.connect()
@@ -46,6 +61,9 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> dict:
         return res
     rel = con.sql(sql)
     o_cols = rel.columns
+    mism = type_mismatches(df.dtypes, o_cols, rel.types)
+    if mism:
+        res["type_mismatch"] = mism
     o_rows = rel.fetchall()
     res["oracle_rows"] = len(o_rows)
     if sorted(s_cols) != sorted(o_cols):

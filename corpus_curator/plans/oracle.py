@@ -95,9 +95,9 @@ cte("tin", "SELECT * FROM tagged WHERE in_tree", ["tagged"])
 cte("lv3", "SELECT first_level_tag, second_level_tag, third_level_tag, count(*) AS count_c "
     "FROM tin WHERE first_level_tag IS NOT NULL AND second_level_tag IS NOT NULL "
     "AND third_level_tag IS NOT NULL GROUP BY ALL", ["tin"])
-cte("lv2", "SELECT first_level_tag, second_level_tag, sum(count_c) AS count_b, "
+cte("lv2", "SELECT first_level_tag, second_level_tag, CAST(sum(count_c) AS BIGINT) AS count_b, "
     "sum(pow(count_c, 0.5)) AS sum_weight_c FROM lv3 GROUP BY ALL", ["lv3"])
-cte("lv1", "SELECT first_level_tag, sum(count_b) AS count_a, sum(pow(count_b, 0.5)) AS sum_weight_b "
+cte("lv1", "SELECT first_level_tag, CAST(sum(count_b) AS BIGINT) AS count_a, sum(pow(count_b, 0.5)) AS sum_weight_b "
     "FROM lv2 GROUP BY ALL", ["lv2"])
 cte("lva", "SELECT sum(pow(count_a, 0.5)) AS sum_weight_a FROM lv1", ["lv1"])
 cte("lvl", "SELECT lv3.first_level_tag, lv3.second_level_tag, lv3.third_level_tag, "
@@ -209,17 +209,17 @@ SQL["q_assign_uuid"] = with_(["corpus"], "SELECT doc_id, uuid FROM corpus")
 SQL["q_retrieve_by_uuid"] = with_(["rsample", "corpus"],
                                   "SELECT s.uuid, c.doc_id, c.source, c.text FROM rsample s "
                                   "LEFT JOIN corpus c ON s.uuid = c.uuid")
-SQL["q_pipeline_rating_sample"] = with_(["rsample", "corpus"],
+SQL["q_rating_sample"] = with_(["rsample", "corpus"],
                                         "SELECT s.uuid, c.doc_id, c.source, c.lang, c.text "
                                         "FROM rsample s LEFT JOIN corpus c ON s.uuid = c.uuid")
-SQL["q_pipeline_tag_sample"] = with_(["tsample", "corpus"],
+SQL["q_tag_sample"] = with_(["tsample", "corpus"],
                                      "SELECT s.uuid, c.doc_id, c.source, c.lang, c.text "
                                      "FROM tsample s LEFT JOIN corpus c ON s.uuid = c.uuid")
-SQL["q_pipeline_rating_records"] = with_(
+SQL["q_rating_sample_records"] = with_(
     ["rsample", "rweight", "corpus"],
     "SELECT s.uuid, c.doc_id, w.dataset, c.lang, c.text, round(w.weight, 6) AS weight FROM rsample s "
     "JOIN rweight w ON w.uuid = s.uuid JOIN corpus c ON c.uuid = s.uuid")
-SQL["q_pipeline_tag_records"] = with_(
+SQL["q_tag_sample_records"] = with_(
     ["tsample", "tboost", "corpus"],
     "SELECT s.uuid, c.doc_id, s.dataset, c.lang, c.text, round(b.weight, 6) AS probability "
     "FROM tsample s JOIN tboost b ON b.uuid = s.uuid JOIN corpus c ON c.uuid = s.uuid")
@@ -312,13 +312,13 @@ SQL["q_random_pairs"] = with_(["base"], "SELECT pair_id, id_1, id_2 FROM base")
 SQL["q_balanced_pairs"] = with_(["pairs"], "SELECT pair_id, id_1, id_2, added FROM pairs")
 SQL["q_pair_degrees"] = with_(["pairs"], "SELECT id, count(*) AS degree FROM (SELECT id_1 AS id "
                               "FROM pairs UNION ALL SELECT id_2 FROM pairs) GROUP BY id")
-SQL["q_pair_report"] = with_(["pairs"], "SELECT count(*) AS n_pairs, count_if(added) AS n_added "
+SQL["q_pair_report"] = with_(["pairs"], "SELECT count(*) AS n_pairs, CAST(count_if(added) AS BIGINT) AS n_added "
                              "FROM pairs")
 SQL["q_pair_texts"] = with_(["pairs"], "SELECT p.pair_id, p.id_1, p.id_2, md5(a.text) AS md5_1, "
                             "md5(b.text) AS md5_2 FROM pairs p JOIN documents a ON a.doc_id = p.id_1 "
                             "JOIN documents b ON b.doc_id = p.id_2")
 SQL["q_check_pairs"] = with_(["pairs"], "SELECT (SELECT count(*) FROM pairs) AS n_pairs, "
-                             "count(*) AS n_ids, count_if(d.doc_id IS NULL) AS missing_ids FROM "
+                             "count(*) AS n_ids, CAST(count_if(d.doc_id IS NULL) AS BIGINT) AS missing_ids FROM "
                              "(SELECT DISTINCT id FROM (SELECT id_1 AS id FROM pairs UNION ALL "
                              "SELECT id_2 FROM pairs)) u LEFT JOIN (SELECT DISTINCT doc_id FROM "
                              "documents) d ON d.doc_id = u.id")

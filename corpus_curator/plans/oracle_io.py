@@ -38,7 +38,7 @@ _content = (f"CASE WHEN coalesce(title, '') = '' THEN coalesce(before, '') WHEN
             f"THEN title ELSE title || {NL} || before END")
 SQL["q_concat_keys"] = (f"SELECT doc_id, md5({_content}) AS content_md5, length({_content}) AS "
                         f"content_len FROM ({_titled})")
-SQL["q_empty_content"] = (f"SELECT count(*) AS n_rows, count_if(length({_content}) = 0) AS n_empty "
+SQL["q_empty_content"] = (f"SELECT count(*) AS n_rows, CAST(count_if(length({_content}) = 0) AS BIGINT) AS n_empty "
                           f"FROM ({_titled})")
 SQL["q_truncate_text"] = ("SELECT doc_id, length(substring(text, 1, 2500)) AS cut_len, "
                           "md5(substring(text, 1, 2500)) AS cut_md5 FROM documents")

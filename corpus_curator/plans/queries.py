@@ -17,7 +17,7 @@ from ..operators import rank, sampling, scores, shape, tags
 from ..operators.retrieve import retrieve_by_uuid
 from ..sources import derived as D
 from ..session import materialize
-from . import pipelines
+from . import flows
 
 SEED = 7
 R = 6  # decimals kept in the comparison
@@ -179,29 +179,29 @@ def q_retrieve_by_uuid(spark, sf):
     return retrieve_by_uuid(ids, _corpus(spark, sf)).select("uuid", "doc_id", "source", "text")
 
 
-def q_pipeline_rating_sample(spark, sf):
-    out = pipelines.rating_sample(D.rated(spark, sf), _corpus(spark, sf), seed=SEED)
+def q_rating_sample(spark, sf):
+    out = flows.rating_sample(D.rated(spark, sf), _corpus(spark, sf), seed=SEED)
     return out.select("uuid", "doc_id", "source", "lang", "text")
 
 
-def q_pipeline_tag_sample(spark, sf):
-    out = pipelines.tag_sample(D.tagged(spark, sf), _corpus(spark, sf),
+def q_tag_sample(spark, sf):
+    out = flows.tag_sample(D.tagged(spark, sf), _corpus(spark, sf),
                                boost_tags=D.boost_list(), seed=SEED)
     return out.select("uuid", "doc_id", "source", "lang", "text")
 
 
-def q_pipeline_rating_records(spark, sf):
+def q_rating_sample_records(spark, sf):
     """O-Q3 on records that carry their text: the sample is a filter, no join."""
     recs = D.with_text(spark, sf, D.rated(spark, sf))
-    out = pipelines.rating_sample(recs, corpus=None, seed=SEED)
+    out = flows.rating_sample(recs, corpus=None, seed=SEED)
     return out.select("uuid", "doc_id", "dataset", "lang", "text",
                       F.round("weight", R).alias("weight"))
 
 
-def q_pipeline_tag_records(spark, sf):
+def q_tag_sample_records(spark, sf):
     """O-Q4 on records that carry their text: the sample is a filter, no join."""
     recs = D.with_text(spark, sf, D.tagged(spark, sf))
-    out = pipelines.tag_sample(recs, corpus=None, boost_tags=D.boost_list(), seed=SEED)
+    out = flows.tag_sample(recs, corpus=None, boost_tags=D.boost_list(), seed=SEED)
     return out.select("uuid", "doc_id", "dataset", "lang", "text",
                       F.round("probability", R).alias("probability"))
 
@@ -300,7 +300,7 @@ def q_validate_second_third(spark, sf):
 
 def q_validate_flat_tags(spark, sf):
     v = RP.validate_flat_tags(D.flat_replies(D.documents(spark, sf)))
-    return v.select("doc_id", "status", F.size("tags").alias("n_tags"),
+    return v.select("doc_id", "status", F.size("tags").cast("long").alias("n_tags"),
                     F.array_join(F.transform("tags", lambda t: t["tag"]), "|").alias("tags_joined"))
 
 

@@ -1,4 +1,4 @@
-"""Registered queries for prompts, annotators and the annotation pipelines.
+"""Registered queries for prompts, annotators and the annotation flows.
 
 The annotator is the offline rule set of ``functions.annotators`` run through
 ``mapInPandas``; the oracle computes the same rule in SQL from the same
@@ -15,7 +15,7 @@ from ..operators import annotate as AN
 from ..operators import pairs as P
 from ..session import materialize
 from ..sources import derived as D
-from . import pipelines
+from . import flows
 
 TASK = "educational_value"
 
@@ -38,7 +38,7 @@ def q_render_pair_prompt(spark, sf):
     t = P.pair_texts(D.pairs(spark, sf), _docs(spark, sf))
     p = PR.render_pair_prompt(t, PR.default_templates()[TASK])
     return p.select("pair_id", F.md5("prompt").alias("prompt_md5"),
-                    F.length("prompt").alias("prompt_len"))
+                    F.length("prompt").cast("long").alias("prompt_len"))
 
 
 def q_render_prompt(spark, sf):
@@ -88,7 +88,7 @@ def q_annotate_second_third(spark, sf):
 
 def q_annotate_flat(spark, sf):
     t = AN.tag_flat(_docs(spark, sf), A.flat_rule)
-    return t.select("instance_id", "status", F.size("tags").alias("n_tags"),
+    return t.select("instance_id", "status", F.size("tags").cast("long").alias("n_tags"),
                     F.array_join(F.transform("tags", lambda x: x["tag"]), "|").alias("tags_joined"))
 
 
@@ -97,16 +97,16 @@ def q_annotate_edit(spark, sf):
     return e.select("doc_id", "edited_text")
 
 
-def q_pipeline_rate(spark, sf):
+def q_rate_scores(spark, sf):
     docs = _docs(spark, sf)
     n = docs.count()
-    s = pipelines.rate(docs, TASK, A.rate_rule, n_pairs=3 * n, compare=6, seed=PAIR_SEED,
+    s = flows.rate(docs, TASK, A.rate_rule, n_pairs=3 * n, compare=6, seed=PAIR_SEED,
                        method="gradient", iterations=5, score_type="bradley_terry")
     return s.select("task", "id", F.round("score", 6).alias("score"))
 
 
-def q_pipeline_tag(spark, sf):
-    t = pipelines.tag(_docs(spark, sf), D.taxonomy(spark), A.summary_rule, A.first_level_rule,
+def q_tag_documents(spark, sf):
+    t = flows.tag(_docs(spark, sf), D.taxonomy(spark), A.summary_rule, A.first_level_rule,
                       A.second_third_rule)
     return t.select("instance_id", "first_level_tag", "second_level_tag", "third_level_tag",
                     "in_tree")

@@ -139,7 +139,7 @@ def q_assign_instance_id(spark, sf):
 def q_concat_keys(spark, sf):
     c = shape.concat_keys(_titled(spark, sf), ["title", "missing_key", "before"], out="content")
     return c.select("doc_id", F.md5("content").alias("content_md5"),
-                    F.length("content").alias("content_len"))
+                    F.length("content").cast("long").alias("content_len"))
 
 
 def q_empty_content(spark, sf):
@@ -150,7 +150,7 @@ def q_empty_content(spark, sf):
 
 def q_truncate_text(spark, sf):
     t = shape.truncate_text(D.documents(spark, sf), 2500, out="cut")
-    return t.select("doc_id", F.length("cut").alias("cut_len"), F.md5("cut").alias("cut_md5"))
+    return t.select("doc_id", F.length("cut").cast("long").alias("cut_len"), F.md5("cut").alias("cut_md5"))
 
 
 def q_read_pairs(spark, sf):

@@ -53,3 +53,10 @@ def test_annotate_failures_and_modes(spark):
     vec = annotate(df.filter(F.col("prompt").isNotNull()), lambda s: s.str.upper() + "!",
                    vectorized=True)
     assert vec.filter(F.col("reply") == F.concat("prompt", F.lit("!"))).count() == 30
+
+
+def test_pandas_token_counter(spark):
+    df = spark.createDataFrame([("a b c",), ("x" * 5,)], "prompt string")
+    counter = PR.pandas_token_counter(lambda p: len(p.split()))
+    got = [r["n_tokens"] for r in PR.classify_prompt_size(df, counter=counter).collect()]
+    assert got == [3, 1]

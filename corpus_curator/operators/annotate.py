@@ -25,10 +25,20 @@ from ..functions import replies as RP
 
 
 def annotate(df: DataFrame, fn: Callable, prompt_col: str = "prompt", reply_col: str = "reply",
-             batch_size: int = 25, threads: int = 1, vectorized: bool = False) -> DataFrame:
+             batch_size: int = 25, threads: int = 1, vectorized: bool = False,
+             partitions: int | None = None) -> DataFrame:
     """Add ``reply_col`` = fn(prompt) for every row. ``fn`` maps one prompt to
     one reply, or with ``vectorized=True`` a pandas Series of prompts to a
-    Series of replies. Null prompts get a null reply."""
+    Series of replies. Null prompts get a null reply.
+
+    The cost is per prompt (a service call), not per byte, so the prompts are
+    spread over ``partitions`` tasks (default: the cluster's parallelism)
+    instead of the few large partitions that size-based coalescing would
+    leave; ``partitions=0`` keeps the input partitioning."""
+    if partitions is None:
+        partitions = df.sparkSession.sparkContext.defaultParallelism
+    if partitions:
+        df = df.repartition(partitions)
     schema = T.StructType(df.schema.fields + [T.StructField(reply_col, T.StringType(), True)])
 
     def one(p):

@@ -20,16 +20,29 @@ from ..session import materialize
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition id above bit 33
 
 
+SMALL_RANK_ROWS = 1_000_000
+
+
 def global_rank(df: DataFrame, order_by: Sequence[Column | str], by: Sequence[str] = (),
-                name: str = "rank", start: int = 1) -> DataFrame:
+                name: str = "rank", start: int = 1,
+                small_rows: int = SMALL_RANK_ROWS) -> DataFrame:
     """Add ``name``: position of each row in ``order_by`` order (within ``by``
     groups when given), counting from ``start``.
 
     ``order_by`` must make the order total (end it with a unique key), else
-    tied rows get an arbitrary but fixed order.
+    tied rows get an arbitrary but fixed order. The input is counted first; up
+    to ``small_rows`` rows a window ranks them (one task per group, bounded by
+    that count), above it the distributed method runs.
     """
     by = list(by)
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    if df.count() <= small_rows:
+        w = (Window.partitionBy(*[F.col(c) for c in by]) if by else Window).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w) - F.lit(1) + F.lit(start))
+    return _distributed_rank(df, order, by, name, start)
+
+
+def _distributed_rank(df: DataFrame, order: list, by: list, name: str, start: int) -> DataFrame:
     tagged = (
         df.orderBy(*[F.col(c) for c in by], *order)
         .withColumn("_pid", F.spark_partition_id())

@@ -19,3 +19,11 @@ def test_dense_index_is_zero_based(spark):
     df = spark.createDataFrame([(5,), (3,), (5,), (9,)], "x long")
     got = {r["x"]: r["idx"] for r in dense_index(df, ["x"]).collect()}
     assert got == {3: 0, 5: 1, 9: 2}
+
+
+def test_distributed_path_equals_window_path(spark):
+    df = spark.range(3000).select(F.col("id"), (F.col("id") * 31 % 97).alias("v"),
+                                  (F.col("id") % 4).alias("g")).repartition(5)
+    a = global_rank(df, ["v", "id"], by=["g"], name="r", small_rows=0)
+    b = global_rank(df, ["v", "id"], by=["g"], name="r")
+    assert a.exceptAll(b.select(*a.columns)).count() == 0 and a.count() == 3000

@@ -13,6 +13,7 @@ import os
 import re
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,7 +151,6 @@ def pandas_token_counter(count_one):
     """Wrap a Python ``str -> int`` tokenizer count (e.g. a local BPE model) as
     an Arrow-batched pandas UDF usable as ``classify_prompt_size(counter=...)``.
     The tokenizer is created once per Python worker by the caller's closure."""
-    import pandas as pd
 
     @F.pandas_udf("long")
     def _count(prompts: pd.Series) -> pd.Series:

@@ -105,7 +105,10 @@ def bt_loss(matches: DataFrame, scores: DataFrame) -> DataFrame:
 def bt_scores(matches: DataFrame, reg: float = 0.0, max_iter: int = 100,
               tol: float = 1e-8) -> DataFrame:
     """``(task, id, theta)``: the Bradley-Terry maximum-likelihood scores
-    (L2 penalty ``reg`` on theta when > 0), centred to mean 0 per task."""
+    (L2 penalty ``reg`` on theta when > 0), centred to mean 0 per task.
+    Spark scales the penalty against the mean loss over all matches, so with
+    ``reg > 0`` a joint fit of several tasks is regularised relative to their
+    combined weight; with ``reg = 0`` it equals separate fits."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import OneHotEncoder
     from pyspark.ml.functions import vector_to_array

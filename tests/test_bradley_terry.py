@@ -60,3 +60,14 @@ def test_to_matches(spark):
                               "pair_id long, pair_ids array<long>, win string")
     got = [(r["winner"], r["loser"]) for r in BT.to_matches(j).orderBy("pair_id").collect()]
     assert got == [(5, 6), (6, 5), (6, 5)]
+
+
+def test_block_diagonal_fit_equals_single_task_fits(spark):
+    rows = [("a", i, w, l) for i, (w, l) in enumerate(MATCHES)]
+    rows += [("b", 100 + i, l, w) for i, (w, l) in enumerate(MATCHES)]  # mirrored outcomes
+    both = spark.createDataFrame(rows, "task string, pair_id long, winner long, loser long")
+    got = {(r["task"], r["id"]): r["theta"] for r in BT.bt_scores(both).collect()}
+    only_a = {r["id"]: r["theta"] for r in BT.bt_scores(both.filter("task = 'a'")).collect()}
+    for i in range(3):
+        assert got[("a", i)] == pytest.approx(only_a[i], abs=1e-4)
+        assert got[("b", i)] == pytest.approx(-only_a[i], abs=1e-4)

@@ -60,3 +60,18 @@ def test_pandas_token_counter(spark):
     counter = PR.pandas_token_counter(lambda p: len(p.split()))
     got = [r["n_tokens"] for r in PR.classify_prompt_size(df, counter=counter).collect()]
     assert got == [3, 1]
+
+
+def test_second_third_job_routes_unknown_first_tag(spark):
+    from corpus_curator.functions.annotators import second_third_rule
+    from corpus_curator.operators.annotate import tag_second_third
+    tax = spark.createDataFrame([("law", f"law s{i}", f"law s{i} t{j}") for i in range(5)
+                                 for j in range(4)], "first string, second string, third string")
+    recs = spark.createDataFrame([(1, "a summary", "law", "x"), (2, "b summary", "cooking", "y")],
+                                 "instance_id long, summary string, first_level_tag string, "
+                                 "first_level_explanation string")
+    got = {r["instance_id"]: r for r in tag_second_third(recs, tax, second_third_rule).collect()}
+    assert got[2]["status"] == "bad_first_level"
+    assert got[1]["status"] in ("ok", "failed")
+    if got[1]["status"] == "ok":
+        assert got[1]["third_level_tag"].startswith(got[1]["second_level_tag"])

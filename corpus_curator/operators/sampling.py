@@ -69,9 +69,12 @@ def smallest_threshold(keyed: DataFrame, key: str, tie: str, need: DataFrame | i
     return _group_thresholds(keyed, key, tie, need, list(by), resolution)
 
 
-def apply_threshold(df: DataFrame, key: str, tie: str, thr, by: Sequence[str] = ()) -> DataFrame:
-    """Rows of ``df`` at or below the threshold of their group."""
-    df = df.filter(F.col(key).isNotNull())
+def apply_threshold(df: DataFrame, key: str, tie: str, thr, by: Sequence[str] = (),
+                    key_not_null: bool = False) -> DataFrame:
+    """Rows of ``df`` at or below the threshold of their group.
+    ``key_not_null``: the caller has already removed null keys."""
+    if not key_not_null:
+        df = df.filter(F.col(key).isNotNull())
     if not by:
         if thr is None:
             return df.limit(0)
@@ -178,8 +181,11 @@ def draw_rule(df: DataFrame, weight: str = "weight", key: str = "uuid", seed: in
         groups = []
 
     def keep(records: DataFrame) -> DataFrame:
-        keyed = records.withColumn("_sk", sampling_key(weight, key, seed))
-        return apply_threshold(keyed, "_sk", key, thr, groups).drop("_sk")
+        # the key is null exactly when the weight is not positive: filtering on
+        # the weight is cheaper and reaches the scan
+        keyed = (records.filter(F.col(weight).cast("double") > 0)
+                 .withColumn("_sk", sampling_key(weight, key, seed)))
+        return apply_threshold(keyed, "_sk", key, thr, groups, key_not_null=True).drop("_sk")
 
     return keep
 

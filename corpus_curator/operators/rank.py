@@ -38,7 +38,7 @@ def global_rank(df: DataFrame, order_by: Sequence[Column | str], by: Sequence[st
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     if df.count() <= small_rows:
         w = (Window.partitionBy(*[F.col(c) for c in by]) if by else Window).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w) - F.lit(1) + F.lit(start))
+        return df.withColumn(name, (F.row_number().over(w) - F.lit(1) + F.lit(start)).cast("long"))
     return _distributed_rank(df, order, by, name, start)
 
 

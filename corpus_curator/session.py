@@ -69,3 +69,29 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_settings(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Session settings for a large run (pass to ``SparkSession.builder.config``).
+
+    Shuffle partitions are sized so that a partition of the largest shuffle
+    (at most the input) stays near ``target_partition_bytes`` before AQE
+    coalesces small ones; skewed partitions are split by AQE; broadcasts stay
+    below a fixed bound (our own broadcasts are size-checked separately);
+    runtime Bloom filters let a small join side prune the scan of a large one.
+    """
+    parts = max(2 * cores, min(200_000, input_bytes // target_partition_bytes + 1))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        "spark.ui.enabled": "false",
+    }

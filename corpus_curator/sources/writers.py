@@ -89,3 +89,13 @@ def write_taxonomy(edges: DataFrame, path: str, mode: str = "overwrite") -> None
 def preview(df: DataFrame, n: int = 20) -> list:
     """First n rows for a look (not part of a pipeline)."""
     return df.limit(n).collect()
+
+
+def write_bucketed(df: DataFrame, table: str, key: str = "uuid", buckets: int = 4096,
+                   mode: str = "overwrite") -> None:
+    """Save the corpus as a table bucketed and sorted by ``key`` (in the
+    session's warehouse folder). Later joins on ``key`` with the same bucket
+    count read it without shuffling it, so repeated draws shuffle only their
+    ids."""
+    (df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key)
+     .saveAsTable(table))

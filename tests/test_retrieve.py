@@ -36,3 +36,17 @@ def test_draw_rule_filters_full_records(spark):
     rule = sampling.draw_rule(recs.select("uuid", "weight"), n=40, seed=3)
     full = rule(recs)
     assert sorted(r["uuid"] for r in full.collect()) == ids and "text" in full.columns
+
+
+def test_bucketed_corpus_is_not_shuffled(spark):
+    from corpus_curator.sources.writers import write_bucketed
+    corpus = spark.range(2000).selectExpr("cast(id as string) as uuid", "id as v")
+    write_bucketed(corpus, "cc_test_bucketed", buckets=8)
+    table = spark.table("cc_test_bucketed")
+    ids = spark.range(0, 2000, 7).selectExpr("cast(id as string) as uuid")
+    out = retrieve_by_uuid(ids, table, max_broadcast_rows=0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == len(range(0, 2000, 7))
+    # only the id side is exchanged; the bucketed scan feeds the join directly
+    assert plan.count("Exchange hashpartitioning") <= 1
+    spark.sql("DROP TABLE cc_test_bucketed")

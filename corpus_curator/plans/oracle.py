@@ -203,6 +203,7 @@ SQL["q_assign_batches"] = ("SELECT doc_id, ordinal, ordinal // 20 AS batch_id FR
                            "row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents)")
 SQL["q_global_rank"] = ("SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) "
                         "AS rank FROM documents")
+SQL["q_global_rank_distributed"] = SQL["q_global_rank"]
 SQL["q_global_rank_by"] = ("SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source "
                            "ORDER BY n_chars DESC, doc_id) AS rank FROM documents")
 SQL["q_assign_uuid"] = with_(["corpus"], "SELECT doc_id, uuid FROM corpus")

@@ -162,6 +162,14 @@ def q_global_rank(spark, sf):
     return rank.global_rank(d, [F.col("n_chars").desc(), F.col("doc_id")], name="rank")
 
 
+def q_global_rank_distributed(spark, sf):
+    """The at-scale method (range partitions, checkpoint, partition offsets),
+    forced on the small table."""
+    d = D.documents(spark, sf).select("doc_id", "n_chars")
+    return rank.global_rank(d, [F.col("n_chars").desc(), F.col("doc_id")], name="rank",
+                            small_rows=0)
+
+
 def q_global_rank_by(spark, sf):
     d = D.documents(spark, sf).select("doc_id", "source", "n_chars")
     return rank.global_rank(d, [F.col("n_chars").desc(), F.col("doc_id")], by=["source"],

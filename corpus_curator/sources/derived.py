@@ -1,6 +1,6 @@
 """Record shapes of the toolkit derived from the driver tables.
 
-The decorated corpus (rating columns, tag columns), the taxonomy and model
+The enriched corpus (rating columns, tag columns), the taxonomy and model
 replies are not part of the given data, so they are derived from ``documents``
 by md5 rules (``U[k]`` = uniform variate of the string k; ``K(name)`` =
 ``doc_id || ':' || name``). The same rules are written as SQL for the oracle,
@@ -52,7 +52,7 @@ def _dirty_score(f: str, u: Column, v: Column) -> Column:
 
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``uuid, dataset, doc_id`` + eight string score columns (some dirty).
-    Materialised like the decorated files it stands for."""
+    Materialised like the enriched files it stands for."""
     d = documents(spark, sf_dir)
     # the variates get a projection of their own so each md5 runs once per row
     d = d.select("doc_id", "source",
@@ -65,8 +65,8 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_text(spark: SparkSession, sf_dir: str, records: DataFrame) -> DataFrame:
-    """Decorated records that carry their document (text, language), as the
-    decorated corpus files do. Materialised."""
+    """Enriched records that carry their document (text, language), as the
+    enriched corpus files do. Materialised."""
     d = documents(spark, sf_dir).select("doc_id", "text", "lang")
     return materialize(records.join(d, "doc_id"))
 
@@ -79,7 +79,7 @@ def _pick_first(u: Column, proper: bool = False) -> Column:
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``uuid, dataset, doc_id``, three (skewed) tags and the ``in_tree`` flag.
-    Materialised like the decorated files it stands for."""
+    Materialised like the enriched files it stands for."""
     d = documents(spark, sf_dir)
     # variates first, then the tag path, then the strings: each md5 runs once
     d = d.select("doc_id", "source", uniform("doc_id", "t1").alias("_u1"),

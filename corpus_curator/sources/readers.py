@@ -29,7 +29,7 @@ TAXONOMY_TYPE = "map<string,map<string,map<string,string>>>"
 
 
 def rated_schema(fields=SCORE_FIELDS, extra=("uuid", "dataset")) -> T.StructType:
-    """Decorated rating records: scores arrive as number or string, so they are
+    """Enriched rating records: scores arrive as number or string, so they are
     read as strings and cleaned later (a DOUBLE schema would null a quoted
     "7")."""
     names = list(extra) + list(fields) + list(SCORE_ALIASES)

@@ -78,7 +78,8 @@ def run_spark() -> dict:
     from corpus_curator.plans.registry import all_queries
     from corpus_curator.session import get_spark
 
-    spark = get_spark(app="bench", cpus=CPUS, shuffle_partitions=max(8, 2 * int(CPUS)))
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * int(CPUS))))
+    spark = get_spark(app="bench", cpus=CPUS, shuffle_partitions=parts)
     qs = all_queries()
     # warm-up: JVM, codegen caches, file listing
     qs["q_tag_counts_l1"](spark, SF_DIR).write.format("noop").mode("overwrite").save()

@@ -86,7 +86,8 @@ def rate(docs: DataFrame, task: str, fn, n_pairs: int | None = None, compare: in
                        .filter(F.col("status") == "ok"))
     matches = BT.to_matches(judg)
     if method == "gradient":
-        theta = BT.bt_gradient(matches, lr, iterations)
+        # one numpy loop per task when a task's match table is bounded
+        theta = BT.bt_gradient_grouped(matches, lr, iterations)
     elif method == "mle":
         theta = BT.bt_scores(matches, reg=reg)
     else:

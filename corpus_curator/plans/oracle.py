@@ -336,6 +336,7 @@ SQL["q_item_record"] = with_(["rec"], "SELECT task, id, wins, losses FROM rec")
 SQL["q_index_items"] = with_(["items"], "SELECT task, id, row_number() OVER (ORDER BY task, id) - 1 "
                              "AS idx FROM items")
 SQL["q_bt_gradient"] = with_(["t5"], "SELECT task, id, round(theta, 6) AS theta FROM t5")
+SQL["q_bt_gradient_grouped"] = SQL["q_bt_gradient"]
 SQL["q_bt_loss"] = with_(["t5", "mc"], "SELECT m.task, round(sum(m.n * ln(1 + exp(l.theta - w.theta))), "
                          "6) AS loss FROM mc m JOIN t5 w ON w.task = m.task AND w.id = m.winner "
                          "JOIN t5 l ON l.task = m.task AND l.id = m.loser GROUP BY m.task")

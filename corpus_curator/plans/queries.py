@@ -351,6 +351,10 @@ def q_bt_gradient(spark, sf):
     return _round(BT.bt_gradient(_matches(spark, sf), 0.05, 5), ["theta"])
 
 
+def q_bt_gradient_grouped(spark, sf):
+    return _round(BT.bt_gradient_grouped(_matches(spark, sf), 0.05, 5), ["theta"])
+
+
 def q_bt_loss(spark, sf):
     m = _matches(spark, sf)
     return _round(BT.bt_loss(m, BT.bt_gradient(m, 0.05, 5)), ["loss"])

@@ -71,3 +71,16 @@ def test_block_diagonal_fit_equals_single_task_fits(spark):
     for i in range(3):
         assert got[("a", i)] == pytest.approx(only_a[i], abs=1e-4)
         assert got[("b", i)] == pytest.approx(-only_a[i], abs=1e-4)
+
+
+def test_grouped_gradient_equals_distributed(spark):
+    m = _matches(spark)
+    a = {r["id"]: r["theta"] for r in BT.bt_gradient_grouped(m, 0.05, 5).collect()}
+    b = {r["id"]: r["theta"] for r in BT.bt_gradient(m, 0.05, 5).collect()}
+    assert [a[i] for i in range(3)] == pytest.approx([b[i] for i in range(3)], abs=1e-12)
+    c = {r["id"]: r["theta"] for r in BT.bt_gradient_grouped(m, 0.05, 5, max_rows=0).collect()}
+    assert [c[i] for i in range(3)] == pytest.approx([b[i] for i in range(3)], abs=1e-12)
+    # many steps approach the maximum-likelihood optimum
+    d = {r["id"]: r["theta"] for r in BT.bt_gradient_grouped(m, 0.05, 20000).collect()}
+    mean = sum(d.values()) / 3
+    assert [d[i] - mean for i in range(3)] == pytest.approx([1.102725, -0.184654, -0.918072], abs=1e-4)

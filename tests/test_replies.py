@@ -1,5 +1,4 @@
 from corpus_curator.functions import replies as RP
-from corpus_curator.operators.tags import mark_in_tree  # noqa: F401
 
 
 def _one(spark, reply):

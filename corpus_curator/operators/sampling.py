@@ -5,12 +5,16 @@ The weighted draw uses the Efraimidis-Spirakis rule: with ``u`` uniform from
 (key, seed), the n rows with the smallest ``-ln(u)/w`` are a draw of n rows
 without replacement in which every successive draw is proportional to weight.
 
-Picking the n smallest keys without gathering n rows in one task: the keys are
-put in logarithmic buckets (``floor(ln(key) * resolution)``), a histogram per
-group is built with a map-side combined aggregate (a few thousand rows per
-group), a running sum over that small table finds the bucket that holds the
-n-th key, every row of an earlier bucket is taken as is, and only the rows of
-the boundary bucket are ranked exactly. No driver collect, no single-task sort.
+Picking the n smallest keys without a global sort and without gathering n
+rows in one task: the keys are put in logarithmic buckets
+(``floor(ln(key) * resolution)``), a histogram per group is built with a
+map-side combined aggregate (a few thousand rows per group), a running sum over
+that small table finds the bucket that holds the n-th key, and only the rows of
+that boundary bucket are ranked exactly (re-bucketed finer first if it is
+large). That yields one threshold ``(key*, tie*)`` per group; the sample is a
+single filter ``(key, tie) <= (key*, tie*)`` over the input. Only the boundary
+bucket number and the threshold pair reach the driver (per-group thresholds
+stay a small broadcast table).
 """
 
 from __future__ import annotations
@@ -254,8 +258,15 @@ def head_k(df: DataFrame, k: int, order_by: Sequence[str]) -> DataFrame:
     return df.orderBy(*order_by).limit(k)
 
 
-def slice_input(df: DataFrame, start: int, total: int, id_col: str) -> DataFrame:
-    """Skip ids below ``start``, keep the next ``total`` rows in id order."""
+def slice_input(df: DataFrame, start: int, total: int, id_col: str | None = None,
+                order_by: Sequence[str] = ()) -> DataFrame:
+    """Skip ids below ``start``, keep the next ``total`` rows in id order (the
+    slice is the feature). Without an id column the position in ``order_by``
+    order is used instead (0-based, added as ``position``)."""
+    if id_col is None:
+        from .rank import global_rank
+        df = global_rank(df, list(order_by), name="position", start=0)
+        id_col = "position"
     return df.filter(F.col(id_col) >= start).orderBy(id_col).limit(total)
 
 

@@ -108,3 +108,9 @@ def test_grouped_refinement_path(spark, monkeypatch):
     for g, q in (("hot", 1100), ("cold", 300)):
         want += [r[0] for r in _brute([(u, k) for u, gg, k in rows if gg == g], q)]
     assert got == sorted(want)
+
+
+def test_slice_by_position(spark):
+    df = spark.range(100).selectExpr("id * 3 as k")
+    got = [r["k"] for r in sampling.slice_input(df, 10, 5, order_by=["k"]).collect()]
+    assert got == [30, 33, 36, 39, 42]

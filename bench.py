@@ -160,6 +160,34 @@ def run_baseline() -> dict:
     docs.assign(uuid=rows["uuid"]).merge(pd.concat(parts)[["uuid"]], on="uuid")
     out["q4_tag_sample"] = round(time.time() - t0, 3)
 
+    # O-Q1: pairs in Python, prompts formatted per pair, the same rule
+    # annotator, reply parsing, 5 numpy gradient steps
+    import random
+    import re as _re
+
+    from corpus_curator.functions.annotators import rate_rule
+    from corpus_curator.functions.prompts import default_templates
+    t0 = time.time()
+    rnd = random.Random(20241109)
+    ids = list(docs.doc_id)
+    text = dict(zip(docs.doc_id, docs.text))
+    pairs = [tuple(rnd.sample(ids, 2)) for _ in range(3 * len(ids))]
+    tmpl = default_templates()["educational_value"]
+    wins = []
+    for a, b in pairs:
+        reply = rate_rule(tmpl.replace("{text_1}", text[a]).replace("{text_2}", text[b])).strip()
+        m = _re.findall(r"Choice: ([12])", reply)
+        if len(m) == 1:
+            wins.append((a, b) if m[0] == "1" else (b, a))
+    items = {d: i for i, d in enumerate(sorted({x for p in wins for x in p}))}
+    wi = np.array([items[w] for w, _ in wins])
+    li_ = np.array([items[lo] for _, lo in wins])
+    theta = np.zeros(len(items))
+    for _ in range(5):
+        q = 1.0 / (1.0 + np.exp(theta[wi] - theta[li_]))
+        theta += 0.05 * (np.bincount(wi, q, len(items)) - np.bincount(li_, q, len(items)))
+    out["q1_rate_scores"] = round(time.time() - t0, 3)
+
     # O-M2: gradient steps (vectorised numpy; the original loops in Python),
     # 10k items / 100k matches, 5,000 iterations as in the published pipeline
     rng = np.random.default_rng(7)

@@ -19,11 +19,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BOOST_FACTORS, TAG_EXPONENTS
 from ..functions.joins import join_small
+from ..session import materialize
 
 TAGS = ("first_level_tag", "second_level_tag", "third_level_tag")
 T1, T2, T3 = TAGS
@@ -56,22 +57,26 @@ def tag_counts(df: DataFrame, level: int = 3) -> DataFrame:
 def tag_level_table(df: DataFrame, alpha: float = TAG_EXPONENTS[0],
                     beta: float = TAG_EXPONENTS[1], gamma: float = TAG_EXPONENTS[2]) -> DataFrame:
     """One row per complete (non-null) tag path with count_a, count_b, count_c,
-    sum_weight_b, sum_weight_c and sum_weight_a (global)."""
+    sum_weight_b, sum_weight_c and sum_weight_a (global).
+
+    Aggregations only: level 3 from the documents (map-side combined), level 2
+    from level 3, level 1 from level 2, the global sum as one scalar; each
+    smaller level is joined back by broadcast after a size check, so a first
+    tag with many sub-paths never gathers them in one task."""
     c3 = (df.filter(F.col(T1).isNotNull() & F.col(T2).isNotNull() & F.col(T3).isNotNull())
           .groupBy(*TAGS).agg(F.count(F.lit(1)).alias("count_c")))
-    w1 = Window.partitionBy(T1)
-    w2 = Window.partitionBy(T1, T2)
-    # windows over the small level-3 table
-    lv = (c3.withColumn("count_b", F.sum("count_c").over(w2))
-          .withColumn("count_a", F.sum("count_c").over(w1))
-          .withColumn("sum_weight_c", F.sum(F.pow("count_c", F.lit(gamma))).over(w2))
-          .withColumn("_first_b", F.row_number().over(w2.orderBy(T3)) == 1)
-          .withColumn("_first_a", F.row_number().over(w1.orderBy(T2, T3)) == 1))
-    lv = (lv.withColumn("sum_weight_b", F.sum(F.when(F.col("_first_b"), F.pow("count_b", F.lit(beta))))
-                        .over(w1))
-          .withColumn("sum_weight_a", F.sum(F.when(F.col("_first_a"), F.pow("count_a", F.lit(alpha))))
-                      .over(Window.partitionBy())))
-    return lv.drop("_first_b", "_first_a")
+    c3 = materialize(c3)
+    c2 = c3.groupBy(T1, T2).agg(F.sum("count_c").alias("count_b"),
+                                F.sum(F.pow("count_c", F.lit(gamma))).alias("sum_weight_c"))
+    c2 = join_small(c2, max_rows=5_000_000)
+    c1 = c2.groupBy(T1).agg(F.sum("count_b").alias("count_a"),
+                            F.sum(F.pow("count_b", F.lit(beta))).alias("sum_weight_b"))
+    c1 = join_small(c1, max_rows=5_000_000)
+    total = c1.agg(F.sum(F.pow("count_a", F.lit(alpha))).alias("s")).first()["s"]
+    return (c3.join(c2, [T1, T2]).join(c1, [T1])
+            .withColumn("sum_weight_a", F.lit(total).cast("double"))
+            .select(*TAGS, "count_c", "count_b", "count_a", "sum_weight_c", "sum_weight_b",
+                    "sum_weight_a"))
 
 
 def tag_probability(df: DataFrame, alpha: float = TAG_EXPONENTS[0],

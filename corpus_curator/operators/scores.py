@@ -65,19 +65,27 @@ def clean_scores(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS) -> DataFra
     return df.filter(keep)
 
 
-def score_stats(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS) -> DataFrame:
-    """One row: ``<f>_mean`` and ``<f>_std`` (sample) for every field."""
+def _stat_columns(fields: Sequence[str]) -> list:
     aggs = []
     for f in fields:
         aggs.append(F.avg(F.col(f"`{f}`")).alias(f"{f}_mean"))
         aggs.append(F.stddev_samp(F.col(f"`{f}`")).alias(f"{f}_std"))
-    return df.agg(*aggs)
+    return aggs
+
+
+def score_stats(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS) -> DataFrame:
+    """One row: ``<f>_mean`` and ``<f>_std`` (sample) for every field."""
+    return df.agg(*_stat_columns(fields))
 
 
-def _exp_z(df: DataFrame, fields: Sequence[str]):
+def _exp_z(df: DataFrame, fields: Sequence[str], counts: dict | None = None):
     """exp(z) column and non-null condition per field, from one aggregate pass
-    over ``df`` (the 16 statistics come back as scalars)."""
-    stats = score_stats(df, fields).first().asDict()
+    over ``df`` (the 16 statistics come back as scalars). ``counts`` receives
+    the number of rows whose z-scores are all defined."""
+    stats = df.agg(*_stat_columns(fields), F.count(F.lit(1)).alias("_rows")).first().asDict()
+    if counts is not None:
+        defined = all(stats[f"{f}_std"] not in (None, 0.0) for f in fields)
+        counts["rows"] = stats["_rows"] if defined else 0
     cols, cond = {}, None
     for f in fields:
         mean, std = stats[f"{f}_mean"], stats[f"{f}_std"]
@@ -99,11 +107,12 @@ def exp_zscores(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS,
 
 def with_rating_weight(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS,
                        weights: Mapping[str, float] = RATING_WEIGHTS,
-                       name: str = "weight") -> DataFrame:
+                       name: str = "weight", counts: dict | None = None) -> DataFrame:
     """Clean records plus ``name`` = sum of w_f * exp(z_f); every other column
-    (text included) is kept as it is."""
+    (text included) is kept as it is. ``counts["rows"]`` gets the number of
+    weighted rows (all weights are positive), from the statistics pass."""
     clean = clean_scores(df, fields)
-    cols, cond = _exp_z(clean, fields)
+    cols, cond = _exp_z(clean, fields, counts)
     total = None
     for f, w in weights.items():
         term = cols[f] * F.lit(float(w))

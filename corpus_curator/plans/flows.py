@@ -27,9 +27,15 @@ def rating_sample(rated: DataFrame, corpus: DataFrame | None = None, n: int | No
     if n is None and fraction is None:
         fraction = 0.5
     recs = rated if corpus is None else rated.select(key, *[F.col(f"`{f}`") for f in fields])
-    weighted = scores.with_rating_weight(recs, fields, weights)
+    counts: dict = {}
+    weighted = scores.with_rating_weight(recs, fields, weights, counts=counts)
+    # every weight is a sum of exponentials (> 0, finite), so the statistics
+    # pass already counted the candidates; no separate weight check is needed
+    if n is None:
+        n = int(counts["rows"] * fraction)
+    n = min(n, counts["rows"])
     # the decision reads only (key, weight); the records are filtered once
-    rule = sampling.draw_rule(weighted, "weight", key, seed, n=n, fraction=fraction)
+    rule = sampling.draw_rule(weighted, "weight", key, seed, n=n, validate=False)
     if corpus is None:
         return rule(weighted)
     ids = rule(weighted.select(key, "weight")).select(key)

@@ -27,7 +27,11 @@ NUMBER_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 def canonical_fields(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS) -> DataFrame:
     """Rename input aliases (``obscurity`` -> ``scarcity``)."""
     for alias, name in SCORE_ALIASES.items():
-        if alias in df.columns and name not in df.columns:
+        if alias not in df.columns:
+            continue
+        if name in df.columns:  # both declared: take whichever the record has
+            df = df.withColumn(name, F.coalesce(F.col(f"`{name}`"), F.col(f"`{alias}`"))).drop(alias)
+        else:
             df = df.withColumnRenamed(alias, name)
     return df
 

@@ -114,3 +114,11 @@ def test_slice_by_position(spark):
     df = spark.range(100).selectExpr("id * 3 as k")
     got = [r["k"] for r in sampling.slice_input(df, 10, 5, order_by=["k"]).collect()]
     assert got == [30, 33, 36, 39, 42]
+
+
+def test_quota_dict_exact_per_group(spark):
+    rows = [(f"k{i}", "a" if i < 300 else "b", float(i % 9 + 1)) for i in range(500)]
+    df = spark.createDataFrame(rows, "uuid string, dataset string, weight double")
+    out = sampling.weighted_sample_by(df, {"a": 40, "b": 7}, seed=2)
+    got = {r["dataset"]: r["count"] for r in out.groupBy("dataset").count().collect()}
+    assert got == {"a": 40, "b": 7}

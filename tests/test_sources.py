@@ -62,3 +62,24 @@ def test_templates(spark):
     from corpus_curator.functions.prompts import TEMPLATE_DIR, default_templates
     t = RD.load_templates(spark, TEMPLATE_DIR)
     assert t == default_templates() and "educational_value" in t
+
+
+def test_mixed_number_and_string_scores(spark):
+    from corpus_curator.operators.scores import clean_scores
+    path = _tmp("rated")
+    os.makedirs(path)
+    with open(os.path.join(path, "part.json"), "w") as fh:
+        fh.write('{"uuid": "a", "educational_value": 7, "obscurity": "8.5"}\n')
+        fh.write('{"uuid": "b", "educational_value": "x", "obscurity": 3}\n')
+        fh.write('{"uuid": "c", "educational_value": "101", "obscurity": 3}\n')
+    df = RD.read_records(spark, path, RD.rated_schema(fields=["educational_value", "scarcity"]))
+    out = clean_scores(df, ["educational_value", "scarcity"]).collect()
+    assert [(r["uuid"], r["educational_value"], r["scarcity"]) for r in out] == [("a", 7.0, 8.5)]
+
+
+def test_cluster_settings_scale_with_input(spark):
+    from corpus_curator.session import cluster_settings
+    small = cluster_settings(1 << 30, 64)
+    big = cluster_settings(100 << 40, 8000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 128
+    assert int(big["spark.sql.shuffle.partitions"]) == 200_000  # capped

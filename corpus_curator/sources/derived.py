@@ -20,6 +20,17 @@ from ..session import materialize
 
 FIRST_LOWER = [n.lower() for n in FIRST_LEVEL_TAGS]
 
+# derived tables stand for input files: built once per session and scale
+# directory (checkpointed), then read like files by every later query
+_BUILT: dict = {}
+
+
+def _once(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    key = (name, sf_dir, spark.sparkContext.applicationId)
+    if key not in _BUILT:
+        _BUILT[key] = build()
+    return _BUILT[key]
+
 
 # natural key of the tables that the queries read row by row
 _TABLE_KEYS = {"documents": "doc_id", "lineitem": "l_orderkey", "conversations": "conv_id",
@@ -53,6 +64,10 @@ def _dirty_score(f: str, u: Column, v: Column) -> Column:
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``uuid, dataset, doc_id`` + eight string score columns (some dirty).
     Materialised like the enriched files it stands for."""
+    return _once("rated", spark, sf_dir, lambda: _rated(spark, sf_dir))
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     # the variates get a projection of their own so each md5 runs once per row
     d = d.select("doc_id", "source",
@@ -80,6 +95,10 @@ def _pick_first(u: Column, proper: bool = False) -> Column:
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``uuid, dataset, doc_id``, three (skewed) tags and the ``in_tree`` flag.
     Materialised like the enriched files it stands for."""
+    return _once("tagged", spark, sf_dir, lambda: _tagged(spark, sf_dir))
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     # variates first, then the tag path, then the strings: each md5 runs once
     d = d.select("doc_id", "source", uniform("doc_id", "t1").alias("_u1"),
@@ -122,9 +141,12 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balanced comparison pairs over all documents: 3 random pairs per
     document, topped up to 6 comparisons each. Materialised."""
     from ..operators.pairs import balanced_pairs
-    ids = documents(spark, sf_dir).select(F.col("doc_id").alias("id"))
-    n = ids.count()
-    return materialize(balanced_pairs(ids, PAIRS_PER_DOC * n, PAIR_COMPARE, PAIR_SEED))
+
+    def build():
+        ids = documents(spark, sf_dir).select(F.col("doc_id").alias("id"))
+        n = ids.count()
+        return materialize(balanced_pairs(ids, PAIRS_PER_DOC * n, PAIR_COMPARE, PAIR_SEED))
+    return _once("pairs", spark, sf_dir, build)
 
 
 def pair_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,9 +166,12 @@ def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``task, pair_id, pair_ids, win, why`` for the pairs with a valid choice.
     Materialised like the judgement files it stands for."""
     from ..functions.replies import parse_choice
-    j = parse_choice(pair_replies(spark, sf_dir)).filter(F.col("status") == "ok")
-    return materialize(j.select(F.lit(RATE_TASK).alias("task"), "pair_id",
-                                F.array("id_1", "id_2").alias("pair_ids"), "win", "why"))
+
+    def build():
+        j = parse_choice(pair_replies(spark, sf_dir)).filter(F.col("status") == "ok")
+        return materialize(j.select(F.lit(RATE_TASK).alias("task"), "pair_id",
+                                    F.array("id_1", "id_2").alias("pair_ids"), "win", "why"))
+    return _once("judgements", spark, sf_dir, build)
 
 
 def tag_replies(docs: DataFrame) -> DataFrame:

@@ -84,3 +84,24 @@ def test_grouped_gradient_equals_distributed(spark):
     d = {r["id"]: r["theta"] for r in BT.bt_gradient_grouped(m, 0.05, 20000).collect()}
     mean = sum(d.values()) / 3
     assert [d[i] - mean for i in range(3)] == pytest.approx([1.102725, -0.184654, -0.918072], abs=1e-4)
+
+
+def test_mle_recovers_known_theta(spark):
+    import math
+    theta = [1.0, 0.5, 0.0, -1.5]
+    big = 100000
+    rows, pid = [], 0
+    for i in range(4):
+        for j in range(i + 1, 4):
+            wins = round(big / (1 + math.exp(theta[j] - theta[i])))
+            rows.append(("t", pid, i, j, wins))
+            rows.append(("t", pid + 1, j, i, big - wins))
+            pid += 2
+    counts = spark.createDataFrame(rows, "task string, pair_id long, winner long, loser long, n long")
+    # expand the counts into single matches with explode (as judgements would be)
+    from pyspark.sql import functions as F
+    matches = counts.select("task", "pair_id", "winner", "loser",
+                            F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_k"))
+    got = {r["id"]: r["theta"] for r in BT.bt_scores(matches.drop("_k")).collect()}
+    mean = sum(theta) / 4
+    assert [got[i] for i in range(4)] == pytest.approx([t - mean for t in theta], abs=2e-3)

@@ -122,3 +122,22 @@ def test_quota_dict_exact_per_group(spark):
     out = sampling.weighted_sample_by(df, {"a": 40, "b": 7}, seed=2)
     got = {r["dataset"]: r["count"] for r in out.groupBy("dataset").count().collect()}
     assert got == {"a": 40, "b": 7}
+
+
+def test_shuffle_partition_setting_invariance(spark):
+    from corpus_curator.operators.rank import global_rank
+    rows = [(f"k{i}", f"g{i % 3}", float(i % 11 + 1)) for i in range(600)]
+    df = spark.createDataFrame(rows, "uuid string, g string, weight double")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    try:
+        for p in ("1", "4", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", p)
+            s = sorted(r["uuid"] for r in sampling.weighted_sample_by(
+                df, {"g0": 50, "g1": 60, "g2": 70}, by="g", seed=4).collect())
+            r = sorted(tuple(x) for x in global_rank(df, ["weight", "uuid"], by=["g"], name="r",
+                                                     small_rows=0).select("uuid", "r").collect())
+            results.append((s, r))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1] == results[2]

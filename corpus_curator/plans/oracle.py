@@ -142,7 +142,7 @@ def with_(names, body: str) -> str:
 
 
 def r6(expr: str, name: str) -> str:
-    return f"round({expr}, 6) AS {q(name)}"
+    return f"(round({expr}, 6) + 0.0) AS {q(name)}"
 
 
 SQL: dict[str, str] = {}
@@ -218,11 +218,11 @@ SQL["q_tag_sample"] = with_(["tsample", "corpus"],
                                      "FROM tsample s LEFT JOIN corpus c ON s.uuid = c.uuid")
 SQL["q_rating_sample_records"] = with_(
     ["rsample", "rweight", "corpus"],
-    "SELECT s.uuid, c.doc_id, w.dataset, c.lang, c.text, round(w.weight, 6) AS weight FROM rsample s "
+    "SELECT s.uuid, c.doc_id, w.dataset, c.lang, c.text, (round(w.weight, 6) + 0.0) AS weight FROM rsample s "
     "JOIN rweight w ON w.uuid = s.uuid JOIN corpus c ON c.uuid = s.uuid")
 SQL["q_tag_sample_records"] = with_(
     ["tsample", "tboost", "corpus"],
-    "SELECT s.uuid, c.doc_id, s.dataset, c.lang, c.text, round(b.weight, 6) AS probability "
+    "SELECT s.uuid, c.doc_id, s.dataset, c.lang, c.text, (round(b.weight, 6) + 0.0) AS probability "
     "FROM tsample s JOIN tboost b ON b.uuid = s.uuid JOIN corpus c ON c.uuid = s.uuid")
 SQL["q_union_datasets"] = ("SELECT doc_id AS id, text, source AS dataset FROM documents UNION ALL "
                            "SELECT item_id AS id, text, 'benchmark' AS dataset FROM benchmark")
@@ -335,17 +335,17 @@ SQL["q_all_items"] = with_(["items"], "SELECT task, id FROM items")
 SQL["q_item_record"] = with_(["rec"], "SELECT task, id, wins, losses FROM rec")
 SQL["q_index_items"] = with_(["items"], "SELECT task, id, row_number() OVER (ORDER BY task, id) - 1 "
                              "AS idx FROM items")
-SQL["q_bt_gradient"] = with_(["t5"], "SELECT task, id, round(theta, 6) AS theta FROM t5")
+SQL["q_bt_gradient"] = with_(["t5"], "SELECT task, id, (round(theta, 6) + 0.0) AS theta FROM t5")
 SQL["q_bt_gradient_grouped"] = SQL["q_bt_gradient"]
 SQL["q_bt_loss"] = with_(["t5", "mc"], "SELECT m.task, round(sum(m.n * ln(1 + exp(l.theta - w.theta))), "
                          "6) AS loss FROM mc m JOIN t5 w ON w.task = m.task AND w.id = m.winner "
                          "JOIN t5 l ON l.task = m.task AND l.id = m.loser GROUP BY m.task")
-SQL["q_uniform_scores"] = with_(["net"], "SELECT task, id, round(score, 6) AS score FROM ("
+SQL["q_uniform_scores"] = with_(["net"], "SELECT task, id, (round(score, 6) + 0.0) AS score FROM ("
                                 + _uniform("net") + ")")
 SQL["q_order_scores"] = with_(["net"], "SELECT task, id, theta, row_number() OVER (PARTITION BY task "
                               "ORDER BY theta DESC, id) AS rank FROM net")
-SQL["q_finalize_scores"] = with_(["net"], "SELECT task, id, round(theta, 6) AS score_bt, "
-                                 "round(score, 6) AS score_uniform FROM (" + _uniform("net") + ")")
+SQL["q_finalize_scores"] = with_(["net"], "SELECT task, id, (round(theta, 6) + 0.0) AS score_bt, "
+                                 "(round(score, 6) + 0.0) AS score_uniform FROM (" + _uniform("net") + ")")
 
 
 # ---------------------------------------------------------------- replies

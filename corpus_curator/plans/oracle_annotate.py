@@ -203,7 +203,7 @@ for _s in range(1, 6):
         f"UNION ALL SELECT m.task, m.loser AS id, -({_q}) AS g {_j}) GROUP BY task, id", ["rmc", _p])
     cte(f"r{_s}", f"SELECT t.task, t.id, t.theta + CAST(0.05 AS DOUBLE) * coalesce(g.g, 0.0) AS theta "
         f"FROM {_p} t LEFT JOIN rg{_s} g ON g.task = t.task AND g.id = t.id", [_p, f"rg{_s}"])
-SQL["q_rate_scores"] = with_(["r5"], "SELECT task, id, round(theta, 6) AS score FROM r5")
+SQL["q_rate_scores"] = with_(["r5"], "SELECT task, id, (round(theta, 6) + 0.0) AS score FROM r5")
 SQL["q_tag_documents"] = with_(["second"], "SELECT instance_id, first_level_tag, second_level_tag, "
                               "third_level_tag, true AS in_tree FROM second WHERE status = 'ok'")
 

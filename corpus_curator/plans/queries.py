@@ -23,9 +23,15 @@ SEED = 7
 R = 6  # decimals kept in the comparison
 
 
+def r6(c) -> "F.Column":
+    """Round to 6 decimals; adding 0.0 turns -0.0 into 0.0 (same in SQL)."""
+    col = F.col(f"`{c}`") if isinstance(c, str) else c
+    return F.round(col, R) + F.lit(0.0)
+
+
 def _round(df: DataFrame, cols) -> DataFrame:
     for c in cols:
-        df = df.withColumn(c, F.round(F.col(f"`{c}`"), R))
+        df = df.withColumn(c, r6(c))
     return df
 
 
@@ -203,7 +209,7 @@ def q_rating_sample_records(spark, sf):
     recs = D.with_text(spark, sf, D.rated(spark, sf))
     out = flows.rating_sample(recs, corpus=None, seed=SEED)
     return out.select("uuid", "doc_id", "dataset", "lang", "text",
-                      F.round("weight", R).alias("weight"))
+                      r6("weight").alias("weight"))
 
 
 def q_tag_sample_records(spark, sf):
@@ -211,7 +217,7 @@ def q_tag_sample_records(spark, sf):
     recs = D.with_text(spark, sf, D.tagged(spark, sf))
     out = flows.tag_sample(recs, corpus=None, boost_tags=D.boost_list(), seed=SEED)
     return out.select("uuid", "doc_id", "dataset", "lang", "text",
-                      F.round("probability", R).alias("probability"))
+                      r6("probability").alias("probability"))
 
 
 def q_union_datasets(spark, sf):

@@ -16,6 +16,7 @@ from ..operators import pairs as P
 from ..session import materialize
 from ..sources import derived as D
 from . import flows
+from .queries import r6
 
 TASK = "educational_value"
 
@@ -102,7 +103,7 @@ def q_rate_scores(spark, sf):
     n = docs.count()
     s = flows.rate(docs, TASK, A.rate_rule, n_pairs=3 * n, compare=6, seed=PAIR_SEED,
                        method="gradient", iterations=5, score_type="bradley_terry")
-    return s.select("task", "id", F.round("score", 6).alias("score"))
+    return s.select("task", "id", r6("score").alias("score"))
 
 
 def q_tag_documents(spark, sf):

@@ -22,7 +22,7 @@ from ..sources import derived as D
 from ..sources import readers as RD
 from ..sources import writers as W
 from ..streaming.annotate_stream import annotate_stream, read_annotated
-from .queries import SEED, _rating_weights
+from .queries import SEED, _rating_weights, r6
 
 TEXT_SCHEMA = "doc_id long, text string, lang string"
 
@@ -204,7 +204,7 @@ def q_write_scores(spark, sf):
     path = scratch_path(spark, "scores")
     W.write_scores(scores, path)
     back = RD.read_scores(spark, path)
-    return back.select("task", "id", F.round("score", 6).alias("score"))
+    return back.select("task", "id", r6("score").alias("score"))
 
 
 def q_annotate_stream(spark, sf):

@@ -75,10 +75,14 @@ def annotate(df: DataFrame, fn: Callable, prompt_col: str = "prompt", reply_col:
 
 def rate_pairs(docs: DataFrame, pairs: DataFrame, task: str, fn: Callable,
                templates: Mapping[str, str] | None = None, id_col: str = "doc_id",
-               text_col: str = "text", **kw) -> DataFrame:
+               text_col: str = "text", expected_n: int | None = None, **kw) -> DataFrame:
     """Pairwise rating job: ``(task, pair_id, pair_ids, win, why, status)`` for
-    every pair (rejected ones keep their status and null win)."""
-    from .pairs import pair_texts
+    every pair (rejected ones keep their status and null win). With
+    ``expected_n`` (the ``n`` recorded with the pair set) a different number
+    of documents is refused."""
+    from .pairs import pair_texts, require_pair_set
+    if expected_n is not None:
+        require_pair_set(expected_n, docs)
     templates = templates or PR.default_templates()
     t = pair_texts(pairs, docs, id_col, text_col)
     p = PR.render_pair_prompt(t, templates[task]).select("pair_id", "id_1", "id_2", "prompt")

@@ -123,6 +123,14 @@ def check_pairs(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> Da
     return n.join(ids.withColumn("_k", F.lit(0)), "_k").drop("_k")
 
 
+def require_pair_set(n: int, docs: DataFrame) -> None:
+    """A pair set is built for ``n`` documents; rating it against a different
+    document set would pair the wrong texts, so it is refused."""
+    have = docs.count()
+    if have != n:
+        raise ValueError(f"the pair set was built for {n} documents, {have} were given")
+
+
 def remaining(pairs: DataFrame, done: DataFrame, mode: str = "anti") -> DataFrame:
     """Pairs still to annotate. ``anti``: not in ``done``. ``watermark``: pair id
     above the largest finished one (-1 when nothing is done)."""

@@ -36,3 +36,13 @@ def test_check_pairs_reports_unknown_ids(spark):
     r = P.check_pairs(pairs, docs).first()
     assert (r["n_pairs"], r["n_ids"], r["missing_ids"]) == (2, 3, 1)
     assert P.pair_texts(pairs, docs).count() == 1
+
+
+def test_pair_set_document_count_precondition(spark):
+    from corpus_curator.functions.annotators import rate_rule
+    from corpus_curator.operators.annotate import rate_pairs
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(0, 0, 1), (1, 2, 3)], P.PAIR_SCHEMA)
+    with pytest.raises(ValueError):
+        rate_pairs(docs, pairs, "educational_value", rate_rule, expected_n=6)
+    assert rate_pairs(docs, pairs, "educational_value", rate_rule, expected_n=5).count() == 2

@@ -44,6 +44,14 @@ def _below(key: str, tie: str, ts: Column, tk: Column) -> Column:
         ts.alias("k"), tk.alias("t"))
 
 
+def _not_unique(count: int) -> None:
+    # distinct keys separate after a few refinements (relative bucket width
+    # ~1e-12); a bucket this large holds copies of one key, which would have to
+    # be ranked in one task and cannot be cut at an exact count
+    raise ValueError(f"{count} rows share one sampling key value: the key column must be "
+                     "unique per row (deduplicate copies first)")
+
+
 def select_smallest(df: DataFrame, key: str, tie: str, need: DataFrame | int,
                     by: Sequence[str] = (), resolution: int = _RESOLUTION) -> DataFrame:
     """Rows with the ``need`` smallest ``(key, tie)`` per ``by`` group.
@@ -55,7 +63,9 @@ def select_smallest(df: DataFrame, key: str, tie: str, need: DataFrame | int,
     threshold ``(key*, tie*)`` of each group, found from a histogram of
     logarithmic key buckets and an exact ranking of the boundary bucket only.
     The density of ln(-ln u / w) is at most 1/e, so a bucket of width
-    1/resolution holds at most ~0.04 % of a group's rows.
+    1/resolution holds at most ~0.04 % of a group's rows. ``tie`` must be
+    unique per row; many rows sharing one key value raise an error rather
+    than being ranked in one task.
     """
     keyed = df.filter(F.col(key).isNotNull())
     thr = smallest_threshold(keyed, key, tie, need, by, resolution)
@@ -109,8 +119,10 @@ def _global_threshold(keyed: DataFrame, key: str, tie: str, need: int, resolutio
         bb, cnt = hit[0]["_b"], hit[0]["_c"]
         rest = rest - (hit[0]["_cum"] - cnt)
         rows = rows.filter(b == F.lit(bb))
-        if cnt <= _EDGE_MAX or depth == _MAX_REFINE:
+        if cnt <= _EDGE_MAX:
             break
+        if depth == _MAX_REFINE:
+            _not_unique(cnt)
         res *= 1024
     # the rest-th smallest row of the boundary bucket is the threshold
     last = (rows.orderBy(F.col(key), F.col(tie)).limit(rest)
@@ -144,8 +156,10 @@ def _group_thresholds(keyed: DataFrame, key: str, tie: str, need: DataFrame, by:
                 .filter(b == F.col("_bb")).drop("_bb"))
         state = boundary.select(*by, "_rest")
         largest = boundary.agg(F.max("_n")).first()[0]
-        if largest is None or largest <= _EDGE_MAX or depth == _MAX_REFINE:
+        if largest is None or largest <= _EDGE_MAX:
             break
+        if depth == _MAX_REFINE:
+            _not_unique(largest)
         res *= 1024
     # exact rank inside each group's boundary bucket only
     rank = Window.partitionBy(*by).orderBy(F.col(key), F.col(tie))

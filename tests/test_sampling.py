@@ -141,3 +141,11 @@ def test_shuffle_partition_setting_invariance(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1] == results[2]
+
+
+def test_copies_of_one_key_are_refused(spark, monkeypatch):
+    rows = [("same", 1.0)] * 200 + [(f"k{i}", 1.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "uuid string, weight double")
+    monkeypatch.setattr(sampling, "_EDGE_MAX", 50)
+    with pytest.raises(ValueError, match="unique"):
+        sampling.weighted_sample(df, 150, seed=1).count()

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import SCORE_FIELDS
@@ -23,7 +23,7 @@ SEED = 7
 R = 6  # decimals kept in the comparison
 
 
-def r6(c) -> "F.Column":
+def r6(c) -> Column:
     """Round to 6 decimals; adding 0.0 turns -0.0 into 0.0 (same in SQL)."""
     col = F.col(f"`{c}`") if isinstance(c, str) else c
     return F.round(col, R) + F.lit(0.0)

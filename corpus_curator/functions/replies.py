@@ -59,7 +59,7 @@ def parse_choice(df: DataFrame, reply_col: str = "reply") -> DataFrame:
     the first ``Why: `` (empty when absent)."""
     r = strip_ws(reply_col)
     choices = F.regexp_extract_all(r, F.lit(CHOICE_PATTERN), 1)
-    status = (F.when(F.col(reply_col) == FAILED, F.lit("failed"))
+    status = (F.when(F.col(reply_col).isNull() | (F.col(reply_col) == FAILED), F.lit("failed"))
               .when(F.size(choices) != 1, F.lit("no_choice"))
               .otherwise(F.lit("ok")))
     ok = status == "ok"
@@ -71,7 +71,7 @@ def parse_choice(df: DataFrame, reply_col: str = "reply") -> DataFrame:
 
 
 def _object_status(reply: Column, body: Column, keys: Column, required) -> Column:
-    return (F.when(reply == FAILED, F.lit("failed"))
+    return (F.when(reply.isNull() | (reply == FAILED), F.lit("failed"))
             .when(body.isNull() | keys.isNull(), F.lit("no_json"))
             .when(~has_keys(keys, *required), F.lit("missing_key")))
 
@@ -146,7 +146,7 @@ def validate_flat_tags(df: DataFrame, reply_col: str = "reply",
     kept = F.filter("_items", lambda m: (F.size(F.split(m["tag"], ">", -1)) == 3)
                     & F.coalesce(F.array_contains(vocab, F.trim(F.split(m["tag"], ">", -1)[0])),
                                  F.lit(False)))
-    status = (F.when(F.col(reply_col) == FAILED, F.lit("failed"))
+    status = (F.when(F.col(reply_col).isNull() | (F.col(reply_col) == FAILED), F.lit("failed"))
               .when(F.col("_items").isNull(), F.lit("no_json"))
               .when(~all_keys, F.lit("missing_key"))
               .when(F.size(kept) == 0, F.lit("not_three_levels"))

@@ -274,7 +274,7 @@ cte("preplies", "SELECT p.pair_id, p.id_1, p.id_2, CASE WHEN u < 0.04 THEN '<<FA
 cte("choice", "SELECT pair_id, id_1, id_2, reply, status, "
     "CASE WHEN status = 'ok' THEN choices[1] END AS win, "
     "CASE WHEN status = 'ok' THEN regexp_extract(r, 'Why: ([^\\n]*)', 1) END AS why FROM "
-    f"(SELECT *, CASE WHEN reply = '{FAILED}' THEN 'failed' WHEN len(choices) <> 1 "
+    f"(SELECT *, CASE WHEN reply IS NULL OR reply = '{FAILED}' THEN 'failed' WHEN len(choices) <> 1 "
     "THEN 'no_choice' ELSE 'ok' END AS status FROM (SELECT *, "
     "regexp_extract_all(r, 'Choice: ([12])', 1) AS choices FROM (SELECT *, "
     "regexp_replace(reply, '^\\s+|\\s+$', '', 'g') AS r FROM preplies)))", ["preplies"])
@@ -366,7 +366,7 @@ def _has(keys: str, *names) -> str:
 
 
 def _obj_status(required, extra: str = "") -> str:
-    return (f"CASE WHEN reply = '{FAILED}' THEN 'failed' WHEN body IS NULL OR keys IS NULL "
+    return (f"CASE WHEN reply IS NULL OR reply = '{FAILED}' THEN 'failed' WHEN body IS NULL OR keys IS NULL "
             f"THEN 'no_json' WHEN NOT ({_has('keys', *required)}) THEN 'missing_key' {extra} "
             "ELSE 'ok' END")
 
@@ -464,7 +464,7 @@ SQL["q_validate_flat_tags"] = with_(
     ["frep"],
     "SELECT doc_id, status, CASE WHEN status = 'ok' THEN len(kept) END AS n_tags, "
     "CASE WHEN status = 'ok' THEN array_to_string(list_transform(kept, lambda x: x->>'tag'), '|') END "
-    f"AS tags_joined FROM (SELECT doc_id, kept, CASE WHEN reply = '{FAILED}' THEN 'failed' "
+    f"AS tags_joined FROM (SELECT doc_id, kept, CASE WHEN reply IS NULL OR reply = '{FAILED}' THEN 'failed' "
     "WHEN items IS NULL THEN 'no_json' WHEN NOT list_bool_and(list_transform(items, lambda x: "
     "json_exists(x, '$.tag') AND json_exists(x, '$.explanation'))) THEN 'missing_key' "
     "WHEN len(kept) = 0 THEN 'not_three_levels' ELSE 'ok' END AS status FROM (SELECT doc_id, reply, "

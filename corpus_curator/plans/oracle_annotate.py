@@ -153,7 +153,7 @@ SQL["q_classify_prompt_size"] = with_(
     "FROM pprompt)")
 cte("arate", "SELECT pair_id, id_1, id_2, reply, status, CASE WHEN status = 'ok' THEN choices[1] END "
     "AS win, CASE WHEN status = 'ok' THEN regexp_extract(r, 'Why: ([^\\n]*)', 1) END AS why FROM "
-    f"(SELECT *, CASE WHEN reply = '{FAILED}' THEN 'failed' WHEN len(choices) <> 1 THEN 'no_choice' "
+    f"(SELECT *, CASE WHEN reply IS NULL OR reply = '{FAILED}' THEN 'failed' WHEN len(choices) <> 1 THEN 'no_choice' "
     "ELSE 'ok' END AS status FROM (SELECT *, regexp_extract_all(r, 'Choice: ([12])', 1) AS choices "
     "FROM (SELECT *, regexp_replace(reply, '^\\s+|\\s+$', '', 'g') AS r FROM (SELECT pair_id, id_1, "
     "id_2, " + rate_reply("md5(prompt)") + " AS reply FROM pprompt))))", ["pprompt"])
@@ -172,7 +172,7 @@ _kept = ("list_filter(items, lambda x: len(string_split(x->>'tag', '>')) = 3 AND
 SQL["q_annotate_flat"] = (
     "SELECT instance_id, status, CASE WHEN status = 'ok' THEN len(kept) END AS n_tags, "
     "CASE WHEN status = 'ok' THEN array_to_string(list_transform(kept, lambda x: x->>'tag'), '|') "
-    f"END AS tags_joined FROM (SELECT instance_id, kept, CASE WHEN reply = '{FAILED}' THEN 'failed' "
+    f"END AS tags_joined FROM (SELECT instance_id, kept, CASE WHEN reply IS NULL OR reply = '{FAILED}' THEN 'failed' "
     "WHEN items IS NULL THEN 'no_json' WHEN NOT list_bool_and(list_transform(items, lambda x: "
     "json_exists(x, '$.tag') AND json_exists(x, '$.explanation'))) THEN 'missing_key' WHEN "
     "len(kept) = 0 THEN 'not_three_levels' ELSE 'ok' END AS status FROM (SELECT instance_id, reply, "

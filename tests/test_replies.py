@@ -56,3 +56,10 @@ def test_second_third_path_check(spark):
         "first_level_tag string, reply string")
     got = [r["status"] for r in RP.validate_second_third(df, tax).orderBy("reply").collect()]
     assert sorted(got) == ["bad_path", "ok"]
+
+
+def test_null_reply_is_failed(spark):
+    df = spark.createDataFrame([(None,)], "reply string")
+    assert RP.parse_choice(df).first()["status"] == "failed"
+    assert RP.validate_first_level(df).first()["status"] == "failed"
+    assert RP.validate_flat_tags(df).first()["status"] == "failed"

@@ -53,9 +53,13 @@ def annotate(df: DataFrame, fn: Callable, prompt_col: str = "prompt", reply_col:
     def call(chunk: pd.Series) -> list:
         if vectorized:
             try:
-                return list(fn(chunk))
+                out = list(fn(chunk))
+                if len(out) == len(chunk):
+                    return [None if r is None else str(r) for r in out]
             except Exception:
-                return [one(p) for p in chunk]
+                pass
+            # the batch call failed or answered a different number of prompts
+            return [one(p) for p in chunk]
         if threads > 1:
             from concurrent.futures import ThreadPoolExecutor
             with ThreadPoolExecutor(max_workers=threads) as pool:

@@ -75,3 +75,16 @@ def test_second_third_job_routes_unknown_first_tag(spark):
     assert got[1]["status"] in ("ok", "failed")
     if got[1]["status"] == "ok":
         assert got[1]["third_level_tag"].startswith(got[1]["second_level_tag"])
+
+
+def test_vectorized_wrong_length_falls_back(spark):
+    import pandas as pd
+    df = spark.createDataFrame([("a",), ("b",), ("c",)], "prompt string")
+
+    def fn(s):
+        if isinstance(s, pd.Series):
+            return pd.Series(["only one"])
+        return "r" + s
+
+    got = sorted(r["reply"] for r in annotate(df, fn, vectorized=True).collect())
+    assert got == ["ra", "rb", "rc"]

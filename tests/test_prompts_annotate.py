@@ -86,5 +86,5 @@ def test_vectorized_wrong_length_falls_back(spark):
             return pd.Series(["only one"])
         return "r" + s
 
-    got = sorted(r["reply"] for r in annotate(df, fn, vectorized=True).collect())
+    got = sorted(r["reply"] for r in annotate(df, fn, vectorized=True, partitions=1).collect())
     assert got == ["ra", "rb", "rc"]

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
-def join_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Materialise a side that is expected to be small, count it, and mark it
-    for broadcast only when the count is within ``max_rows``. Above that the
-    side is returned unmarked and the join shuffles (AQE may still split skewed
-    partitions). The checkpoint also keeps the side from being computed twice.
+def join_small(df: DataFrame, max_rows: int = 1_000_000, checkpoint: bool = True) -> DataFrame:
+    """Count a side that is expected to be small and mark it for broadcast only
+    when the count is within ``max_rows``. Above that the side is returned
+    unmarked and the join shuffles (AQE may still split skewed partitions).
+    ``checkpoint`` first materialises the side so it is not computed twice;
+    leave it off for cheap derivations of an already materialised table.
     """
-    df = materialize(df)
+    if checkpoint:
+        df = materialize(df)
     if df.count() <= max_rows:
         return F.broadcast(df)
     return df

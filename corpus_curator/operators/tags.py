@@ -54,29 +54,41 @@ def tag_counts(df: DataFrame, level: int = 3) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
 
+LEVEL_BROADCAST_ROWS = 5_000_000
+
+
+def _levels(df: DataFrame, alpha: float, beta: float, gamma: float) -> tuple[DataFrame, bool]:
+    """Level table and whether it is small enough to broadcast. Level 3 is
+    materialised and counted once; levels 2 and 1 and the joined table have
+    at most as many rows, so that one count bounds all of them."""
+    c3 = materialize(
+        df.filter(F.col(T1).isNotNull() & F.col(T2).isNotNull() & F.col(T3).isNotNull())
+        .groupBy(*TAGS).agg(F.count(F.lit(1)).alias("count_c")))
+    small = c3.count() <= LEVEL_BROADCAST_ROWS
+    bc = F.broadcast if small else (lambda d: d)
+    c2 = bc(c3.groupBy(T1, T2).agg(F.sum("count_c").alias("count_b"),
+                                   F.sum(F.pow("count_c", F.lit(gamma))).alias("sum_weight_c")))
+    c1 = bc(c2.groupBy(T1).agg(F.sum("count_b").alias("count_a"),
+                               F.sum(F.pow("count_b", F.lit(beta))).alias("sum_weight_b")))
+    total = c1.agg(F.sum(F.pow("count_a", F.lit(alpha))).alias("s")).first()["s"]
+    lv = (c3.join(c2, [T1, T2]).join(c1, [T1])
+          .withColumn("sum_weight_a", F.lit(total).cast("double"))
+          .select(*TAGS, "count_c", "count_b", "count_a", "sum_weight_c", "sum_weight_b",
+                  "sum_weight_a"))
+    return lv, small
+
+
 def tag_level_table(df: DataFrame, alpha: float = TAG_EXPONENTS[0],
                     beta: float = TAG_EXPONENTS[1], gamma: float = TAG_EXPONENTS[2]) -> DataFrame:
     """One row per complete (non-null) tag path with count_a, count_b, count_c,
     sum_weight_b, sum_weight_c and sum_weight_a (global).
 
     Aggregations only: level 3 from the documents (map-side combined), level 2
-    from level 3, level 1 from level 2, the global sum as one scalar; each
-    smaller level is joined back by broadcast after a size check, so a first
-    tag with many sub-paths never gathers them in one task."""
-    c3 = (df.filter(F.col(T1).isNotNull() & F.col(T2).isNotNull() & F.col(T3).isNotNull())
-          .groupBy(*TAGS).agg(F.count(F.lit(1)).alias("count_c")))
-    c3 = materialize(c3)
-    c2 = c3.groupBy(T1, T2).agg(F.sum("count_c").alias("count_b"),
-                                F.sum(F.pow("count_c", F.lit(gamma))).alias("sum_weight_c"))
-    c2 = join_small(c2, max_rows=5_000_000)
-    c1 = c2.groupBy(T1).agg(F.sum("count_b").alias("count_a"),
-                            F.sum(F.pow("count_b", F.lit(beta))).alias("sum_weight_b"))
-    c1 = join_small(c1, max_rows=5_000_000)
-    total = c1.agg(F.sum(F.pow("count_a", F.lit(alpha))).alias("s")).first()["s"]
-    return (c3.join(c2, [T1, T2]).join(c1, [T1])
-            .withColumn("sum_weight_a", F.lit(total).cast("double"))
-            .select(*TAGS, "count_c", "count_b", "count_a", "sum_weight_c", "sum_weight_b",
-                    "sum_weight_a"))
+    from level 3, level 1 from level 2, the global sum as one scalar; the
+    smaller levels are joined back by broadcast when the level-3 row count
+    (which bounds them all) allows, so a first tag with many sub-paths never
+    gathers them in one task."""
+    return _levels(df, alpha, beta, gamma)[0]
 
 
 def tag_probability(df: DataFrame, alpha: float = TAG_EXPONENTS[0],
@@ -84,8 +96,9 @@ def tag_probability(df: DataFrame, alpha: float = TAG_EXPONENTS[0],
                     normalize: bool = False, name: str = "probability") -> DataFrame:
     """Attach the per-document probability. ``normalize`` divides by the global
     sum of count_a^alpha so the probabilities add up to 1."""
-    lv = tag_level_table(df, alpha, beta, gamma)
-    lv = join_small(lv, max_rows=5_000_000)
+    lv, small = _levels(df, alpha, beta, gamma)
+    if small:
+        lv = F.broadcast(lv)  # one row per tag path, counted above
     p = (F.pow("count_a", F.lit(alpha))
          * (F.pow("count_b", F.lit(beta)) / F.col("sum_weight_b"))
          * (F.pow("count_c", F.lit(gamma)) / F.col("sum_weight_c"))

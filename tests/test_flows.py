@@ -38,3 +38,15 @@ def test_tag_sample_from_files(spark):
     per = {r["dataset"]: r["count"] for r in out.groupBy("dataset").count().collect()}
     tin = recs.filter(F.col("in_tree")).groupBy("dataset").count().collect()
     assert all(per.get(r["dataset"], 0) == r["count"] // 2 for r in tin)
+
+
+def test_rate_flow_mle_uniform(spark):
+    from corpus_curator.functions.annotators import rate_rule
+    docs = D.documents(spark, SF)
+    n = docs.count()
+    scores = flows.rate(docs, "educational_value", rate_rule, n_pairs=3 * n, compare=6, seed=3,
+                        method="mle", reg=1e-3, score_type="uniform")
+    rows = scores.collect()
+    vals = sorted(r["score"] for r in rows)
+    assert len(rows) == n and vals[0] == 1.0 and vals[-1] == 99.0
+    assert len(set(vals)) == n  # evenly spaced, one value per item

@@ -12,6 +12,10 @@ or array, or text after it), ``missing_key``, ``bad_first_level``, ``bad_path``,
 
 from __future__ import annotations
 
+import ast
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,11 +80,45 @@ def _object_status(reply: Column, body: Column, keys: Column, required) -> Colum
             .when(~has_keys(keys, *required), F.lit("missing_key")))
 
 
+def _literal_json(text):
+    """A Python-literal dict/list reply as JSON text (``ast.literal_eval``: no
+    code runs), else None."""
+    if text is None:
+        return None
+    try:
+        value = ast.literal_eval(text)
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return None
+    if not isinstance(value, (dict, list)):
+        return None
+    try:
+        return json.dumps(value, ensure_ascii=False)
+    except (TypeError, ValueError):
+        return None
+
+
+def _literal_series(replies: pd.Series) -> pd.Series:
+    return replies.map(_literal_json)
+
+
+_LITERAL_UDF = []
+
+
+def literal_to_json(c) -> Column:
+    """Arrow-batched conversion of Python-literal replies to JSON (the pandas
+    UDF is created on first use, when a session exists)."""
+    if not _LITERAL_UDF:
+        _LITERAL_UDF.append(F.pandas_udf(_literal_series, "string"))
+    return _LITERAL_UDF[0](c)
+
+
 def parse_reply(df: DataFrame, schema: str, reply_col: str = "reply",
-                required: tuple[str, ...] = ()) -> DataFrame:
+                required: tuple[str, ...] = (), literal: bool = False) -> DataFrame:
     """Reply -> ``parsed`` struct of ``schema`` and a ``status`` for the shape
-    and the ``required`` keys (a key with a null value counts as present)."""
-    body = json_body(reply_col)
+    and the ``required`` keys (a key with a null value counts as present).
+    ``literal=True`` reads Python-literal replies (single quotes, None,
+    trailing commas) through ``ast.literal_eval`` in a pandas UDF."""
+    body = literal_to_json(remove_fence(reply_col)) if literal else json_body(reply_col)
     d = df.withColumn("_body", body).withColumn("_keys", F.json_object_keys("_body"))
     status = _object_status(F.col(reply_col), F.col("_body"), F.col("_keys"), required)
     return (d.withColumn("status", F.coalesce(status, F.lit("ok")))
@@ -88,17 +126,19 @@ def parse_reply(df: DataFrame, schema: str, reply_col: str = "reply",
             .drop("_body", "_keys"))
 
 
-def validate_summary(df: DataFrame, reply_col: str = "reply") -> DataFrame:
+def validate_summary(df: DataFrame, reply_col: str = "reply", literal: bool = False) -> DataFrame:
     """Summary reply: ``summary`` must be present."""
-    p = parse_reply(df, "summary string", reply_col, ("summary",))
+    p = parse_reply(df, "summary string", reply_col, ("summary",), literal)
     return p.withColumn("summary", F.col("parsed.summary")).drop("parsed")
 
 
 def validate_first_level(df: DataFrame, reply_col: str = "reply",
-                         vocabulary: list[str] = FIRST_LEVEL_TAGS) -> DataFrame:
+                         vocabulary: list[str] = FIRST_LEVEL_TAGS,
+                         literal: bool = False) -> DataFrame:
     """First-level reply: ``tag`` and ``explanation`` present, tag one of the
     vocabulary (case-sensitive); the tag is stored lower-cased."""
-    p = parse_reply(df, "tag string, explanation string", reply_col, ("tag", "explanation"))
+    p = parse_reply(df, "tag string, explanation string", reply_col, ("tag", "explanation"),
+                    literal)
     tag = F.col("parsed.tag")
     bad = (F.col("status") == "ok") & ~F.coalesce(tag.isin(vocabulary), F.lit(False))
     return (p.withColumn("status", F.when(bad, F.lit("bad_first_level")).otherwise(F.col("status")))
@@ -109,12 +149,12 @@ def validate_first_level(df: DataFrame, reply_col: str = "reply",
 
 
 def validate_second_third(df: DataFrame, taxonomy: DataFrame, reply_col: str = "reply",
-                          first_col: str = "first_level_tag") -> DataFrame:
+                          first_col: str = "first_level_tag", literal: bool = False) -> DataFrame:
     """Second/third-level reply: the three keys present and the path
     (first, second, third) an edge of the taxonomy; stored lower-cased."""
     from .joins import join_small
     p = parse_reply(df, "second_level_tag string, third_level_tag string, explanation string",
-                    reply_col, ("second_level_tag", "third_level_tag", "explanation"))
+                    reply_col, ("second_level_tag", "third_level_tag", "explanation"), literal)
     edges = join_small(taxonomy.select(F.lower("first").alias("_f"), F.col("second").alias("_s"),
                                        F.col("third").alias("_t")).distinct()
                        .withColumn("_hit", F.lit(True)), max_rows=2_000_000)
@@ -132,12 +172,13 @@ def validate_second_third(df: DataFrame, taxonomy: DataFrame, reply_col: str = "
 
 
 def validate_flat_tags(df: DataFrame, reply_col: str = "reply",
-                       vocabulary: list[str] = FIRST_LEVEL_TAGS) -> DataFrame:
+                       vocabulary: list[str] = FIRST_LEVEL_TAGS,
+                       literal: bool = False) -> DataFrame:
     """Flat three-level tags: a JSON array whose every element has ``tag`` and
     ``explanation``; keep elements whose tag has exactly three ``>`` parts and
     a known (trimmed, case-sensitive) first part; reject when none is left.
     Adds ``tags`` (array of struct<tag, explanation>)."""
-    body = json_body(reply_col)
+    body = literal_to_json(remove_fence(reply_col)) if literal else json_body(reply_col)
     items = F.from_json(body, "array<map<string,string>>")
     vocab = F.array(*[F.lit(v) for v in vocabulary])
     d = df.withColumn("_items", F.when(F.json_array_length(body).isNotNull(), items))

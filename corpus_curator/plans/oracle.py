@@ -403,6 +403,7 @@ SQL["q_parse_reply"] = with_(["tparsed"], "SELECT doc_id, status, CASE WHEN stat
                              "body->>'tag' END AS tag FROM tparsed")
 SQL["q_validate_first_level"] = with_(["tfirst"], "SELECT doc_id, status, first_level_tag, "
                                       "first_level_explanation FROM tfirst")
+SQL["q_validate_first_level_literal"] = SQL["q_validate_first_level"]
 SQL["q_reject_reasons"] = with_(["tfirst"], "SELECT status, count(*) AS n FROM tfirst GROUP BY status")
 
 cte("srep", "SELECT doc_id, CASE WHEN u < 0.05 THEN '<<FAILED>>' WHEN u < 0.10 THEN "

@@ -302,6 +302,12 @@ def q_validate_first_level(spark, sf):
     return v.select("doc_id", "status", "first_level_tag", "first_level_explanation")
 
 
+def q_validate_first_level_literal(spark, sf):
+    """The same replies read as Python literals (ast.literal_eval in a pandas UDF)."""
+    v = RP.validate_first_level(D.tag_replies(D.documents(spark, sf)), literal=True)
+    return v.select("doc_id", "status", "first_level_tag", "first_level_explanation")
+
+
 def q_validate_summary(spark, sf):
     v = RP.validate_summary(D.summary_replies(D.documents(spark, sf)))
     return v.select("doc_id", "status", "summary")

@@ -63,3 +63,20 @@ def test_null_reply_is_failed(spark):
     assert RP.parse_choice(df).first()["status"] == "failed"
     assert RP.validate_first_level(df).first()["status"] == "failed"
     assert RP.validate_flat_tags(df).first()["status"] == "failed"
+
+
+def test_literal_mode_matches_python_literal_rules(spark):
+    # reference outcomes of the record edge table, reproduced with literal_eval
+    cases = [("{'tag':'Law','explanation':'x'}", "ok"),
+             ('{"tag":"Law",}', "missing_key"),              # parses, then a key is missing
+             ("{'tag':None,'explanation':'x'}", "bad_first_level"),
+             ('{"tag":"Law","explanation":"x"} trailing', "no_json"),
+             ('{"tag":"law","explanation":"x"}', "bad_first_level"),
+             ("nope", "no_json"),
+             ("__import__('os').system('true')", "no_json")]  # never executed
+    for reply, status in cases:
+        r = RP.validate_first_level(_one(spark, reply), literal=True).first()
+        assert r["status"] == status, (reply, r["status"])
+    flat = RP.validate_flat_tags(_one(spark, "[{'tag': 'Law > a > b', 'explanation': 'x'}]"),
+                                 literal=True).first()
+    assert flat["status"] == "ok"

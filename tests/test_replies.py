@@ -80,3 +80,9 @@ def test_literal_mode_matches_python_literal_rules(spark):
     flat = RP.validate_flat_tags(_one(spark, "[{'tag': 'Law > a > b', 'explanation': 'x'}]"),
                                  literal=True).first()
     assert flat["status"] == "ok"
+
+
+def test_split_status(spark):
+    df = spark.createDataFrame([("Choice: 1",), ("nothing",)], "reply string")
+    ok, rejected = RP.split_status(RP.parse_choice(df))
+    assert ok.count() == 1 and [r["status"] for r in rejected.collect()] == ["no_choice"]

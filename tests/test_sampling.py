@@ -149,3 +149,16 @@ def test_copies_of_one_key_are_refused(spark, monkeypatch):
     monkeypatch.setattr(sampling, "_EDGE_MAX", 50)
     with pytest.raises(ValueError, match="unique"):
         sampling.weighted_sample(df, 150, seed=1).count()
+
+
+def test_random_batches_are_a_seeded_permutation(spark):
+    df = spark.range(103).withColumnRenamed("id", "doc_id")
+    a = sampling.assign_batches(df, 10, order="random", key="doc_id", seed=5)
+    b = sampling.assign_batches(df, 10, order="random", key="doc_id", seed=5)
+    c = sampling.assign_batches(df, 10, order="random", key="doc_id", seed=6)
+    ra = sorted((r["doc_id"], r["ordinal"]) for r in a.collect())
+    assert ra == sorted((r["doc_id"], r["ordinal"]) for r in b.collect())
+    assert ra != sorted((r["doc_id"], r["ordinal"]) for r in c.collect())
+    assert sorted(o for _, o in ra) == list(range(103))
+    sizes = sorted(r["count"] for r in a.groupBy("batch_id").count().collect())
+    assert sizes == [3] + [10] * 10

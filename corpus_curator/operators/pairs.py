@@ -116,11 +116,16 @@ def check_pairs(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> Da
     """One row: pairs, distinct pair ids, pair ids without a document."""
     used = pairs.select(F.explode(F.array("id_1", "id_2")).alias("id")).distinct()
     known = docs.select(F.col(id_col).alias("id")).distinct().withColumn("_known", F.lit(True))
-    per_id = used.join(known, "id", "left")
-    ids = per_id.agg(F.count(F.lit(1)).alias("n_ids"),
-                     F.count_if(F.col("_known").isNull()).alias("missing_ids"))
-    n = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.lit(0).alias("_k"))
-    return n.join(ids.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    per_id = used.join(known, "id", "left").select(
+        F.lit(0).alias("_pair"), F.lit(1).alias("_id"),
+        F.col("_known").isNull().cast("int").alias("_missing"))
+    per_pair = pairs.select(F.lit(1).alias("_pair"), F.lit(0).alias("_id"),
+                            F.lit(0).alias("_missing"))
+    # one aggregate over both row kinds: no join of the two totals
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return per_pair.unionByName(per_id).agg(
+        total("_pair").alias("n_pairs"), total("_id").alias("n_ids"),
+        total("_missing").alias("missing_ids"))
 
 
 def require_pair_set(n: int, docs: DataFrame) -> None:

@@ -34,7 +34,11 @@ def annotate(df: DataFrame, fn: Callable, prompt_col: str = "prompt", reply_col:
     The cost is per prompt (a service call), not per byte, so the prompts are
     spread over ``partitions`` tasks (default: the cluster's parallelism)
     instead of the few large partitions that size-based coalescing would
-    leave; ``partitions=0`` keeps the input partitioning."""
+    leave; ``partitions=0`` keeps the input partitioning.
+
+    Every action on the result calls ``fn`` again: write or checkpoint the
+    annotated DataFrame before using it twice (the flows in ``plans.flows``
+    checkpoint each annotation stage)."""
     if partitions is None:
         partitions = df.sparkSession.sparkContext.defaultParallelism
     if partitions:

@@ -16,16 +16,19 @@ from ..session import materialize
 def rating_sample(rated: DataFrame, corpus: DataFrame | None = None, n: int | None = None,
                   seed: int | str = 0, fields: Sequence[str] = SCORE_FIELDS,
                   weights: Mapping[str, float] = RATING_WEIGHTS,
-                  fraction: float | None = None, key: str = "uuid") -> DataFrame:
+                  fraction: float | None = None, key: str = "uuid",
+                  cap: bool = False) -> DataFrame:
     """Rating-based sampling: clean scores -> exp z-scores -> combined weight ->
     n records weighted without replacement (``fraction`` instead of ``n``:
-    that share of the rows with a positive weight; default one half).
+    that share of the rows with a positive weight; default one half). More
+    rows than there are weighted records is an error unless ``cap``.
 
     ``corpus=None``: the rated records are the corpus; the sample is a filter
     over them (no join). With a separate ``corpus`` the sampled ids are joined
     back to it (left join from the ids)."""
     if n is None and fraction is None:
         fraction = 0.5
+    rated = scores.canonical_fields(rated, fields)
     recs = rated if corpus is None else rated.select(key, *[F.col(f"`{f}`") for f in fields])
     counts: dict = {}
     weighted = scores.with_rating_weight(recs, fields, weights, counts=counts)
@@ -33,7 +36,10 @@ def rating_sample(rated: DataFrame, corpus: DataFrame | None = None, n: int | No
     # pass already counted the candidates; no separate weight check is needed
     if n is None:
         n = int(counts["rows"] * fraction)
-    n = min(n, counts["rows"])
+    if n > counts["rows"]:
+        if not cap:
+            raise ValueError(f"cannot draw {n} rows: only {counts['rows']} are weighted")
+        n = counts["rows"]
     # the decision reads only (key, weight); the records are filtered once
     rule = sampling.draw_rule(weighted, "weight", key, seed, n=n, validate=False)
     if corpus is None:

@@ -50,3 +50,20 @@ def test_rate_flow_mle_uniform(spark):
     vals = sorted(r["score"] for r in rows)
     assert len(rows) == n and vals[0] == 1.0 and vals[-1] == 99.0
     assert len(set(vals)) == n  # evenly spaced, one value per item
+
+
+def test_rating_sample_alias_and_size_checks(spark):
+    import pytest
+    rated = spark.createDataFrame(
+        [(f"u{i}", str(i % 50), str((i * 7) % 60)) for i in range(40)],
+        "uuid string, educational_value string, obscurity string")
+    corpus = spark.createDataFrame([(f"u{i}", f"text {i}") for i in range(40)],
+                                   "uuid string, text string")
+    fields = ["educational_value", "scarcity"]
+    weights = {"educational_value": 0.5, "scarcity": 0.5}
+    out = flows.rating_sample(rated, corpus, n=10, fields=fields, weights=weights, seed=1)
+    assert out.count() == 10 and "text" in out.columns
+    with pytest.raises(ValueError):
+        flows.rating_sample(rated, None, n=41, fields=fields, weights=weights)
+    assert flows.rating_sample(rated, None, n=41, fields=fields, weights=weights,
+                               cap=True).count() == 40

@@ -62,17 +62,20 @@ def tag_weights(tagged: DataFrame, boost_tags: Sequence[str] = (),
 def tag_sample(tagged: DataFrame, corpus: DataFrame | None = None,
                quotas: DataFrame | Mapping[str, int] | None = None,
                boost_tags: Sequence[str] = (), seed: int | str = 0, by: str = "dataset",
-               fraction: float = 0.5, key: str = "uuid") -> DataFrame:
+               fraction: float = 0.5, key: str = "uuid", cap: bool = False) -> DataFrame:
     """Tag-based sampling with per-dataset quotas. Without ``quotas`` each
-    dataset gets ``fraction`` of its rows with a positive weight.
+    dataset gets ``fraction`` of its rows with a positive weight; given
+    quotas larger than a dataset's weighted rows are an error unless ``cap``.
     ``corpus=None``: the tagged records are the corpus (a filter, no join);
     otherwise the sampled ids are joined back to ``corpus``."""
     recs = tagged if corpus is None else tagged.select(key, by, *tags.TAGS, "in_tree")
     p = tag_weights(recs, boost_tags)
+    check = quotas is not None  # derived quotas fit by construction
     if quotas is None:
         quotas = (p.filter(F.col("probability") > 0).groupBy(by)
                   .agg(F.floor(F.count(F.lit(1)) * F.lit(fraction)).cast("long").alias("n")))
-    rule = sampling.draw_rule(p, "probability", key, seed, quotas=quotas, by=by, validate=False)
+    rule = sampling.draw_rule(p, "probability", key, seed, quotas=quotas, by=by, cap=cap,
+                              validate=check)
     if corpus is None:
         return rule(p)
     ids = rule(p.select(key, by, "probability")).select(key)

@@ -67,3 +67,12 @@ def test_rating_sample_alias_and_size_checks(spark):
         flows.rating_sample(rated, None, n=41, fields=fields, weights=weights)
     assert flows.rating_sample(rated, None, n=41, fields=fields, weights=weights,
                                cap=True).count() == 40
+
+
+def test_tag_sample_given_quotas_are_checked(spark):
+    import pytest
+    recs = D.tagged(spark, SF)
+    with pytest.raises(ValueError):
+        flows.tag_sample(recs, None, quotas={"src0": 10 ** 6}, seed=1)
+    out = flows.tag_sample(recs, None, quotas={"src0": 3}, seed=1)
+    assert out.count() == 3

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,25 +179,32 @@ def draw_rule(df: DataFrame, weight: str = "weight", key: str = "uuid", seed: in
     are read) and return a function that keeps the sampled rows of any
     DataFrame carrying the same ``key`` and ``weight`` columns, e.g. the full
     records, so the sample needs no join back."""
-    if quotas is not None:
-        if isinstance(quotas, Mapping):
-            quotas = df.sparkSession.createDataFrame(
-                [(k, int(v)) for k, v in quotas.items()], f"`{by}` string, n long")
-        need = quotas.select(by, F.col("n").alias("need"))
-        if validate:
-            check_weights(df, weight, by=[by], need=need, cap=cap)
-        narrow = df.select(key, weight, by).withColumn("_sk", sampling_key(weight, key, seed))
-        thr = smallest_threshold(narrow, "_sk", key, need, [by])
-        groups = [by]
-    else:
-        if fraction is not None:
-            n = int(check_weights(df, weight, cap=True) * fraction)
-        elif validate:
-            positive = check_weights(df, weight, n=n, cap=cap)
-            n = min(n, positive) if cap else n
-        narrow = df.select(key, weight).withColumn("_sk", sampling_key(weight, key, seed))
-        thr = smallest_threshold(narrow, "_sk", key, n)
-        groups = []
+    cols = [key, weight] + ([by] if quotas is not None else [])
+    # the decision passes (checks, histogram, boundary) all read this narrow
+    # projection: keep it for their duration only (lost blocks are recomputed
+    # from deterministic lineage), then release it
+    narrow = (df.select(*cols).withColumn("_sk", sampling_key(weight, key, seed))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        if quotas is not None:
+            if isinstance(quotas, Mapping):
+                quotas = df.sparkSession.createDataFrame(
+                    [(k, int(v)) for k, v in quotas.items()], f"`{by}` string, n long")
+            need = quotas.select(by, F.col("n").alias("need"))
+            if validate:
+                check_weights(narrow, weight, by=[by], need=need, cap=cap)
+            thr = smallest_threshold(narrow, "_sk", key, need, [by])
+            groups = [by]
+        else:
+            if fraction is not None:
+                n = int(check_weights(narrow, weight, cap=True) * fraction)
+            elif validate:
+                positive = check_weights(narrow, weight, n=n, cap=cap)
+                n = min(n, positive) if cap else n
+            thr = smallest_threshold(narrow, "_sk", key, n)
+            groups = []
+    finally:
+        narrow.unpersist()
 
     def keep(records: DataFrame) -> DataFrame:
         # the key is null exactly when the weight is not positive: filtering on

@@ -11,21 +11,22 @@ BROADCAST_IDS = 5_000_000
 
 
 def retrieve_by_uuid(ids: DataFrame, corpus: DataFrame, key: str = "uuid", how: str = "left",
-                     max_broadcast_rows: int = BROADCAST_IDS) -> DataFrame:
+                     max_broadcast_rows: int = BROADCAST_IDS,
+                     ids_materialized: bool = False) -> DataFrame:
     """Records of the sampled ids.
 
     ``how="left"`` keeps every id: unknown ids get null columns, duplicate
     corpus keys multiply rows (a left join from the ids). ``how="semi"``
     returns the corpus rows whose key was sampled, each once.
 
-    The id list is materialised and counted first. Within
-    ``max_broadcast_rows`` it is broadcast and the corpus is only scanned,
-    never shuffled: matched rows come from an inner broadcast join, unknown
+    The id list is materialised (unless ``ids_materialized``) and counted
+    first. Within ``max_broadcast_rows`` it is broadcast and the corpus is
+    only scanned, never shuffled: matched rows come from an inner broadcast join, unknown
     ids from an anti join of the (small) ids against the matched keys. Above
     the bound the join shuffles both sides (AQE splits a skewed key); a corpus
     bucketed by ``key`` avoids the corpus shuffle for repeated draws.
     """
-    ids = materialize(ids.select(key))
+    ids = ids.select(key) if ids_materialized else materialize(ids.select(key))
     small = ids.count() <= max_broadcast_rows
     if how == "semi":
         return corpus.join(F.broadcast(ids.distinct()) if small else ids.distinct(), key, "left_semi")

@@ -82,14 +82,24 @@ def score_stats(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS) -> DataFram
     return df.agg(*_stat_columns(fields))
 
 
-def _exp_z(df: DataFrame, fields: Sequence[str], counts: dict | None = None):
+def rating_stats(clean: DataFrame, fields: Sequence[str] = SCORE_FIELDS) -> dict:
+    """Means, sample standard deviations and the number of rows whose
+    z-scores are all defined (``rows``), from one aggregate over clean scores."""
+    stats = clean.agg(*_stat_columns(fields), F.count(F.lit(1)).alias("_rows")).first().asDict()
+    defined = all(stats[f"{f}_std"] not in (None, 0.0) for f in fields)
+    stats["rows"] = stats["_rows"] if defined else 0
+    return stats
+
+
+def _exp_z(df: DataFrame, fields: Sequence[str], counts: dict | None = None,
+           stats: dict | None = None):
     """exp(z) column and non-null condition per field, from one aggregate pass
-    over ``df`` (the 16 statistics come back as scalars). ``counts`` receives
-    the number of rows whose z-scores are all defined."""
-    stats = df.agg(*_stat_columns(fields), F.count(F.lit(1)).alias("_rows")).first().asDict()
+    over ``df`` unless ``stats`` are given (the 16 statistics are scalars).
+    ``counts`` receives the number of rows whose z-scores are all defined."""
+    if stats is None:
+        stats = rating_stats(df, fields)
     if counts is not None:
-        defined = all(stats[f"{f}_std"] not in (None, 0.0) for f in fields)
-        counts["rows"] = stats["_rows"] if defined else 0
+        counts["rows"] = stats["rows"]
     cols, cond = {}, None
     for f in fields:
         mean, std = stats[f"{f}_mean"], stats[f"{f}_std"]
@@ -111,12 +121,14 @@ def exp_zscores(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS,
 
 def with_rating_weight(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS,
                        weights: Mapping[str, float] = RATING_WEIGHTS,
-                       name: str = "weight", counts: dict | None = None) -> DataFrame:
+                       name: str = "weight", counts: dict | None = None,
+                       stats: dict | None = None) -> DataFrame:
     """Clean records plus ``name`` = sum of w_f * exp(z_f); every other column
     (text included) is kept as it is. ``counts["rows"]`` gets the number of
-    weighted rows (all weights are positive), from the statistics pass."""
+    weighted rows (all weights are positive), from the statistics pass;
+    ``stats`` (from ``rating_stats``) skips that pass."""
     clean = clean_scores(df, fields)
-    cols, cond = _exp_z(clean, fields, counts)
+    cols, cond = _exp_z(clean, fields, counts, stats)
     total = None
     for f, w in weights.items():
         term = cols[f] * F.lit(float(w))

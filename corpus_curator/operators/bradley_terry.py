@@ -96,7 +96,7 @@ BT_LOCAL_ROWS = 2_000_000  # distinct (winner, loser) rows of one task fitted in
 
 
 def bt_gradient_grouped(matches: DataFrame, lr: float = BT_LEARNING_RATE, iterations: int = 5000,
-                        max_rows: int = BT_LOCAL_ROWS) -> DataFrame:
+                        max_rows: int | None = None) -> DataFrame:
     """The same gradient steps, one ``applyInPandas`` group per task: the
     compressed match table of a task is fitted with a vectorised numpy loop,
     so thousands of steps cost one Spark job instead of thousands. Each
@@ -105,6 +105,8 @@ def bt_gradient_grouped(matches: DataFrame, lr: float = BT_LEARNING_RATE, iterat
     import numpy as np
     import pandas as pd
 
+    if max_rows is None:
+        max_rows = BT_LOCAL_ROWS
     counts = materialize(match_counts(matches))
     largest = counts.groupBy("task").count().agg(F.max("count")).first()[0] or 0
     if largest > max_rows:

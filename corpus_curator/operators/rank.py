@@ -25,7 +25,7 @@ SMALL_RANK_ROWS = 1_000_000
 
 def global_rank(df: DataFrame, order_by: Sequence[Column | str], by: Sequence[str] = (),
                 name: str = "rank", start: int = 1,
-                small_rows: int = SMALL_RANK_ROWS) -> DataFrame:
+                small_rows: int | None = None) -> DataFrame:
     """Add ``name``: position of each row in ``order_by`` order (within ``by``
     groups when given), counting from ``start``.
 
@@ -36,6 +36,8 @@ def global_rank(df: DataFrame, order_by: Sequence[Column | str], by: Sequence[st
     """
     by = list(by)
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    if small_rows is None:
+        small_rows = SMALL_RANK_ROWS
     if df.count() <= small_rows:
         w = (Window.partitionBy(*[F.col(c) for c in by]) if by else Window).orderBy(*order)
         return df.withColumn(name, (F.row_number().over(w) - F.lit(1) + F.lit(start)).cast("long"))

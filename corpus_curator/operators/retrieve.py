@@ -11,7 +11,7 @@ BROADCAST_IDS = 5_000_000
 
 
 def retrieve_by_uuid(ids: DataFrame, corpus: DataFrame, key: str = "uuid", how: str = "left",
-                     max_broadcast_rows: int = BROADCAST_IDS,
+                     max_broadcast_rows: int | None = None,
                      ids_materialized: bool = False) -> DataFrame:
     """Records of the sampled ids.
 
@@ -26,6 +26,8 @@ def retrieve_by_uuid(ids: DataFrame, corpus: DataFrame, key: str = "uuid", how:
     the bound the join shuffles both sides (AQE splits a skewed key); a corpus
     bucketed by ``key`` avoids the corpus shuffle for repeated draws.
     """
+    if max_broadcast_rows is None:
+        max_broadcast_rows = BROADCAST_IDS
     ids = ids.select(key) if ids_materialized else materialize(ids.select(key))
     small = ids.count() <= max_broadcast_rows
     if how == "semi":

@@ -22,14 +22,11 @@ NAMES = ["q_weighted_sample_lineitem", "q_weighted_sample_by", "q_rating_sample"
          "q_bt_gradient_grouped", "q_sample_k"]
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
+# the size bounds are read when the operators run
 rank.SMALL_RANK_ROWS = 0
 sampling._EDGE_MAX = 50
 retrieve.BROADCAST_IDS = 0
 bradley_terry.BT_LOCAL_ROWS = 0
-# defaults bound at definition time are rebound here
-rank.global_rank.__defaults__ = ((), "rank", 1, 0)
-retrieve.retrieve_by_uuid.__defaults__ = ("uuid", "left", 0)
-bradley_terry.bt_gradient_grouped.__defaults__ = (bradley_terry.BT_LEARNING_RATE, 5000, 0)
 
 spark = get_spark(cpus=8, shuffle_partitions=16)
 con = duck_connect(sf)

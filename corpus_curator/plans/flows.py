@@ -28,33 +28,24 @@ def rating_sample(rated: DataFrame, corpus: DataFrame | None = None, n: int | No
     back to it (left join from the ids)."""
     if n is None and fraction is None:
         fraction = 0.5
-    from pyspark import StorageLevel
     rated = scores.canonical_fields(rated, fields)
-    # the statistics and the sampling decision read only (key, scores): keep
-    # that narrow projection while they run, then filter the records once
-    narrow = (scores.clean_scores(rated.select(key, *[F.col(f"`{f}`") for f in fields]), fields)
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        stats = scores.rating_stats(narrow, fields)
-        # every weight is a sum of exponentials (> 0, finite), so the
-        # statistics pass already counted the candidates
-        rows = stats["rows"]
-        if n is None:
-            n = int(rows * fraction)
-        if n > rows:
-            if not cap:
-                raise ValueError(f"cannot draw {n} rows: only {rows} are weighted")
-            n = rows
-        weighted_narrow = scores.with_rating_weight(narrow, fields, weights, stats=stats)
-        rule = sampling.draw_rule(weighted_narrow.select(key, "weight"), "weight", key, seed, n=n,
-                                  validate=False)
-        if corpus is not None:
-            ids = materialize(rule(weighted_narrow.select(key, "weight")).select(key))
-    finally:
-        narrow.unpersist()
+    recs = rated if corpus is None else rated.select(key, *[F.col(f"`{f}`") for f in fields])
+    counts: dict = {}
+    weighted = scores.with_rating_weight(recs, fields, weights, counts=counts)
+    # every weight is a sum of exponentials (> 0, finite), so the statistics
+    # pass already counted the candidates; no separate weight check is needed
+    if n is None:
+        n = int(counts["rows"] * fraction)
+    if n > counts["rows"]:
+        if not cap:
+            raise ValueError(f"cannot draw {n} rows: only {counts['rows']} are weighted")
+        n = counts["rows"]
+    # the decision reads only (key, weight); the records are filtered once
+    rule = sampling.draw_rule(weighted, "weight", key, seed, n=n, validate=False)
     if corpus is None:
-        return rule(scores.with_rating_weight(rated, fields, weights, stats=stats))
-    return retrieve_by_uuid(ids, corpus, key, ids_materialized=True)
+        return rule(weighted)
+    ids = rule(weighted.select(key, "weight")).select(key)
+    return retrieve_by_uuid(ids, corpus, key)
 
 
 def tag_weights(tagged: DataFrame, boost_tags: Sequence[str] = (),

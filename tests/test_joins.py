@@ -1,0 +1,19 @@
+from corpus_curator.functions.joins import join_small
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_broadcast_only_within_bound(spark):
+    big = spark.range(5000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # only explicit hints
+    try:
+        hinted = big.join(join_small(small, max_rows=100), "k")
+        plain = big.join(join_small(small, max_rows=5), "k")
+        assert "BroadcastHashJoin" in _plan(hinted)
+        assert "BroadcastHashJoin" not in _plan(plain)
+        assert hinted.count() == plain.count() == 10
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

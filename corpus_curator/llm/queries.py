@@ -35,10 +35,22 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_dup
+    return near_dup.link(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_license_scan": op4_license_scan,
     "op6_packing": op6_packing,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op10_near_dup": op10_near_dup,
 }
 
 #: No operator here is expressible in SQL over whole tables within the time of

@@ -15,6 +15,8 @@ sequence size) reaches the driver.
 from __future__ import annotations
 
 import bisect
+import os
+import struct
 import zlib
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import Memo, saved, slices
+from .tables import saved, slices
 
 SEQUENCE = 4096
 END_ID = 1
@@ -35,20 +37,85 @@ PER_SHARD = 100_000
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int"
 
 
-def _encoder(path: str):
-    """text -> little-endian uint32 ids. No token, special ones included, spans a
-    blank or a line feed, so texts are encoded by chunks between those and the
-    ids of a chunk are remembered."""
-    from tokenizers import Tokenizer
+#: What the tokenizer's own pattern takes as one piece of lower-case text.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    tokenizer = Tokenizer.from_file(path)
 
-    def chunk(text: str) -> bytes:
-        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids,
-                          dtype="<u4").tobytes()
+#: How byte-level vocabularies write a byte: printable Latin-1 as itself, the
+#: others in order from U+0100.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_REST = [b for b in range(256) if b not in set(_PLAIN)]
+BYTE_LETTERS = [chr(b) if b in set(_PLAIN) else chr(256 + _REST.index(b)) for b in range(256)]
 
-    memo = Memo(chunk, 600_000)
-    return lambda text: b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" ")))
+
+class Encoder:
+    """Texts to little-endian uint32 ids, remembering what it has met.
+
+    No token, special ones included, spans a blank or a line feed, so texts are
+    encoded by the chunks between those. A chunk of printable Latin characters
+    is the sequence of its pieces (the pattern the tokenizer splits by); any
+    other chunk goes through the tokenizer whole. Both memos are bounded.
+    """
+
+    def __init__(self, path: str, limit: int = 500_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tokenizer.model
+        self.split = regex.compile(PIECE).findall
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+
+    def _chunk(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, text: str) -> bytes:
+        """Ids of one piece, by the tokenizer's model itself."""
+        if not text.isascii():
+            text = "".join([BYTE_LETTERS[b] for b in text.encode()])
+        ids = [t.id for t in self.model.tokenize(text)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _parts(self, chunk: str) -> list[str] | None:
+        if not (chunk.isascii() or max(chunk) < "\u0250") or not chunk.isprintable() \
+                or "<|" in chunk:
+            return None
+        low = chunk.lower()
+        core = low.rstrip(".,;:!?|")
+        if core.isalpha():
+            return [core] if len(core) == len(low) else [core, low[len(core):]]
+        return self.split(low)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split) - self.chunks.keys()
+        if len(self.chunks) + len(new) > self.limit:
+            self.chunks = {"": b""}
+            new = set().union(*split) - self.chunks.keys()
+        parts = {c: self._parts(c) for c in new}
+        missing = {p for found in parts.values() if found for p in found} - self.pieces.keys()
+        if len(self.pieces) + len(missing) > self.limit:
+            self.pieces = {}
+            missing = {p for found in parts.values() if found for p in found}
+        for p in missing:
+            self.pieces[p] = self._piece(p)
+        for c, found in parts.items():
+            self.chunks[c] = (self._chunk(c) if found is None
+                              else b"".join(map(self.pieces.__getitem__, found)))
+        return [b"".join(map(self.chunks.__getitem__, words)) for words in split]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process, kept for its later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
@@ -59,11 +126,11 @@ def tokenize(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) ->
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part = _encoder(tokenizer_path), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         for ids, texts in slices(batches):
             rows = []
-            for doc_id, text in zip(ids, texts):
-                data = encode(text or "") + end
+            for doc_id, data in zip(ids, encode([t or "" for t in texts])):
+                data += end
                 for k, at in enumerate(range(0, len(data), 4 * sequence)):
                     one = data[at:at + 4 * sequence]
                     rows.append((doc_id, k, at // 4, len(one) // 4, zlib.crc32(one), part))

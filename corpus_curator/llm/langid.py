@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .tables import Memo, remainder, slices
 
 #: Rows the field is fitted on: about this many per language (whole texts), at most MAX_WORDS words.
-SAMPLE_PER_LANGUAGE = 600
-MAX_WORDS = 1_500_000
+SAMPLE_PER_LANGUAGE = 250
+MAX_WORDS = 350_000
 BUCKETS = 1 << 17
 STEPS = 30
 BLOCK = 256
@@ -164,9 +164,9 @@ def fit(texts: list[tuple[str, str]], seed: int = 7, steps: int = STEPS) -> Fiel
         y += [label] * len(ids)
         total += len(ids)
     order, begins, y = np.array(order), np.array(begins), np.array(y)
-    found = [features(w, halves[h]) for h, w in types]
-    flat = np.array([f for fs in found for f in fs])
-    owner = np.repeat(np.arange(len(found)), [len(fs) for fs in found])
+    found = [np.array(features(w, halves[h]), np.int32) for h, w in types]
+    flat = np.concatenate(found)
+    owner = np.repeat(np.arange(len(found), dtype=np.int32), [len(fs) for fs in found])
     hot = np.zeros((len(types), k))
     np.add.at(hot, (order, y), 1)
     seen = np.zeros((k, k))

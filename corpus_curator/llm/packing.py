@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import saved, slices
+from .tables import Memo, saved, slices
 
 SEQUENCE = 4096
 END_ID = 1
@@ -65,10 +65,9 @@ class Encoder:
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.model = self.tokenizer.model
         self.split = regex.compile(PIECE).findall
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces, self.chunks = Memo(self._piece, limit), Memo(self._chunk, limit)
 
-    def _chunk(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -79,33 +78,19 @@ class Encoder:
         ids = [t.id for t in self.model.tokenize(text)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _parts(self, chunk: str) -> list[str] | None:
+    def _chunk(self, chunk: str) -> bytes:
         if not (chunk.isascii() or max(chunk) < "\u0250") or not chunk.isprintable() \
                 or "<|" in chunk:
-            return None
+            return self._whole(chunk)
         low = chunk.lower()
         core = low.rstrip(".,;:!?|")
         if core.isalpha():
-            return [core] if len(core) == len(low) else [core, low[len(core):]]
-        return self.split(low)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split) - self.chunks.keys()
-        if len(self.chunks) + len(new) > self.limit:
-            self.chunks = {"": b""}
-            new = set().union(*split) - self.chunks.keys()
-        parts = {c: self._parts(c) for c in new}
-        missing = {p for found in parts.values() if found for p in found} - self.pieces.keys()
-        if len(self.pieces) + len(missing) > self.limit:
-            self.pieces = {}
-            missing = {p for found in parts.values() if found for p in found}
-        for p in missing:
-            self.pieces[p] = self._piece(p)
-        for c, found in parts.items():
-            self.chunks[c] = (self._chunk(c) if found is None
-                              else b"".join(map(self.pieces.__getitem__, found)))
-        return [b"".join(map(self.chunks.__getitem__, words)) for words in split]
+            tail = low[len(core):]
+            return self.pieces[core] + self.pieces[tail] if tail else self.pieces[core]
+        return b"".join(map(self.pieces.__getitem__, self.split(low)))
+
+    def __call__(self, text: str) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -129,8 +114,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) ->
         encode, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         for ids, texts in slices(batches):
             rows = []
-            for doc_id, data in zip(ids, encode([t or "" for t in texts])):
-                data += end
+            for doc_id, text in zip(ids, texts):
+                data = encode(text or "") + end
                 for k, at in enumerate(range(0, len(data), 4 * sequence)):
                     one = data[at:at + 4 * sequence]
                     rows.append((doc_id, k, at // 4, len(one) // 4, zlib.crc32(one), part))

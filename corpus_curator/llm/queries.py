@@ -19,12 +19,29 @@ def _held_out(modulus: int, rest: int):
     return F.coalesce(remainder("doc_id", modulus) == rest, F.lit(False)).alias("held_out")
 
 
+def _predicted():
+    return (F.col("score") >= 0.5).cast("int").alias("predicted")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+    scored = quality.score_quality(table(spark, sf_dir, "documents"),
+                                   table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", _held_out(3, 1), "score", _predicted())
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
     found = langid.identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", _held_out(3, 1), "lang_pred", "score", "switches", "n_words")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+    return decontam.find_items(table(spark, sf_dir, "documents"),
+                               table(spark, sf_dir, "benchmark"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import license_scan
     return license_scan.digest(license_scan.find_notices(table(spark, sf_dir, "documents")))
@@ -40,16 +57,33 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"),
+                                     table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", _held_out(5, 0), "score", _predicted())
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_dup
     return near_dup.link(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
+    "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
     "op6_packing": op6_packing,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_nearest": op9_nearest,
     "op10_near_dup": op10_near_dup,
 }
 

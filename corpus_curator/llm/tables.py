@@ -51,16 +51,19 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """A bounded memo of ``make(key)``; cleared when full, so results never depend on it."""
+    """A bounded memo of ``make(key)``: cleared when full, long keys are not kept;
+    results never depend on it."""
 
     def __init__(self, make: Callable, limit: int = 400_000):
         super().__init__()
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -104,3 +107,37 @@ def block_pairs(members: DataFrame, group: str, member: str, block: int) -> Data
             .when(F.col("_own") < F.col("_other"), 0).otherwise(1))
     return (out.withColumn("pair", F.concat_ws(":", F.col(group).cast("string"), lo, hi))
             .withColumn("side", side).drop("_k", "_own", "_other"))
+
+
+#: A-Z to a-z; everything below 0x80 that is no letter or digit to a blank.
+WORD_BYTES = bytes(
+    b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80
+    else 0x20 for b in range(256))
+
+
+def bloom_bits(keys: int, per_key: int = 16, most: int = 1 << 29) -> int:
+    return min(most, 1 << (per_key * max(1, keys)).bit_length())
+
+
+def bloom(keys: DataFrame, bits: int) -> np.ndarray:
+    """One bit per key hash (the first column, a long), or-ed together over the
+    partitions in a tree; its size is fixed by ``bits`` whatever the number of keys."""
+    def part(batches):
+        out = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy() & (bits - 1)
+            np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        if out.any():
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())],
+                                             names=["bits"])
+
+    found = keys.mapInArrow(part, "bits binary").rdd.map(
+        lambda r: np.frombuffer(r[0], np.uint8))
+    return found.treeAggregate(np.zeros(bits // 8, np.uint8), np.bitwise_or, np.bitwise_or, 2)
+
+
+def bloom_hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the (unsigned) keys may be in the filter; none that is in it is missed."""
+    at = keys & np.uint64(len(bits) * 8 - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)]
+            >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1

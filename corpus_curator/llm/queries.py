@@ -47,6 +47,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.find_notices(table(spark, sf_dir, "documents")))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm_score
+    scored = lm_score.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_decontamination": op3_decontamination,
     "op4_license_scan": op4_license_scan,
+    "op5_lm_score": op5_lm_score,
     "op6_packing": op6_packing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_toxicity": op8_toxicity,

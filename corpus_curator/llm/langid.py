@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .tables import Memo, remainder, slices
+from .tables import Memo, remainder
 
 #: Rows the field is fitted on: about this many per language (whole texts), at most MAX_WORDS words.
 SAMPLE_PER_LANGUAGE = 250
@@ -210,8 +211,10 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Field:
                 sorted(picked.collect(), key=lambda r: (r["doc_id"], r["text"]))])
 
 
-def predict(docs: DataFrame, field: Field) -> DataFrame:
-    """One row per document: ``doc_id, lang_pred, score, switches, n_words``.
+def predict(docs: DataFrame, field: Field, carry: bool = False) -> DataFrame:
+    """One row per document: ``doc_id, lang_pred, score, switches, n_words``; with
+    ``carry`` all columns of ``docs`` instead of ``doc_id`` (of those that have a
+    name of the result, the document's).
 
     ``score`` is the share of the posterior mass of all words (those with a
     letter) on the predicted language; ``switches`` counts changes of label
@@ -220,19 +223,24 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
     other columns are ignored, an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)  # size fixed by BUCKETS
-    schema = "doc_id bigint, lang_pred string, score double, switches bigint, n_words bigint"
+    own = T.StructType([
+        T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
+        T.StructField("switches", T.LongType()), T.StructField("n_words", T.LongType())])
+    names = docs.columns if carry else ["doc_id"]
+    rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in names], "text")
+    schema = T.StructType(rows.schema.fields[:-1] + own.fields)
 
     def run(batches):
         field = shared.value
         k = len(field.labels)
         memo = Memo(field.scores, 300_000)
 
-        def flush(ids, texts):
+        def flush(others, texts):
             split = [[w for w in _words(t or "") if any(map(str.isalpha, w))] for t in texts]
             sizes = np.array([len(w) for w in split])
-            n = int(sizes.sum())
-            pred, score = ["und"] * len(ids), np.zeros(len(ids))
-            changes = np.zeros(len(ids), dtype=np.int64)
+            n, docs = int(sizes.sum()), len(texts)
+            pred, score = ["und"] * docs, np.zeros(docs)
+            changes = np.zeros(docs, dtype=np.int64)
             if n:
                 e = np.empty((n, k))
                 at = 0
@@ -240,28 +248,31 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
                     for w in words:
                         e[at] = memo[w]
                         at += 1
-                owner = np.repeat(np.arange(len(ids)), sizes)
+                owner = np.repeat(np.arange(docs), sizes)
                 begins = np.ones(n, bool)
                 begins[1:] = owner[1:] != owner[:-1]
                 gamma, _ = forward_backward(e, field.trans, field.start, begins)
-                mass = np.stack([np.bincount(owner, gamma[:, c], minlength=len(ids))
+                mass = np.stack([np.bincount(owner, gamma[:, c], minlength=docs)
                                  for c in range(k)], 1)
                 top = gamma.argmax(1)
                 moved = np.zeros(n, bool)
                 moved[1:] = (top[1:] != top[:-1]) & ~begins[1:]
-                changes = np.bincount(owner, moved, minlength=len(ids)).astype(np.int64)
+                changes = np.bincount(owner, moved, minlength=docs).astype(np.int64)
                 for i in np.flatnonzero(sizes):
                     pred[i] = field.labels[int(mass[i].argmax())]
                     score[i] = mass[i].max() / sizes[i]
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(pred, pa.string()), pa.array(score),
-                 pa.array(changes), pa.array(sizes, pa.int64())],
-                names=["doc_id", "lang_pred", "score", "switches", "n_words"])
+                [*others, pa.array(pred, pa.string()), pa.array(score),
+                 pa.array(changes), pa.array(sizes, pa.int64())], names=schema.names)
 
-        for ids, texts in slices(batches, 256):
-            yield flush(ids, texts)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                *others, texts = batch.slice(at, 256).columns
+                yield flush(others, texts.to_pylist())
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    found = rows.mapInArrow(run, schema)
+    return found.select(*[F.col(f"c_{c}").alias(c) for c in names],
+                        *[c for c in own.names if c not in names])
 
 
 def identify(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .tables import remainder, table
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("word_bpe_49k.json")
 
@@ -55,7 +55,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,11 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_nearest": op9_nearest,
     "op10_near_dup": op10_near_dup,
+    "pipeline": pipeline,
 }
 
 #: No operator here is expressible in SQL over whole tables within the time of

@@ -1,0 +1,108 @@
+"""Quality and toxicity: held-out accuracy and odd rows."""
+
+import random
+
+import numpy as np
+from fixtures import clash, docs, odd_rows, words
+from pyspark.sql import functions as F
+
+from corpus_curator.llm import quality, toxicity
+
+LABELS = "doc_id bigint, quality int, toxic int"
+
+
+def accuracy(scored, labels, column, modulus, rest):
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest
+    rows = scored.join(labels, "doc_id").filter(held).select("score", column).collect()
+    assert len(rows) > 20
+    return np.mean([(r[0] >= 0.5) == (r[1] == 1) for r in rows])
+
+
+def test_quality_held_out(spark):
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(240):
+        good = i % 3 != 0
+        w = words(rng.randrange(20, 200), i, 3000)
+        text = " ".join(w) + "." if good else rng.choice(
+            [" ".join(x.upper() + "!!" for x in w), " ".join(w[:2] * 60), " | ".join(w) + " ###"])
+        rows.append((i, text))
+        labels.append((i, int(good), 0))
+    table, known = docs(spark, rows), spark.createDataFrame(labels, LABELS)
+    scored = quality.score_quality(table, known)
+    assert scored.count() == 240
+    assert accuracy(scored, known, "quality", 3, 1) >= 0.95
+
+
+def test_isotonic_is_monotone():
+    x = np.arange(8.0)
+    centres, levels = quality.isotonic(x, np.array([.1, .3, .2, .2, .6, .5, .9, .8]), np.ones(8))
+    assert (np.diff(levels) > 0).all() and (np.diff(centres) > 0).all()
+    assert np.isclose(levels[0], .1) and np.isclose(levels[1], .7 / 3)
+
+
+def test_fourier_features_approximate_the_kernel():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((40, quality.N_STATS))
+    z = quality.fourier(x, np.zeros(quality.N_STATS), np.ones(quality.N_STATS))
+    z = z[:, quality.N_STATS:-1]
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    assert np.abs(z @ z.T - np.exp(-d / (2 * quality.N_STATS))).mean() < 0.06
+
+
+def toxic_rows():
+    rng = random.Random(2)
+    bad = ["grobnik", "zlotek", "murkel", "drassig"]
+    rows, labels = [], []
+    for i in range(400):
+        w = words(rng.randrange(10, 80), i, 500)
+        w = ["".join(rng.choice(["an", "er", "in", "ti", "on"]) for _ in range(3)) + "e"
+             if rng.random() < .5 else x for x in w]
+        toxic = i % 5 == 2
+        if toxic:
+            for _ in range(rng.randrange(1, 4)):
+                w.insert(rng.randrange(len(w)), rng.choice(bad) + rng.choice(["", "", "en", "s"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(toxic)))
+    return rows, labels
+
+
+def test_toxicity_held_out_and_obfuscated(spark):
+    rows, labels = toxic_rows()
+    hidden = ["gr0bn1k", "z l o t e k", "muuuurkel", "dr@$$ig", "g.r.o.b.n.i.k", "zl0t3k!"]
+    extra = [(1000 + i, f"enanine tionere {h} ananere") for i, h in enumerate(hidden)]
+    clean = [(2000 + i, f"enanine tionere {h} ananere") for i, h in enumerate(
+        ["t0k3n", "a b c d", "wwww", "x@y.example", "12:30", "enan-ine"])]
+    table = docs(spark, rows + extra + clean)
+    known = spark.createDataFrame(labels, LABELS)
+    scored = toxicity.score_toxicity(table, known)
+    assert accuracy(scored, known, "toxic", 5, 0) >= 0.97
+    got = {r.doc_id: r.score for r in scored.filter("doc_id >= 1000").collect()}
+    assert all(got[d] >= 0.5 for d, _ in extra) and all(got[d] < 0.5 for d, _ in clean)
+
+
+def test_decoding_prefers_what_the_model_knows():
+    counts = np.zeros((toxicity.V,) * 3)
+    for word in ("moron", "idiot", "stupid"):
+        c = [0, 0, *(toxicity._code(x) for x in word), 0, 0]
+        for t in zip(c, c[1:], c[2:]):
+            counts[t] += 50
+    cost = toxicity.language_model(counts)
+    for raw, want in (("m0r0n", "moron"), ("1d10t", "idiot"), ("s t u p i d", "stupid"),
+                      ("stuuupid", "stupid"), ("i.d.i.o.t", "idiot"), ("moron", "moron")):
+        assert toxicity.decode(raw, cost)[0] == want
+
+
+def test_odd_rows(spark):
+    rows = odd_rows()
+    empty = spark.createDataFrame([], LABELS)
+    some = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (6, None, None), (None, 1, 1), (4, 0, 1),
+                                  (5, 1, 0), (2, 0, 0), (77, 1, 1)], LABELS)
+    for known in (empty, some):
+        for scored in (quality.score_quality(clash(docs(spark, rows)), known),
+                       toxicity.score_toxicity(clash(docs(spark, rows)), known)):
+            got = scored.collect()
+            assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert {r.score for r in quality.score_quality(docs(spark, rows), empty).collect()} == {0.5}
+    assert quality.score_quality(docs(spark, []), some).collect() == []
+    assert toxicity.score_toxicity(docs(spark, []), some).collect() == []

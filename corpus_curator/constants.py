@@ -88,9 +88,6 @@ MD_SAMPLE_MARKER = "# --------------------------- sample"
 SMALL_PROMPT_TOKENS = 3800
 MAX_PROMPT_TOKENS = 16000
 
-# Characters of a document put into a tagging prompt.
-MAX_PROMPT_CHARS = 2500
-
 # Bradley-Terry defaults: learning rate, iterations (script default and the
 # pipeline setting), uniform score range.
 BT_LEARNING_RATE = 0.05

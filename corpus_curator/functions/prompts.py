@@ -82,9 +82,9 @@ def render_pair_prompt(df: DataFrame, template: str, text_1: str = "text_1",
     return df.withColumn(out, render(template, {"text_1": text_1, "text_2": text_2}))
 
 
-def render_prompt(df: DataFrame, template: str, text_col: str = "text", max_chars: int | None = 2500,
+def render_prompt(df: DataFrame, template: str, text_col: str = "text", max_chars: int | None = None,
                   out: str = "prompt", extra: Mapping[str, Column | str] | None = None) -> DataFrame:
-    """One-document prompt (``{instance}``), the text cut to ``max_chars``."""
+    """One-document prompt (``{instance}``) of the whole text; ``max_chars`` cuts it."""
     text = F.col(text_col) if max_chars is None else F.substring(F.col(text_col), 1, max_chars)
     slots = {"instance": text, **(extra or {})}
     return df.withColumn(out, render(template, slots))
@@ -104,12 +104,11 @@ def subtree_json(taxonomy: DataFrame) -> DataFrame:
 
 def render_subtree_prompt(df: DataFrame, taxonomy: DataFrame, template: str,
                           text_col: str = "text", first_col: str = "first_level_tag",
-                          max_chars: int | None = 2500, out: str = "prompt") -> DataFrame:
+                          max_chars: int | None = None, out: str = "prompt") -> DataFrame:
     """Second/third-level prompt with the first tag and that tag's subtree.
     A first tag missing from the taxonomy gets a null prompt and
     ``status = 'bad_first_level'``."""
-    from .joins import join_small
-    trees = join_small(subtree_json(taxonomy).withColumnRenamed("first", "_first"), max_rows=100_000)
+    trees = subtree_json(taxonomy).withColumnRenamed("first", "_first")
     j = df.join(trees, F.lower(F.col(first_col)) == F.col("_first"), "left")
     text = F.col(text_col) if max_chars is None else F.substring(F.col(text_col), 1, max_chars)
     prompt = render(template, {"instance": text, "first_level_tag": F.col(first_col),

@@ -19,8 +19,12 @@ def _col(c) -> Column:
 
 
 def keyed(key, salt=None) -> Column:
-    """The string that is hashed: ``key`` or ``key:salt``."""
-    k = _col(key).cast("string")
+    """The string that is hashed: ``key`` or ``key:salt``; several key columns
+    are joined by ``|``."""
+    if isinstance(key, (list, tuple)):
+        k = F.concat_ws("|", *[_col(c).cast("string") for c in key])
+    else:
+        k = _col(key).cast("string")
     if salt is None:
         return k
     return F.concat(k, F.lit(f":{salt}"))

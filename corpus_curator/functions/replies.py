@@ -43,10 +43,11 @@ def remove_fence(c) -> Column:
 
 
 def json_body(reply) -> Column:
-    """The fence-free reply if it has the strict shape of one JSON object or
-    array with nothing after it, else null."""
+    """The fence-free reply if it is one JSON object or array and nothing else
+    (put in an array it makes an array of one element), else null."""
     body = remove_fence(reply)
-    return F.when(body.rlike(STRICT_SHAPE), body)
+    alone = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
+    return F.when(body.rlike(STRICT_SHAPE) & alone, body)
 
 
 def has_keys(keys: Column, *names: str) -> Column:
@@ -152,12 +153,10 @@ def validate_second_third(df: DataFrame, taxonomy: DataFrame, reply_col: str = "
                           first_col: str = "first_level_tag", literal: bool = False) -> DataFrame:
     """Second/third-level reply: the three keys present and the path
     (first, second, third) an edge of the taxonomy; stored lower-cased."""
-    from .joins import join_small
     p = parse_reply(df, "second_level_tag string, third_level_tag string, explanation string",
                     reply_col, ("second_level_tag", "third_level_tag", "explanation"), literal)
-    edges = join_small(taxonomy.select(F.lower("first").alias("_f"), F.col("second").alias("_s"),
-                                       F.col("third").alias("_t")).distinct()
-                       .withColumn("_hit", F.lit(True)), max_rows=2_000_000)
+    edges = (taxonomy.select(F.lower("first").alias("_f"), F.col("second").alias("_s"),
+                             F.col("third").alias("_t")).distinct().withColumn("_hit", F.lit(True)))
     j = p.join(edges, (F.lower(F.col(first_col)) == F.col("_f"))
                & (F.col("parsed.second_level_tag") == F.col("_s"))
                & (F.col("parsed.third_level_tag") == F.col("_t")), "left")
@@ -185,7 +184,7 @@ def validate_flat_tags(df: DataFrame, reply_col: str = "reply",
     all_keys = F.forall("_items", lambda m: F.map_contains_key(m, "tag")
                         & F.map_contains_key(m, "explanation"))
     kept = F.filter("_items", lambda m: (F.size(F.split(m["tag"], ">", -1)) == 3)
-                    & F.coalesce(F.array_contains(vocab, F.trim(F.split(m["tag"], ">", -1)[0])),
+                    & F.coalesce(F.array_contains(vocab, strip_ws(F.split(m["tag"], ">", -1)[0])),
                                  F.lit(False)))
     status = (F.when(F.col(reply_col).isNull() | (F.col(reply_col) == FAILED), F.lit("failed"))
               .when(F.col("_items").isNull(), F.lit("no_json"))

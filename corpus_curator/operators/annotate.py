@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import FAILED, MAX_PROMPT_CHARS
+from ..constants import FAILED
 from ..functions import prompts as PR
 from ..functions import replies as RP
 
@@ -31,16 +31,12 @@ def annotate(df: DataFrame, fn: Callable, prompt_col: str = "prompt", reply_col:
     one reply, or with ``vectorized=True`` a pandas Series of prompts to a
     Series of replies. Null prompts get a null reply.
 
-    The cost is per prompt (a service call), not per byte, so the prompts are
-    spread over ``partitions`` tasks (default: the cluster's parallelism)
-    instead of the few large partitions that size-based coalescing would
-    leave; ``partitions=0`` keeps the input partitioning.
+    The input partitioning is kept; ``partitions`` spreads the prompts over that
+    many tasks instead (the cost is per prompt, not per byte).
 
     Every action on the result calls ``fn`` again: write or checkpoint the
     annotated DataFrame before using it twice (the flows in ``plans.flows``
     checkpoint each annotation stage)."""
-    if partitions is None:
-        partitions = df.sparkSession.sparkContext.defaultParallelism
     if partitions:
         df = df.repartition(partitions)
     schema = T.StructType(df.schema.fields + [T.StructField(reply_col, T.StringType(), True)])
@@ -100,7 +96,7 @@ def rate_pairs(docs: DataFrame, pairs: DataFrame, task: str, fn: Callable,
 
 
 def summarize(docs: DataFrame, fn: Callable, templates: Mapping[str, str] | None = None,
-              id_col: str = "doc_id", text_col: str = "text", max_chars: int = MAX_PROMPT_CHARS,
+              id_col: str = "doc_id", text_col: str = "text", max_chars: int | None = None,
               **kw) -> DataFrame:
     """``(instance_id, summary, status)``."""
     templates = templates or PR.default_templates()
@@ -111,7 +107,7 @@ def summarize(docs: DataFrame, fn: Callable, templates: Mapping[str, str] | None
 
 
 def tag_first_level(records: DataFrame, fn: Callable, templates: Mapping[str, str] | None = None,
-                    text_col: str = "summary", max_chars: int = MAX_PROMPT_CHARS, **kw) -> DataFrame:
+                    text_col: str = "summary", max_chars: int | None = None, **kw) -> DataFrame:
     """``(instance_id, summary, first_level_tag, first_level_explanation, status)``
     from summary records (the summary is the text that is tagged)."""
     templates = templates or PR.default_templates()
@@ -123,7 +119,7 @@ def tag_first_level(records: DataFrame, fn: Callable, templates: Mapping[str, st
 
 def tag_second_third(records: DataFrame, taxonomy: DataFrame, fn: Callable,
                      templates: Mapping[str, str] | None = None, text_col: str = "summary",
-                     max_chars: int = MAX_PROMPT_CHARS, **kw) -> DataFrame:
+                     max_chars: int | None = None, **kw) -> DataFrame:
     """Full tag records from first-level records and the taxonomy."""
     templates = templates or PR.default_templates()
     base = records.select("instance_id", "summary", "first_level_tag", "first_level_explanation")
@@ -144,7 +140,7 @@ def tag_second_third(records: DataFrame, taxonomy: DataFrame, fn: Callable,
 
 
 def tag_flat(docs: DataFrame, fn: Callable, templates: Mapping[str, str] | None = None,
-             id_col: str = "doc_id", text_col: str = "text", max_chars: int = MAX_PROMPT_CHARS,
+             id_col: str = "doc_id", text_col: str = "text", max_chars: int | None = None,
              **kw) -> DataFrame:
     """``(instance_id, tags, status)`` with three-level tag paths."""
     templates = templates or PR.default_templates()

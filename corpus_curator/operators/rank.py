@@ -3,9 +3,10 @@
 An unpartitioned window (``row_number() over (order by x)``) moves every row to
 a single task. Here the rows are range-partitioned and sorted by Spark
 (``orderBy``), each row is tagged with its partition id and position inside the
-partition, and the layout is fixed by a reliable checkpoint. The ordinal is
-then the partition's offset (a prefix sum over one small row per partition)
-plus the position. Ranks within groups subtract the group's first ordinal.
+partition, and the layout is fixed by writing it to the shared folder. The
+ordinal is then the partition's offset (a prefix sum over one small row per
+partition) plus the position. Ranks within groups subtract the group's first
+ordinal. It is the same at every size.
 """
 
 from __future__ import annotations
@@ -20,38 +21,23 @@ from ..session import materialize
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition id above bit 33
 
 
-SMALL_RANK_ROWS = 1_000_000
-
-
 def global_rank(df: DataFrame, order_by: Sequence[Column | str], by: Sequence[str] = (),
-                name: str = "rank", start: int = 1,
-                small_rows: int | None = None) -> DataFrame:
+                name: str = "rank", start: int = 1) -> DataFrame:
     """Add ``name``: position of each row in ``order_by`` order (within ``by``
     groups when given), counting from ``start``.
 
     ``order_by`` must make the order total (end it with a unique key), else
-    tied rows get an arbitrary but fixed order. The input is counted first; up
-    to ``small_rows`` rows a window ranks them (one task per group, bounded by
-    that count), above it the distributed method runs.
+    tied rows get an arbitrary but fixed order. All columns of ``df`` are
+    sorted and written once: pass the key and the order columns, not whole
+    records.
     """
     by = list(by)
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    if small_rows is None:
-        small_rows = SMALL_RANK_ROWS
-    if df.count() <= small_rows:
-        w = (Window.partitionBy(*[F.col(c) for c in by]) if by else Window).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(w) - F.lit(1) + F.lit(start)).cast("long"))
-    return _distributed_rank(df, order, by, name, start)
-
-
-def _distributed_rank(df: DataFrame, order: list, by: list, name: str, start: int) -> DataFrame:
-    tagged = (
+    tagged = materialize(
         df.orderBy(*[F.col(c) for c in by], *order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_local", F.monotonically_increasing_id()
-                    - F.shiftleft(F.col("_pid").cast("long"), _LOCAL_BITS))
-    )
-    tagged = materialize(tagged)
+                    - F.shiftleft(F.col("_pid").cast("long"), _LOCAL_BITS)))
     # one row per partition: a prefix sum over them is cheap
     offsets = (
         tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
@@ -59,15 +45,13 @@ def _distributed_rank(df: DataFrame, order: list, by: list, name: str, start: in
             Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .select("_pid", "_offset")
     )
-    ranked = tagged.join(F.broadcast(offsets), "_pid").withColumn(
-        "_gord", F.col("_offset") + F.col("_local"))
+    ranked = tagged.join(offsets, "_pid").withColumn("_gord", F.col("_offset") + F.col("_local"))
     if by:
-        # one row per group; broadcast after a size check, so a group holding
-        # most of the rows does not land in one shuffle partition
-        from ..functions.joins import join_small
-        firsts = join_small(ranked.groupBy(*by).agg(F.min("_gord").alias("_first")))
-        ranked = ranked.join(firsts, by).withColumn("_gord", F.col("_gord") - F.col("_first"))
-        ranked = ranked.drop("_first")
+        firsts = ranked.groupBy(*by).agg(F.min("_gord").alias("_first"))
+        same = [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by]
+        ranked = (ranked.alias("r").join(firsts.alias("f"), same)
+                  .select("r.*", "f._first")
+                  .withColumn("_gord", F.col("_gord") - F.col("_first")).drop("_first"))
     return ranked.withColumn(name, F.col("_gord") + F.lit(start)).drop(
         "_pid", "_local", "_offset", "_gord")
 
@@ -75,3 +59,21 @@ def _distributed_rank(df: DataFrame, order: list, by: list, name: str, start: in
 def dense_index(df: DataFrame, cols: Sequence[str], name: str = "idx") -> DataFrame:
     """Distinct values of ``cols`` numbered 0..k-1 in sorted order (item -> index map)."""
     return global_rank(df.select(*cols).distinct(), list(cols), name=name, start=0)
+
+
+def take_exact(df: DataFrame, need: int | str, by: Sequence[str] = ()) -> DataFrame:
+    """Exactly ``need`` rows of ``df`` (of every ``by`` group; ``need`` may name a
+    column that is the same in a group), any of them, without a sort and without
+    gathering them: every partition of the written rows knows how many the ones
+    before it hold."""
+    by = list(by)
+    want = F.lit(need) if isinstance(need, int) else F.col(need)
+    tagged = materialize(df.withColumn("_pid", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0))
+    counts = (tagged.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_before", before).drop("_n"))
+    own = F.row_number().over(Window.partitionBy(*by, "_pid").orderBy(F.lit(1)))
+    return (tagged.withColumn("_own", own).join(counts, [*by, "_pid"])
+            .filter(F.col("_before") + F.col("_own") <= want).drop("_pid", "_own", "_before"))

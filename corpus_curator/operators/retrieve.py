@@ -3,40 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..session import materialize
 
-BROADCAST_IDS = 5_000_000
-
-
-def retrieve_by_uuid(ids: DataFrame, corpus: DataFrame, key: str = "uuid", how: str = "left",
-                     max_broadcast_rows: int | None = None,
-                     ids_materialized: bool = False) -> DataFrame:
+def retrieve_by_uuid(ids: DataFrame, corpus: DataFrame, key: str = "uuid",
+                     how: str = "left") -> DataFrame:
     """Records of the sampled ids.
 
     ``how="left"`` keeps every id: unknown ids get null columns, duplicate
     corpus keys multiply rows (a left join from the ids). ``how="semi"``
-    returns the corpus rows whose key was sampled, each once.
-
-    The id list is materialised (unless ``ids_materialized``) and counted
-    first. Within ``max_broadcast_rows`` it is broadcast and the corpus is
-    only scanned, never shuffled: matched rows come from an inner broadcast join, unknown
-    ids from an anti join of the (small) ids against the matched keys. Above
-    the bound the join shuffles both sides (AQE splits a skewed key); a corpus
-    bucketed by ``key`` avoids the corpus shuffle for repeated draws.
+    returns the corpus rows whose key was sampled, each once. One join; Spark
+    picks the build side by size and splits a skewed key; a corpus bucketed by
+    ``key`` is not shuffled.
     """
-    if max_broadcast_rows is None:
-        max_broadcast_rows = BROADCAST_IDS
-    ids = ids.select(key) if ids_materialized else materialize(ids.select(key))
-    small = ids.count() <= max_broadcast_rows
+    ids = ids.select(key)
     if how == "semi":
-        return corpus.join(F.broadcast(ids.distinct()) if small else ids.distinct(), key, "left_semi")
-    if how != "left":
-        return ids.join(corpus, key, how)
-    if not small:
-        return ids.join(corpus, key, "left")
-    matched = corpus.join(F.broadcast(ids), key, "inner")
-    found = corpus.select(key).join(F.broadcast(ids.distinct()), key, "left_semi").distinct()
-    missing = ids.join(found, key, "left_anti")
-    return matched.unionByName(missing, allowMissingColumns=True)
+        return corpus.join(ids, key, "left_semi")
+    return ids.join(corpus, key, how)

@@ -10,11 +10,11 @@ rows in one task: the keys are put in logarithmic buckets
 (``floor(ln(key) * resolution)``), a histogram per group is built with a
 map-side combined aggregate (a few thousand rows per group), a running sum over
 that small table finds the bucket that holds the n-th key, and only the rows of
-that boundary bucket are ranked exactly (re-bucketed finer first if it is
-large). That yields one threshold ``(key*, tie*)`` per group; the sample is a
-single filter ``(key, tie) <= (key*, tie*)`` over the input. Only the boundary
-bucket number and the threshold pair reach the driver (per-group thresholds
-stay a small broadcast table).
+that boundary bucket (at most about 0.04 % of a group, copies apart) are ranked,
+by the distributed ``global_rank``. That yields one threshold ``(key*, tie*)``
+per group; the sample is a single filter ``(key, tie) <= (key*, tie*)`` over the
+input. Rows that agree in key and tie with the threshold are cut to the exact
+number. The method is the same at every size.
 """
 
 from __future__ import annotations
@@ -26,11 +26,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import sampling_key, uniform
+from ..session import materialize
+from .rank import global_rank, take_exact
 
 _RESOLUTION = 1024  # log buckets per unit of ln(key); relative width ~0.1 %
 _LOW_BUCKET = -(1 << 40)
-_EDGE_MAX = 2_000_000  # rows of the boundary bucket ranked in one task; finer buckets above
-_MAX_REFINE = 3
+
+
+def _names(cols: str | Sequence[str]) -> list[str]:
+    return [cols] if isinstance(cols, str) else list(cols)
 
 
 def _bucket(key: Column, resolution: int) -> Column:
@@ -38,148 +42,138 @@ def _bucket(key: Column, resolution: int) -> Column:
                       F.lit(_LOW_BUCKET))
 
 
-def _below(key: str, tie: str, ts: Column, tk: Column) -> Column:
-    """(key, tie) <= (ts, tk) in lexicographic order, as one struct
-    comparison so the (md5-based) key is referenced once."""
-    return F.struct(F.col(key).alias("k"), F.col(tie).alias("t")) <= F.struct(
-        ts.alias("k"), tk.alias("t"))
-
+def _row(cols: Sequence[Column]) -> Column:
+    """One struct to compare by: the (md5-based) key is referenced once."""
+    return F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)])
 
-def _not_unique(count: int) -> None:
-    # distinct keys separate after a few refinements (relative bucket width
-    # ~1e-12); a bucket this large holds copies of one key, which would have to
-    # be ranked in one task and cannot be cut at an exact count
-    raise ValueError(f"{count} rows share one sampling key value: the key column must be "
-                     "unique per row (deduplicate copies first)")
 
-
-def select_smallest(df: DataFrame, key: str, tie: str, need: DataFrame | int,
+def select_smallest(df: DataFrame, key: str, tie: str | Sequence[str], need: DataFrame | int,
                     by: Sequence[str] = (), resolution: int = _RESOLUTION) -> DataFrame:
-    """Rows with the ``need`` smallest ``(key, tie)`` per ``by`` group.
+    """Rows with the ``need`` smallest ``(key, *tie)`` per ``by`` group.
 
     ``key`` must be a positive double (null keys are never selected); ``need``
     is an int (no groups) or a DataFrame ``(*by, need)``; groups missing from it
-    select nothing. Exact: equal to ``row_number() over (partition by by order
-    by key, tie) <= need``. The result is one filter over ``df`` against the
-    threshold ``(key*, tie*)`` of each group, found from a histogram of
-    logarithmic key buckets and an exact ranking of the boundary bucket only.
-    The density of ln(-ln u / w) is at most 1/e, so a bucket of width
-    1/resolution holds at most ~0.04 % of a group's rows. ``tie`` must be
-    unique per row; many rows sharing one key value raise an error rather
-    than being ranked in one task.
+    select nothing. Exact: as many rows as ``row_number() over (partition by by
+    order by key, tie) <= need``; of rows that agree in key and tie any of the
+    right number are taken.
     """
     keyed = df.filter(F.col(key).isNotNull())
     thr = smallest_threshold(keyed, key, tie, need, by, resolution)
     return apply_threshold(keyed, key, tie, thr, by)
 
 
-def smallest_threshold(keyed: DataFrame, key: str, tie: str, need: DataFrame | int,
-                       by: Sequence[str] = (), resolution: int = _RESOLUTION):
-    """The selection threshold: ``None`` (nothing), ``"all"``, a ``(key*, tie*)``
-    pair (no groups), or a small DataFrame ``(*by, _ts, _tk)`` (null threshold:
-    the whole group)."""
+def smallest_threshold(keyed: DataFrame, key: str, tie: str | Sequence[str],
+                       need: DataFrame | int, by: Sequence[str] = (),
+                       resolution: int = _RESOLUTION):
+    """The selection threshold: ``None`` (nothing), ``"all"``, a pair of the
+    threshold row ``(key*, *tie*)`` and the number of rows equal to it that stay
+    (None: all), or with groups a small DataFrame ``(*by, _t0, _t1.., _cut)``
+    (null threshold: the whole group)."""
     keyed = keyed.filter(F.col(key).isNotNull())
     if not by:
-        return _global_threshold(keyed, key, tie, int(need), resolution)
-    return _group_thresholds(keyed, key, tie, need, list(by), resolution)
+        return _global_threshold(keyed, key, _names(tie), int(need), resolution)
+    return _group_thresholds(keyed, key, _names(tie), need, list(by), resolution)
 
 
-def apply_threshold(df: DataFrame, key: str, tie: str, thr, by: Sequence[str] = (),
-                    key_not_null: bool = False) -> DataFrame:
+def apply_threshold(df: DataFrame, key: str, tie: str | Sequence[str], thr,
+                    by: Sequence[str] = (), key_not_null: bool = False) -> DataFrame:
     """Rows of ``df`` at or below the threshold of their group.
     ``key_not_null``: the caller has already removed null keys."""
     if not key_not_null:
         df = df.filter(F.col(key).isNotNull())
+    cols = [key, *_names(tie)]
+    mine = _row([F.col(c) for c in cols])
     if not by:
         if thr is None:
             return df.limit(0)
         if thr == "all":
             return df
-        return df.filter(_below(key, tie, F.lit(thr[0]), F.lit(thr[1])))
+        values, cut = thr
+        edge = _row([F.lit(v).cast(df.schema[c].dataType) for v, c in zip(values, cols)])
+        if cut is None:
+            return df.filter(mine <= edge)
+        return df.filter(mine < edge).unionByName(take_exact(df.filter(mine == edge), cut))
     by = list(by)
-    # one row per quota group, counted before (quota table checked by join_small)
-    sel = df.join(F.broadcast(thr), by)
-    keep = F.col("_ts").isNull() | _below(key, tie, F.col("_ts"), F.col("_tk"))
-    return sel.filter(keep).drop("_ts", "_tk")
-
-
-def _global_threshold(keyed: DataFrame, key: str, tie: str, need: int, resolution: int):
+    edge = _row([F.col(f"_t{i}") for i in range(len(cols))])
+    drop = [f"_t{i}" for i in range(len(cols))] + ["_cut"]
+    sel = df.join(thr, by)
+    whole = sel.filter(F.col("_t0").isNull() | (mine < edge)
+                       | ((mine == edge) & F.col("_cut").isNull()))
+    if not thr.filter(F.col("_cut").isNotNull()).limit(1).count():
+        return whole.drop(*drop)
+    equal = sel.filter(F.col("_cut").isNotNull() & (mine == edge))
+    return whole.drop(*drop).unionByName(take_exact(equal, "_cut", by).drop(*drop))
+
+
+def _global_threshold(keyed: DataFrame, key: str, tie: list[str], need: int, resolution: int):
     if need <= 0:
         return None
-    rows, res, rest = keyed, resolution, need
-    for depth in range(_MAX_REFINE + 1):
-        b = _bucket(F.col(key), res)
-        hist = rows.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-        # the histogram has one row per occupied bucket: a running sum over it
-        # in one partition is small
-        run = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-        hit = (hist.withColumn("_cum", F.sum("_c").over(run)).filter(F.col("_cum") >= rest)
-               .orderBy("_b").limit(1).collect())
-        if not hit:  # fewer rows than asked for: all of them
-            return "all"
-        bb, cnt = hit[0]["_b"], hit[0]["_c"]
-        rest = rest - (hit[0]["_cum"] - cnt)
-        rows = rows.filter(b == F.lit(bb))
-        if cnt <= _EDGE_MAX:
-            break
-        if depth == _MAX_REFINE:
-            _not_unique(cnt)
-        res *= 1024
+    b = _bucket(F.col(key), resolution)
+    hist = keyed.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    # the histogram has one row per occupied bucket: a running sum over it
+    # in one partition is small
+    run = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    hit = (hist.withColumn("_cum", F.sum("_c").over(run)).filter(F.col("_cum") >= need)
+           .orderBy("_b").limit(1).collect())
+    if not hit:  # fewer rows than asked for: all of them
+        return "all"
+    rest = need - (hit[0]["_cum"] - hit[0]["_c"])
     # the rest-th smallest row of the boundary bucket is the threshold
-    last = (rows.orderBy(F.col(key), F.col(tie)).limit(rest)
-            .agg(F.max(F.struct(F.col(key).alias("k"), F.col(tie).alias("t"))).alias("m"))
-            .first()["m"])
-    return (last["k"], last["t"])
-
-
-def _group_thresholds(keyed: DataFrame, key: str, tie: str, need: DataFrame, by: list[str],
-                      resolution: int) -> DataFrame:
-    from ..functions.joins import join_small
-    from ..session import materialize
-    quotas = join_small(need.select(*by, F.col("need").cast("long").alias("_need"))
-                        .filter(F.col("_need") > 0), max_rows=1_000_000)
-    state = quotas.select(*by, F.col("_need").alias("_rest"))  # rows still to take per group
-    rows, res = keyed, resolution
-    for depth in range(_MAX_REFINE + 1):
-        b = _bucket(F.col(key), res)
-        hist = rows.groupBy(*by, b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-        run = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-        hist = hist.withColumn("_cum", F.sum("_c").over(run)).join(F.broadcast(state), by)
-        # first bucket whose running count reaches what is still needed, one
-        # row per group; a group that never reaches it is absent (takes all)
-        boundary = materialize(
-            hist.filter(F.col("_cum") >= F.col("_rest")).groupBy(*by)
-            .agg(F.min(F.struct("_b", (F.col("_rest") - F.col("_cum") + F.col("_c")).alias("_r"),
-                                F.col("_c").alias("_n"))).alias("_m"))
-            .select(*by, F.col("_m._b").alias("_bb"), F.col("_m._r").alias("_rest"),
-                    F.col("_m._n").alias("_n")))
-        rows = (rows.join(F.broadcast(boundary.select(*by, "_bb")), by)
-                .filter(b == F.col("_bb")).drop("_bb"))
-        state = boundary.select(*by, "_rest")
-        largest = boundary.agg(F.max("_n")).first()[0]
-        if largest is None or largest <= _EDGE_MAX:
-            break
-        if depth == _MAX_REFINE:
-            _not_unique(largest)
-        res *= 1024
-    # exact rank inside each group's boundary bucket only
-    rank = Window.partitionBy(*by).orderBy(F.col(key), F.col(tie))
-    cut = (rows.join(F.broadcast(state), by).withColumn("_rn", F.row_number().over(rank))
-           .filter(F.col("_rn") == F.col("_rest"))
-           .select(*by, F.col(key).alias("_ts"), F.col(tie).alias("_tk")))
+    cols = [key, *tie]
+    ranked = global_rank(keyed.filter(b == F.lit(hit[0]["_b"])).select(*dict.fromkeys(cols)),
+                         list(dict.fromkeys(cols)), name="_rn")
+    values = list(ranked.filter(F.col("_rn") == rest).select(*[F.col(c).alias(f"_t{i}")
+                                                   for i, c in enumerate(cols)]).first())
+    same = _row([F.col(c) for c in cols]) == _row(
+        [F.lit(v).cast(keyed.schema[c].dataType) for v, c in zip(values, cols)])
+    equal = ranked.filter(same).agg(F.min("_rn").alias("first"), F.count("*").alias("n")).first()
+    stay = rest - equal["first"] + 1
+    return values, (stay if stay < equal["n"] else None)
+
+
+def _group_thresholds(keyed: DataFrame, key: str, tie: list[str], need: DataFrame,
+                      by: list[str], resolution: int) -> DataFrame:
+    quotas = materialize(need.select(*by, F.col("need").cast("long").alias("_need"))
+                         .filter(F.col("_need") > 0))
+    b = _bucket(F.col(key), resolution)
+    hist = keyed.groupBy(*by, b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("_cum", F.sum("_c").over(run)).join(quotas, by)
+    # first bucket whose running count reaches what is needed, one row per
+    # group; a group that never reaches it is absent (takes all)
+    boundary = materialize(
+        hist.filter(F.col("_cum") >= F.col("_need")).groupBy(*by)
+        .agg(F.min(F.struct("_b", (F.col("_need") - F.col("_cum") + F.col("_c")).alias("_r")))
+             .alias("_m"))
+        .select(*by, F.col("_m._b").alias("_bb"), F.col("_m._r").alias("_rest")))
+    cols = [key, *tie]
+    inside = (keyed.join(boundary, by).filter(b == F.col("_bb"))
+              .select(*dict.fromkeys([*by, *cols, "_rest"])))
+    ranked = global_rank(inside, list(dict.fromkeys(cols)), by=by, name="_rn")
+    # rows that agree with the threshold row share its group of this aggregate
+    cut = (ranked.groupBy(*by, *[F.col(c).alias(f"_t{i}") for i, c in enumerate(cols)], "_rest")
+           .agg(F.min("_rn").alias("_first"), F.count(F.lit(1)).alias("_n"))
+           .filter((F.col("_first") <= F.col("_rest"))
+                   & (F.col("_rest") < F.col("_first") + F.col("_n")))
+           .withColumn("_stay", F.col("_rest") - F.col("_first") + 1)
+           .withColumn("_cut", F.when(F.col("_stay") < F.col("_n"), F.col("_stay")))
+           .select(*by, *[f"_t{i}" for i in range(len(cols))], "_cut"))
     # groups whose rows do not reach the quota keep everything (null threshold)
     return materialize(quotas.select(*by).join(cut, by, "left"))
 
 
-def draw_rule(df: DataFrame, weight: str = "weight", key: str = "uuid", seed: int | str = 0,
+def draw_rule(df: DataFrame, weight: str = "weight", key: str | Sequence[str] = "uuid",
+              seed: int | str = 0,
               n: int | None = None, fraction: float | None = None,
               quotas: DataFrame | Mapping[str, int] | None = None, by: str | None = None,
-              cap: bool = False, validate: bool = True):
+              cap: bool = False, validate: bool = True, tie: str | Sequence[str] | None = None):
     """Decide a weighted sample on ``df`` (only ``key``, ``weight`` and ``by``
     are read) and return a function that keeps the sampled rows of any
     DataFrame carrying the same ``key`` and ``weight`` columns, e.g. the full
-    records, so the sample needs no join back."""
-    cols = [key, weight] + ([by] if quotas is not None else [])
+    records, so the sample needs no join back. Rows with one ``key`` share its
+    variate; ``tie`` (default: the key) orders rows of equal weight and key."""
+    tie = _names(key if tie is None else tie)
+    cols = list(dict.fromkeys([*_names(key), *tie, weight] + ([by] if quotas is not None else [])))
     # the decision passes (checks, histogram, boundary) all read this narrow
     # projection: keep it for their duration only (lost blocks are recomputed
     # from deterministic lineage), then release it
@@ -193,7 +187,7 @@ def draw_rule(df: DataFrame, weight: str = "weight", key: str = "uuid", seed: in
             need = quotas.select(by, F.col("n").alias("need"))
             if validate:
                 check_weights(narrow, weight, by=[by], need=need, cap=cap)
-            thr = smallest_threshold(narrow, "_sk", key, need, [by])
+            thr = smallest_threshold(narrow, "_sk", tie, need, [by])
             groups = [by]
         else:
             if fraction is not None:
@@ -201,7 +195,7 @@ def draw_rule(df: DataFrame, weight: str = "weight", key: str = "uuid", seed: in
             elif validate:
                 positive = check_weights(narrow, weight, n=n, cap=cap)
                 n = min(n, positive) if cap else n
-            thr = smallest_threshold(narrow, "_sk", key, n)
+            thr = smallest_threshold(narrow, "_sk", tie, n)
             groups = []
     finally:
         narrow.unpersist()
@@ -211,7 +205,7 @@ def draw_rule(df: DataFrame, weight: str = "weight", key: str = "uuid", seed: in
         # the weight is cheaper and reaches the scan
         keyed = (records.filter(F.col(weight).cast("double") > 0)
                  .withColumn("_sk", sampling_key(weight, key, seed)))
-        return apply_threshold(keyed, "_sk", key, thr, groups, key_not_null=True).drop("_sk")
+        return apply_threshold(keyed, "_sk", tie, thr, groups, key_not_null=True).drop("_sk")
 
     return keep
 
@@ -242,14 +236,17 @@ def check_weights(df: DataFrame, weight: str, n: int | None = None,
     return positive
 
 
-def weighted_sample(df: DataFrame, n: int | None = None, weight: str = "weight", key: str = "uuid",
-                    seed: int | str = 0, cap: bool = False, validate: bool = True,
-                    fraction: float | None = None) -> DataFrame:
+def weighted_sample(df: DataFrame, n: int | None = None, weight: str = "weight",
+                    key: str | Sequence[str] = "uuid", seed: int | str = 0, cap: bool = False,
+                    validate: bool = True, fraction: float | None = None,
+                    tie: str | Sequence[str] | None = None) -> DataFrame:
     """n rows without replacement, successive draws proportional to ``weight``.
     Null weight counts as 0; weight 0 is never drawn; ties broken by ``key``.
     ``fraction`` instead of ``n``: that share of the rows with a positive
-    weight (counted in the same pass as the weight checks)."""
-    rule = draw_rule(df, weight, key, seed, n=n, fraction=fraction, cap=cap, validate=validate)
+    weight (counted in the same pass as the weight checks). ``key`` may be several
+    columns; exactly n rows also where keys repeat (``tie`` orders those)."""
+    rule = draw_rule(df, weight, key, seed, n=n, fraction=fraction, cap=cap, validate=validate,
+                     tie=tie)
     return rule(df)
 
 
@@ -262,7 +259,7 @@ def weighted_sample_by(df: DataFrame, quotas: DataFrame | Mapping[str, int],
     return rule(df)
 
 
-def sample_k(df: DataFrame, k: int, key: str, seed: int | str = 0) -> DataFrame:
+def sample_k(df: DataFrame, k: int, key: str | Sequence[str], seed: int | str = 0) -> DataFrame:
     """k rows uniformly without replacement (reproducible)."""
     keyed = df.withColumn("_sk", -F.log(uniform(key, seed)))
     return select_smallest(keyed, "_sk", key, k).drop("_sk")
@@ -270,7 +267,6 @@ def sample_k(df: DataFrame, k: int, key: str, seed: int | str = 0) -> DataFrame:
 
 def shuffle_rows(df: DataFrame, key: str, seed: int | str = 0, name: str = "position") -> DataFrame:
     """A random order of all rows: ``name`` is the 1-based position."""
-    from .rank import global_rank
     keyed = df.withColumn("_u", uniform(key, seed))
     return global_rank(keyed, ["_u", key], name=name).drop("_u")
 
@@ -286,7 +282,6 @@ def slice_input(df: DataFrame, start: int, total: int, id_col: str | None = None
     slice is the feature). Without an id column the position in ``order_by``
     order is used instead (0-based, added as ``position``)."""
     if id_col is None:
-        from .rank import global_rank
         df = global_rank(df, list(order_by), name="position", start=0)
         id_col = "position"
     return df.filter(F.col(id_col) >= start).orderBy(id_col).limit(total)
@@ -296,7 +291,6 @@ def assign_batches(df: DataFrame, size: int, order: str = "input", order_by: Seq
                    key: str | None = None, seed: int | str = 0) -> DataFrame:
     """``batch_id = floor(ordinal / size)`` over the input order or a random
     order; the last batch may be short. Adds ``ordinal`` (0-based) too."""
-    from .rank import global_rank
     if order == "input":
         ranked = global_rank(df, list(order_by), name="ordinal", start=0)
     elif order == "random":

@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BOOST_FACTORS, TAG_EXPONENTS
-from ..functions.joins import join_small
 from ..session import materialize
 
 TAGS = ("first_level_tag", "second_level_tag", "third_level_tag")
@@ -37,13 +36,12 @@ def filter_in_tree(df: DataFrame) -> DataFrame:
 
 def mark_in_tree(df: DataFrame, taxonomy: DataFrame, name: str = "in_tree") -> DataFrame:
     """``in_tree`` = the (first, second, third) path is an edge of the taxonomy.
-    First tags are compared lower-cased (the taxonomy keys are lower case)."""
-    edges = (taxonomy.select(F.lower("first").alias("_f"), F.col("second").alias("_s"),
-                             F.col("third").alias("_t")).distinct()
+    All three levels are compared in lower case, as accepted tags are stored."""
+    edges = (taxonomy.select(F.lower("first").alias("_f"), F.lower("second").alias("_s"),
+                             F.lower("third").alias("_t")).distinct()
              .withColumn("_hit", F.lit(True)))
-    edges = join_small(edges, max_rows=2_000_000)
-    j = df.join(edges, (F.lower(F.col(T1)) == F.col("_f")) & (F.col(T2) == F.col("_s"))
-                & (F.col(T3) == F.col("_t")), "left")
+    j = df.join(edges, (F.lower(T1) == F.col("_f")) & (F.lower(T2) == F.col("_s"))
+                & (F.lower(T3) == F.col("_t")), "left")
     return j.withColumn(name, F.coalesce(F.col("_hit"), F.lit(False))).drop(
         "_f", "_s", "_t", "_hit")
 
@@ -54,51 +52,37 @@ def tag_counts(df: DataFrame, level: int = 3) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
 
-LEVEL_BROADCAST_ROWS = 5_000_000
-
-
-def _levels(df: DataFrame, alpha: float, beta: float, gamma: float) -> tuple[DataFrame, bool]:
-    """Level table and whether it is small enough to broadcast. Level 3 is
-    materialised and counted once; levels 2 and 1 and the joined table have
-    at most as many rows, so that one count bounds all of them."""
-    c3 = materialize(
-        df.filter(F.col(T1).isNotNull() & F.col(T2).isNotNull() & F.col(T3).isNotNull())
-        .groupBy(*TAGS).agg(F.count(F.lit(1)).alias("count_c")))
-    small = c3.count() <= LEVEL_BROADCAST_ROWS
-    bc = F.broadcast if small else (lambda d: d)
-    c2 = bc(c3.groupBy(T1, T2).agg(F.sum("count_c").alias("count_b"),
-                                   F.sum(F.pow("count_c", F.lit(gamma))).alias("sum_weight_c")))
-    c1 = bc(c2.groupBy(T1).agg(F.sum("count_b").alias("count_a"),
-                               F.sum(F.pow("count_b", F.lit(beta))).alias("sum_weight_b")))
-    total = c1.agg(F.sum(F.pow("count_a", F.lit(alpha))).alias("s")).first()["s"]
-    lv = (c3.join(c2, [T1, T2]).join(c1, [T1])
-          .withColumn("sum_weight_a", F.lit(total).cast("double"))
-          .select(*TAGS, "count_c", "count_b", "count_a", "sum_weight_c", "sum_weight_b",
-                  "sum_weight_a"))
-    return lv, small
-
-
 def tag_level_table(df: DataFrame, alpha: float = TAG_EXPONENTS[0],
                     beta: float = TAG_EXPONENTS[1], gamma: float = TAG_EXPONENTS[2]) -> DataFrame:
     """One row per complete (non-null) tag path with count_a, count_b, count_c,
     sum_weight_b, sum_weight_c and sum_weight_a (global).
 
-    Aggregations only: level 3 from the documents (map-side combined), level 2
-    from level 3, level 1 from level 2, the global sum as one scalar; the
-    smaller levels are joined back by broadcast when the level-3 row count
-    (which bounds them all) allows, so a first tag with many sub-paths never
-    gathers them in one task."""
-    return _levels(df, alpha, beta, gamma)[0]
+    Aggregations only: level 3 from the documents (map-side combined, written
+    once), level 2 from level 3, level 1 from level 2, the global sum as one
+    scalar; the smaller levels are joined back to level 3, where Spark
+    broadcasts them by size or splits a first tag with many sub-paths."""
+    c3 = materialize(
+        df.filter(F.col(T1).isNotNull() & F.col(T2).isNotNull() & F.col(T3).isNotNull())
+        .groupBy(*TAGS).agg(F.count(F.lit(1)).alias("count_c")))
+    c2 = c3.groupBy(T1, T2).agg(F.sum("count_c").alias("count_b"),
+                                F.sum(F.pow("count_c", F.lit(gamma))).alias("sum_weight_c"))
+    c1 = c2.groupBy(T1).agg(F.sum("count_b").alias("count_a"),
+                            F.sum(F.pow("count_b", F.lit(beta))).alias("sum_weight_b"))
+    total = c1.agg(F.sum(F.pow("count_a", F.lit(alpha))).alias("s")).first()["s"]
+    return (c3.join(c2, [T1, T2]).join(c1, [T1])
+            .withColumn("sum_weight_a", F.lit(total).cast("double"))
+            .select(*TAGS, "count_c", "count_b", "count_a", "sum_weight_c", "sum_weight_b",
+                    "sum_weight_a"))
 
 
 def tag_probability(df: DataFrame, alpha: float = TAG_EXPONENTS[0],
                     beta: float = TAG_EXPONENTS[1], gamma: float = TAG_EXPONENTS[2],
                     normalize: bool = False, name: str = "probability") -> DataFrame:
     """Attach the per-document probability. ``normalize`` divides by the global
-    sum of count_a^alpha so the probabilities add up to 1."""
-    lv, small = _levels(df, alpha, beta, gamma)
-    if small:
-        lv = F.broadcast(lv)  # one row per tag path, counted above
+    sum of count_a^alpha so the probabilities add up to 1. The level table is
+    written before the join, so Spark knows its size: it is broadcast when it
+    is small, and beyond that a popular path's documents are split."""
+    lv = materialize(tag_level_table(df, alpha, beta, gamma))
     p = (F.pow("count_a", F.lit(alpha))
          * (F.pow("count_b", F.lit(beta)) / F.col("sum_weight_b"))
          * (F.pow("count_c", F.lit(gamma)) / F.col("sum_weight_c"))
@@ -116,8 +100,8 @@ def boost_weight(df: DataFrame, boost_tags: Sequence[str] | DataFrame, weight: s
     second is, else factors[2] if the third is, else keep."""
     name = name or weight
     if isinstance(boost_tags, DataFrame):
-        lst = join_small(boost_tags.select(F.col(boost_tags.columns[0]).alias("_tag")).distinct(),
-                         max_rows=1_000_000).withColumn("_one", F.lit(True))
+        lst = (boost_tags.select(F.col(boost_tags.columns[0]).alias("_tag")).distinct()
+               .withColumn("_one", F.lit(True)))
         out = df
         for i, t in enumerate(TAGS):
             out = out.join(lst.withColumnRenamed("_one", f"_hit{i}"),

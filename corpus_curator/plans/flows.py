@@ -32,8 +32,8 @@ def rating_sample(rated: DataFrame, corpus: DataFrame | None = None, n: int | No
     recs = rated if corpus is None else rated.select(key, *[F.col(f"`{f}`") for f in fields])
     counts: dict = {}
     weighted = scores.with_rating_weight(recs, fields, weights, counts=counts)
-    # every weight is a sum of exponentials (> 0, finite), so the statistics
-    # pass already counted the candidates; no separate weight check is needed
+    # the statistics pass counted the candidates; the draw itself refuses
+    # weights that are not finite (an outlier's exponential can overflow)
     if n is None:
         n = int(counts["rows"] * fraction)
     if n > counts["rows"]:
@@ -41,7 +41,7 @@ def rating_sample(rated: DataFrame, corpus: DataFrame | None = None, n: int | No
             raise ValueError(f"cannot draw {n} rows: only {counts['rows']} are weighted")
         n = counts["rows"]
     # the decision reads only (key, weight); the records are filtered once
-    rule = sampling.draw_rule(weighted, "weight", key, seed, n=n, validate=False)
+    rule = sampling.draw_rule(weighted, "weight", key, seed, n=n)
     if corpus is None:
         return rule(weighted)
     ids = rule(weighted.select(key, "weight")).select(key)

@@ -94,7 +94,7 @@ cte("subtree", "SELECT first, '{' || string_agg('\"' || second || '\":' || m, ',
 
 
 def subtree_prompt(text: str, first: str) -> str:
-    return render(T["tag_second_third_level"], {"instance": f"substring({text}, 1, 2500)",
+    return render(T["tag_second_third_level"], {"instance": text,
                                                   "first_level_tag": first, "tag_tree": "s.tag_tree"})
 
 
@@ -103,7 +103,7 @@ cte("summ", "SELECT instance_id, reply, body, " + O._obj_status(("summary",)) +
     "CASE WHEN keys IS NOT NULL THEN body->>'summary' END AS summary FROM (SELECT *, "
     + O._keys("body") + " AS keys FROM (SELECT *, " + O._body("reply") + " AS body FROM "
     "(SELECT instance_id, " + summary_reply("h") + " AS reply FROM (SELECT doc_id AS instance_id, "
-    "md5(" + render(T["summary"], {"instance": "substring(text, 1, 2500)"}) + ") AS h "
+    "md5(" + render(T["summary"], {"instance": "text"}) + ") AS h "
     "FROM documents))))")
 cte("summ_ok", "SELECT instance_id, summary FROM summ WHERE status = 'ok'", ["summ"])
 cte("first", "SELECT instance_id, summary, CASE WHEN st = 'ok' AND NOT coalesce(list_contains("
@@ -113,7 +113,7 @@ cte("first", "SELECT instance_id, summary, CASE WHEN st = 'ok' AND NOT coalesce(
     "body->>'explanation' END AS expl FROM (SELECT *, " + O._keys("body") + " AS keys FROM "
     "(SELECT *, " + O._body("reply") + " AS body FROM (SELECT instance_id, summary, "
     + first_reply("h") + " AS reply FROM (SELECT instance_id, summary, md5("
-    + render(T["tag_first_level"], {"instance": "substring(summary, 1, 2500)"}) + ") AS h "
+    + render(T["tag_first_level"], {"instance": "summary"}) + ") AS h "
     "FROM summ_ok)))))", ["summ_ok"])
 cte("first_ok", "SELECT instance_id, summary, lower(tag) AS first_level_tag, expl AS "
     "first_level_explanation FROM first WHERE status = 'ok'", ["first"])
@@ -137,7 +137,7 @@ SQL: dict[str, str] = {}
 SQL["q_render_pair_prompt"] = with_(["pprompt"], "SELECT pair_id, md5(prompt) AS prompt_md5, "
                                     "length(prompt) AS prompt_len FROM pprompt")
 SQL["q_render_prompt"] = ("SELECT doc_id, md5(" + render(T["summary"], {
-    "instance": "substring(text, 1, 2500)"}) + ") AS prompt_md5 FROM documents")
+    "instance": "text"}) + ") AS prompt_md5 FROM documents")
 SQL["q_render_subtree_prompt"] = with_(
     ["tagged", "subtree"], "SELECT t.doc_id, CASE WHEN s.first IS NULL THEN 'bad_first_level' ELSE "
     "'ok' END AS status, CASE WHEN s.first IS NOT NULL THEN md5(" + subtree_prompt(
@@ -178,7 +178,7 @@ SQL["q_annotate_flat"] = (
     "len(kept) = 0 THEN 'not_three_levels' ELSE 'ok' END AS status FROM (SELECT instance_id, reply, "
     "items, " + _kept + " AS kept FROM (SELECT instance_id, reply, " + _items + " AS items FROM "
     "(SELECT instance_id, reply, " + O._body("reply") + " AS body FROM (SELECT doc_id AS instance_id, "
-    + flat_reply("md5(" + render(T["tag"], {"instance": "substring(text, 1, 2500)"}) + ")")
+    + flat_reply("md5(" + render(T["tag"], {"instance": "text"}) + ")")
     + " AS reply FROM documents)))))")
 SQL["q_annotate_edit"] = (
     "SELECT doc_id, " + edit_reply("h") + " AS edited_text FROM (SELECT doc_id, md5(CASE WHEN "

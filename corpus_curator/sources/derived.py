@@ -32,22 +32,9 @@ def _once(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
     return _BUILT[key]
 
 
-# natural key of the tables that the queries read row by row
-_TABLE_KEYS = {"documents": "doc_id", "lineitem": "l_orderkey", "conversations": "conv_id",
-               "benchmark": "item_id", "labels": "doc_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Each test file is one parquet row group, which Spark
-    reads in a single task; such a scan is spread over the cores by its key
-    (on real inputs of many files the scan is already parallel and nothing
-    is added)."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    par = spark.sparkContext.defaultParallelism
-    key = _TABLE_KEYS.get(name)
-    if key and df.rdd.getNumPartitions() < par:
-        df = df.repartition(par, key)
-    return df
+    """A given table, as it is."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpus_curator.operators.rank import dense_index, global_rank
+from corpus_curator.operators.rank import dense_index, global_rank, take_exact
 
 
 def test_global_rank_equals_row_number(spark):
@@ -21,9 +21,18 @@ def test_dense_index_is_zero_based(spark):
     assert got == {3: 0, 5: 1, 9: 2}
 
 
-def test_distributed_path_equals_window_path(spark):
-    df = spark.range(3000).select(F.col("id"), (F.col("id") * 31 % 97).alias("v"),
-                                  (F.col("id") % 4).alias("g")).repartition(5)
-    a = global_rank(df, ["v", "id"], by=["g"], name="r", small_rows=0)
-    b = global_rank(df, ["v", "id"], by=["g"], name="r")
-    assert a.exceptAll(b.select(*a.columns)).count() == 0 and a.count() == 3000
+def test_rank_in_groups_with_null_group(spark):
+    df = spark.range(3000).select(
+        F.col("id"), (F.col("id") * 31 % 97).alias("v"),
+        F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("g")).repartition(5)
+    got = global_rank(df, ["v", "id"], by=["g"], name="r")
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")))
+    assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == 3000
+
+
+def test_take_exact(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.lit("same").alias("x")).repartition(7)
+    assert take_exact(df, 123).count() == 123 and take_exact(df, 900).count() == 500
+    need = df.withColumn("n", F.when(F.col("g") == 0, 10).otherwise(40))
+    got = {r["g"]: r["count"] for r in take_exact(need, "n", ["g"]).groupBy("g").count().collect()}
+    assert got == {0: 10, 1: 40, 2: 40}

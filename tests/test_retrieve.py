@@ -14,13 +14,10 @@ def _brute(spark):
     return sorted(tuple(r) for r in _ids(spark).join(_corpus(spark), "uuid", "left").collect())
 
 
-def test_left_join_semantics_broadcast_and_shuffle(spark):
-    want = _brute(spark)
-    small = sorted(tuple(r) for r in retrieve_by_uuid(_ids(spark), _corpus(spark)).select(
+def test_left_join_semantics(spark):
+    got = sorted(tuple(r) for r in retrieve_by_uuid(_ids(spark), _corpus(spark)).select(
         "uuid", "v").collect())
-    big = sorted(tuple(r) for r in retrieve_by_uuid(_ids(spark), _corpus(spark),
-                                                     max_broadcast_rows=0).select("uuid", "v").collect())
-    assert small == want == big
+    assert got == _brute(spark)
 
 
 def test_semi(spark):
@@ -44,7 +41,7 @@ def test_bucketed_corpus_is_not_shuffled(spark):
     write_bucketed(corpus, "cc_test_bucketed", buckets=8)
     table = spark.table("cc_test_bucketed")
     ids = spark.range(0, 2000, 7).selectExpr("cast(id as string) as uuid")
-    out = retrieve_by_uuid(ids, table, max_broadcast_rows=0)
+    out = retrieve_by_uuid(ids, table)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == len(range(0, 2000, 7))
     # only the id side is exchanged; the bucketed scan feeds the join directly

@@ -33,7 +33,7 @@ def _brute(rows, n):
     return sorted(rows, key=lambda r: (r[1], r[0]))[:n]
 
 
-def test_exact_selection_matches_sort(spark, monkeypatch):
+def test_exact_selection_matches_sort(spark):
     rnd = random.Random(3)
     rows = [(f"id{i:05d}", rnd.random() ** 3 + 1e-9) for i in range(3000)]
     df = spark.createDataFrame(rows, "uuid string, k double").repartition(7)
@@ -41,7 +41,6 @@ def test_exact_selection_matches_sort(spark, monkeypatch):
         got = sorted(r["uuid"] for r in sampling.select_smallest(df, "k", "uuid", n).collect())
         assert got == sorted(r[0] for r in _brute(rows, n)), n
     # refinement path: tiny boundary-bucket limit and coarse buckets
-    monkeypatch.setattr(sampling, "_EDGE_MAX", 5)
     got = sorted(r["uuid"] for r in sampling.select_smallest(df, "k", "uuid", 1234,
                                                                  resolution=2).collect())
     assert got == sorted(r[0] for r in _brute(rows, 1234))
@@ -96,12 +95,11 @@ def test_assign_batches_last_short(spark):
     assert sizes == [5, 20, 20]
 
 
-def test_grouped_refinement_path(spark, monkeypatch):
+def test_grouped_selection_with_wide_buckets(spark):
     rnd = random.Random(8)
     rows = [(f"id{i:05d}", "hot" if i % 4 else "cold", rnd.random() + 1e-9) for i in range(3000)]
     df = spark.createDataFrame(rows, "uuid string, g string, k double")
     need = spark.createDataFrame([("hot", 1100), ("cold", 300)], "g string, need long")
-    monkeypatch.setattr(sampling, "_EDGE_MAX", 3)
     got = sorted(r["uuid"] for r in sampling.select_smallest(df, "k", "uuid", need, by=["g"],
                                                                  resolution=1).collect())
     want = []
@@ -135,20 +133,42 @@ def test_shuffle_partition_setting_invariance(spark):
             spark.conf.set("spark.sql.shuffle.partitions", p)
             s = sorted(r["uuid"] for r in sampling.weighted_sample_by(
                 df, {"g0": 50, "g1": 60, "g2": 70}, by="g", seed=4).collect())
-            r = sorted(tuple(x) for x in global_rank(df, ["weight", "uuid"], by=["g"], name="r",
-                                                     small_rows=0).select("uuid", "r").collect())
+            r = sorted(tuple(x) for x in global_rank(df, ["weight", "uuid"], by=["g"],
+                                                     name="r").select("uuid", "r").collect())
             results.append((s, r))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert results[0] == results[1] == results[2]
 
 
-def test_copies_of_one_key_are_refused(spark, monkeypatch):
-    rows = [("same", 1.0)] * 200 + [(f"k{i}", 1.0) for i in range(100)]
-    df = spark.createDataFrame(rows, "uuid string, weight double")
-    monkeypatch.setattr(sampling, "_EDGE_MAX", 50)
-    with pytest.raises(ValueError, match="unique"):
-        sampling.weighted_sample(df, 150, seed=1).count()
+def test_exact_numbers_with_repeated_keys(spark):
+    rows = [("same", 1.0)] * 200 + [(f"k{i % 50}", 1.0 + i % 2) for i in range(100)]
+    df = spark.createDataFrame(rows, "uuid string, weight double").repartition(6)
+    for n in (1, 37, 101, 150, 299, 300):
+        assert sampling.weighted_sample(df, n, seed=1).count() == n
+        assert sampling.sample_k(df, n, "uuid", seed=1).count() == n
+    by = df.withColumn("dataset", F.when(F.col("uuid") == "same", "a").otherwise("b"))
+    got = sampling.weighted_sample_by(by, {"a": 77, "b": 31}, seed=1)
+    assert {r["dataset"]: r["count"] for r in got.groupBy("dataset").count().collect()} == {
+        "a": 77, "b": 31}
+    wide = sampling.weighted_sample(df.withColumn("n", F.monotonically_increasing_id()), 101,
+                                    key=["uuid", "n"], seed=1)
+    assert wide.count() == 101
+
+
+def test_weights_that_are_not_finite_are_refused(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", float("inf")), ("c", 2.0)],
+                               "uuid string, weight double")
+    with pytest.raises(ValueError, match="infinite"):
+        sampling.weighted_sample(df, 1, seed=1)
+
+
+def test_rating_flow_refuses_an_overflowing_score(spark):
+    from corpus_curator.plans import flows
+    rows = [(f"k{i}", "0") for i in range(600_000)] + [("out", "100")]
+    df = spark.createDataFrame(rows, "uuid string, s string").coalesce(4)
+    with pytest.raises(ValueError, match="infinite"):
+        flows.rating_sample(df, n=5, fields=["s"], weights={"s": 1.0})
 
 
 def test_random_batches_are_a_seeded_permutation(spark):

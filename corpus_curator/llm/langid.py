@@ -13,6 +13,7 @@ any length are labelled whole).
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from dataclasses import dataclass
 
@@ -22,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import Memo, remainder
+from .tables import remainder
 
 #: Rows the field is fitted on: about this many per language (whole texts), at most MAX_WORDS words.
-SAMPLE_PER_LANGUAGE = 250
-MAX_WORDS = 350_000
+SAMPLE_PER_LANGUAGE = 200
+MAX_WORDS = 200_000
 BUCKETS = 1 << 17
-STEPS = 30
+STEPS = 20
 BLOCK = 256
 
 
@@ -47,13 +48,15 @@ def _core(word: str) -> str:
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Buckets of the features of a lower-cased word core."""
-    marked = f"<{word}>"
-    names = [f"l{lexicon.get(word, 0)}", "w" + word]
-    names += ["p" + word[:k] for k in (1, 2, 3)] + ["s" + word[-k:] for k in (1, 2, 3, 4)]
-    names += ["g" + marked[i:i + 2] for i in range(min(len(marked) - 1, 24))]
-    names += ["g" + marked[i:i + 3] for i in range(min(len(marked) - 2, 24))]
-    return [zlib.crc32(n.encode()) % BUCKETS for n in names]
+    """Buckets of the features of a lower-cased word core: its lexicon entry, the
+    word, affixes and the trigrams of its bytes (a kind is a start value of the
+    checksum)."""
+    crc, b = zlib.crc32, word.encode()
+    found = [crc(b, 1), lexicon.get(word, 0)]
+    found += [crc(b[:k], 10 + k) for k in (1, 2, 3, 4)]
+    found += [crc(b[-k:], 20 + k) for k in (1, 2, 3, 4, 5)]
+    found += [crc(b[i:i + 3], 30) for i in range(len(b) - 2)]
+    return [f & (BUCKETS - 1) for f in found]
 
 
 def forward_backward(e: np.ndarray, trans: np.ndarray, start: np.ndarray, begins: np.ndarray,
@@ -64,14 +67,20 @@ def forward_backward(e: np.ndarray, trans: np.ndarray, start: np.ndarray, begins
     n, k = e.shape
     rows = max(1, -(-n // block))
     fill = rows * block - n
-    e = np.concatenate([e, np.ones((fill, k))]).reshape(rows, block, k)
-    new = np.concatenate([begins, np.ones(fill, bool)]).reshape(rows, block)
-    whole = np.tile(np.eye(k), (rows, 1, 1))
+    kind = e.dtype
+    trans, start = trans.astype(kind), start.astype(kind)
+    e = np.concatenate([e, np.ones((fill, k), kind)]).reshape(rows, block, k)
+    e = np.ascontiguousarray(e.transpose(1, 0, 2))  # by place in the block
+    new = np.concatenate([begins, np.ones(fill, bool)]).reshape(rows, block).T.copy()
+    whole = np.tile(np.eye(k, dtype=kind), (rows, 1, 1))
     for t in range(block):
-        step = np.where(new[:, t, None, None], whole.sum(2, keepdims=True) * start, whole @ trans)
-        whole = step * e[:, t, None, :]
-        whole /= whole.max((1, 2), keepdims=True)
-    first, last = np.empty((rows, k)), np.empty((rows, k))
+        fresh = np.flatnonzero(new[t])
+        step = (whole.reshape(-1, k) @ trans).reshape(rows, k, k)
+        step[fresh] = whole[fresh].sum(2, keepdims=True) * start
+        whole = step * e[t][:, None, :]
+        if t % 4 == 3 or t == block - 1:
+            whole /= whole.max((1, 2), keepdims=True)
+    first, last = np.empty((rows, k), kind), np.empty((rows, k), kind)
     a = np.ones(k) / k
     for r in range(rows):
         first[r] = a
@@ -82,27 +91,31 @@ def forward_backward(e: np.ndarray, trans: np.ndarray, start: np.ndarray, begins
         last[r] = b
         b = whole[r] @ b
         b = b / b.max()
-    alpha = np.empty((rows, block, k))
+    alpha = np.empty((block, rows, k), kind)
     a = first
     for t in range(block):
-        a = np.where(new[:, t, None], start, a @ trans) * e[:, t]
-        a = a / a.sum(1, keepdims=True)
-        alpha[:, t] = a
-    gamma = np.empty((rows, block, k))
+        a = a @ trans
+        a[new[t]] = start
+        a *= e[t]
+        a /= a.sum(1, keepdims=True)
+        alpha[t] = a
+    gamma = np.empty((block, rows, k), kind)
     both = np.zeros((k, k))
     b = last
     for t in range(block - 1, -1, -1):
-        g = alpha[:, t] * b
-        gamma[:, t] = g / g.sum(1, keepdims=True)
-        right = e[:, t] * b
+        g = alpha[t] * b
+        gamma[t] = g / g.sum(1, keepdims=True)
+        right = e[t] * b
         if pairs:
-            left = alpha[:, t - 1] if t else first
+            left = alpha[t - 1] if t else first
             xi = left[:, :, None] * trans * right[:, None, :]
             xi /= xi.sum((1, 2), keepdims=True)
-            both += xi[~new[:, t]].sum(0)
-        b = np.where(new[:, t, None], (right * start).sum(1, keepdims=True), right @ trans.T)
-        b = b / b.max(1, keepdims=True)
-    return gamma.reshape(-1, k)[:n], both
+            both += xi[~new[t]].sum(0)
+        b = right @ trans.T
+        fresh = new[t]
+        b[fresh] = (right[fresh] * start).sum(1, keepdims=True)
+        b /= b.max(1, keepdims=True)
+    return gamma.transpose(1, 0, 2).reshape(-1, k)[:n], both
 
 
 @dataclass
@@ -114,12 +127,45 @@ class Field:
     start: np.ndarray
     lexicon: dict[str, int]
 
-    def scores(self, word: str) -> np.ndarray:
+    def scores(self, cores: list[str]) -> np.ndarray:
+        """Positive scores (words, labels) of word cores."""
+        found = [features(c, self.lexicon) for c in cores]
+        begin = np.cumsum([0] + [len(f) for f in found[:-1]])
+        flat = np.fromiter(itertools.chain.from_iterable(found), np.int32)
+        s = np.add.reduceat(self.weights[flat], begin, axis=0)
+        return np.exp(np.clip(s - s.max(1, keepdims=True), -30, 0))
+
+
+class Emissions(dict):
+    """Word -> row of ``table``, its scores; -1 for a word without a letter. New
+    words get a row at once and their scores together. Bounded: starts anew when
+    it is full, between batches, so results never depend on it."""
+
+    def __init__(self, field: Field, limit: int = 700_000):
+        super().__init__()
+        self.field, self.limit = field, limit
+        self.table = np.empty((0, len(field.labels)), np.float32)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
         core = _core(word)
-        if not core:
-            return np.ones(len(self.labels))
-        s = self.weights[features(core, self.lexicon)].sum(0, dtype=np.float64)
-        return np.exp(np.clip(s - s.max(), -30, 0))
+        at = -1
+        if core:
+            at = len(self.table) + len(self.new)
+            self.new.append(core)
+        self[word] = at
+        return at
+
+    def rows(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Rows of the words of each text, and the table they point into."""
+        if len(self.table) > self.limit:
+            self.clear()
+            self.table = self.table[:0]
+        found = [np.fromiter(map(self.__getitem__, _words(t)), np.int32) for t in texts]
+        if self.new:
+            self.table = np.concatenate([self.table, self.field.scores(self.new)])
+            self.new = []
+        return found, self.table
 
 
 def _lexicon(rows: list[tuple[int, list[str]]], k: int) -> dict[str, int]:
@@ -233,22 +279,19 @@ def predict(docs: DataFrame, field: Field, carry: bool = False) -> DataFrame:
     def run(batches):
         field = shared.value
         k = len(field.labels)
-        memo = Memo(field.scores, 300_000)
+        memo = Emissions(field)
 
         def flush(others, texts):
-            split = [[w for w in _words(t or "") if any(map(str.isalpha, w))] for t in texts]
-            sizes = np.array([len(w) for w in split])
-            n, docs = int(sizes.sum()), len(texts)
+            found, scores = memo.rows([t or "" for t in texts])
+            rows = np.concatenate(found)
+            owner = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+            owner, rows = owner[rows >= 0], rows[rows >= 0]
+            sizes = np.bincount(owner, minlength=len(texts))
+            n, docs = len(rows), len(texts)
             pred, score = ["und"] * docs, np.zeros(docs)
             changes = np.zeros(docs, dtype=np.int64)
             if n:
-                e = np.empty((n, k))
-                at = 0
-                for words in split:
-                    for w in words:
-                        e[at] = memo[w]
-                        at += 1
-                owner = np.repeat(np.arange(docs), sizes)
+                e = scores[rows]
                 begins = np.ones(n, bool)
                 begins[1:] = owner[1:] != owner[:-1]
                 gamma, _ = forward_backward(e, field.trans, field.start, begins)
@@ -266,8 +309,8 @@ def predict(docs: DataFrame, field: Field, carry: bool = False) -> DataFrame:
                  pa.array(changes), pa.array(sizes, pa.int64())], names=schema.names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                *others, texts = batch.slice(at, 256).columns
+            for at in range(0, batch.num_rows, 1024):
+                *others, texts = batch.slice(at, 1024).columns
                 yield flush(others, texts.to_pylist())
 
     found = rows.mapInArrow(run, schema)

@@ -57,7 +57,7 @@ def second_third_rule(prompt: str) -> str:
         return FAILED
     m = _FIRST.search(prompt)
     f = m.group(1) if m else ""
-    second = f"{f} s{int(h[1], 16) % 5}"
+    second = f"{f[:1].upper()}{f[1:]} s{int(h[1], 16) % 5}"
     third = f"{second} t{int(h[2], 16) % 4}"
     return ('{"second_level_tag": "' + second + '", "third_level_tag": "' + third
             + '", "explanation": "rule"}')

@@ -97,29 +97,31 @@ def rate_pairs(docs: DataFrame, pairs: DataFrame, task: str, fn: Callable,
 
 def summarize(docs: DataFrame, fn: Callable, templates: Mapping[str, str] | None = None,
               id_col: str = "doc_id", text_col: str = "text", max_chars: int | None = None,
-              **kw) -> DataFrame:
+              literal: bool = False, **kw) -> DataFrame:
     """``(instance_id, summary, status)``."""
     templates = templates or PR.default_templates()
     p = PR.render_prompt(docs.select(F.col(id_col).alias("instance_id"), text_col),
                          templates["summary"], text_col, max_chars).drop(text_col)
-    v = RP.validate_summary(annotate(p, fn, **kw))
+    v = RP.validate_summary(annotate(p, fn, **kw), literal=literal)
     return v.select("instance_id", "summary", "status")
 
 
 def tag_first_level(records: DataFrame, fn: Callable, templates: Mapping[str, str] | None = None,
-                    text_col: str = "summary", max_chars: int | None = None, **kw) -> DataFrame:
+                    text_col: str = "summary", max_chars: int | None = None,
+                    literal: bool = False, **kw) -> DataFrame:
     """``(instance_id, summary, first_level_tag, first_level_explanation, status)``
     from summary records (the summary is the text that is tagged)."""
     templates = templates or PR.default_templates()
     p = PR.render_prompt(records.select("instance_id", "summary"), templates["tag_first_level"],
                          text_col, max_chars)
-    v = RP.validate_first_level(annotate(p, fn, **kw))
+    v = RP.validate_first_level(annotate(p, fn, **kw), literal=literal)
     return v.select("instance_id", "summary", "first_level_tag", "first_level_explanation", "status")
 
 
 def tag_second_third(records: DataFrame, taxonomy: DataFrame, fn: Callable,
                      templates: Mapping[str, str] | None = None, text_col: str = "summary",
-                     max_chars: int | None = None, **kw) -> DataFrame:
+                     max_chars: int | None = None,
+                    literal: bool = False, **kw) -> DataFrame:
     """Full tag records from first-level records and the taxonomy."""
     templates = templates or PR.default_templates()
     base = records.select("instance_id", "summary", "first_level_tag", "first_level_explanation")
@@ -127,7 +129,7 @@ def tag_second_third(records: DataFrame, taxonomy: DataFrame, fn: Callable,
                                  max_chars=max_chars)
     bad = p.filter(F.col("status") != "ok").withColumn("reply", F.lit(None).cast("string"))
     ok = annotate(p.filter(F.col("status") == "ok"), fn, **kw)
-    v = RP.validate_second_third(ok.drop("status"), taxonomy)
+    v = RP.validate_second_third(ok.drop("status"), taxonomy, literal=literal)
     bad = bad.select("instance_id", "summary", "first_level_tag",
                      F.lit(None).cast("string").alias("second_level_tag"),
                      F.lit(None).cast("string").alias("third_level_tag"),
@@ -141,12 +143,12 @@ def tag_second_third(records: DataFrame, taxonomy: DataFrame, fn: Callable,
 
 def tag_flat(docs: DataFrame, fn: Callable, templates: Mapping[str, str] | None = None,
              id_col: str = "doc_id", text_col: str = "text", max_chars: int | None = None,
-             **kw) -> DataFrame:
+             literal: bool = False, **kw) -> DataFrame:
     """``(instance_id, tags, status)`` with three-level tag paths."""
     templates = templates or PR.default_templates()
     p = PR.render_prompt(docs.select(F.col(id_col).alias("instance_id"), text_col),
                          templates["tag"], text_col, max_chars).drop(text_col)
-    v = RP.validate_flat_tags(annotate(p, fn, **kw))
+    v = RP.validate_flat_tags(annotate(p, fn, **kw), literal=literal)
     return v.select("instance_id", "tags", "status")
 
 

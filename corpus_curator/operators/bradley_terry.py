@@ -6,13 +6,15 @@ distinct ordered pair, not per judgement.
 
 bt_gradient  full-batch gradient ascent from theta = 0 (the toolkit's fitting
              rule, step for step): each step joins theta to both ends of every
-             match, sums +n(1-p) / -n(1-p) per item, and adds lr times that. The
-             lineage is cut with a reliable checkpoint every few steps.
-bt_scores    the optimum those steps approach, as a weighted logistic
-             regression without intercept on sparse rows (+1 at one item, -1 at
-             the other): Spark ML's L-BFGS with tree aggregation, one job per
-             iteration. All tasks are fitted at once (block-diagonal features),
-             theta is centred to mean 0 per task afterwards.
+             match, sums +n(1-p) / -n(1-p) per item, and adds lr times that.
+bt_scores    the optimum those steps approach, by minorise-maximise steps
+             (Zermelo): strength = wins / sum of n / (own + opponent's strength).
+             Every step improves the likelihood; it stops when no theta moves
+             more than ``tol``.
+
+Both iterate over distributed tables of items and compressed pairs, all tasks
+at once, and hand the item table over by file after each step, so that the plan
+does not grow. Nothing but the largest change and counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -77,8 +79,8 @@ def bt_gradient(matches: DataFrame, lr: float = BT_LEARNING_RATE, iterations: in
     """``(task, id, theta)`` after ``iterations`` gradient steps from 0.
 
     A step reads the previous theta three times (both ends of a match and the
-    update), so an uncut lineage grows as 3^steps: theta is checkpointed to the
-    shared folder after every ``checkpoint_every`` steps (default: each one)."""
+    update), so an uncut plan grows as 3^steps: theta is handed over by file
+    after every ``checkpoint_every`` steps (default: each one)."""
     counts = materialize(match_counts(matches))
     theta = all_items(matches).withColumn("theta", F.lit(0.0))
     for step in range(1, iterations + 1):
@@ -91,40 +93,6 @@ def bt_gradient(matches: DataFrame, lr: float = BT_LEARNING_RATE, iterations: in
     return theta
 
 
-BT_LOCAL_ROWS = 2_000_000  # distinct (winner, loser) rows of one task fitted in one task
-
-
-def bt_gradient_grouped(matches: DataFrame, lr: float = BT_LEARNING_RATE, iterations: int = 5000,
-                        max_rows: int | None = None) -> DataFrame:
-    """The same gradient steps, one ``applyInPandas`` group per task: the
-    compressed match table of a task is fitted with a vectorised numpy loop,
-    so thousands of steps cost one Spark job instead of thousands. Each
-    group's row count is checked against ``max_rows`` first; beyond it the
-    distributed loop (``bt_gradient``) runs instead."""
-    import numpy as np
-    import pandas as pd
-
-    if max_rows is None:
-        max_rows = BT_LOCAL_ROWS
-    counts = materialize(match_counts(matches))
-    largest = counts.groupBy("task").count().agg(F.max("count")).first()[0] or 0
-    if largest > max_rows:
-        return bt_gradient(matches, lr, iterations)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = np.unique(np.concatenate([pdf["winner"].to_numpy(), pdf["loser"].to_numpy()]))
-        w = np.searchsorted(items, pdf["winner"].to_numpy())
-        loser = np.searchsorted(items, pdf["loser"].to_numpy())
-        n = pdf["n"].to_numpy().astype(float)
-        theta = np.zeros(len(items))
-        for _ in range(iterations):
-            q = n / (1.0 + np.exp(theta[w] - theta[loser]))
-            theta += lr * (np.bincount(w, q, len(items)) - np.bincount(loser, q, len(items)))
-        return pd.DataFrame({"task": pdf["task"].iloc[0], "id": items, "theta": theta})
-
-    return counts.groupBy("task").applyInPandas(fit, "task string, id long, theta double")
-
-
 def bt_loss(matches: DataFrame, scores: DataFrame) -> DataFrame:
     """``(task, loss)`` = -sum n * ln sigmoid(theta_w - theta_l)."""
     counts = match_counts(matches)
@@ -135,48 +103,56 @@ def bt_loss(matches: DataFrame, scores: DataFrame) -> DataFrame:
     return j.groupBy("task").agg(F.sum(nll).alias("loss"))
 
 
-def bt_scores(matches: DataFrame, reg: float = 0.0, max_iter: int = 100,
-              tol: float = 1e-8) -> DataFrame:
-    """``(task, id, theta)``: the Bradley-Terry maximum-likelihood scores
-    (L2 penalty ``reg`` on theta when > 0), centred to mean 0 per task.
-    Spark scales the penalty against the mean loss over all matches, so with
-    ``reg > 0`` a joint fit of several tasks is regularised relative to their
-    combined weight; with ``reg = 0`` it equals separate fits."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import OneHotEncoder
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    idx = materialize(index_items(matches))
-    k = idx.count()
+def _mm_step(pairs: DataFrame, items: DataFrame, prior: float) -> DataFrame:
+    """One step for every item: ``items`` and ``pairs`` carry ``(task, id)``."""
+    other = items.select("task", F.col("id").alias("other"), F.col("strength").alias("_so"))
+    own = items.select("task", "id", F.col("strength").alias("_s"))
+    load = (pairs.join(other, ["task", "other"]).join(own, ["task", "id"])
+            .groupBy("task", "id").agg(F.sum(F.col("n") / (F.col("_s") + F.col("_so")))
+                                       .alias("_load")))
+    step = (F.col("wins") + F.lit(prior)) / (
+        F.col("_load") + F.lit(2.0 * prior) / (F.col("strength") + F.lit(1.0)))
+    return items.join(load, ["task", "id"]).select(
+        "task", "id", "wins", "losses", step.alias("strength"),
+        F.abs(F.log(step) - F.log("strength")).alias("moved"))
+
+
+def bt_scores(matches: DataFrame, prior: float = 0.0, max_iter: int = 200,
+              tol: float = 1e-6) -> DataFrame:
+    """``(task, id, theta, finite)``: the Bradley-Terry maximum-likelihood scores
+    of all tasks, centred to mean 0 per task.
+
+    ``prior`` gives every item that many wins and as many losses against an
+    opponent of strength 1, so that every optimum is finite; with 0 the plain
+    likelihood counts, whose optimum is infinite for an item that only wins or
+    only loses: ``finite`` is false for those, and their theta is where the
+    steps stopped. Stops when no finite theta moves more than ``tol``; raises
+    if ``max_iter`` steps do not get there (``tol=0``: does exactly that many)."""
     counts = match_counts(matches)
-    iw = idx.select("task", F.col("id").alias("winner"), F.col("idx").alias("_iw"))
-    il = idx.select("task", F.col("id").alias("loser"), F.col("idx").alias("_il"))
-    rows = counts.join(iw, ["task", "winner"]).join(il, ["task", "loser"])
-    # orient each row by index so both labels occur: x = e_lo - e_hi,
-    # label 1 when the lower index won
-    lo, hi = F.least("_iw", "_il"), F.greatest("_iw", "_il")
-    rows = rows.select(lo.alias("_lo"), hi.alias("_hi"),
-                       (F.col("_iw") < F.col("_il")).cast("double").alias("label"),
-                       F.col("n").cast("double").alias("n"))
-
-    @F.udf(VectorUDT())
-    def diff_vector(a, b):  # one sparse row per distinct ordered pair
-        return SparseVector(k, [a, b], [1.0, -1.0])
-
-    data = rows.withColumn("features", diff_vector("_lo", "_hi"))
-    lr = LogisticRegression(fitIntercept=False, standardization=False, weightCol="n",
-                            regParam=reg, elasticNetParam=0.0, maxIter=max_iter, tol=tol,
-                            family="binomial")
-    model = lr.fit(data)
-    # theta_i = coefficients . e_i, computed by the model on one-hot rows
-    enc = OneHotEncoder(inputCols=["idx"], outputCols=["features"], dropLast=False)
-    items = enc.fit(idx).transform(idx)
-    theta = model.transform(items).select(
-        "task", "id", vector_to_array("rawPrediction")[1].alias("theta"))
-    mean = theta.groupBy("task").agg(F.avg("theta").alias("_m"))
-    return theta.join(mean, "task").select("task", "id", (F.col("theta") - F.col("_m"))
-                                           .alias("theta"))
+    pairs = materialize(
+        counts.select("task", F.col("winner").alias("id"), F.col("loser").alias("other"), "n")
+        .unionByName(counts.select("task", F.col("loser").alias("id"),
+                                   F.col("winner").alias("other"), "n"))
+        .groupBy("task", "id", "other").agg(F.sum("n").alias("n")))
+    items = materialize(item_record(matches).withColumn("strength", F.lit(1.0)))
+    finite = F.lit(prior > 0) | ((F.col("wins") > 0) & (F.col("losses") > 0))
+    for _ in range(max_iter):
+        stepped = materialize(_mm_step(pairs, items, prior))
+        items = stepped.drop("moved")
+        if tol:
+            moved = stepped.filter(finite).agg(F.max("moved")).first()[0]
+            if moved is None or moved <= tol:
+                break
+    else:
+        if tol:
+            raise RuntimeError(f"theta still moves by {moved:.2g} after {max_iter} steps")
+    # an item that never wins has strength 0: its theta is minus infinity, and
+    # the mean is taken over the finite ones
+    theta = items.select("task", "id", F.log("strength").alias("theta"), finite.alias("finite"))
+    mean = theta.groupBy("task").agg(F.avg(F.when(F.col("finite"), F.col("theta"))).alias("_m"))
+    return theta.join(mean, "task").select(
+        "task", "id", (F.col("theta") - F.coalesce(F.col("_m"), F.lit(0.0))).alias("theta"),
+        "finite")
 
 
 def uniform_scores(scores: DataFrame, score_col: str = "theta", name: str = "score") -> DataFrame:
@@ -203,10 +179,3 @@ def finalize_scores(scores: DataFrame, score_type: str = "bradley_terry",
     if score_type == "uniform":
         return uniform_scores(scores, score_col).select("task", "id", "score")
     raise ValueError("score_type must be 'bradley_terry' or 'uniform'")
-
-
-def sanity(scores: DataFrame, matches: DataFrame) -> DataFrame:
-    """Items that only win or only lose (their MLE is unbounded)."""
-    rec = item_record(matches)
-    return rec.filter((F.col("wins") == 0) | (F.col("losses") == 0))
-

@@ -259,6 +259,12 @@ def weighted_sample_by(df: DataFrame, quotas: DataFrame | Mapping[str, int],
     return rule(df)
 
 
+def total_quota(quotas: DataFrame, n: str = "n") -> DataFrame:
+    """One row: the ``total`` of the quotas and the number of datasets."""
+    return quotas.agg(F.sum(n).cast("long").alias("total"),
+                      F.count(F.lit(1)).alias("n_datasets"))
+
+
 def sample_k(df: DataFrame, k: int, key: str | Sequence[str], seed: int | str = 0) -> DataFrame:
     """k rows uniformly without replacement (reproducible)."""
     keyed = df.withColumn("_sk", -F.log(uniform(key, seed)))

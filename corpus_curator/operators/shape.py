@@ -44,6 +44,24 @@ def concat_keys(df: DataFrame, keys: Sequence[str], out: str = "text") -> DataFr
     return df.withColumn(out, joined)
 
 
+def empty_content_report(df: DataFrame, col: str = "text") -> DataFrame:
+    """One row: ``n_rows`` and ``n_empty`` (content of length 0)."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"),
+                  F.count_if(F.length(col) == 0).alias("n_empty"))
+
+
+def union_datasets(datasets: Sequence[tuple[DataFrame, str | None]]) -> DataFrame:
+    """All rows of several datasets in one frame with a ``dataset`` column: the
+    given name, or (None) the frame's own column. Columns one of them lacks are
+    null there."""
+    named = [df if name is None else df.withColumn("dataset", F.lit(name))
+             for df, name in datasets]
+    out = named[0]
+    for df in named[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def truncate_text(df: DataFrame, n: int = 2500, col: str = "text", out: str | None = None) -> DataFrame:
     """First n characters."""
     return df.withColumn(out or col, F.substring(F.col(col), 1, n))

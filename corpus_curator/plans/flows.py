@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,14 +83,16 @@ def tag_sample(tagged: DataFrame, corpus: DataFrame | None = None,
     return retrieve_by_uuid(ids, corpus, key)
 
 
-def rate(docs: DataFrame, task: str, fn, n_pairs: int | None = None, compare: int = 6,
-         seed: int | str = 0, method: str = "gradient", iterations: int = 5000,
-         lr: float = 0.05, reg: float = 0.0, score_type: str = "uniform",
+def rate(docs: DataFrame, task: str | Sequence[str], fn, n_pairs: int | None = None, compare: int = 6,
+         seed: int | str = 0, method: str = "mle", iterations: int = 200,
+         lr: float = 0.05, prior: float = 0.5, score_type: str = "uniform",
          templates=None, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """Pairwise rating pipeline: balanced pairs -> prompts -> annotator ->
-    judgements -> Bradley-Terry (``gradient`` steps or ``mle``) -> scores
-    ``(task, id, score)``. Pairs and judgements are written once (checkpoint),
-    as the toolkit hands them over by file."""
+    judgements -> Bradley-Terry -> scores ``(task, id, score)``. ``mle``: the
+    optimum (``prior`` keeps it finite, ``iterations`` bounds the steps);
+    ``gradient``: that many steps of the original rule. ``task`` may be a list:
+    all tasks are judged over the same pairs and fitted at once. Pairs and
+    judgements are written once, as the toolkit hands them over by file."""
     from ..operators import bradley_terry as BT
     from ..operators.annotate import rate_pairs
     from ..operators.pairs import balanced_pairs
@@ -97,14 +100,14 @@ def rate(docs: DataFrame, task: str, fn, n_pairs: int | None = None, compare: in
     if n_pairs is None:
         n_pairs = 5 * ids.count()
     pairs = materialize(balanced_pairs(ids, n_pairs, compare, seed))
-    judg = materialize(rate_pairs(docs, pairs, task, fn, templates, id_col, text_col, **kw)
-                       .filter(F.col("status") == "ok"))
+    judged = [rate_pairs(docs, pairs, t, fn, templates, id_col, text_col, **kw)
+              for t in ([task] if isinstance(task, str) else task)]
+    judg = materialize(reduce(DataFrame.unionByName, judged).filter(F.col("status") == "ok"))
     matches = BT.to_matches(judg)
     if method == "gradient":
-        # one numpy loop per task when a task's match table is bounded
-        theta = BT.bt_gradient_grouped(matches, lr, iterations)
+        theta = BT.bt_gradient(matches, lr, iterations)
     elif method == "mle":
-        theta = BT.bt_scores(matches, reg=reg)
+        theta = BT.bt_scores(matches, prior=prior, max_iter=iterations)
     else:
         raise ValueError("method must be 'gradient' or 'mle'")
     return BT.finalize_scores(theta, score_type)

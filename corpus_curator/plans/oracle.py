@@ -86,11 +86,13 @@ cte("tagged", f"SELECT {uuid_sql('doc_id')} AS uuid, source AS dataset, doc_id,
     "f AS first_level_tag, f || ' s' || sx AS second_level_tag, "
     "f || ' s' || sx || ' t' || tx AS third_level_tag, "
     "CASE WHEN ut < 0.02 THEN NULL ELSE ut >= 0.1 END AS in_tree FROM tagged_raw", ["tagged_raw"])
-cte("taxonomy", "SELECT first, second, third FROM (SELECT f AS first, f || ' s' || sx AS second, "
-    "f || ' s' || sx || ' t' || tx AS third FROM (SELECT "
-    f"{NAMES_LOWER}[CAST(r // 20 AS INTEGER) + 1] AS f, CAST((r // 4) % 5 AS VARCHAR) AS sx, "
-    "CAST(r % 4 AS VARCHAR) AS tx FROM range(420) t(r))) WHERE "
-    f"{U('third')} >= 0.1")
+def cap(c: str) -> str:
+    return f"(upper(substr({c}, 1, 1)) || substr({c}, 2))"
+
+
+cte("taxonomy", f"SELECT DISTINCT {cap('first_level_tag')} AS first, {cap('second_level_tag')} AS "
+    f"second, {cap('third_level_tag')} AS third FROM tagged WHERE {U('third_level_tag')} >= 0.1",
+    ["tagged"])
 cte("tin", "SELECT * FROM tagged WHERE in_tree", ["tagged"])
 cte("lv3", "SELECT first_level_tag, second_level_tag, third_level_tag, count(*) AS count_c "
     "FROM tin WHERE first_level_tag IS NOT NULL AND second_level_tag IS NOT NULL "
@@ -138,7 +140,7 @@ def with_(names, body: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][0]})" for n in order) + "\n" + body
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][0]})" for n in order) + "\n" + body
 
 
 def r6(expr: str, name: str) -> str:
@@ -173,11 +175,11 @@ SQL["q_tag_probability_normalized"] = with_(
     + r6("probability / sum_weight_a", "probability") + " FROM tprob")
 SQL["q_filter_in_tree"] = with_(["tin"], "SELECT uuid, first_level_tag, second_level_tag, "
                                 "third_level_tag FROM tin")
-SQL["q_mark_in_tree"] = with_(["tagged", "taxonomy"],
-                              "SELECT t.uuid, x.first IS NOT NULL AS path_in_tree FROM tagged t "
-                              "LEFT JOIN (SELECT DISTINCT first, second, third FROM taxonomy) x "
-                              "ON lower(t.first_level_tag) = x.first AND t.second_level_tag = x.second "
-                              "AND t.third_level_tag = x.third")
+SQL["q_mark_in_tree"] = with_(
+    ["tagged", "taxonomy"], "SELECT t.uuid, x.first IS NOT NULL AS path_in_tree FROM tagged t LEFT "
+    "JOIN (SELECT DISTINCT lower(first) AS first, lower(second) AS second, lower(third) AS third "
+    "FROM taxonomy) x ON x.first = lower(t.first_level_tag) AND x.second = lower("
+    "t.second_level_tag) AND x.third = lower(t.third_level_tag)")
 SQL["q_boost_weight"] = with_(["tboost"], f"SELECT uuid, {r6('weight', 'weight')} FROM tboost")
 
 SQL["q_weighted_sample"] = with_(["rsample"], "SELECT uuid FROM rsample")
@@ -191,6 +193,10 @@ SQL["q_weighted_sample_lineitem"] = (
     f"SELECT lkey FROM (SELECT lkey, row_number() OVER (ORDER BY -ln({U('lkey', SEED)}) / weight, "
     "lkey) AS rn FROM (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS lkey, "
     "l_extendedprice AS weight FROM lineitem)) WHERE rn <= (SELECT count(*) // 2 FROM lineitem)")
+SQL["q_weighted_sample_repeats"] = (
+    "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER "
+    f"BY -ln({U('l_orderkey', SEED)}) / CAST(l_quantity AS DOUBLE), l_orderkey, l_linenumber) AS rn, "
+    "count(*) OVER () AS c FROM lineitem) WHERE rn <= c // 2")
 SQL["q_sample_k"] = (
     f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY -ln({U('doc_id', SEED)}), "
     "doc_id) AS rn FROM documents) WHERE rn <= (SELECT count(*) // 2 FROM documents)")
@@ -278,7 +284,8 @@ cte("choice", "SELECT pair_id, id_1, id_2, reply, status, "
     "THEN 'no_choice' ELSE 'ok' END AS status FROM (SELECT *, "
     "regexp_extract_all(r, 'Choice: ([12])', 1) AS choices FROM (SELECT *, "
     "regexp_replace(reply, '^\\s+|\\s+$', '', 'g') AS r FROM preplies)))", ["preplies"])
-cte("judg", "SELECT 'educational_value' AS task, pair_id, [id_1, id_2] AS pair_ids, win, why "
+cte("judg", "SELECT CASE WHEN pair_id % 2 = 0 THEN 'educational_value' ELSE 'writing_style' END "
+    "AS task, pair_id, [id_1, id_2] AS pair_ids, win, why "
     "FROM choice WHERE status = 'ok'", ["choice"])
 cte("matches", "SELECT task, pair_id, CASE WHEN win = '1' THEN pair_ids[1] ELSE pair_ids[2] END "
     "AS winner, CASE WHEN win = '1' THEN pair_ids[2] ELSE pair_ids[1] END AS loser FROM judg",
@@ -337,6 +344,18 @@ SQL["q_index_items"] = with_(["items"], "SELECT task, id, row_number() OVER (ORD
                              "AS idx FROM items")
 SQL["q_bt_gradient"] = with_(["t5"], "SELECT task, id, (round(theta, 6) + 0.0) AS theta FROM t5")
 SQL["q_bt_gradient_grouped"] = SQL["q_bt_gradient"]
+cte("bp", "SELECT task, id, other, sum(n) AS n FROM (SELECT task, winner AS id, loser AS other, n "
+    "FROM mc UNION ALL SELECT task, loser AS id, winner AS other, n FROM mc) GROUP BY ALL", ["mc"])
+cte("b0", "SELECT task, id, wins, CAST(1.0 AS DOUBLE) AS s FROM rec", ["rec"])
+for _s in range(1, 9):
+    _p = f"b{_s - 1}"
+    cte(f"b{_s}", f"SELECT i.task, i.id, i.wins, (i.wins + 0.5::DOUBLE) / (l.load + 1.0::DOUBLE / "
+        f"(i.s + 1.0::DOUBLE)) AS s FROM {_p} i JOIN (SELECT p.task, p.id, sum(p.n / (a.s + o.s)) AS "
+        f"load FROM bp p JOIN {_p} a ON a.task = p.task AND a.id = p.id JOIN {_p} o ON "
+        f"o.task = p.task AND o.id = p.other GROUP BY p.task, p.id) l ON l.task = i.task AND "
+        f"l.id = i.id", ["bp", _p])
+SQL["q_bt_mle"] = with_(["b8"], "SELECT task, id, (round(ln(s) - avg(ln(s)) OVER (PARTITION BY "
+                        "task), 6) + 0.0) AS theta FROM b8")
 SQL["q_bt_loss"] = with_(["t5", "mc"], "SELECT m.task, round(sum(m.n * ln(1 + exp(l.theta - w.theta))), "
                          "6) AS loss FROM mc m JOIN t5 w ON w.task = m.task AND w.id = m.winner "
                          "JOIN t5 l ON l.task = m.task AND l.id = m.loser GROUP BY m.task")
@@ -353,7 +372,8 @@ def _body(reply: str) -> str:
     """Fence removal + strict shape check, as SQL."""
     unf = (f"CASE WHEN starts_with({reply}, '```json') AND ends_with({reply}, '```') "
            f"THEN regexp_extract({reply}, {lit(_FENCE_BODY)}, 1) ELSE {reply} END")
-    return f"CASE WHEN regexp_matches({unf}, {lit(STRICT_SHAPE)}) THEN {unf} END"
+    return (f"CASE WHEN regexp_matches({unf}, {lit(STRICT_SHAPE)}) AND json_valid({unf}) "
+            f"THEN {unf} END")
 
 
 def _keys(body: str) -> str:
@@ -384,7 +404,8 @@ cte("trep", "SELECT doc_id, CASE WHEN u < 0.10 THEN " + _j(lit("```json"), NL, "
     + " WHEN u < 0.15 THEN " + lit('{"tag": "Cooking", "explanation": "rule"}')
     + " WHEN u < 0.20 THEN " + _j(lit('{"tag": "'), "lower(name)", lit('", "explanation": "rule"}'))
     + " WHEN u < 0.25 THEN " + _j(lit('{"tag": "'), "name", lit('"}'))
-    + " WHEN u < 0.30 THEN " + _j("body", lit(" trailing"))
+    + " WHEN u < 0.28 THEN " + _j("body", lit(" trailing"))
+    + " WHEN u < 0.30 THEN " + _j("body", lit(" or "), "body")
     + f" WHEN u < 0.32 THEN '{FAILED}' ELSE body END AS reply FROM (SELECT doc_id, u, name, "
     + _tbody + " AS body FROM (SELECT doc_id, " + U("doc_id", "j") + " AS u, "
     + _name_at("u1", NAMES_PROPER) + " AS name FROM (SELECT doc_id, " + U("doc_id", "t1")
@@ -416,8 +437,8 @@ SQL["q_validate_summary"] = with_(
     "reply, body, " + _keys("body") + " AS keys FROM (SELECT doc_id, reply, " + _body("reply")
     + " AS body FROM srep)))")
 
-_second = _j("f", lit(" s"), "sx")
-_third = _j("f", lit(" s"), "sx", lit(" t"), "tx")
+_second = cap("(" + _j("f", lit(" s"), "sx") + ")")
+_third = cap("(" + _j("f", lit(" s"), "sx", lit(" t"), "tx") + ")")
 cte("strep", "SELECT doc_id, f AS first_level_tag, CASE WHEN u < 0.05 THEN '<<FAILED>>' "
     "WHEN u < 0.10 THEN " + _j(lit('{"second_level_tag": "'), _second, lit('", "explanation": "rule"}'))
     + " WHEN u < 0.15 THEN " + lit('{"second_level_tag": "cooking s1", "third_level_tag": '
@@ -444,6 +465,7 @@ SQL["q_validate_second_third"] = with_(
 
 _path = _j(lit(" > "), "f", lit(" s"), "sx", lit(" > "), "f", lit(" s"), "sx", lit(" t"), "tx")
 _good = _j(lit('{"tag": "'), "name", _path, lit('", "explanation": "rule"}'))
+_tab = _j(lit('{"tag": "\\t'), "name", _path, lit('", "explanation": "rule"}'))
 _lower = _j(lit('{"tag": "'), "f", _path, lit('", "explanation": "rule"}'))
 _two = _j(lit('{"tag": "'), "name", lit(' > misc", "explanation": "rule"}'))
 _two_nokey = _j(lit('{"tag": "'), "name", lit(' > misc"}'))
@@ -451,6 +473,7 @@ cte("frep", "SELECT doc_id, CASE WHEN u < 0.10 THEN " + _j(lit("["), _good, lit(
                                                            lit("]"))
     + " WHEN u < 0.20 THEN " + _j(lit("["), _two, lit("]")) + f" WHEN u < 0.25 THEN '{FAILED}' "
     "WHEN u < 0.30 THEN " + _j(lit("["), _lower, lit(", "), _two, lit("]"))
+    + " WHEN u < 0.35 THEN " + _j(lit("["), _tab, lit("]"))
     + " ELSE " + _j(lit("["), _good, lit(", "), _two, lit("]")) + " END AS reply FROM (SELECT "
     "doc_id, uv AS u, " + _name_at("u1", NAMES_PROPER) + " AS name, " + _name_at("u1", NAMES_LOWER)
     + " AS f, CAST(CAST(floor(5 * u2) AS INTEGER) AS VARCHAR) AS sx, CAST(CAST(floor(4 * u3) AS "
@@ -460,7 +483,7 @@ cte("frep", "SELECT doc_id, CASE WHEN u < 0.10 THEN " + _j(lit("["), _good, lit(
 _items = ("CASE WHEN body IS NOT NULL AND json_valid(body) AND json_type(body) = 'ARRAY' THEN "
           "CAST(json_extract(body, '$[*]') AS JSON[]) END")
 _kept = ("list_filter(items, lambda x: len(string_split(x->>'tag', '>')) = 3 AND coalesce(list_contains("
-         + NAMES_PROPER + ", trim(string_split(x->>'tag', '>')[1])), false))")
+         + NAMES_PROPER + ", regexp_replace(string_split(x->>'tag', '>')[1], '^\\s+|\\s+$', '', 'g')), false))")
 SQL["q_validate_flat_tags"] = with_(
     ["frep"],
     "SELECT doc_id, status, CASE WHEN status = 'ok' THEN len(kept) END AS n_tags, "

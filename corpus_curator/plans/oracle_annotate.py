@@ -6,11 +6,13 @@ from __future__ import annotations
 from ..constants import FAILED
 from ..functions.prompts import default_templates, split_template
 from . import oracle as O
+from ..functions.rand import sql_uniform as U
 from .oracle import NAMES_PROPER, cte, lit, with_
 
 T = default_templates()
 TASK = "educational_value"
 NL = "chr(10)"
+ZH = f"{U('doc_id', 'zh')} < 0.1"
 
 
 def s_lit(text: str) -> str:
@@ -59,7 +61,7 @@ def first_reply(h: str) -> str:
 
 
 def second_reply(h: str, f: str) -> str:
-    second = f"({f} || ' s' || CAST({hexint(h, 2, 1)} % 5 AS VARCHAR))"
+    second = f"({O.cap(f)} || ' s' || CAST({hexint(h, 2, 1)} % 5 AS VARCHAR))"
     third = f"({second} || ' t' || CAST({hexint(h, 3, 1)} % 4 AS VARCHAR))"
     return (f"CASE WHEN substr({h}, 1, 1) = '0' THEN '{FAILED}' ELSE "
             + lit('{"second_level_tag": "') + f" || {second} || " + lit('", "third_level_tag": "')
@@ -144,7 +146,7 @@ SQL["q_render_subtree_prompt"] = with_(
         "d.text", "t.first_level_tag") + ") END AS prompt_md5 FROM tagged t JOIN documents d ON "
     "d.doc_id = t.doc_id LEFT JOIN subtree s ON s.first = lower(t.first_level_tag)")
 SQL["q_render_edit_prompt"] = (
-    "SELECT doc_id, md5(CASE WHEN lang = 'zh' THEN " + render(T["edit_zh"], {"": "text"}, "text")
+    "SELECT doc_id, md5(CASE WHEN " + ZH + " THEN " + render(T["edit_zh"], {"": "text"}, "text")
     + " ELSE " + render(T["edit_en"], {"": "text"}, "text") + " END) AS prompt_md5 FROM documents")
 SQL["q_classify_prompt_size"] = with_(
     ["pprompt"], "SELECT pair_id, n_tokens, CASE WHEN n_tokens < 3800 THEN 'small' WHEN n_tokens < "
@@ -168,7 +170,7 @@ SQL["q_annotate_second_third"] = with_(["second"], "SELECT instance_id, status,
 _items = ("CASE WHEN body IS NOT NULL AND json_valid(body) AND json_type(body) = 'ARRAY' THEN "
           "CAST(json_extract(body, '$[*]') AS JSON[]) END")
 _kept = ("list_filter(items, lambda x: len(string_split(x->>'tag', '>')) = 3 AND coalesce("
-         "list_contains(" + NAMES_PROPER + ", trim(string_split(x->>'tag', '>')[1])), false))")
+         "list_contains(" + NAMES_PROPER + ", regexp_replace(string_split(x->>'tag', '>')[1], '^\\s+|\\s+$', '', 'g')), false))")
 SQL["q_annotate_flat"] = (
     "SELECT instance_id, status, CASE WHEN status = 'ok' THEN len(kept) END AS n_tags, "
     "CASE WHEN status = 'ok' THEN array_to_string(list_transform(kept, lambda x: x->>'tag'), '|') "
@@ -182,7 +184,7 @@ SQL["q_annotate_flat"] = (
     + " AS reply FROM documents)))))")
 SQL["q_annotate_edit"] = (
     "SELECT doc_id, " + edit_reply("h") + " AS edited_text FROM (SELECT doc_id, md5(CASE WHEN "
-    "lang = 'zh' THEN " + render(T["edit_zh"], {"": "text"}, "text") + " ELSE "
+    + ZH + " THEN " + render(T["edit_zh"], {"": "text"}, "text") + " ELSE "
     + render(T["edit_en"], {"": "text"}, "text") + " END) AS h FROM documents)")
 
 # rating pipeline: the same chain, then 5 gradient steps on its matches

@@ -17,12 +17,14 @@ _raw = (f"SELECT doc_id AS key, CASE WHEN {U('doc_id', 'iid')} < 0.5 THEN doc_id
         "md5(text) AS text_md5 FROM documents")
 SQL["q_normalize_records"] = _raw
 SQL["q_dataset_from_path"] = "SELECT doc_id, source AS dataset FROM documents"
-SQL["q_write_single"] = with_(["tagged"], "SELECT first_level_tag, count(*) AS count, "
-                              "CAST(1 AS BIGINT) AS n_files FROM tagged GROUP BY first_level_tag")
 SQL["q_assign_uuid_random"] = ("SELECT count(*) AS n_rows, count(*) AS n_distinct, count(*) AS n_v4 "
                                "FROM documents")
 SQL["q_read_raw"] = _raw
-SQL["q_read_raw_txt"] = "SELECT doc_id AS instance_id, md5(text) AS text_md5 FROM documents"
+_broken = f"{U('doc_id', 'broken')} < 0.03"
+SQL["q_read_raw_txt"] = (
+    f"SELECT CASE WHEN NOT {_broken} THEN doc_id END AS instance_id, CASE WHEN NOT {_broken} THEN "
+    f"md5(text) END AS text_md5, CASE WHEN {_broken} THEN 'no record ' || doc_id END AS broken "
+    "FROM documents")
 _md_text = (f"regexp_replace(array_to_string(list_transform(string_split(text, {NL}), lambda l: "
             f"regexp_replace(l, {WS}, '', 'g')), {NL}), {WS}, '', 'g')")
 SQL["q_read_md"] = (f"SELECT doc_id, md5(t) AS text_md5 FROM (SELECT doc_id, {_md_text} AS t "
@@ -45,10 +47,11 @@ SQL["q_truncate_text"] = ("SELECT doc_id, length(substring(text, 1, 2500)) AS cu
 SQL["q_read_pairs"] = with_(["pairs"], "SELECT pair_id, id_1, id_2, added, (SELECT count(*) FROM "
                             "documents) AS n, (SELECT count(*) FROM pairs) AS n_pairs, "
                             "CAST(6 AS BIGINT) AS compare FROM pairs")
-SQL["q_read_pairs_object"] = with_(["pairs"], "SELECT pair_id, id_1, id_2 FROM pairs")
-SQL["q_read_judgements"] = with_(["judg"], "SELECT task, pair_id, pair_ids, win, why FROM judg")
-SQL["q_read_taxonomy"] = with_(["taxonomy", "tagged"], "SELECT first, second, third FROM taxonomy "
-                               "WHERE first IN (SELECT first_level_tag FROM tagged)")
+_whole = f"{U('pair_id', 'broken')} >= 0.03"
+SQL["q_read_judgements"] = with_(["judg"], "SELECT " + ", ".join(
+    f"CASE WHEN {_whole} THEN {c} END AS {c}" for c in ("task", "pair_id", "pair_ids", "win", "why"))
+    + f", CASE WHEN {_whole} THEN 'ok' ELSE 'corrupt' END AS status FROM judg")
+SQL["q_read_taxonomy"] = with_(["taxonomy"], "SELECT first, second, third FROM taxonomy")
 SQL["q_write_ids"] = BASE["q_weighted_sample"]
 SQL["q_write_scores"] = BASE["q_uniform_scores"]
 SQL["q_annotate_stream"] = OA.SQL["q_annotate_summary"]

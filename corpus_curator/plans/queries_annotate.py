@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..constants import PAIR_SEED
 from ..functions import annotators as A
 from ..functions import prompts as PR
+from ..functions.rand import uniform
 from ..operators import annotate as AN
 from ..operators import pairs as P
 from ..session import materialize
@@ -50,13 +51,19 @@ def q_render_prompt(spark, sf):
 def q_render_subtree_prompt(spark, sf):
     recs = D.tagged(spark, sf).select("doc_id", "first_level_tag").join(
         _docs(spark, sf).select("doc_id", "text"), "doc_id")
-    p = PR.render_subtree_prompt(recs, D.taxonomy(spark),
+    p = PR.render_subtree_prompt(recs, D.taxonomy(spark, sf),
                                  PR.default_templates()["tag_second_third_level"])
     return p.select("doc_id", "status", F.md5("prompt").alias("prompt_md5"))
 
 
+def _edit_docs(spark, sf):
+    """Documents of which about a tenth count as Chinese."""
+    lang = F.when(uniform("doc_id", "zh") < 0.1, "zh").otherwise(F.col("lang"))
+    return _docs(spark, sf).withColumn("lang", lang)
+
+
 def q_render_edit_prompt(spark, sf):
-    p = PR.render_edit_prompt(_docs(spark, sf), PR.default_templates())
+    p = PR.render_edit_prompt(_edit_docs(spark, sf), PR.default_templates())
     return p.select("doc_id", F.md5("prompt").alias("prompt_md5"))
 
 
@@ -82,7 +89,7 @@ def q_annotate_first_level(spark, sf):
 
 
 def q_annotate_second_third(spark, sf):
-    t = AN.tag_second_third(_first_levels(spark, sf), D.taxonomy(spark), A.second_third_rule)
+    t = AN.tag_second_third(_first_levels(spark, sf), D.taxonomy(spark, sf), A.second_third_rule)
     return t.select("instance_id", "status", "first_level_tag", "second_level_tag",
                     "third_level_tag")
 
@@ -94,7 +101,7 @@ def q_annotate_flat(spark, sf):
 
 
 def q_annotate_edit(spark, sf):
-    e = AN.edit_documents(_docs(spark, sf), A.edit_rule)
+    e = AN.edit_documents(_edit_docs(spark, sf), A.edit_rule)
     return e.select("doc_id", "edited_text")
 
 
@@ -107,7 +114,7 @@ def q_rate_scores(spark, sf):
 
 
 def q_tag_documents(spark, sf):
-    t = flows.tag(_docs(spark, sf), D.taxonomy(spark), A.summary_rule, A.first_level_rule,
+    t = flows.tag(_docs(spark, sf), D.taxonomy(spark, sf), A.summary_rule, A.first_level_rule,
                       A.second_third_rule)
     return t.select("instance_id", "first_level_tag", "second_level_tag", "third_level_tag",
                     "in_tree")

@@ -103,16 +103,22 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ut < 0.02, F.lit(None).cast("boolean")).otherwise(ut >= 0.1).alias("in_tree")))
 
 
-def taxonomy(spark: SparkSession) -> DataFrame:
-    """``first, second, third`` edges: 21 x 5 x 4 paths minus about a tenth."""
-    r = spark.range(len(FIRST_LOWER) * 20)
-    f = F.element_at(F.array(*[F.lit(n) for n in FIRST_LOWER]),
-                     (F.floor(F.col("id") / 20) + 1).cast("int"))
-    sx = F.pmod(F.floor(F.col("id") / 4), F.lit(5)).cast("string")
-    tx = F.pmod(F.col("id"), F.lit(4)).cast("string")
-    e = r.select(f.alias("first"), F.concat(f, F.lit(" s"), sx).alias("second"),
-                 F.concat(f, F.lit(" s"), sx, F.lit(" t"), tx).alias("third"))
-    return e.filter(uniform("third") >= 0.1)
+def _capital(c) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 20))
+
+
+def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``first, second, third`` edges: the distinct tag paths of the documents,
+    with capitals, minus about a tenth. Materialised like a stored taxonomy."""
+    def build():
+        paths = tagged(spark, sf_dir).select(
+            "first_level_tag", "second_level_tag", "third_level_tag").distinct()
+        return materialize(paths.filter(uniform("third_level_tag") >= 0.1).select(
+            _capital("first_level_tag").alias("first"),
+            _capital("second_level_tag").alias("second"),
+            _capital("third_level_tag").alias("third")))
+    return _once("taxonomy", spark, sf_dir, build)
 
 
 def boost_list() -> list[str]:
@@ -121,7 +127,7 @@ def boost_list() -> list[str]:
 
 
 PAIRS_PER_DOC = 3
-RATE_TASK = "educational_value"
+RATE_TASK, OTHER_TASK = "educational_value", "writing_style"  # by the pair's parity
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +162,8 @@ def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build():
         j = parse_choice(pair_replies(spark, sf_dir)).filter(F.col("status") == "ok")
-        return materialize(j.select(F.lit(RATE_TASK).alias("task"), "pair_id",
+        task = F.when(F.col("pair_id") % 2 == 0, RATE_TASK).otherwise(OTHER_TASK)
+        return materialize(j.select(task.alias("task"), "pair_id",
                                     F.array("id_1", "id_2").alias("pair_ids"), "win", "why"))
     return _once("judgements", spark, sf_dir, build)
 
@@ -175,7 +182,8 @@ def tag_replies(docs: DataFrame) -> DataFrame:
              .when(u < 0.20, F.concat(F.lit('{"tag": "'), F.lower(name),
                                       F.lit('", "explanation": "rule"}')))
              .when(u < 0.25, F.concat(F.lit('{"tag": "'), name, F.lit('"}')))
-             .when(u < 0.30, F.concat(body, F.lit(" trailing")))
+             .when(u < 0.28, F.concat(body, F.lit(" trailing")))
+             .when(u < 0.30, F.concat(body, F.lit(" or "), body))
              .when(u < 0.32, F.lit("<<FAILED>>"))
              .otherwise(body))
     return d.select("doc_id", reply.alias("reply"))
@@ -197,15 +205,15 @@ def summary_replies(docs: DataFrame) -> DataFrame:
 def second_third_replies(docs: DataFrame) -> DataFrame:
     """``doc_id, first_level_tag, reply``: second/third-level replies for the
     first tag of each document (failed, missing key, foreign path, ok; about a
-    tenth of the paths are not in the taxonomy)."""
+    tenth of the paths are not in the taxonomy, whose names have capitals)."""
     d = docs.select("doc_id", uniform("doc_id", "t1").alias("_u1"),
                     uniform("doc_id", "s2").alias("_u2"), uniform("doc_id", "s3").alias("_u3"),
                     uniform("doc_id", "st").alias("_uv"))
     d = d.select("doc_id", "_uv", _pick_first(F.col("_u1")).alias("_f"),
                  F.floor(F.lit(5) * F.col("_u2")).cast("int").cast("string").alias("_sx"),
                  F.floor(F.lit(4) * F.col("_u3")).cast("int").cast("string").alias("_tx"))
-    second = F.concat("_f", F.lit(" s"), "_sx")
-    third = F.concat("_f", F.lit(" s"), "_sx", F.lit(" t"), "_tx")
+    second = _capital(F.concat("_f", F.lit(" s"), "_sx"))
+    third = _capital(F.concat("_f", F.lit(" s"), "_sx", F.lit(" t"), "_tx"))
     u = F.col("_uv")
     full = F.concat(F.lit('{"second_level_tag": "'), second, F.lit('", "third_level_tag": "'),
                     third, F.lit('", "explanation": "rule"}'))
@@ -231,6 +239,7 @@ def flat_replies(docs: DataFrame) -> DataFrame:
     path = F.concat(F.lit(" > "), "_f", F.lit(" s"), "_sx", F.lit(" > "), "_f", F.lit(" s"), "_sx",
                     F.lit(" t"), "_tx")
     good = F.concat(F.lit('{"tag": "'), F.col("_name"), path, F.lit('", "explanation": "rule"}'))
+    tab = F.concat(F.lit('{"tag": "\\t'), F.col("_name"), path, F.lit('", "explanation": "rule"}'))
     lower = F.concat(F.lit('{"tag": "'), F.col("_f"), path, F.lit('", "explanation": "rule"}'))
     two = F.concat(F.lit('{"tag": "'), F.col("_name"), F.lit(' > misc", "explanation": "rule"}'))
     two_nokey = F.concat(F.lit('{"tag": "'), F.col("_name"), F.lit(' > misc"}'))
@@ -239,5 +248,6 @@ def flat_replies(docs: DataFrame) -> DataFrame:
              .when(u < 0.20, F.concat(F.lit("["), two, F.lit("]")))
              .when(u < 0.25, F.lit("<<FAILED>>"))
              .when(u < 0.30, F.concat(F.lit("["), lower, F.lit(", "), two, F.lit("]")))
+             .when(u < 0.35, F.concat(F.lit("["), tab, F.lit("]")))
              .otherwise(F.concat(F.lit("["), good, F.lit(", "), two, F.lit("]"))))
     return d.select("doc_id", reply.alias("reply"))

@@ -23,9 +23,7 @@ RAW_SCHEMA = T.StructType([
 ])
 
 JUDGEMENT_SCHEMA = "task string, pair_id long, pair_ids array<long>, win string, why string"
-PAIRS_FILE_SCHEMA = "n long, n_pairs long, compare long, pairs array<array<long>>"
 SCORES_SCHEMA = "task string, id long, score double"
-TAXONOMY_TYPE = "map<string,map<string,map<string,string>>>"
 
 
 def rated_schema(fields=SCORE_FIELDS, extra=("uuid", "dataset")) -> T.StructType:
@@ -40,18 +38,36 @@ TAGGED_SCHEMA = ("uuid string, dataset string, first_level_tag string, second_le
                  "third_level_tag string, in_tree boolean")
 
 
+def _json(spark: SparkSession, path, schema) -> DataFrame:
+    """JSON lines; a line that does not parse is kept in ``_corrupt_record``."""
+    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    return (spark.read.schema(T.StructType([*fields.fields, T.StructField(CORRUPT, T.StringType())]))
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path))
+
+
+def _with_status(df: DataFrame, bad=None) -> DataFrame:
+    """``status``: ``corrupt`` for rows of broken lines (their fields are null)."""
+    wrong = F.col(CORRUPT).isNotNull()
+    status = F.when(wrong if bad is None else wrong | bad, "corrupt").otherwise("ok")
+    fields = [F.when(F.col(CORRUPT).isNull(), F.col(f"`{c}`")).alias(c)
+              for c in df.columns if c != CORRUPT]
+    return df.select(*fields, CORRUPT, status.alias("status"))
+
+
 def read_records(spark: SparkSession, path: str | list[str], schema, dataset: str | None = None,
-                 dataset_from_path: bool = False) -> DataFrame:
+                 dataset_from_path: bool = False, rejects: bool = False) -> DataFrame:
     """JSON records (one per line) with a declared schema. ``dataset`` sets the
     column; ``dataset_from_path`` takes the parent directory name. A
-    ``dataset=...`` partition directory is picked up as a column by Spark."""
-    df = spark.read.schema(schema).json(path)
+    ``dataset=...`` partition directory is picked up as a column by Spark.
+    ``rejects``: adds ``_corrupt_record`` and ``status``, so that broken lines
+    can be told from records without values."""
+    df = _json(spark, path, schema) if rejects else spark.read.schema(schema).json(path)
     if dataset is not None:
         df = df.withColumn("dataset", F.lit(dataset))
     elif dataset_from_path:
         df = df.withColumn("dataset", F.regexp_extract(F.col("_metadata.file_path"),
                                                        r"([^/]+)/[^/]+$", 1))
-    return df
+    return _with_status(df) if rejects else df
 
 
 def read_raw_jsonl(spark: SparkSession, path: str, extra_schema: T.StructType | None = None) -> DataFrame:
@@ -65,11 +81,11 @@ def read_raw_jsonl(spark: SparkSession, path: str, extra_schema: T.StructType |
 
 
 def read_raw_txt(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines stored as ``.txt`` whose ``original_content`` is a JSON string."""
-    lines = spark.read.text(path)
-    rec = F.from_json("value", "instance_id long, original_content string")
-    df = lines.select(rec.alias("r")).select("r.*")
-    return normalize_records(df)
+    """JSON lines stored as ``.txt`` whose ``original_content`` is a JSON string.
+    A line that is no such record keeps null fields and stands in
+    ``_corrupt_record``."""
+    schema = "instance_id long, original_content string"
+    return normalize_records(_json(spark, path, schema))
 
 
 def read_md_samples(spark: SparkSession, path: str) -> DataFrame:
@@ -95,31 +111,22 @@ def read_md_samples(spark: SparkSession, path: str) -> DataFrame:
     return out.filter(F.length("text") > 0)
 
 
-def read_pairs(spark: SparkSession, path: str, fmt: str = "table") -> DataFrame:
-    """Pair sets: ``table`` (``path/pairs``: ``pair_id, id_1, id_2, added``
-    lines, read in parallel) or ``object`` (the single JSON object
-    ``{n, n_pairs, compare, pairs: [[i, j], ...]}``; pair id = position)."""
-    if fmt == "table":
-        return spark.read.schema("pair_id long, id_1 long, id_2 long, added boolean").json(
-            f"{path}/pairs")
-    if fmt == "object":
-        obj = spark.read.schema(PAIRS_FILE_SCHEMA).option("multiLine", True).json(path)
-        return obj.select(F.posexplode("pairs").alias("pair_id", "p")).select(
-            F.col("pair_id").cast("long"), F.col("p")[0].alias("id_1"), F.col("p")[1].alias("id_2"))
-    raise ValueError("fmt must be 'table' or 'object'")
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """``pair_id, id_1, id_2, added`` of a pair set, read in parallel."""
+    return spark.read.schema("pair_id long, id_1 long, id_2 long, added boolean").json(
+        f"{path}/pairs")
 
 
-def read_pairs_meta(spark: SparkSession, path: str, fmt: str = "table") -> DataFrame:
+def read_pairs_meta(spark: SparkSession, path: str) -> DataFrame:
     """``n, n_pairs, compare`` of a pair set."""
-    if fmt == "table":
-        return spark.read.schema("n long, n_pairs long, compare long").json(f"{path}/meta")
-    return spark.read.schema(PAIRS_FILE_SCHEMA).option("multiLine", True).json(path).select(
-        "n", "n_pairs", "compare")
+    return spark.read.schema("n long, n_pairs long, compare long").json(f"{path}/meta")
 
 
 def read_judgements(spark: SparkSession, path: str) -> DataFrame:
-    """Judgement lines ``{task?, pair_id, pair_ids, win, why}``; blank lines skip."""
-    return spark.read.schema(JUDGEMENT_SCHEMA).json(path).filter(F.col("pair_id").isNotNull())
+    """Judgement lines ``task?, pair_id, pair_ids, win, why`` with a ``status``:
+    ``ok``, or ``corrupt`` for a line that is no such record (null fields, the
+    line in ``_corrupt_record``). Blank lines skip; nothing else is lost."""
+    return _with_status(_json(spark, path, JUDGEMENT_SCHEMA), F.col("pair_id").isNull())
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
@@ -127,13 +134,8 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """Taxonomy JSON ``{first: {second: {third: ...}}}`` -> edges
-    ``(first, second, third)``."""
-    doc = spark.read.text(path, wholetext=True)
-    tree = doc.select(F.from_json("value", TAXONOMY_TYPE).alias("t"))
-    l1 = tree.select(F.explode("t").alias("first", "m2"))
-    l2 = l1.select("first", F.explode("m2").alias("second", "m3"))
-    return l2.select("first", "second", F.explode(F.map_keys("m3")).alias("third"))
+    """Edges ``(first, second, third)`` of a stored taxonomy."""
+    return spark.read.schema("first string, second string, third string").json(path)
 
 
 def load_templates(spark: SparkSession, directory: str, tasks=None) -> dict[str, str]:

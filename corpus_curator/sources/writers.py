@@ -1,6 +1,4 @@
-"""Sinks. Output is written by all tasks in parallel (one file per partition);
-a single-file write exists only for small results that a downstream tool must
-open as one file."""
+"""Sinks. Output is written by all tasks in parallel (one file per partition)."""
 
 from __future__ import annotations
 
@@ -17,24 +15,6 @@ def write_records(df: DataFrame, path: str, fmt: str = "json", mode: str = "over
     w.save(path)
 
 
-SINGLE_TASK_ROWS = 5_000_000
-
-
-def _guard(df: DataFrame, max_rows: int, what: str) -> None:
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{what}: {n} rows would pass through one task (limit {max_rows}); "
-                         "use the partitioned form")
-
-
-def write_single(df: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite",
-                 max_rows: int = SINGLE_TASK_ROWS) -> None:
-    """One output file. Funnels all rows through one task, so the row count is
-    checked first: small results only."""
-    _guard(df, max_rows, "write_single")
-    df.coalesce(1).write.mode(mode).format(fmt).save(path)
-
-
 def append_records(df: DataFrame, path: str, fmt: str = "json") -> None:
     """Append finished records to an output folder."""
     df.write.mode("append").format(fmt).save(path)
@@ -50,40 +30,19 @@ def write_scores(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select("task", "id", "score").write.mode(mode).json(path)
 
 
-def write_pairs(pairs: DataFrame, path: str, n: int, compare: int, fmt: str = "table",
+def write_pairs(pairs: DataFrame, path: str, n: int, compare: int,
                 mode: str = "overwrite") -> None:
-    """A pair set. ``table``: ``path/pairs`` (one line per pair, parallel) and
-    ``path/meta`` (one line ``n, n_pairs, compare``). ``object``: the single
-    JSON object ``{n, n_pairs, compare, pairs: [[i, j], ...]}`` that the
-    original tools read; it is built in one task, so it is for small sets."""
-    if fmt == "table":
-        pairs.write.mode(mode).json(f"{path}/pairs")
-        meta = pairs.agg(F.lit(n).cast("long").alias("n"), F.count(F.lit(1)).alias("n_pairs"),
-                         F.lit(compare).cast("long").alias("compare"))
-        meta.coalesce(1).write.mode(mode).json(f"{path}/meta")
-        return
-    if fmt == "object":
-        _guard(pairs, SINGLE_TASK_ROWS, "write_pairs(fmt='object')")
-        obj = pairs.agg(
-            F.lit(n).cast("long").alias("n"), F.count(F.lit(1)).alias("n_pairs"),
-            F.lit(compare).cast("long").alias("compare"),
-            F.transform(F.array_sort(F.collect_list(F.struct("pair_id", "id_1", "id_2"))),
-                        lambda s: F.array(s["id_1"], s["id_2"])).alias("pairs"))
-        obj.coalesce(1).write.mode(mode).json(path)
-        return
-    raise ValueError("fmt must be 'table' or 'object'")
+    """A pair set: ``path/pairs`` (one line per pair, written in parallel) and
+    ``path/meta`` (one line ``n, n_pairs, compare``)."""
+    pairs.write.mode(mode).json(f"{path}/pairs")
+    meta = pairs.agg(F.lit(n).cast("long").alias("n"), F.count(F.lit(1)).alias("n_pairs"),
+                     F.lit(compare).cast("long").alias("compare"))
+    meta.write.mode(mode).json(f"{path}/meta")
 
 
 def write_taxonomy(edges: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Edges -> one nested JSON object ``{first: {second: {third: ""}}}``
-    (a taxonomy is small; its size is checked)."""
-    _guard(edges, SINGLE_TASK_ROWS, "write_taxonomy")
-    lvl2 = edges.groupBy("first", "second").agg(F.map_from_entries(F.collect_list(
-        F.struct("third", F.lit("")))).alias("m3"))
-    lvl1 = lvl2.groupBy("first").agg(F.map_from_entries(F.collect_list(
-        F.struct("second", "m3"))).alias("m2"))
-    tree = lvl1.agg(F.map_from_entries(F.collect_list(F.struct("first", "m2"))).alias("t"))
-    tree.select(F.to_json("t").alias("value")).coalesce(1).write.mode(mode).text(path)
+    """A taxonomy as its edges, one ``{first, second, third}`` line each."""
+    edges.select("first", "second", "third").write.mode(mode).json(path)
 
 
 def preview(df: DataFrame, n: int = 20) -> list:

@@ -73,17 +73,37 @@ def test_block_diagonal_fit_equals_single_task_fits(spark):
         assert got[("b", i)] == pytest.approx(-only_a[i], abs=1e-4)
 
 
-def test_grouped_gradient_equals_distributed(spark):
-    m = _matches(spark)
-    a = {r["id"]: r["theta"] for r in BT.bt_gradient_grouped(m, 0.05, 5).collect()}
-    b = {r["id"]: r["theta"] for r in BT.bt_gradient(m, 0.05, 5).collect()}
-    assert [a[i] for i in range(3)] == pytest.approx([b[i] for i in range(3)], abs=1e-12)
-    c = {r["id"]: r["theta"] for r in BT.bt_gradient_grouped(m, 0.05, 5, max_rows=0).collect()}
-    assert [c[i] for i in range(3)] == pytest.approx([b[i] for i in range(3)], abs=1e-12)
-    # many steps approach the maximum-likelihood optimum
-    d = {r["id"]: r["theta"] for r in BT.bt_gradient_grouped(m, 0.05, 20000).collect()}
-    mean = sum(d.values()) / 3
-    assert [d[i] - mean for i in range(3)] == pytest.approx([1.102725, -0.184654, -0.918072], abs=1e-4)
+def test_optimality_with_a_prior(spark):
+    """At the optimum expected wins equal wins, the prior's games included."""
+    rng = np.random.default_rng(4)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 12, (80, 2)) if a != b]
+    pairs += [(20, 0), (0, 21)]  # one item only wins, one only loses
+    m = spark.createDataFrame([("t", i, w, l) for i, (w, l) in enumerate(pairs)],
+                              "task string, pair_id long, winner long, loser long")
+    s = {r["id"]: (r["theta"], r["finite"]) for r in BT.bt_scores(
+        m, prior=0.5, max_iter=400, tol=1e-5).collect()}
+    assert all(f for _, f in s.values())
+    theta = {i: t for i, (t, _) in s.items()}
+    # the centring shifts the anchor: find the shift at which the prior balances
+    def residual(shift):
+        out = []
+        for i in theta:
+            g = sum((w == i) - 1 / (1 + np.exp(theta[l] - theta[w])) * (w == i)
+                    - (1 - 1 / (1 + np.exp(theta[l] - theta[w]))) * (l == i)
+                    for w, l in pairs if i in (w, l))
+            out.append(g + 0.5 - 1 / (1 + np.exp(-theta[i] - shift)))
+        return np.array(out)
+    best = min((np.abs(residual(x)).max() for x in np.linspace(-3, 3, 6001)))
+    assert best < 2e-3
+
+
+def test_items_without_a_finite_optimum_are_named(spark):
+    m = _matches(spark).unionByName(spark.createDataFrame(
+        [("t", 50, 8, 0), ("t", 51, 0, 9)], "task string, pair_id long, winner long, loser long"))
+    got = {r["id"]: r["finite"] for r in BT.bt_scores(m, max_iter=30, tol=0).collect()}
+    assert got == {0: True, 1: True, 2: True, 8: False, 9: False}
+    with pytest.raises(RuntimeError, match="still moves"):
+        BT.bt_scores(_matches(spark), max_iter=2, tol=1e-9)
 
 
 def test_mle_recovers_known_theta(spark):

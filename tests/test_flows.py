@@ -45,7 +45,7 @@ def test_rate_flow_mle_uniform(spark):
     docs = D.documents(spark, SF)
     n = docs.count()
     scores = flows.rate(docs, "educational_value", rate_rule, n_pairs=3 * n, compare=6, seed=3,
-                        method="mle", reg=1e-3, score_type="uniform")
+                        method="mle", prior=0.5, score_type="uniform")
     rows = scores.collect()
     vals = sorted(r["score"] for r in rows)
     assert len(rows) == n and vals[0] == 1.0 and vals[-1] == 99.0

@@ -39,16 +39,30 @@ def test_unknown_extension(spark):
         RD.read_raw(spark, "/x/y.csv")
 
 
-def test_pairs_object_roundtrip(spark):
-    pairs = spark.createDataFrame([(0, 3, 4), (1, 4, 5), (2, 5, 3)], "pair_id long, id_1 long, id_2 long")
+def test_pairs_roundtrip(spark):
+    pairs = spark.createDataFrame([(0, 3, 4, False), (1, 4, 5, False), (2, 5, 3, True)],
+                                  "pair_id long, id_1 long, id_2 long, added boolean")
     path = _tmp("pairs")
-    W.write_pairs(pairs, path, n=3, compare=2, fmt="object")
-    back = sorted(tuple(r) for r in RD.read_pairs(spark, path, fmt="object").collect())
-    assert back == [(0, 3, 4), (1, 4, 5), (2, 5, 3)]
-    meta = RD.read_pairs_meta(spark, path, fmt="object").first()
+    W.write_pairs(pairs, path, n=3, compare=2)
+    assert sorted(map(tuple, RD.read_pairs(spark, path).collect())) == sorted(
+        map(tuple, pairs.collect()))
+    meta = RD.read_pairs_meta(spark, path).first()
     assert (meta["n"], meta["n_pairs"], meta["compare"]) == (3, 3, 2)
 
 
+def test_broken_lines_are_kept(spark):
+    path = _tmp("j")
+    os.makedirs(path)
+    with open(os.path.join(path, "part.json"), "w") as fh:
+        fh.write('{"task": "t", "pair_id": 1, "pair_ids": [1, 2], "win": "1", "why": "w"}\n\n')
+        fh.write('{"task": "t", "pair_id": 2, "pa\n')
+    got = {r["status"]: (r["pair_id"], r["_corrupt_record"])
+           for r in RD.read_judgements(spark, path).collect()}
+    assert got == {"ok": (1, None), "corrupt": (None, '{"task": "t", "pair_id": 2, "pa')}
+    rows = RD.read_records(spark, path, "task string, pair_id long", rejects=True)
+    assert sorted(r["status"] for r in rows.collect()) == ["corrupt", "ok"]
+
+
 def test_taxonomy_roundtrip(spark):
     edges = spark.createDataFrame([("a", "b", "c"), ("a", "b", "d"), ("e", "f", "g")],
                                   "first string, second string, third string")

@@ -8,8 +8,8 @@ column of distinct hashes with their counts, dealt by range of the hash to
 buckets; a bucket adds up the columns of all blocks and answers each block with
 the totals of its own n-grams, in order; the block joins them to its texts.
 
-The hash is as wide as the corpus needs: about one n-gram in 16,000 shares its
-hash with another one, whatever the size. The n-gram of order zero carries the
+The hash is as wide as the corpus needs: at most about one n-gram in 65,000 shares
+its hash with another one, whatever the size. The n-gram of order zero carries the
 number of words. Repeated n-grams reach a bucket once per block, so no n-gram,
 however frequent, makes a bucket large.
 """
@@ -28,8 +28,9 @@ BACKOFF = 0.4
 #: Bytes of text to a block, and to the n-grams of a bucket.
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
-#: Share of n-grams whose hash may collide, as a power of two.
-COLLISION_BITS = 14
+#: Bits of a hash at least, and beyond the bits that number the n-grams: one
+#: n-gram in two to the power of the latter may share its hash with another.
+LEAST_BITS, COLLISION_BITS = 48, 16
 
 
 def gram_hashes(texts: list[bytes], order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +179,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = BACKOFF,
     ignored; an empty table gives an empty result.
     """
     size = docs.select(F.sum(F.length(text_bytes()))).first()[0] or 0
-    bits = min(62, max(32, (size * order).bit_length() + COLLISION_BITS))
+    bits = min(62, max(LEAST_BITS, (size * order).bit_length() + COLLISION_BITS))
     bucket_bits = max(1, (size // bucket_bytes).bit_length())
     blocks = max(1, -(-size // block_bytes))
     dealt = docs.select(

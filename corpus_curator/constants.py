@@ -54,22 +54,6 @@ SCORE_MAX = 100.0
 TAG_EXPONENTS = (0.5, 0.5, 0.5)
 BOOST_FACTORS = (2.0, 3.0, 4.0)
 
-# Per-dataset sample sizes of the published runs.
-RATING_QUOTAS = {
-    "baike_chinese_new_all": 6807862,
-    "c4_dedup": 19085597,
-    "en_dolma_dedup": 26195918,
-    "pilve_v4_dedup": 10104909,
-    "zh_common_crawl": 72974345,
-}
-TAG_QUOTAS = {
-    "baike_chinese_new_all": 8850221,
-    "c4_dedup": 24811277,
-    "en_dolma_dedup": 34054694,
-    "pilve_v4_dedup": 13136382,
-    "zh_common_crawl": 94866649,
-}
-
 # Failed-call sentinel returned by an annotator.
 FAILED = "<<FAILED>>"
 
@@ -88,11 +72,8 @@ MD_SAMPLE_MARKER = "# --------------------------- sample"
 SMALL_PROMPT_TOKENS = 3800
 MAX_PROMPT_TOKENS = 16000
 
-# Bradley-Terry defaults: learning rate, iterations (script default and the
-# pipeline setting), uniform score range.
+# Bradley-Terry defaults: learning rate, uniform score range.
 BT_LEARNING_RATE = 0.05
-BT_ITERATIONS = 200000
-BT_PIPELINE_ITERATIONS = 5000
 UNIFORM_TOP = 99.0
 UNIFORM_BOTTOM = 1.0
 

@@ -26,8 +26,11 @@ from ..functions import replies as RP
 
 def annotate(df: DataFrame, fn: Callable, prompt_col: str = "prompt", reply_col: str = "reply",
              batch_size: int = 25, threads: int = 1, vectorized: bool = False,
-             partitions: int | None = None) -> DataFrame:
-    """Add ``reply_col`` = fn(prompt) for every row. ``fn`` maps one prompt to
+             partitions: int | None = None, class_col: str | None = None,
+             error_col: str | None = None) -> DataFrame:
+    """Add ``reply_col`` = fn(prompt) for every row, or fn(prompt, class) with
+    ``class_col`` (for example the prompt's size class, to pick a model by).
+    ``error_col`` keeps the text of the exception of a failed call. ``fn`` maps one prompt to
     one reply, or with ``vectorized=True`` a pandas Series of prompts to a
     Series of replies. Null prompts get a null reply.
 
@@ -39,39 +42,43 @@ def annotate(df: DataFrame, fn: Callable, prompt_col: str = "prompt", reply_col:
     checkpoint each annotation stage)."""
     if partitions:
         df = df.repartition(partitions)
-    schema = T.StructType(df.schema.fields + [T.StructField(reply_col, T.StringType(), True)])
+    added = [reply_col] + ([error_col] if error_col else [])
+    schema = T.StructType(df.schema.fields + [T.StructField(c, T.StringType(), True)
+                                              for c in added])
 
-    def one(p):
-        if p is None:
-            return None
+    def one(args):
+        if args[0] is None:
+            return None, None
         try:
-            r = fn(p)
-            return None if r is None else str(r)
-        except Exception:  # a failed call is data, not a task failure
-            return FAILED
+            r = fn(*args)
+            return None if r is None else str(r), None
+        except Exception as e:  # a failed call is data, not a task failure
+            return FAILED, f"{type(e).__name__}: {e}"
 
-    def call(chunk: pd.Series) -> list:
+    def call(*columns: pd.Series) -> list:
         if vectorized:
             try:
-                out = list(fn(chunk))
-                if len(out) == len(chunk):
-                    return [None if r is None else str(r) for r in out]
+                out = list(fn(*columns))
+                if len(out) == len(columns[0]):
+                    return [(None if r is None else str(r), None) for r in out]
             except Exception:
                 pass
             # the batch call failed or answered a different number of prompts
-            return [one(p) for p in chunk]
-        if threads > 1:
+        elif threads > 1:
             from concurrent.futures import ThreadPoolExecutor
             with ThreadPoolExecutor(max_workers=threads) as pool:
-                return list(pool.map(one, chunk))
-        return [one(p) for p in chunk]
+                return list(pool.map(one, zip(*columns)))
+        return [one(args) for args in zip(*columns)]
+
+    given = [prompt_col] + ([class_col] if class_col else [])
 
     def run(batches):
         for pdf in batches:
             out = []
             for start in range(0, len(pdf), batch_size):
-                out.extend(call(pdf[prompt_col].iloc[start:start + batch_size]))
-            pdf[reply_col] = pd.Series(out, index=pdf.index, dtype=object)
+                out.extend(call(*[pdf[c].iloc[start:start + batch_size] for c in given]))
+            for k, c in enumerate(added):
+                pdf[c] = pd.Series([r[k] for r in out], index=pdf.index, dtype=object)
             yield pdf
 
     return df.mapInPandas(run, schema)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rand import uniform
+from ..session import materialize
 from .rank import dense_index, global_rank
 
 PAIR_SCHEMA = "pair_id long, id_1 long, id_2 long"
@@ -64,12 +65,21 @@ def check_pair_budget(n: int, n_pairs: int, compare: int) -> None:
                          "increase n_pairs")
 
 
+def pair_budget(ids: DataFrame, n_pairs: int, compare: int) -> DataFrame:
+    """One row: ``n_ids``, the pairs needed for ``compare`` comparisons per id,
+    and whether ``n_pairs`` are ``enough``."""
+    return ids.agg(F.count(F.lit(1)).alias("n_ids")).select(
+        "n_ids", F.ceil(F.col("n_ids") * compare / 2).cast("long").alias("needed"),
+        (F.lit(2 * n_pairs) >= F.col("n_ids") * compare).alias("enough"))
+
+
 def balanced_pairs(ids: DataFrame, n_pairs: int, compare: int, seed: int | str = 0,
                    id_col: str = "id") -> DataFrame:
     """Random pairs topped up so that every id has at least ``compare``
     comparisons. Adds ``added`` (false for the first ``n_pairs``)."""
     idx, n = indexed_items(ids, id_col)
     check_pair_budget(n, n_pairs, compare)
+    idx = materialize(idx)  # read six times below
     base = random_pairs(ids, n_pairs, seed, id_col, indexed=(idx, n))
     deg = pair_degrees(base)
     need = (idx.join(deg.withColumnRenamed("id", id_col), id_col, "left")
@@ -100,18 +110,12 @@ def pair_report(pairs: DataFrame) -> DataFrame:
 def pair_texts(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """Both texts of every pair (inner joins: pairs with an unknown id drop;
-    see ``missing_pair_ids``)."""
+    ``check_pairs`` counts them)."""
     d1 = docs.select(F.col(id_col).alias("id_1"), F.col(text_col).alias("text_1"))
     d2 = docs.select(F.col(id_col).alias("id_2"), F.col(text_col).alias("text_2"))
     return pairs.join(d1, "id_1").join(d2, "id_2")
 
 
-def missing_pair_ids(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Ids named by a pair that are not among the documents."""
-    used = pairs.select(F.explode(F.array("id_1", "id_2")).alias("id")).distinct()
-    return used.join(docs.select(F.col(id_col).alias("id")), "id", "left_anti")
-
-
 def check_pairs(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row: pairs, distinct pair ids, pair ids without a document."""
     used = pairs.select(F.explode(F.array("id_1", "id_2")).alias("id")).distinct()

@@ -285,12 +285,15 @@ def head_k(df: DataFrame, k: int, order_by: Sequence[str]) -> DataFrame:
 def slice_input(df: DataFrame, start: int, total: int, id_col: str | None = None,
                 order_by: Sequence[str] = ()) -> DataFrame:
     """Skip ids below ``start``, keep the next ``total`` rows in id order (the
-    slice is the feature). Without an id column the position in ``order_by``
-    order is used instead (0-based, added as ``position``)."""
-    if id_col is None:
+    slice is the feature). With ``order_by`` a record without an id of its own
+    goes by its position in that order (0-based, added as ``position``); ties go
+    by ``order_by``."""
+    ident = F.col(id_col) if id_col else None
+    if order_by:
         df = global_rank(df, list(order_by), name="position", start=0)
-        id_col = "position"
-    return df.filter(F.col(id_col) >= start).orderBy(id_col).limit(total)
+        place = F.col("position")
+        ident = place if ident is None else F.coalesce(ident.cast("long"), place)
+    return df.filter(ident >= start).orderBy(ident, *order_by).limit(total)
 
 
 def assign_batches(df: DataFrame, size: int, order: str = "input", order_by: Sequence[str] = (),

@@ -193,6 +193,13 @@ SQL["q_weighted_sample_lineitem"] = (
     f"SELECT lkey FROM (SELECT lkey, row_number() OVER (ORDER BY -ln({U('lkey', SEED)}) / weight, "
     "lkey) AS rn FROM (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS lkey, "
     "l_extendedprice AS weight FROM lineitem)) WHERE rn <= (SELECT count(*) // 2 FROM lineitem)")
+SQL["q_slice_input_mixed"] = (
+    "SELECT doc_id, instance_id, position FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 "
+    f"AS position, CASE WHEN {U('doc_id', 'iid')} < 0.5 THEN doc_id + 3 END AS instance_id FROM "
+    "documents) WHERE coalesce(instance_id, position) >= 100 ORDER BY coalesce(instance_id, "
+    "position), doc_id LIMIT 500")
+SQL["q_pair_budget"] = ("SELECT n AS n_ids, CAST(ceil(n * 6 / 2) AS BIGINT) AS needed, 2 * 2 * n >= "
+                        "n * 6 AS enough FROM (SELECT count(*) AS n FROM documents)")
 SQL["q_weighted_sample_repeats"] = (
     "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER "
     f"BY -ln({U('l_orderkey', SEED)}) / CAST(l_quantity AS DOUBLE), l_orderkey, l_linenumber) AS rn, "

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import SCORE_FIELDS
+from ..functions.rand import uniform
 from ..operators import rank, sampling, scores, shape, tags
 from ..operators.retrieve import retrieve_by_uuid
 from ..sources import derived as D
@@ -169,6 +170,14 @@ def q_slice_input(spark, sf):
     return sampling.slice_input(d, 100, 500, "doc_id")
 
 
+def q_slice_input_mixed(spark, sf):
+    """About half the records have an id of their own, the others go by position."""
+    own = F.when(uniform("doc_id", "iid") < 0.5, F.col("doc_id") + 3)
+    d = D.documents(spark, sf).select("doc_id", own.alias("instance_id"))
+    return sampling.slice_input(d, 100, 500, "instance_id", ["doc_id"]).select(
+        "doc_id", "instance_id", "position")
+
+
 def q_assign_batches(spark, sf):
     d = D.documents(spark, sf).select("doc_id")
     return sampling.assign_batches(d, 20, order="input", order_by=["doc_id"])
@@ -267,6 +276,11 @@ def q_pair_degrees(spark, sf):
     return P.pair_degrees(D.pairs(spark, sf))
 
 
+def q_pair_budget(spark, sf):
+    d = D.documents(spark, sf)
+    return P.pair_budget(d, 2 * d.count(), 6)
+
+
 def q_pair_report(spark, sf):
     return P.pair_report(D.pairs(spark, sf))
 

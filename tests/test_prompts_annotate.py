@@ -65,7 +65,7 @@ def test_pandas_token_counter(spark):
 def test_second_third_job_routes_unknown_first_tag(spark):
     from corpus_curator.functions.annotators import second_third_rule
     from corpus_curator.operators.annotate import tag_second_third
-    tax = spark.createDataFrame([("law", f"law s{i}", f"law s{i} t{j}") for i in range(5)
+    tax = spark.createDataFrame([("Law", f"Law s{i}", f"Law s{i} t{j}") for i in range(5)
                                  for j in range(4)], "first string, second string, third string")
     recs = spark.createDataFrame([(1, "a summary", "law", "x"), (2, "b summary", "cooking", "y")],
                                  "instance_id long, summary string, first_level_tag string, "

@@ -19,8 +19,7 @@ qs = all_queries()
 out = ["# Physical plans of the headline queries",
        "",
        f"Generated by `tools/explain.py` at `{sf}` (local[8]). Inputs derived from the given",
-       "tables are checkpointed (`Scan ExistingRDD`); on real files the same operators sit on a",
-       "Parquet/JSON scan with pushed filters and a pruned read schema (see the first plan).",
+       "tables are written once as Parquet, so every plan starts at a pruned scan.",
        ""]
 for name in NAMES:
     df = qs[name](spark, sf)

@@ -2,8 +2,8 @@
 python tools/plan_audit.py [sf_dir]
 
 Reports nested-loop or cartesian joins (there should be none) and operators
-that run in a single partition (global one-row aggregates, and windows that
-the code only uses on inputs whose size it has checked)."""
+that run in a single partition (global one-row aggregates, and windows over
+histograms or over one row per partition)."""
 
 import os
 import sys
@@ -24,4 +24,4 @@ for name, fn in sorted(all_queries().items()):
         single.append(name)
 print(f"queries: {len(all_queries())}")
 print(f"nested-loop / cartesian joins: {cross or 'none'}")
-print(f"single-partition exchanges (one-row aggregates, size-checked windows): {single}")
+print(f"single-partition exchanges (one-row aggregates, histograms, offsets): {single}")

@@ -203,23 +203,28 @@ def fit(rows: list[tuple[int, np.ndarray]]):
     n1, n0 = y.sum(), (1 - y).sum()
     if not n1 or not n0:
         return {}, np.zeros(0), 30.0 if n1 else -30.0
-    flat = np.concatenate([f for _, f in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
-    hot = flat[y[owner] == 1]
-    names, df1 = np.unique(hot, return_counts=True)
+    names, df1 = np.unique(np.concatenate([f for label, f in rows if label]), return_counts=True)
     names, df1 = names[df1 >= 2], df1[df1 >= 2]
-    place = np.searchsorted(names, flat)
-    place[place == len(names)] = 0
-    inside = names[place] == flat if len(names) else np.zeros(len(flat), bool)
-    df0 = np.bincount(place[inside & (y[owner] == 0)], minlength=len(names))
+    if not len(names):
+        return {}, np.zeros(0), float(np.log(n1 / n0))
+
+    def known(f: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(names, f), len(names) - 1)
+        return place[names[place] == f]
+
+    df0 = np.zeros(len(names), np.int64)
+    for label, f in rows:
+        if not label:
+            df0[known(f)] += 1
     ratio = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n0 + 1))
     good = np.flatnonzero(ratio > 1.0)
     good = good[np.argsort(-(ratio * df1)[good], kind="stable")][:MAX_FEATURES]
-    number = np.full(len(names) + 1, -1)
+    number = np.full(len(names), -1, np.int32)
     number[good] = np.arange(len(good))
-    column = number[np.where(inside, place, len(names))]
-    use = column >= 0
-    owner, column = owner[use], column[use]
+    columns = [number[known(f)] for _, f in rows]
+    columns = [c[c >= 0] for c in columns]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in columns])
+    column = np.concatenate(columns)
     w, b = np.zeros(len(good)), float(np.log(n1 / n0)) - 2
     m, v = np.zeros(len(good) + 1), np.zeros(len(good) + 1)
     for step in range(1, STEPS + 1):

@@ -31,6 +31,8 @@ MAX_WORDS = 200_000
 BUCKETS = 1 << 17
 STEPS = 20
 BLOCK = 256
+#: Documents labelled at once in a task; bounds its memory.
+SLICE = 256
 
 
 def _words(text: str) -> list[str]:
@@ -141,7 +143,7 @@ class Emissions(dict):
     words get a row at once and their scores together. Bounded: starts anew when
     it is full, between batches, so results never depend on it."""
 
-    def __init__(self, field: Field, limit: int = 700_000):
+    def __init__(self, field: Field, limit: int = 200_000):
         super().__init__()
         self.field, self.limit = field, limit
         self.table = np.empty((0, len(field.labels)), np.float32)
@@ -273,8 +275,10 @@ def predict(docs: DataFrame, field: Field, carry: bool = False) -> DataFrame:
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
         T.StructField("switches", T.LongType()), T.StructField("n_words", T.LongType())])
     names = docs.columns if carry else ["doc_id"]
-    rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in names], "text")
-    schema = T.StructType(rows.schema.fields[:-1] + own.fields)
+    rows = docs.select(*[F.col(c).alias(f"c_{c}") for c in names],
+                       *([] if carry else ["text"]))  # the text crosses once
+    schema = T.StructType(rows.schema.fields[:len(names)] + own.fields)
+    place = names.index("text") if carry else len(names)
 
     def run(batches):
         field = shared.value
@@ -309,9 +313,9 @@ def predict(docs: DataFrame, field: Field, carry: bool = False) -> DataFrame:
                  pa.array(changes), pa.array(sizes, pa.int64())], names=schema.names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                *others, texts = batch.slice(at, 1024).columns
-                yield flush(others, texts.to_pylist())
+            for at in range(0, batch.num_rows, SLICE):
+                columns = batch.slice(at, SLICE).columns
+                yield flush(columns[:len(names)], columns[place].to_pylist())
 
     found = rows.mapInArrow(run, schema)
     return found.select(*[F.col(f"c_{c}").alias(c) for c in names],

@@ -57,7 +57,7 @@ class Encoder:
     other chunk goes through the tokenizer whole. Both memos are bounded.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -93,16 +93,6 @@ class Encoder:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process, kept for its later tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def tokenize(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
     """Pieces of at most ``sequence`` tokens: ``doc_id, piece, start, length,
     ids_crc32`` and ``part``, the task that made them."""
@@ -111,7 +101,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) ->
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        encode, part = Encoder(tokenizer_path), TaskContext.get().partitionId()
         for ids, texts in slices(batches):
             rows = []
             for doc_id, text in zip(ids, texts):

@@ -75,7 +75,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     global _WORDS
     if _WORDS is None:
         import xxhash
-        _WORDS = Memo(xxhash.xxh3_64_intdigest)
+        _WORDS = Memo(xxhash.xxh3_64_intdigest, 150_000)  # stays with the worker
     return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

@@ -27,15 +27,22 @@ SHINGLE = 5
 PERCENT = 85
 REGISTERS = 256
 MANTISSA = 10
-#: Bands of six or seven registers: a pair at the threshold is missed with a
-#: probability of about 2e-9.
-BANDS = 42
+#: A pair at the threshold may be missed with this probability.
+MISS = 4e-9
 #: Standard errors by which an estimate may fall short of the threshold.
 ERRORS = 5.0
 BAND_BLOCK = 1024
 EXACT_BLOCK = 256
 
-_LAYOUT = np.array_split(np.arange(REGISTERS), BANDS)
+
+def layout(percent: int) -> list[np.ndarray]:
+    """Registers of each band: the fewest bands that miss a pair at the threshold
+    with a probability of at most MISS (42 bands at 85, 51 at 80)."""
+    for bands in range(1, REGISTERS + 1):
+        out = np.array_split(np.arange(REGISTERS), bands)
+        if np.prod([1 - (percent / 100) ** len(places) for places in out]) <= MISS:
+            break
+    return out
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -55,10 +62,10 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> list[int]:
+def band_keys(regs: np.ndarray, percent: int = PERCENT) -> list[int]:
     """64-bit keys of the bands that have a filled register."""
     keys = []
-    for band, places in enumerate(_LAYOUT):
+    for band, places in enumerate(layout(percent)):
         part = regs[places]
         if part.any():
             h = np.uint64(band + 1)
@@ -68,11 +75,11 @@ def band_keys(regs: np.ndarray) -> list[int]:
     return keys
 
 
-def _band_matrix(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _band_matrix(regs: np.ndarray, bands: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Keys (documents, bands) and which of them count."""
-    keys = np.empty((len(regs), BANDS), np.uint64)
-    full = np.empty((len(regs), BANDS), bool)
-    for band, places in enumerate(_LAYOUT):
+    keys = np.empty((len(regs), len(bands)), np.uint64)
+    full = np.empty((len(regs), len(bands)), bool)
+    for band, places in enumerate(bands):
         h = np.full(len(regs), band + 1, np.uint64)
         for p in places:
             h = mix64((h ^ regs[:, p].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
@@ -215,10 +222,12 @@ def link(docs: DataFrame, percent: int = PERCENT, band_block: int = BAND_BLOCK,
                     .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
                          F.first("regs").alias("regs")), "near-classes")
 
+    places = layout(percent)
+
     def keys(batches):
         for nodes, regs in slices(batches):
             matrix = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, REGISTERS)
-            key, full = _band_matrix(matrix)
+            key, full = _band_matrix(matrix, places)
             which = np.nonzero(full)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[which].view(np.int64)),

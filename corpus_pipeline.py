@@ -16,6 +16,9 @@ from corpus_curator.llm.tables import saved, table
 #: A document whose predicted language holds less of the posterior is rejected.
 MIN_LANGUAGE_SCORE = 0.5
 
+#: Documents of this Jaccard similarity (of five-word shingles) are near-duplicates.
+NEAR_PERCENT = 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised. Texts without a letter go, and
@@ -29,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of the smallest id.
     Documents without a shingle, and rows with a null id, stay."""
-    found = near_dup.link(docs)
+    found = near_dup.link(docs, percent=NEAR_PERCENT)
     gone = saved(found.filter(~F.col("kept")).select("doc_id").distinct(), "near-gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

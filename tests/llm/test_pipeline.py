@@ -1,8 +1,11 @@
+import math
 from collections import Counter
 
 import pytest
 from fixtures import components, docs, repeats, words
 
+from corpus_curator.llm import near_dup
+
 pytest.importorskip("public_tokenizers")
 
 
@@ -36,3 +39,26 @@ def test_stages_equal_brute_force(spark, tmp_path):
         (d, t, len(t)) for d, t in kept)
     packed = pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(d for d, _ in kept)
+
+
+def test_near_stage_threshold_is_eighty_percent(spark):
+    import corpus_pipeline as pipeline
+
+    rows, gone = [], []
+    for n, percent in ((90, 79), (100, 81), (106, 82), (120, 84)):
+        base = words(n, n, 9000)
+        edited = [*base]
+        edited[20], edited[60] = "other", "changed"
+        pair = [(10 * n, " ".join(base)), (10 * n + 1, " ".join(edited))]
+        rows += pair
+        a, b = (set(zip(*[w[i:] for i in range(5)])) for w in (base, edited))
+        assert 100 * len(a & b) // len(a | b) == percent
+        assert [c[3] for c in components(pair, 80)] == [True, percent < 80]
+        gone += [10 * n + 1] if percent >= 80 else []
+    stay = [r.doc_id for r in pipeline.near_duplicates(spark, docs(spark, rows), "").collect()]
+    assert sorted(stay) == sorted({d for d, _ in rows} - set(gone))
+    for percent in (80, 85):
+        places = near_dup.layout(percent)
+        assert sorted(p for band in places for p in band) == list(range(near_dup.REGISTERS))
+        assert math.prod(1 - (percent / 100) ** len(band) for band in places) <= near_dup.MISS
+    assert len(near_dup.layout(85)) == 42

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import (WORD_BYTES, bloom, bloom_bits, bloom_hits, saved, shingle_hashes, slices,
-                     text_bytes, word_hashes)
+from .tables import (WORD_BYTES, bloom, bloom_bits, bloom_hits, numbered, saved, shingle_hashes,
+                     slices, text_bytes, word_hashes)
 
 SHINGLE = 5
 #: A document contains an item when it has this share of the item's shingles.
@@ -62,14 +62,15 @@ def item_shingles(benchmark: DataFrame, percent: int = CONTAINMENT_PERCENT) -> D
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame,
-               percent: int = CONTAINMENT_PERCENT) -> DataFrame:
+               percent: int = CONTAINMENT_PERCENT, number: str | None = None) -> DataFrame:
     """One row per document and item it contains: ``doc_id, item_id, n_shingles``
     (of the item), ``matched, containment``.
 
     Null or empty texts contain nothing and null or empty items are contained
     nowhere; repeated documents each give their rows, repeated items count once;
     null ids stay null; other columns are ignored; empty tables give an empty
-    result. Texts are read whole.
+    result. Texts are read whole. ``number`` names a column that numbers the rows
+    of ``docs``; the result then has it as ``row``.
     """
     items = saved(item_shingles(benchmark, percent), "bench-items")
     probes = items.select(F.explode("shingles").alias("hash"))
@@ -92,7 +93,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame,
                         pa.int64(), pa.int64(), pa.list_(pa.int64())))],
                     names=["row", "doc_id", "hits"])
 
-    found = saved(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
+    found = saved(docs.select((F.col(number) if number else F.monotonically_increasing_id())
+                              .alias("row"), "doc_id",
                               text_bytes())
                   .mapInArrow(probe, "row bigint, doc_id bigint, hits array<bigint>"),
                   "bench-hits")
@@ -102,15 +104,23 @@ def find_items(docs: DataFrame, benchmark: DataFrame,
     matched = F.size(F.array_intersect("shingles", "hits"))
     return (pairs.join(items.select("item", "item_id", "shingles"), "item")
             .join(found, "row")
-            .select("doc_id", "item_id", F.size("shingles").cast("bigint").alias("n_shingles"),
+            .select(*(["row"] if number else []), "doc_id", "item_id", F.size("shingles").cast("bigint").alias("n_shingles"),
                     matched.cast("bigint").alias("matched"))
             .filter(F.col("matched") * 100 >= F.col("n_shingles") * percent)
             .withColumn("containment", F.col("matched") / F.col("n_shingles")))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame,
-                  percent: int = CONTAINMENT_PERCENT) -> DataFrame:
+                  percent: int = CONTAINMENT_PERCENT, by_row: bool = False) -> DataFrame:
     """``docs`` without the documents that contain an item; rows with a null id
-    cannot be named and stay."""
-    hit = saved(find_items(docs, benchmark, percent).select("doc_id").distinct(), "bench-drop")
-    return docs.join(hit.filter("doc_id is not null"), "doc_id", "left_anti").select(*docs.columns)
+    cannot be named and stay. With ``by_row`` exactly the rows that contain an
+    item go, whatever their id."""
+    if not by_row:
+        hit = saved(find_items(docs, benchmark, percent).select("doc_id").distinct(),
+                    "bench-drop")
+        return docs.join(hit.filter("doc_id is not null"), "doc_id",
+                         "left_anti").select(*docs.columns)
+    rows, row = numbered(docs, "bench-rows")
+    hit = saved(find_items(rows, benchmark, percent, row).select(F.col("row").alias(row))
+                .distinct(), "bench-drop")
+    return rows.join(hit, row, "left_anti").select(*docs.columns)

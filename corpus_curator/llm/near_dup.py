@@ -108,19 +108,24 @@ def _node(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else b""
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node`` (hash of the set) and ``regs`` of every document."""
+def sketches(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """``doc_id, n_shingles, node`` (hash of the set) and ``regs`` of every
+    document, and the number ``row`` if there is one."""
+    names = ["doc_id", row] if row else ["doc_id"]
+
     def run(batches):
-        for ids, texts in slices(batches):
+        for *ids, texts in slices(batches):
             sets = list(_sketch(texts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                [*[pa.array(c, pa.int64()) for c in ids],
+                 pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_node(s) for s in sets], pa.binary()),
                  pa.array([registers(s).tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "node", "regs"])
+                names=[*names, "n_shingles", "node", "regs"])
 
-    return docs.select("doc_id", text_bytes()).mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, node binary, regs binary")
+    return docs.select(*names, text_bytes()).mapInArrow(
+        run, ", ".join(f"{c} bigint" for c in names)
+        + ", n_shingles bigint, node binary, regs binary")
 
 
 def _forest(n: int, rows, linked) -> np.ndarray:
@@ -209,17 +214,25 @@ def _confirmed(percent: int):
 
 
 def link(docs: DataFrame, percent: int = PERCENT, band_block: int = BAND_BLOCK,
-         exact_block: int = EXACT_BLOCK) -> DataFrame:
+         exact_block: int = EXACT_BLOCK, row: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
     Empty or null texts have no shingles and are linked with nothing. Rows that
     repeat a doc_id are documents of their own with the same id. A row with a
     null doc_id takes no part: its component is null and it is kept. Other
     columns are ignored; an empty table gives an empty result.
+
+    ``row`` names a column that numbers the rows (no number twice, none null).
+    With it every row takes part, of a component one row is kept, the one of the
+    smallest doc_id (null after all others) and number, and the result holds
+    ``row`` too.
     """
-    sketch = saved(sketches(docs), "near-sketch")
-    classes = saved(sketch.filter("n_shingles > 0 and doc_id is not null").groupBy("node")
-                    .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"),
+    sketch = saved(sketches(docs, row), "near-sketch")
+    name, known = F.col("doc_id"), "n_shingles > 0 and doc_id is not null"
+    if row:
+        name, known = F.struct(name.isNull().alias("unnamed"), name, F.col(row)), "n_shingles > 0"
+    classes = saved(sketch.filter(known).groupBy("node")
+                    .agg(F.min(name).alias("rep"), F.first("n_shingles").alias("n_shingles"),
                          F.first("regs").alias("regs")), "near-classes")
 
     places = layout(percent)
@@ -260,8 +273,9 @@ def link(docs: DataFrame, percent: int = PERCENT, band_block: int = BAND_BLOCK,
                  pa.array([s.tobytes() for s in found], pa.binary())],
                 names=["node", "shingles"])
 
-    reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    full = (docs.select("doc_id", text_bytes()).join(reps, "doc_id", "left_semi")
+    key = row or "doc_id"
+    reps = wanted.select((F.col("rep")[row] if row else F.col("rep")).alias(key)).distinct()
+    full = (docs.select(key, text_bytes()).join(reps, key, "left_semi")
             .mapInArrow(sets, "node binary, shingles binary").dropDuplicates(["node"]))
     pairs = block_pairs(wanted, "component", "node", exact_block)
     proven = saved(pairs.join(full, "node").select("pair", "side", "node", "shingles")
@@ -275,7 +289,15 @@ def link(docs: DataFrame, percent: int = PERCENT, band_block: int = BAND_BLOCK,
                .join(named.select("node", "component").join(least, "component")
                      .select("node", "component_id"), "node", "left")
                .select("node", F.coalesce("component_id", "rep").alias("component_id")))
-    joined = sketch.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
+    joined = (sketch.select("doc_id", *([row] if row else []), "n_shingles", "node")
+              .join(of_node, "node", "left"))
+    if row:
+        least = F.col("component_id")
+        return joined.select(
+            "doc_id", row, "n_shingles",
+            F.when(least.isNull(), F.col("doc_id")).otherwise(least["doc_id"]).alias(
+                "component_id"),
+            F.coalesce(least[row] == F.col(row), F.lit(True)).alias("kept"))
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") == 0),
                        F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return (joined.withColumn("component_id", component)

@@ -25,6 +25,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df``, written, with a column that numbers the rows, and that column's name."""
+    row = "row_number"
+    while row in df.columns:
+        row += "_"
+    return saved(df.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[list[list]]:
     """Column lists of at most ``size`` rows of each batch."""
     for batch in batches:

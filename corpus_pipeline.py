@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpus_curator.llm import decontam, langid, near_dup, packing, suffix_dedup
 from corpus_curator.llm.queries import tokenizer_path
-from corpus_curator.llm.tables import saved, table
+from corpus_curator.llm.tables import numbered, saved, table
 
 #: A document whose predicted language holds less of the posterior is rejected.
 MIN_LANGUAGE_SCORE = 0.5
@@ -30,11 +30,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id.
-    Documents without a shingle, and rows with a null id, stay."""
-    found = near_dup.link(docs, percent=NEAR_PERCENT)
-    gone = saved(found.filter(~F.col("kept")).select("doc_id").distinct(), "near-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: the one of the smallest id, a null
+    id after all others. Rows that repeat an id are documents of their own.
+    Documents without a shingle stay."""
+    rows, row = numbered(docs, "near-rows")
+    found = near_dup.link(rows, percent=NEAR_PERCENT, row=row)
+    gone = saved(found.filter(~F.col("kept")).select(row), "near-gone")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +55,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that contain no benchmark item, whatever their id."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), by_row=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,6 +41,39 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(d for d, _ in kept)
 
 
+def test_rows_that_share_an_id_or_have_none(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    text = {i: " ".join(words(80, 300 + i, 9000)) for i in range(8)}
+    item = " ".join(words(20, 399, 9000))
+    leaked = " ".join([*words(60, 398, 9000), item])
+    rows = [(1, text[1]), (1, text[1]), (None, text[1]),      # repeated, and without an id
+            (2, text[2]), (3, text[2] + " tail"), (3, text[3]),  # a copy shares its id
+            (None, text[4]), (None, text[4] + " tail"),
+            (5, text[5]), (6, leaked), (6, text[6]), (None, leaked + " other words")]
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    now = docs(spark, rows)
+    for name, stage in pipeline.STAGES[1:4]:
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+    got = sorted(((r.doc_id or 0, r.text) for r in now.collect()))
+    left = [t for d, t in got if d == 0]
+    assert len(left) == 1 and left[0].startswith(text[4])
+    assert got[1:] == [(1, text[1]), (2, text[2]), (3, text[3]), (5, text[5]), (6, text[6])]
+
+
+def test_decontamination_of_rows_that_share_an_id_or_have_none(spark):
+    from corpus_curator.llm import decontam
+
+    item = " ".join(words(20, 399, 9000))
+    rows = [(1, "a b c d e f"), (1, "x " + item), (None, item + " y"), (None, "g h i j k l")]
+    known = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    left = decontam.decontaminate(docs(spark, rows), known, by_row=True).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, rows[3][1]), (1, rows[0][1])]
+
+
 def test_near_stage_threshold_is_eighty_percent(spark):
     import corpus_pipeline as pipeline
 

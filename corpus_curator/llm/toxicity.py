@@ -41,12 +41,20 @@ _CODE[0x61:0x7B] = np.arange(1, 27)
 _CODE[0xDF:0x100] = np.arange(27, 60)
 _CODE[0xF7] = 0
 _CODE[0x100:] = 60
-_INNER = re.compile(r"[^\W\d_][^\w\s'’,;:&]*[\d@$!|+€(£¡*#%?._\-~^]+[^\w\s]*[^\W\d_]"
-                    r"|^[\d@$|+€(£¡][^\W\d_]|[^\W\d_][\d$@€]+$|([^\W\d_])\1\1"
-                    r"|(?:([^\W\d_])\2.*){3}")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ \t]{1,3}){3,}\S(?!\S)")
+_SYMBOLS = re.escape("".join(LEET) + HIDDEN)
+#: A token to restore has a repeated letter, a symbol that may be a letter, a
+#: separator between letters, or two apostrophes (one is a contraction).
+_NOISY = re.compile(rf"([^\W\d_])\1|[{_SYMBOLS}]|[^\W\d_](?:[^\w\s'’]|_)+[^\W\d_]"
+                    r"|[^\W\d_]['’]+[^\W\d_]+['’]+[^\W\d_]")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_LETTER = re.compile(r"[^\W\d_]")
+#: Symbols alone are restored (@$$) if they are no amount ($45, 5€).
+_CURRENCY = re.compile(r"[@$€£]")
+_AMOUNT = re.compile(r"[^\w\s]?\d[\d.,:/%+-]*[^\w\s]?")
+_SPACED = re.compile(r"(?<!\S)(?:\S[ \t]{1,3}){2,}\S(?!\S)")
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = ".,;:!?\"'()[]{}<>…*#%&~^=/\\"
+_PUNCTUATION = "".join(x for x in _EDGE if x not in LEET and x not in HIDDEN)
 
 
 def _code(ch: str) -> int:
@@ -86,6 +94,24 @@ def language_model(counts: np.ndarray, weight: float = 5.0) -> np.ndarray:
     return -np.log(p3).astype(np.float32)
 
 
+def _noisy(word: str) -> bool:
+    if not _LETTER.search(word):
+        return bool(_CURRENCY.search(word)) and not _AMOUNT.fullmatch(word)
+    return bool(_NOISY.search(word))
+
+
+def forms(token: str) -> set[str]:
+    """What is to be restored of a lower-case token: the token without its edges,
+    and with those edge symbols that may be letters. A question mark at the end
+    and hiding symbols at both ends (**so**) are no letters."""
+    if token.isalpha():
+        return {token} if _DOUBLE.search(token) else set()
+    full = token.lstrip(_PUNCTUATION).rstrip(_PUNCTUATION + "?")
+    if full and full[0] in HIDDEN and full[-1] in HIDDEN:
+        full = full.strip(HIDDEN)
+    return {x for x in (token.strip(_EDGE), full) if x and _noisy(x)}
+
+
 def lattice(word: str):
     """(symbols consumed, letters given, cost) options at every place."""
     at = 0
@@ -148,6 +174,7 @@ class Reader:
     def __init__(self, cost: np.ndarray, known: dict[int, int] | None = None):
         self.cost, self.known = cost, known
         self.tokens = Memo(self._token, 200_000)
+        self.phrases = Memo(self._phrase, 20_000)
 
     def _keep(self, names: set[int]):
         if self.known is None:
@@ -155,18 +182,23 @@ class Reader:
         return frozenset(self.known[n] for n in names if n in self.known)
 
     def _restored(self, raw: str) -> set[int]:
-        return {f for text in decode(raw, self.cost) for f in word_features(text)}
+        texts = decode(raw, self.cost)
+        return {f for text in texts for word in text.split() for f in word_features(word)}
 
     def _token(self, token: str):
         low = token.lower()
         names = {f for w in _WORD.findall(low) for f in word_features(w)}
-        core = low.strip(_EDGE)
-        if core and _INNER.search(core):
-            names |= self._restored(core)
-        elif core != low and any(x in low for x in "!*#%(") and _INNER.search(low.rstrip(".,;:?")):
-            names |= self._restored(low.rstrip(".,;:?"))
+        for form in forms(low):
+            names |= self._restored(form)
         return self._keep(names)
 
+    def _phrase(self, raw: str):
+        """Letters set apart: all of them, without one at either end (a word of one
+        letter)."""
+        letters = re.split(r"(?<=\S)(?=\s)", raw)
+        tries = {raw, "".join(letters[1:]).lstrip(), "".join(letters[:-1])}
+        return self._keep({f for form in tries for f in self._restored(form)})
+
     def features(self, text: str) -> set[int]:
         out: set[int] = set()
         for found in map(self.tokens.__getitem__, set(text.split())):
@@ -174,9 +206,8 @@ class Reader:
                 out |= found
         for m in _SPACED.finditer(text):
             raw = m.group().lower()
-            letters = raw.split()
-            forms = {raw, " ".join(letters[1:]), " ".join(letters[:-1])}
-            out |= self._keep({f for form in forms for f in self._restored(form)})
+            if _LETTER.search(raw) or _CURRENCY.search(raw):
+                out |= self.phrases[raw]
         return out
 
 

@@ -93,6 +93,31 @@ def test_decoding_prefers_what_the_model_knows():
         assert toxicity.decode(raw, cost)[0] == want
 
 
+def reader_of(*known):
+    counts = np.zeros((toxicity.V,) * 3)
+    for word in known:
+        c = [0, 0, *(toxicity._code(x) for x in word), 0, 0]
+        for t in zip(c, c[1:], c[2:]):
+            counts[t] += 50
+    return toxicity.Reader(toxicity.language_model(counts))
+
+
+def sees(reader, text, word):
+    return toxicity._bucket("w" + word) in reader.features(text)
+
+
+def test_every_form_of_noise_is_decoded():
+    reader = reader_of("idiot", "clown", "ass", "this")
+    for raw, word in (("cloown", "clown"), ("iidiot", "idiot"), ("iddiiot", "idiot"),
+                      ("!diot", "idiot"), ("(lown", "clown"), ("i/d/i/o/t", "idiot"),
+                      ("i,d,i,o,t", "idiot"), ("i'd'i'o't", "idiot"), ("i_d_i_o_t", "idiot"),
+                      ("a s s", "ass"), ("@$$", "ass"), ("cl0wn!", "clown"), ("idio*", "idiot")):
+        assert sees(reader, f"this {raw} this", word), raw
+    for clean in ("455", "$455", "4 5 5", "as", "as?"):
+        assert not sees(reader, f"this {clean} this", "ass"), clean
+    assert not sees(reader_of("who", "whore", "are", "re"), "who're", "whore")
+
+
 def test_odd_rows(spark):
     rows = odd_rows()
     empty = spark.createDataFrame([], LABELS)

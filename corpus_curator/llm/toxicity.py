@@ -112,50 +112,143 @@ def forms(token: str) -> set[str]:
     return {x for x in (token.strip(_EDGE), full) if x and _noisy(x)}
 
 
-def lattice(word: str):
-    """(symbols consumed, letters given, cost) options at every place."""
+def lattice(word: str, masked: bool = True):
+    """(letters given, cost) options at every place; a blank given is a word
+    boundary. A string is a letter that stays; None stands for a hiding symbol: any letter (only if ``masked``,
+    else it vanishes)."""
+    apart = ("'" in word or "’" in word) and len(re.findall("['’]+", word)) > 1
     at = 0
     while at < len(word):
         ch, run = word[at], 1
         while at + run < len(word) and word[at + run] == ch:
             run += 1
-        if ch.isalpha():
-            options = [(ch, 0.0 if run == 1 else 0.4)]
+        at += run
+        if ch in HIDDEN and masked:
+            yield from [None] * run
+        elif ch.isalpha():
+            yield ch if run == 1 else [(ch, 0.4), (ch * 2, 0.0 if run == 2 else 0.8)]
+        elif ch in LEET:
+            options = [(x, 0.7) for x in LEET[ch]]
             if run > 1:
-                options.append((ch * 2, 0.0 if run == 2 else 0.8))
+                options += [(x * 2, 1.0) for x in LEET[ch]]
+            yield [*options, ("", 2.5)]
+        elif ch in HIDDEN or ch.isalnum():
+            yield [("", 2.5)]
+        elif ch.isspace() and run > 1:
+            yield [("", 1.5), (" ", 0.3)]
+        elif ch in "'’" and not apart:
+            yield [("", 4.0), (" ", 0.0)]
         else:
-            options = [(x, 0.7) for x in LEET.get(ch, "")]
-            if run > 1:
-                options += [(x * 2, 1.0) for x in LEET.get(ch, "")]
-            if ch in HIDDEN:
-                options += [(x * min(run, 3), 3.0 * min(run, 3)) for x in LETTERS] if run == 1 \
-                    else []
-            options.append(("", 0.3 if ch in " ._-~^\t" else 2.5))
-        yield options
-        at += run
-
-
-def decode(word: str, cost: np.ndarray, keep: int = 4) -> list[str]:
+            yield [("", 0.3), (" ", 1.5)]
+
+
+#: Cost of a letter for a hiding symbol, and of its being none.
+MASK, NO_MASK = 1.0, 4.0
+
+
+def tail(a: int, b: int, n: int, cost: np.ndarray, keep: int) -> list[tuple]:
+    """(cost, (code, code), letters) of the ``keep`` cheapest ends of a word after
+    ``a`` and ``b`` when ``n`` hiding symbols follow."""
+    spent = np.full((V, V), np.inf)
+    spent[a, b] = 0.0
+    letters = slice(1, 27)
+    steps = []
+    for _ in range(n):
+        total = spent[:, :, None] + cost[:, :, letters]
+        least = total.argmin(0)
+        given = np.take_along_axis(total, least[None], 0)[0] + MASK
+        spent = spent + NO_MASK
+        better = given < spent[:, letters]
+        spent[:, letters] = np.where(better, given, spent[:, letters])
+        steps.append((least, better))
+    ends = spent + cost[:, :, 0]
+    out = []
+    for at in np.argsort(ends, axis=None, kind="stable")[:keep]:
+        end = x, y = divmod(int(at), V)
+        if np.isinf(ends[x, y]):
+            break
+        text = ""
+        for least, better in reversed(steps):
+            if 1 <= y <= 26 and better[x, y - 1]:
+                text = LETTERS[y - 1] + text
+                x, y = int(least[x, y - 1]), x
+        out.append((float(ends[end]), end, text))
+    return out
+
+
+def decode(word: str, cost: np.ndarray, keep: int = 4, masked: bool = True,
+           tails: dict | None = None) -> list[str]:
     """Restored forms of a lower-case word, the likeliest first: Viterbi over
-    the lattice, a state being the last two characters."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(word):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (spent, text) in states.items():
-            for given, price in options:
-                x, y, total = a, b, spent + price
-                for ch in given:
-                    z = _code(ch)
-                    total += float(cost[x, y, z])
-                    x, y = y, z
-                best = after.get((x, y))
-                if best is None or total < best[0]:
-                    after[x, y] = (total, text + given)
-        if len(after) > 80:
-            after = dict(sorted(after.items(), key=lambda s: s[1][0])[:80])
+    the lattice, a state being the last two characters. Restored words are set
+    apart by blanks. ``tails`` remembers what ``tail`` found: hiding symbols at the
+    end of a word are restored from the two characters before them."""
+    stem = word.rstrip(HIDDEN) if masked else word
+    hidden, word = len(word) - len(stem), stem
+    flat = memoryview(cost.reshape(-1))
+    # a path is (path before, letters given): long words cost no copies
+    states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}
+    for options in lattice(word, masked):
+        after: dict[tuple[int, int], tuple] = {}
+        if options.__class__ is str:
+            z = _code(options)
+            for (a, b), (spent, path) in states.items():
+                spent += flat[(a * V + b) * V + z]
+                best = after.get((b, z))
+                if best is None or spent < best[0]:
+                    after[b, z] = (spent, (path, options))
+        elif options is None:
+            ends: dict[int, list] = {}
+            for (a, b), (spent, path) in states.items():
+                after[a, b] = (spent + NO_MASK, path)
+                ends.setdefault(b, []).append((a, spent, path))
+            for b, rows in ends.items():
+                total = cost[[r[0] for r in rows], b, 1:27] + np.array(
+                    [[r[1]] for r in rows]) + MASK
+                least = total.argmin(0).tolist()
+                for z, i in enumerate(least):
+                    spent = float(total[i, z])
+                    best = after.get((b, z + 1))
+                    if best is None or spent < best[0]:
+                        after[b, z + 1] = (spent, (rows[i][2], LETTERS[z]))
+        else:
+            steps = [(given, (0, 0) if given == " " else [_code(ch) for ch in given], price)
+                     for given, price in options]
+            for (a, b), (spent, path) in states.items():
+                for given, codes, price in steps:
+                    x, y, total = a, b, spent + price
+                    for z in codes:
+                        total += flat[(x * V + y) * V + z]
+                        x, y = y, z
+                    best = after.get((x, y))
+                    if best is None or total < best[0]:
+                        after[x, y] = (total, (path, given) if given else path)
         states = after
-    ends = sorted((spent + float(cost[a, b, 0]), text) for (a, b), (spent, text)
-                  in states.items() if text)
+    last: dict[tuple[int, int], tuple] = {}
+    for (a, b), (spent, path) in states.items():
+        if not hidden:
+            last[a, b] = (spent + flat[(a * V + b) * V], path)
+            continue
+        key = (a, b, hidden, keep)
+        found = tails.get(key) if tails is not None else None
+        if found is None:
+            found = tail(a, b, hidden, cost, keep)
+            if tails is not None:
+                if len(tails) >= 20_000:
+                    tails.clear()
+                tails[key] = found
+        for more, end, given in found:
+            if end not in last or spent + more < last[end][0]:
+                last[end] = (spent + more, (path, given) if given else path)
+    ends = []
+    for spent, path in sorted(last.values(), key=lambda x: x[0])[:keep + 1]:
+        letters = []
+        while path:
+            path, given = path
+            letters.append(given)
+        text = "".join(reversed(letters)).strip()
+        if text:
+            ends.append((spent, text))
+    ends.sort()
     return [text for spent, text in ends[:keep] if spent <= ends[0][0] + 4.0]
 
 
@@ -174,6 +267,7 @@ class Reader:
     def __init__(self, cost: np.ndarray, known: dict[int, int] | None = None):
         self.cost, self.known = cost, known
         self.tokens = Memo(self._token, 200_000)
+        self.tails: dict = {}
         self.phrases = Memo(self._phrase, 20_000)
 
     def _keep(self, names: set[int]):
@@ -182,7 +276,9 @@ class Reader:
         return frozenset(self.known[n] for n in names if n in self.known)
 
     def _restored(self, raw: str) -> set[int]:
-        texts = decode(raw, self.cost)
+        texts = decode(raw, self.cost, tails=self.tails)
+        if any(x in raw for x in HIDDEN):
+            texts += decode(raw, self.cost, masked=False)
         return {f for text in texts for word in text.split() for f in word_features(word)}
 
     def _token(self, token: str):
@@ -194,9 +290,10 @@ class Reader:
 
     def _phrase(self, raw: str):
         """Letters set apart: all of them, without one at either end (a word of one
-        letter)."""
+        letter), and the words between wide blanks each on its own."""
         letters = re.split(r"(?<=\S)(?=\s)", raw)
         tries = {raw, "".join(letters[1:]).lstrip(), "".join(letters[:-1])}
+        tries.update(x for x in re.split(r"\s{2,}", raw) if len(x) > 3)
         return self._keep({f for form in tries for f in self._restored(form)})
 
     def features(self, text: str) -> set[int]:

@@ -118,6 +118,17 @@ def test_every_form_of_noise_is_decoded():
     assert not sees(reader_of("who", "whore", "are", "re"), "who're", "whore")
 
 
+def test_masked_runs_and_spaced_phrases_are_decoded():
+    reader = reader_of("moron", "idiot", "you", "clown")
+    for raw, words_ in (("m**on", ["moron"]), ("id***", ["idiot"]), ("i***t", ["idiot"]),
+                        ("y o u c l o w n", ["you", "clown"]),
+                        ("y o u  c l o w n", ["you", "clown"]),
+                        ("you/c/l/o/w/n", ["you", "clown"])):
+        assert all(sees(reader, raw, w) for w in words_), raw
+    assert len(toxicity.decode("a" + "*" * 60 + "b", reader.cost)) > 0
+    assert toxicity.decode("clo.wn" * 20_000, reader.cost)
+
+
 def test_odd_rows(spark):
     rows = odd_rows()
     empty = spark.createDataFrame([], LABELS)

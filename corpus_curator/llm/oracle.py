@@ -66,4 +66,15 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, d
 FROM s LEFT JOIN least_of ON x = doc_id
 """
 
-SQL = {"op3_decontamination": OP3, "op5_lm_score": OP5, "op10_near_dup": OP10}
+OP13 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+r AS (SELECT *, strlen(h) >= 1000 AND row_number() OVER (
+          PARTITION BY h ORDER BY page_id DESC NULLS LAST) > 1 AS again,
+      max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN top END AS refers_to
+FROM r
+"""
+
+SQL = {"op13_warc": OP13, "op3_decontamination": OP3, "op5_lm_score": OP5, "op10_near_dup": OP10}

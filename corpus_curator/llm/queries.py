@@ -91,6 +91,12 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), sides)
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+    return warc.archived(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_nearest": op9_nearest,
     "op10_near_dup": op10_near_dup,
     "op12_alignment": op12_alignment,
+    "op13_warc": op13_warc,
     "pipeline": pipeline,
 }
 

@@ -91,7 +91,7 @@ def test_loser_tree_merges_any_number_of_runs():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 5, 8, 13):
         runs = [sorted(rng.randrange(30) for _ in range(rng.randrange(9))) for _ in range(k)]
-        merged = list(warc.LoserTree([((x, (x, i)) for x in r) for i, r in enumerate(runs)]))
+        merged = list(warc.LoserTree([[(x, (x, i)) for x in r] for i, r in enumerate(runs)]))
         assert merged == sorted((x, i) for i, r in enumerate(runs) for x in r)
 
 

@@ -82,6 +82,11 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repair
+    return repair.repaired(table(spark, sf_dir, "conversations"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_nearest": op9_nearest,
     "op10_near_dup": op10_near_dup,
+    "op11_repair": op11_repair,
     "op12_alignment": op12_alignment,
     "op13_warc": op13_warc,
     "pipeline": pipeline,

@@ -28,9 +28,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial, reduce
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -60,10 +60,12 @@ Pairs = Callable[[], tuple["Side", "Side"]]
 
 
 class Side:
-    """A tokenizer: ``encode(texts)`` gives id lists, ``token`` the bytes of ids."""
+    """A tokenizer: ``encode(texts)`` gives id lists, ``token`` the bytes of ids;
+    ``together`` words are best encoded as one text."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], token: list[bytes]):
-        self.encode, self.token = encode, token
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], token: list[bytes],
+                 together: int = 1):
+        self.encode, self.token, self.together = encode, token, together
         self.size = np.fromiter(map(len, token), np.int64, len(token))
 
     def spelt(self, ids: list[int]) -> bytes:
@@ -96,7 +98,7 @@ def public_pair(a_path: str, b_path: str) -> tuple[Side, Side]:
     b_token = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else
                b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.vocab_size())]
     return (Side(lambda texts: [e.ids for e in a.encode_batch_fast(
-                [" " + t for t in texts], add_special_tokens=False)], a_token),
+                [" " + t for t in texts], add_special_tokens=False)], a_token, 16),
             Side(lambda texts: b.encode(texts, num_threads=1), b_token))
 
 
@@ -104,7 +106,7 @@ class Encoder:
     """Ids of texts under both tokenizers. A text is encoded in parts between safe
     places; parts are kept for a task, at most ``limit`` of them."""
 
-    def __init__(self, sides: tuple[Side, Side], limit: int = 150_000):
+    def __init__(self, sides: tuple[Side, Side], limit: int = 250_000):
         self.sides, self.limit, self.memo = sides, limit, {}
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
@@ -116,10 +118,7 @@ class Encoder:
         if len(self.memo) + len(new) > self.limit:
             self.memo.clear()
             new = list(words)
-        for word, *ids in zip(new, *(s.encode(new) for s in self.sides)):
-            want = (" " + word).encode()
-            spelt = all(s.spelt(x) == want for s, x in zip(self.sides, ids))
-            self.memo[word] = tuple(array("i", x).tobytes() for x in ids) if spelt else None
+        self._learn(new)
         found = []
         for words_ in parts:
             ids = [self.memo[w] for w in words_]
@@ -130,6 +129,34 @@ class Encoder:
         return found
 
 
+    def _learn(self, words: list[str]) -> None:
+        """Encodes words, several as one text: the places between them are safe, so the
+        tokens that end inside a word are its own. Words with white space at an end go
+        alone. Where the tokens of all do not spell all, each word is looked at."""
+        edge = {w for w in words if not w or w[0].isspace() or w[-1].isspace()}
+        plain = [w for w in words if w not in edge]
+        words = plain + list(edge)
+        want = [(" " + w).encode() for w in words]
+        stops_at = np.cumsum(np.fromiter(map(len, want), np.int64, len(want)))
+        whole, packed = b"".join(want), []
+        for side in self.sides:
+            k = side.together
+            texts = [" ".join(plain[i:i + k]) for i in range(0, len(plain), k)] + list(edge)
+            ids = np.fromiter(chain.from_iterable(side.encode(texts)), np.int32)
+            ends = np.cumsum(side.size[ids])
+            if side.spelt(ids.tolist()) != whole:
+                return self._learn_each(words, want)
+            stops = np.searchsorted(ends, stops_at, "right")
+            data, stops = ids.tobytes(), (4 * stops).tolist()
+            packed.append([data[i:j] for i, j in zip([0, *stops], stops)])
+        self.memo.update(zip(words, zip(*packed)))
+
+    def _learn_each(self, words: list[str], want: list[bytes]) -> None:
+        for word, text, *ids in zip(words, want, *(s.encode(words) for s in self.sides)):
+            spelt = all(s.spelt(x) == text for s, x in zip(self.sides, ids))
+            self.memo[word] = tuple(np.array(x, np.int32).tobytes() for x in ids) if spelt else None
+
+
 def public_sides(a_path: str, b_path: str) -> Pairs:
     """The pair of these files, to be loaded in the tasks."""
     return partial(public_pair, a_path, b_path)

@@ -57,7 +57,7 @@ def bt_mle_large(spark, sf):
         F.lit("educational_value").alias("task"), "pair_id",
         F.array("id_1", "id_2").alias("pair_ids"), "win")
     matches = materialize(BT.to_matches(j))
-    return BT.bt_scores(matches, prior=0.5, max_iter=12, tol=0)
+    return BT.bt_scores(matches, prior=0.5)
 
 
 HEADLINE = {

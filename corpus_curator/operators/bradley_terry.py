@@ -7,14 +7,14 @@ distinct ordered pair, not per judgement.
 bt_gradient  full-batch gradient ascent from theta = 0 (the toolkit's fitting
              rule, step for step): each step joins theta to both ends of every
              match, sums +n(1-p) / -n(1-p) per item, and adds lr times that.
-bt_scores    the optimum those steps approach, by minorise-maximise steps
-             (Zermelo): strength = wins / sum of n / (own + opponent's strength).
-             Every step improves the likelihood; it stops when no theta moves
-             more than ``tol``.
+bt_scores    the optimum those steps approach, by Newton steps with distributed
+             conjugate gradients, so that tens of passes reach it. It stops when
+             expected wins equal wins. What has no finite optimum is named
+             (strongly connected components).
 
 Both iterate over distributed tables of items and compressed pairs, all tasks
-at once, and hand the item table over by file after each step, so that the plan
-does not grow. Nothing but the largest change and counts reaches the driver.
+at once, and hand the item table over by file every step or two, so that the plan
+does not grow. Nothing but the largest residual and counts reaches the driver.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BT_LEARNING_RATE, UNIFORM_BOTTOM, UNIFORM_TOP
 from ..session import materialize
+from .connectivity import strong_components
 from .rank import dense_index, global_rank
 
 
@@ -103,56 +104,169 @@ def bt_loss(matches: DataFrame, scores: DataFrame) -> DataFrame:
     return j.groupBy("task").agg(F.sum(nll).alias("loss"))
 
 
-def _mm_step(pairs: DataFrame, items: DataFrame, prior: float) -> DataFrame:
-    """One step for every item: ``items`` and ``pairs`` carry ``(task, id)``."""
-    other = items.select("task", F.col("id").alias("other"), F.col("strength").alias("_so"))
-    own = items.select("task", "id", F.col("strength").alias("_s"))
-    load = (pairs.join(other, ["task", "other"]).join(own, ["task", "id"])
-            .groupBy("task", "id").agg(F.sum(F.col("n") / (F.col("_s") + F.col("_so")))
-                                       .alias("_load")))
-    step = (F.col("wins") + F.lit(prior)) / (
-        F.col("_load") + F.lit(2.0 * prior) / (F.col("strength") + F.lit(1.0)))
-    return items.join(load, ["task", "id"]).select(
-        "task", "id", "wins", "losses", step.alias("strength"),
-        F.abs(F.log(step) - F.log("strength")).alias("moved"))
-
-
-def bt_scores(matches: DataFrame, prior: float = 0.0, max_iter: int = 200,
-              tol: float = 1e-6) -> DataFrame:
-    """``(task, id, theta, finite)``: the Bradley-Terry maximum-likelihood scores
-    of all tasks, centred to mean 0 per task.
+_GROUP = ["task", "component"]
+
+
+def _linearised(items: DataFrame, pairs: DataFrame, prior: float) -> tuple[DataFrame, DataFrame]:
+    """The Newton system at ``theta``: weights ``(task, id, other, w)`` of the pairs, and
+    items with ``g`` (wins minus expected wins) and ``diag``, in the start state of the
+    conjugate gradients (``d`` is the step so far, ``rz`` the norm before the last)."""
+    other = items.select("task", F.col("id").alias("other"), F.col("theta").alias("_to"))
+    own = items.select("task", "id", F.col("theta").alias("_t"))
+    p = 1 / (1 + F.exp(F.col("_to") - F.col("_t")))
+    joined = materialize(pairs.join(other, ["task", "other"]).join(own, ["task", "id"]).select(
+        "task", "id", "other", (F.col("n") * p * (1 - p)).alias("w"),
+        (F.col("n") * p).alias("expected")))
+    sums = joined.groupBy("task", "id").agg(F.sum("w").alias("diag"),
+                                            F.sum("expected").alias("expected"))
+    mine = 1 / (1 + F.exp(-F.col("theta")))  # against the prior's opponent
+
+    def known(c):
+        return F.coalesce(c, F.lit(0.0))
+
+    g = F.col("wins") + prior - known("expected") - 2 * prior * mine
+    diag = known("diag") + 2 * prior * mine * (1 - mine)
+    start = (items.join(sums, ["task", "id"], "left").withColumn("g", g)
+             .withColumn("diag", diag).drop("expected")
+             .withColumn("r", F.col("g")).withColumn("z", F.col("g") / F.col("diag"))
+             .withColumns({c: F.lit(0.0) for c in ("p", "s", "d", "alpha", "rz", "rz0")}))
+    return joined.drop("expected"), materialize(start)
+
+
+def _gradient_step(now: DataFrame, weights: DataFrame) -> DataFrame:
+    """One step of the conjugate gradients, preconditioned by the diagonal, in every
+    component. The Newton matrix is never formed: it is applied by a join and a sum.
+    Both inner products of a step come from one aggregate (``p`` and its image ``s``
+    follow by recurrence)."""
+    other = now.select("task", F.col("id").alias("other"), F.col("z").alias("_zo"))
+    sums = (weights.join(other, ["task", "other"]).groupBy("task", "id")
+            .agg(F.sum(F.col("w") * F.col("_zo")).alias("_s")))
+    image = F.col("diag") * F.col("z") - F.coalesce("_s", F.lit(0.0))
+    now = now.join(sums, ["task", "id"], "left").withColumn("_w", image).drop("_s")
+    norms = now.groupBy(*_GROUP).agg(F.sum(F.col("r") * F.col("z")).alias("_rz"),
+                                     F.sum(F.col("z") * F.col("_w")).alias("_zw"))
+    beta = F.when(F.col("alpha") > 0, F.col("_rz") / F.col("rz")).otherwise(F.lit(0.0))
+    curve = F.col("_zw") - F.when(F.col("alpha") > 0, F.col("_b") * F.col("_rz") / F.col(
+        "alpha")).otherwise(F.lit(0.0))
+    return (now.join(norms, _GROUP)
+            .withColumn("_b", beta).withColumn("_c", curve)
+            .withColumn("alpha", F.when((F.col("_c") > 0) & (F.col("_rz") > 0),
+                                        F.col("_rz") / F.col("_c")).otherwise(F.lit(0.0)))
+            .withColumn("p", F.col("z") + F.col("_b") * F.col("p"))
+            .withColumn("s", F.col("_w") + F.col("_b") * F.col("s"))
+            .withColumn("d", F.col("d") + F.col("alpha") * F.col("p"))
+            .withColumn("r", F.col("r") - F.col("alpha") * F.col("s"))
+            .withColumn("z", F.col("r") / F.col("diag")).withColumn("rz", F.col("_rz"))
+            .withColumn("rz0", F.greatest("rz0", "rz")).drop("_w", "_zw", "_rz", "_b", "_c"))
+
+
+#: Conjugate-gradient steps per written table; the share of the residual norm at
+#: which they stop; the largest move of a theta in one Newton step.
+_UNROLL, _FORCING, _REACH = 1, 0.05, 2.0
+
+
+def _newton_step(start: DataFrame, weights: DataFrame, budget: int) -> tuple[DataFrame, int]:
+    """Items with the next ``theta``, and the passes made."""
+    now, made = start, 0
+    while made < budget:
+        for _ in range(_UNROLL):
+            now = _gradient_step(now, weights)
+        now, made = materialize(now), made + _UNROLL
+        if not now.filter(F.col("rz") > F.col("rz0") * (_FORCING * _FORCING)).limit(1).count():
+            break
+    far = now.groupBy(*_GROUP).agg(F.max(F.abs("d")).alias("_far"))
+    scale = F.least(F.lit(1.0), F.lit(_REACH) / F.greatest("_far", F.lit(1e-300)))
+    return now.join(far, _GROUP).select("task", "id", "component", "wins",
+                                        (F.col("theta") + scale * F.col("d")).alias("theta")), made
+
+
+def bt_scores(matches: DataFrame, prior: float = 0.0, max_iter: int = 600,
+              tol: float = 1e-4, centre: bool = True) -> DataFrame:
+    """``(task, id, theta, finite, component)``: the Bradley-Terry maximum-likelihood
+    scores of all tasks.
+
+    Scores of two items have a finite difference only if each is reached from the
+    other by wins: ``component`` names the strongly connected component of the
+    graph of wins (its smallest id), scores are fitted inside components from their
+    own matches and centred to mean 0 there. An item alone in its component has no
+    finite optimum: ``finite`` is false and theta null.
 
     ``prior`` gives every item that many wins and as many losses against an
-    opponent of strength 1, so that every optimum is finite; with 0 the plain
-    likelihood counts, whose optimum is infinite for an item that only wins or
-    only loses: ``finite`` is false for those, and their theta is where the
-    steps stopped. Stops when no finite theta moves more than ``tol``; raises
-    if ``max_iter`` steps do not get there (``tol=0``: does exactly that many)."""
-    counts = match_counts(matches)
-    pairs = materialize(
-        counts.select("task", F.col("winner").alias("id"), F.col("loser").alias("other"), "n")
-        .unionByName(counts.select("task", F.col("loser").alias("id"),
-                                   F.col("winner").alias("other"), "n"))
-        .groupBy("task", "id", "other").agg(F.sum("n").alias("n")))
-    items = materialize(item_record(matches).withColumn("strength", F.lit(1.0)))
-    finite = F.lit(prior > 0) | ((F.col("wins") > 0) & (F.col("losses") > 0))
-    for _ in range(max_iter):
-        stepped = materialize(_mm_step(pairs, items, prior))
-        items = stepped.drop("moved")
-        if tol:
-            moved = stepped.filter(finite).agg(F.max("moved")).first()[0]
-            if moved is None or moved <= tol:
-                break
+    opponent of strength 1 (theta 0): all items of a task are one component then and
+    all optima finite. ``centre=False`` leaves those relative to that opponent.
+
+    Newton steps whose systems are solved by conjugate gradients, each a pass over
+    the compressed pairs. Stops when no item's expected wins differ from its wins by
+    more than ``tol``; raises if ``max_iter`` passes do not get there (``tol=0``: makes
+    about that many)."""
+    counts = materialize(match_counts(matches))
+    if prior > 0:
+        least = counts.groupBy("task").agg(F.least(F.min("winner"), F.min("loser"))
+                                           .alias("component"))
+        parts = materialize(all_items(counts).join(least, "task"))
     else:
-        if tol:
-            raise RuntimeError(f"theta still moves by {moved:.2g} after {max_iter} steps")
-    # an item that never wins has strength 0: its theta is minus infinity, and
-    # the mean is taken over the finite ones
-    theta = items.select("task", "id", F.log("strength").alias("theta"), finite.alias("finite"))
-    mean = theta.groupBy("task").agg(F.avg(F.when(F.col("finite"), F.col("theta"))).alias("_m"))
-    return theta.join(mean, "task").select(
-        "task", "id", (F.col("theta") - F.coalesce(F.col("_m"), F.lit(0.0))).alias("theta"),
-        "finite")
+        parts = materialize(strong_components(counts.select(
+            "task", F.col("winner").alias("a"), F.col("loser").alias("b"))))
+        ends = [parts.select("task", F.col("id").alias(c), F.col("component").alias(f"_{c}"))
+                for c in ("winner", "loser")]
+        counts = materialize(counts.join(ends[0], ["task", "winner"])
+                             .join(ends[1], ["task", "loser"])
+                             .filter("_winner = _loser and winner <> loser")
+                             .select("task", "winner", "loser", "n"))
+    sides = (counts.select("task", F.col("winner").alias("id"), F.col("loser").alias("other"),
+                           "n", F.col("n").alias("won"))
+             .unionByName(counts.select("task", F.col("loser").alias("id"),
+                                        F.col("winner").alias("other"), "n",
+                                        F.lit(0).cast("long").alias("won")))
+             .filter("id <> other").groupBy("task", "id", "other")
+            .agg(F.sum("n").alias("n"), F.sum("won").alias("won")))
+    sides = materialize(sides)
+    pairs = sides.drop("won")
+    # an item whose only matches are with itself has no pair, only the prior
+    wins = sides.groupBy("task", "id").agg(F.sum("won").alias("wins"))
+    if prior > 0:
+        wins = parts.select("task", "id").join(wins, ["task", "id"], "left").fillna(0, ["wins"])
+    items = materialize(parts.join(wins, ["task", "id"]).withColumn("theta", F.lit(0.0)))
+    made = 0
+    while True:
+        weights, start = _linearised(items, pairs, prior)
+        made += 1
+        gap = start.agg(F.max(F.abs("g"))).first()[0]
+        if gap is None or gap <= tol or (made >= max_iter and not tol):
+            break
+        if made >= max_iter:
+            raise RuntimeError(f"theta still moves: expected wins are off by {gap:.2g} after "
+                               f"{made} passes")
+        items, more = _newton_step(start, weights, max_iter - made)
+        items, made = materialize(items), made + more
+    theta = items.select("task", "id", "component", "theta")
+    if centre:
+        mean = theta.groupBy("task", "component").agg(F.avg("theta").alias("_m"))
+        theta = theta.join(mean, ["task", "component"]).select(
+            "task", "id", "component", (F.col("theta") - F.col("_m")).alias("theta"))
+    return (parts.join(theta.drop("component"), ["task", "id"], "left")
+            .select("task", "id", "theta", F.col("theta").isNotNull().alias("finite"),
+                    "component"))
+
+
+def bt_residuals(matches: DataFrame, scores: DataFrame, prior: float = 0.0) -> DataFrame:
+    """``(task, id, residual)``: wins minus expected wins of every item of ``scores``
+    with a finite score, over its matches inside its component; 0 at the optimum.
+    With a ``prior`` the scores must not be centred."""
+    side = [scores.filter("finite").select("task", F.col("id").alias(c),
+                                           F.col("theta").alias(f"_t{c[0]}"),
+                                           F.col("component").alias(f"_c{c[0]}"))
+            for c in ("winner", "loser")]
+    lost = (match_counts(matches).filter("winner <> loser").join(side[0], ["task", "winner"])
+            .join(side[1], ["task", "loser"]).filter("_cw = _cl")
+            .withColumn("_q", F.col("n") / (1 + F.exp(F.col("_tw") - F.col("_tl")))))
+    parts = lost.select("task", F.explode(F.array(
+        F.struct(F.col("winner").alias("id"), F.col("_q").alias("g")),
+        F.struct(F.col("loser").alias("id"), (-F.col("_q")).alias("g")))).alias("s"))
+    sums = parts.groupBy("task", F.col("s.id").alias("id")).agg(F.sum("s.g").alias("_g"))
+    own = F.lit(prior) - F.lit(2.0 * prior) / (1 + F.exp(-F.col("theta")))
+    return scores.filter("finite").join(sums, ["task", "id"], "left").select(
+        "task", "id", (F.coalesce("_g", F.lit(0.0)) + own).alias("residual"))
 
 
 def uniform_scores(scores: DataFrame, score_col: str = "theta", name: str = "score") -> DataFrame:

@@ -83,16 +83,12 @@ def tag_sample(tagged: DataFrame, corpus: DataFrame | None = None,
     return retrieve_by_uuid(ids, corpus, key)
 
 
-def rate(docs: DataFrame, task: str | Sequence[str], fn, n_pairs: int | None = None, compare: int = 6,
-         seed: int | str = 0, method: str = "mle", iterations: int = 200,
-         lr: float = 0.05, prior: float = 0.5, score_type: str = "uniform",
-         templates=None, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """Pairwise rating pipeline: balanced pairs -> prompts -> annotator ->
-    judgements -> Bradley-Terry -> scores ``(task, id, score)``. ``mle``: the
-    optimum (``prior`` keeps it finite, ``iterations`` bounds the steps);
-    ``gradient``: that many steps of the original rule. ``task`` may be a list:
-    all tasks are judged over the same pairs and fitted at once. Pairs and
-    judgements are written once, as the toolkit hands them over by file."""
+def judge(docs: DataFrame, task: str | Sequence[str], fn, n_pairs: int | None = None,
+          compare: int = 6, seed: int | str = 0, templates=None, id_col: str = "doc_id",
+          text_col: str = "text", **kw) -> DataFrame:
+    """Balanced pairs -> prompts -> annotator -> matches ``(task, pair_id, winner,
+    loser)``. ``task`` may be a list: all tasks are judged over the same pairs. Pairs
+    and matches are written once, as the toolkit hands them over by file."""
     from ..operators import bradley_terry as BT
     from ..operators.annotate import rate_pairs
     from ..operators.pairs import balanced_pairs
@@ -102,8 +98,20 @@ def rate(docs: DataFrame, task: str | Sequence[str], fn, n_pairs: int | None = N
     pairs = materialize(balanced_pairs(ids, n_pairs, compare, seed))
     judged = [rate_pairs(docs, pairs, t, fn, templates, id_col, text_col, **kw)
               for t in ([task] if isinstance(task, str) else task)]
-    judg = materialize(reduce(DataFrame.unionByName, judged).filter(F.col("status") == "ok"))
-    matches = BT.to_matches(judg)
+    valid = reduce(DataFrame.unionByName, judged).filter(F.col("status") == "ok")
+    return materialize(BT.to_matches(valid))
+
+
+def rate(docs: DataFrame, task: str | Sequence[str], fn, n_pairs: int | None = None, compare: int = 6,
+         seed: int | str = 0, method: str = "mle", iterations: int = 600,
+         lr: float = 0.05, prior: float = 0.5, score_type: str = "uniform",
+         templates=None, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """Pairwise rating pipeline: ``judge`` -> Bradley-Terry -> scores ``(task, id,
+    score)``. ``mle``: the optimum (``prior`` keeps it finite, ``iterations`` bounds
+    the passes); ``gradient``: that many steps of the original rule. All tasks are
+    fitted at once."""
+    from ..operators import bradley_terry as BT
+    matches = judge(docs, task, fn, n_pairs, compare, seed, templates, id_col, text_col, **kw)
     if method == "gradient":
         theta = BT.bt_gradient(matches, lr, iterations)
     elif method == "mle":

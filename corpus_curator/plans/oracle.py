@@ -351,18 +351,29 @@ SQL["q_index_items"] = with_(["items"], "SELECT task, id, row_number() OVER (ORD
                              "AS idx FROM items")
 SQL["q_bt_gradient"] = with_(["t5"], "SELECT task, id, (round(theta, 6) + 0.0) AS theta FROM t5")
 SQL["q_bt_gradient_grouped"] = SQL["q_bt_gradient"]
-cte("bp", "SELECT task, id, other, sum(n) AS n FROM (SELECT task, winner AS id, loser AS other, n "
-    "FROM mc UNION ALL SELECT task, loser AS id, winner AS other, n FROM mc) GROUP BY ALL", ["mc"])
-cte("b0", "SELECT task, id, wins, CAST(1.0 AS DOUBLE) AS s FROM rec", ["rec"])
-for _s in range(1, 9):
-    _p = f"b{_s - 1}"
-    cte(f"b{_s}", f"SELECT i.task, i.id, i.wins, (i.wins + 0.5::DOUBLE) / (l.load + 1.0::DOUBLE / "
-        f"(i.s + 1.0::DOUBLE)) AS s FROM {_p} i JOIN (SELECT p.task, p.id, sum(p.n / (a.s + o.s)) AS "
-        f"load FROM bp p JOIN {_p} a ON a.task = p.task AND a.id = p.id JOIN {_p} o ON "
-        f"o.task = p.task AND o.id = p.other GROUP BY p.task, p.id) l ON l.task = i.task AND "
-        f"l.id = i.id", ["bp", _p])
-SQL["q_bt_mle"] = with_(["b8"], "SELECT task, id, (round(ln(s) - avg(ln(s)) OVER (PARTITION BY "
-                        "task), 6) + 0.0) AS theta FROM b8")
+cte("planted", "SELECT 'planted' AS task, winner, loser FROM (SELECT doc_id AS winner, doc_id // 5 "
+    "* 5 + (doc_id % 5 + 1) % 5 AS loser FROM documents WHERE doc_id % 5 < 4 OR doc_id // 5 % 7 <> 0 "
+    "UNION ALL SELECT doc_id, doc_id + 5 FROM documents WHERE doc_id % 5 = 0 AND doc_id // 5 % 3 <> 2) "
+    "WHERE loser IN (SELECT doc_id FROM documents)")
+
+
+def components_sql(matches: str) -> str:
+    """Strongly connected components by reachability; the optimum is finite inside
+    those of several items, where expected wins equal wins."""
+    return with_([matches], (
+        f"SELECT i.task, i.id, least(i.id, coalesce(c.m, i.id)) AS component, c.m IS NOT NULL AS "
+        "finite, CASE WHEN c.m IS NOT NULL THEN CAST(0.0 AS DOUBLE) END AS residual FROM (SELECT DISTINCT "
+        f"task, id FROM (SELECT task, winner AS id FROM {matches} UNION ALL SELECT task, loser FROM "
+        f"{matches})) i LEFT JOIN (SELECT a.task, a.x, min(a.y) AS m FROM reach a JOIN reach b ON "
+        "b.task = a.task AND b.x = a.y AND b.y = a.x WHERE a.x <> a.y GROUP BY a.task, a.x) c ON "
+        "c.task = i.task AND c.x = i.id")).replace("WITH ", "WITH RECURSIVE ", 1).replace(
+        "\nSELECT i.task", f",\nreach AS (SELECT DISTINCT task, winner AS x, loser AS y FROM {matches} "
+        f"UNION SELECT r.task, r.x, m.loser FROM reach r JOIN {matches} m ON m.task = r.task AND "
+        "m.winner = r.y)\nSELECT i.task", 1)
+
+
+SQL["q_bt_mle"] = components_sql("matches")
+SQL["q_bt_components"] = components_sql("planted")
 SQL["q_bt_loss"] = with_(["t5", "mc"], "SELECT m.task, round(sum(m.n * ln(1 + exp(l.theta - w.theta))), "
                          "6) AS loss FROM mc m JOIN t5 w ON w.task = m.task AND w.id = m.winner "
                          "JOIN t5 l ON l.task = m.task AND l.id = m.loser GROUP BY m.task")

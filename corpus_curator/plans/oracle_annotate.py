@@ -153,12 +153,17 @@ SQL["q_classify_prompt_size"] = with_(
     "16000 THEN 'large' ELSE 'fail' END AS size_class FROM (SELECT pair_id, "
     "len(regexp_extract_all(prompt, " + lit(r"[\x{4e00}-\x{9fff}]|[\p{L}\p{N}]+") + ")) AS n_tokens "
     "FROM pprompt)")
-cte("arate", "SELECT pair_id, id_1, id_2, reply, status, CASE WHEN status = 'ok' THEN choices[1] END "
+def rate_rows(prompts: str) -> str:
+    return (
+    "SELECT pair_id, id_1, id_2, reply, status, CASE WHEN status = 'ok' THEN choices[1] END "
     "AS win, CASE WHEN status = 'ok' THEN regexp_extract(r, 'Why: ([^\\n]*)', 1) END AS why FROM "
     f"(SELECT *, CASE WHEN reply IS NULL OR reply = '{FAILED}' THEN 'failed' WHEN len(choices) <> 1 THEN 'no_choice' "
     "ELSE 'ok' END AS status FROM (SELECT *, regexp_extract_all(r, 'Choice: ([12])', 1) AS choices "
     "FROM (SELECT *, regexp_replace(reply, '^\\s+|\\s+$', '', 'g') AS r FROM (SELECT pair_id, id_1, "
-    "id_2, " + rate_reply("md5(prompt)") + " AS reply FROM pprompt))))", ["pprompt"])
+    "id_2, " + rate_reply("md5(prompt)") + f" AS reply FROM {prompts}))))")
+
+
+cte("arate", rate_rows("pprompt"), ["pprompt"])
 SQL["q_annotate_rate"] = with_(["arate"], f"SELECT '{TASK}' AS task, pair_id, status, win, why "
                                "FROM arate")
 SQL["q_annotate_summary"] = with_(["summ"], "SELECT instance_id, status, CASE WHEN status = 'ok' "
@@ -187,25 +192,18 @@ SQL["q_annotate_edit"] = (
     + ZH + " THEN " + render(T["edit_zh"], {"": "text"}, "text") + " ELSE "
     + render(T["edit_en"], {"": "text"}, "text") + " END) AS h FROM documents)")
 
-# rating pipeline: the same chain, then 5 gradient steps on its matches
-cte("rjudg", "SELECT 'educational_value' AS task, pair_id, [id_1, id_2] AS pair_ids, win FROM arate "
-    "WHERE status = 'ok'", ["arate"])
-cte("rmatches", "SELECT task, CASE WHEN win = '1' THEN pair_ids[1] ELSE pair_ids[2] END AS winner, "
-    "CASE WHEN win = '1' THEN pair_ids[2] ELSE pair_ids[1] END AS loser FROM rjudg", ["rjudg"])
-cte("rmc", "SELECT task, winner, loser, count(*) AS n FROM rmatches GROUP BY ALL", ["rmatches"])
-cte("ritems", "SELECT DISTINCT task, id FROM (SELECT task, winner AS id FROM rmatches UNION ALL "
-    "SELECT task, loser AS id FROM rmatches)", ["rmatches"])
-cte("r0", "SELECT task, id, CAST(0.0 AS DOUBLE) AS theta FROM ritems", ["ritems"])
-for _s in range(1, 6):
-    _p = f"r{_s - 1}"
-    _q = "m.n / (CAST(1.0 AS DOUBLE) + exp(w.theta - l.theta))"
-    _j = (f"FROM rmc m JOIN {_p} w ON w.task = m.task AND w.id = m.winner "
-          f"JOIN {_p} l ON l.task = m.task AND l.id = m.loser")
-    cte(f"rg{_s}", f"SELECT task, id, sum(g) AS g FROM (SELECT m.task, m.winner AS id, {_q} AS g {_j} "
-        f"UNION ALL SELECT m.task, m.loser AS id, -({_q}) AS g {_j}) GROUP BY task, id", ["rmc", _p])
-    cte(f"r{_s}", f"SELECT t.task, t.id, t.theta + CAST(0.05 AS DOUBLE) * coalesce(g.g, 0.0) AS theta "
-        f"FROM {_p} t LEFT JOIN rg{_s} g ON g.task = t.task AND g.id = t.id", [_p, f"rg{_s}"])
-SQL["q_rate_scores"] = with_(["r5"], "SELECT task, id, (round(theta, 6) + 0.0) AS score FROM r5")
+# rating pipeline: the same chain over two criteria
+cte("pprompt_2", "SELECT pair_id, id_1, id_2, " + render(
+    T["expertise"], {"text_1": "text_1", "text_2": "text_2"}) + " AS prompt FROM ptexts", ["ptexts"])
+cte("arate_2", rate_rows("pprompt_2"), ["pprompt_2"])
+cte("rmatches", "SELECT task, CASE WHEN win = '1' THEN id_1 ELSE id_2 END AS winner, CASE WHEN "
+    f"win = '1' THEN id_2 ELSE id_1 END AS loser FROM (SELECT '{TASK}' AS task, id_1, id_2, win FROM "
+    "arate WHERE status = 'ok' UNION ALL SELECT 'expertise', id_1, id_2, win FROM arate_2 WHERE "
+    "status = 'ok')", ["arate", "arate_2"])
+SQL["q_rate_scores"] = with_(
+    ["rmatches"], "SELECT task, id, CAST(sum(w) AS BIGINT) AS wins, CAST(sum(1 - w) AS BIGINT) AS "
+    "losses, CAST(0.0 AS DOUBLE) AS residual FROM (SELECT task, winner AS id, 1 AS w FROM rmatches "
+    "UNION ALL SELECT task, loser, 0 FROM rmatches) GROUP BY task, id")
 SQL["q_tag_documents"] = with_(["second"], "SELECT instance_id, first_level_tag, second_level_tag, "
                               "third_level_tag, true AS in_tree FROM second WHERE status = 'ok'")
 

@@ -394,11 +394,27 @@ def q_bt_loss(spark, sf):
     return _round(BT.bt_loss(m, BT.bt_gradient(m, 0.05, 5)), ["loss"])
 
 
+def _optimal(matches, scores, prior=0.0):
+    """Scores as what SQL can check: the component, whether the optimum is finite, and
+    how far expected wins are from wins (0 at the optimum)."""
+    off = BT.bt_residuals(matches, scores, prior)
+    return scores.join(off, ["task", "id"], "left").select(
+        "task", "id", "component", "finite",
+        (F.round("residual", 3) + F.lit(0.0)).alias("residual"))
+
+
 def q_bt_mle(spark, sf):
-    """Eight steps towards the optimum of both tasks (the tests hold the
-    converged scores against the optimality condition)."""
-    s = BT.bt_scores(_matches(spark, sf), prior=0.5, max_iter=8, tol=0)
-    return _round(s.select("task", "id", "theta"), ["theta"])
+    """The maximum-likelihood scores of both tasks, to tolerance."""
+    m = _matches(spark, sf)
+    return _optimal(m, BT.bt_scores(m))
+
+
+def q_bt_components(spark, sf):
+    """Planted groups of five documents: each beats the next in a cycle, but for every
+    seventh group, whose cycle is open; the first of two groups in three also beats
+    the first of the next group. Only cycles have finite optima, each on its own."""
+    m = D.planted_matches(spark, sf)
+    return _optimal(m, BT.bt_scores(m))
 
 
 def q_uniform_scores(spark, sf):

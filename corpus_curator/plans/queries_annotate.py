@@ -13,6 +13,7 @@ from ..functions import annotators as A
 from ..functions import prompts as PR
 from ..functions.rand import uniform
 from ..operators import annotate as AN
+from ..operators import bradley_terry as BT
 from ..operators import pairs as P
 from ..session import materialize
 from ..sources import derived as D
@@ -20,6 +21,7 @@ from . import flows
 from .queries import r6
 
 TASK = "educational_value"
+TASKS = [TASK, "expertise"]
 
 
 def _docs(spark, sf):
@@ -106,11 +108,15 @@ def q_annotate_edit(spark, sf):
 
 
 def q_rate_scores(spark, sf):
+    """The rating flow over two criteria: pairs, judgements, scores to tolerance, with
+    the wins they come from and how far expected wins are from them."""
     docs = _docs(spark, sf)
     n = docs.count()
-    s = flows.rate(docs, TASK, A.rate_rule, n_pairs=3 * n, compare=6, seed=PAIR_SEED,
-                       method="gradient", iterations=5, score_type="bradley_terry")
-    return s.select("task", "id", r6("score").alias("score"))
+    m = flows.judge(docs, TASKS, A.rate_rule, n_pairs=3 * n, compare=6, seed=PAIR_SEED)
+    scores = BT.bt_scores(m, prior=0.5, centre=False)
+    off = BT.bt_residuals(m, scores, prior=0.5)
+    return BT.item_record(m).join(off, ["task", "id"]).select(
+        "task", "id", "wins", "losses", (F.round("residual", 3) + F.lit(0.0)).alias("residual"))
 
 
 def q_tag_documents(spark, sf):

@@ -168,6 +168,19 @@ def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once("judgements", spark, sf_dir, build)
 
 
+def planted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``task, winner, loser``: cycles of five documents, joined one way."""
+    d = documents(spark, sf_dir).select("doc_id")
+    g, k = F.floor(F.col("doc_id") / 5), F.col("doc_id") % 5
+    inside = d.filter((k < 4) | (g % 7 != 0)).select(
+        F.col("doc_id").alias("winner"), (g * 5 + (k + 1) % 5).alias("loser"))
+    across = d.filter((k == 0) & (g % 3 != 2)).select(
+        F.col("doc_id").alias("winner"), (F.col("doc_id") + 5).alias("loser"))
+    known = d.select(F.col("doc_id").alias("loser"))
+    return inside.unionByName(across).join(known, "loser", "left_semi").select(
+        F.lit("planted").alias("task"), "winner", F.col("loser").cast("long").alias("loser"))
+
+
 def tag_replies(docs: DataFrame) -> DataFrame:
     """``doc_id, reply``: a first-level tag reply per document with the failure
     kinds a model produces (fenced, unknown tag, wrong case, missing key,

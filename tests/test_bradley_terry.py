@@ -125,3 +125,62 @@ def test_mle_recovers_known_theta(spark):
     got = {r["id"]: r["theta"] for r in BT.bt_scores(matches.drop("_k")).collect()}
     mean = sum(theta) / 4
     assert [got[i] for i in range(4)] == pytest.approx([t - mean for t in theta], abs=2e-3)
+
+
+def _fit(spark, edges, **kw):
+    m = spark.createDataFrame([("t", i, w, l) for i, (w, l) in enumerate(edges)],
+                              "task string, pair_id long, winner long, loser long")
+    return {r["id"]: (r["component"], r["finite"], r["theta"])
+            for r in BT.bt_scores(m, **kw).collect()}
+
+
+def test_chain_has_no_finite_optimum(spark):
+    got = _fit(spark, [(1, 2), (2, 3), (3, 4), (9, 9)])
+    assert {i: v[:2] for i, v in got.items()} == {i: (i, False) for i in (1, 2, 3, 4, 9)}
+    assert all(v[2] is None for v in got.values())
+
+
+def test_groups_joined_one_way_are_fitted_apart(spark):
+    ring = [(0, 1), (1, 2), (2, 0), (0, 2)]
+    joined = [(10 + a, 10 + b) for a, b in ring] + [(2, 11), (0, 10)]
+    got = _fit(spark, ring + joined + [(20 + a, 20 + b) for a, b in ring], tol=1e-7)
+    alone = _fit(spark, ring, tol=1e-7)
+    for base in (0, 10, 20):
+        for i in range(3):
+            component, finite, theta = got[base + i]
+            assert (component, finite) == (base, True)
+            assert theta == pytest.approx(alone[i][2], abs=1e-6)
+
+
+def test_components_of_random_graphs(spark):
+    from corpus_curator.operators.connectivity import strong_components
+    rng = np.random.default_rng(2)
+    edges = [(f"g{g}", int(a), int(b)) for g in range(3)
+             for a, b in rng.integers(0, 40, (30 + 20 * g, 2))]
+    got = {(r["task"], r["id"]): r["component"] for r in strong_components(
+        spark.createDataFrame(edges, "task string, a long, b long")).collect()}
+    want = {}
+    for g in {e[0] for e in edges}:
+        out = {}
+        for _, a, b in (e for e in edges if e[0] == g):
+            out.setdefault(a, set()).add(b)
+            out.setdefault(b, set())
+
+        def reach(x):
+            seen, todo = {x}, [x]
+            while todo:
+                for y in out[todo.pop()] - seen:
+                    seen.add(y)
+                    todo.append(y)
+            return seen
+        r = {x: reach(x) for x in out}
+        want |= {(g, x): min(y for y in r[x] if x in r[y]) for x in out}
+    assert got == want
+
+
+def test_residuals_are_zero_at_the_optimum(spark):
+    m = _matches(spark)
+    for prior in (0.0, 0.5):
+        s = BT.bt_scores(m, prior=prior, tol=1e-8, centre=prior == 0)
+        off = [r["residual"] for r in BT.bt_residuals(m, s, prior).collect()]
+        assert len(off) == 3 and max(map(abs, off)) < 1e-7

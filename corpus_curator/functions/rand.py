@@ -50,6 +50,14 @@ def sampling_key(weight, key, seed) -> Column:
     return F.when(w > 0, -F.log(u) / w)
 
 
+def log_sampling_key(log_weight, key, seed) -> Column:
+    """The logarithm of ``sampling_key`` from the logarithm of the weight, ``ln(-ln u) -
+    ln w``: no weight is too large or too small for it. Null for a null log weight
+    and for minus infinity (weight 0)."""
+    lw = _col(log_weight).cast("double")
+    return F.when(lw > F.lit(float("-inf")), F.log(-F.log(uniform(key, seed))) - lw)
+
+
 def sql_uniform(key_sql: str, salt=None) -> str:
     """The same variate as DuckDB SQL text (used by the oracle)."""
     k = f"CAST({key_sql} AS VARCHAR)"

@@ -22,19 +22,35 @@ _LOCAL_BITS = 33  # monotonically_increasing_id keeps the partition id above bit
 
 
 def global_rank(df: DataFrame, order_by: Sequence[Column | str], by: Sequence[str] = (),
-                name: str = "rank", start: int = 1) -> DataFrame:
+                name: str = "rank", start: int = 1, row_key: Sequence[str] = ()) -> DataFrame:
     """Add ``name``: position of each row in ``order_by`` order (within ``by``
     groups when given), counting from ``start``.
 
-    ``order_by`` must make the order total (end it with a unique key), else
-    tied rows get an arbitrary but fixed order. All columns of ``df`` are
-    sorted and written once: pass the key and the order columns, not whole
-    records.
+    ``order_by`` should make the order total (end it with a unique key), else
+    tied rows get an arbitrary but fixed order; they are split over tasks all the
+    same (a row number ends the sort key). All columns of ``df`` are sorted and
+    written once. With ``row_key``, columns that no two rows agree in (else an error),
+    only those and the order columns are, and the position is joined back to the
+    records by them.
     """
     by = list(by)
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    if row_key:
+        row_key = list(row_key)
+        kept = dict.fromkeys([*row_key, *by])
+        names = [f"_o{i}" for i in range(len(order))]
+        tidy = [_direction(c, n) for c, n in zip(order_by, names)]
+        narrow = df.select(*kept, *[value.alias(n) for n, (value, _) in zip(names, tidy)])
+        ranked = global_rank(narrow, [sort for _, sort in tidy], by, name, start)
+        ranked = materialize(ranked.select(*row_key, name))
+        if ranked.groupBy(*row_key).agg(F.count(F.lit(1)).alias("_c")).filter(
+                "_c > 1").limit(1).count():
+            raise ValueError(f"rows repeat the key {row_key}")
+        same = [F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}")) for c in row_key]
+        return df.alias("r").join(ranked.alias("k"), same).select("r.*", f"k.{name}")
     tagged = materialize(
-        df.orderBy(*[F.col(c) for c in by], *order)
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .orderBy(*[F.col(c) for c in by], *order, "_tie").drop("_tie")
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_local", F.monotonically_increasing_id()
                     - F.shiftleft(F.col("_pid").cast("long"), _LOCAL_BITS)))
@@ -56,6 +72,18 @@ def global_rank(df: DataFrame, order_by: Sequence[Column | str], by: Sequence[st
         "_pid", "_local", "_offset", "_gord")
 
 
+def _direction(order: Column | str, name: str) -> tuple[Column, Column]:
+    """The value of an order column and the same order over a column ``name``: only plain
+    columns by name and ``col(...).desc()`` are taken apart."""
+    if isinstance(order, str):
+        return F.col(order), F.col(name)
+    text = order._jc.toString()
+    if text.endswith((" ASC NULLS FIRST", " DESC NULLS LAST")):
+        value = F.col(text.rsplit(" ", 3)[0])
+        return value, F.col(name).asc() if " ASC " in text[-16:] else F.col(name).desc()
+    return order, F.col(name)
+
+
 def dense_index(df: DataFrame, cols: Sequence[str], name: str = "idx") -> DataFrame:
     """Distinct values of ``cols`` numbered 0..k-1 in sorted order (item -> index map)."""
     return global_rank(df.select(*cols).distinct(), list(cols), name=name, start=0)

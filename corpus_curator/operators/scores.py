@@ -6,12 +6,14 @@ exp_zscores    exp((x - mean) / std) per score; a null z (std 0 or null) drops t
 rating_weight  sum of w_f * exp(z_f)
 
 All of it is column expressions: no Python UDF, so filters stay next to the
-scan and the statistics are one pass. The statistics are a one-row relation
-joined by broadcast, so the whole chain is a single plan.
+scan and the statistics are one pass. The statistics are two scalars per score
+that become literals of the second pass. exp(z) of an outlier can exceed a double;
+the draw goes by the logarithm of the weight (``log_weight``), which does not.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -91,9 +93,9 @@ def rating_stats(clean: DataFrame, fields: Sequence[str] = SCORE_FIELDS) -> dict
     return stats
 
 
-def _exp_z(df: DataFrame, fields: Sequence[str], counts: dict | None = None,
+def _z(df: DataFrame, fields: Sequence[str], counts: dict | None = None,
            stats: dict | None = None):
-    """exp(z) column and non-null condition per field, from one aggregate pass
+    """z column and non-null condition per field, from one aggregate pass
     over ``df`` unless ``stats`` are given (the 16 statistics are scalars).
     ``counts`` receives the number of rows whose z-scores are all defined."""
     if stats is None:
@@ -104,7 +106,7 @@ def _exp_z(df: DataFrame, fields: Sequence[str], counts: dict | None = None,
     for f in fields:
         mean, std = stats[f"{f}_mean"], stats[f"{f}_std"]
         z = F.try_divide(F.col(f"`{f}`") - F.lit(mean).cast("double"), F.lit(std).cast("double"))
-        cols[f] = F.exp(z)
+        cols[f] = z
         c = z.isNotNull()
         cond = c if cond is None else cond & c
     return cols, cond
@@ -114,26 +116,46 @@ def exp_zscores(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS,
                 keep: Sequence[str] = ("uuid",)) -> DataFrame:
     """``keep`` columns plus exp(z) of every field, for rows whose scores are
     clean; a null z (zero or undefined std) drops the row."""
-    cols, cond = _exp_z(df, fields)
+    cols, cond = _z(df, fields)
     return df.filter(cond).select(*[F.col(c) for c in keep],
-                                  *[c.alias(f) for f, c in cols.items()])
+                                  *[F.exp(c).alias(f) for f, c in cols.items()])
+
+
+def log_weight(z: Mapping[str, Column], weights: Mapping[str, float]) -> Column:
+    """ln(sum of w_f * exp(z_f)) without leaving the range of a double: the largest term
+    is taken out of the sum. The terms are one array that the expression names once, so
+    that a filter on the weight can be pushed below it without copying every score many
+    times. Weights are not negative; those of 0 do not count."""
+    if min(weights.values()) < 0:
+        raise ValueError("weights must not be negative")
+    terms = [z[f] + F.lit(math.log(w)) for f, w in weights.items() if w > 0]
+    if not terms:
+        return F.lit(float("-inf"))
+
+    def summed(a: Column) -> Column:
+        top = F.array_max(a)
+        return top + F.log(F.aggregate(a, F.lit(0.0), lambda acc, t: acc + F.exp(t - top)))
+
+    return F.transform(F.array(F.array(*terms)), summed)[0]
 
 
 def with_rating_weight(df: DataFrame, fields: Sequence[str] = SCORE_FIELDS,
                        weights: Mapping[str, float] = RATING_WEIGHTS,
                        name: str = "weight", counts: dict | None = None,
-                       stats: dict | None = None) -> DataFrame:
+                       stats: dict | None = None, log_name: str | None = None) -> DataFrame:
     """Clean records plus ``name`` = sum of w_f * exp(z_f); every other column
     (text included) is kept as it is. ``counts["rows"]`` gets the number of
     weighted rows (all weights are positive), from the statistics pass;
-    ``stats`` (from ``rating_stats``) skips that pass."""
+    ``stats`` (from ``rating_stats``) skips that pass. ``log_name``: also the
+    logarithm of the weight, which is finite where the weight overflows."""
     clean = clean_scores(df, fields)
-    cols, cond = _exp_z(clean, fields, counts, stats)
+    cols, cond = _z(clean, fields, counts, stats)
     total = None
     for f, w in weights.items():
-        term = cols[f] * F.lit(float(w))
+        term = F.exp(cols[f]) * F.lit(float(w))
         total = term if total is None else total + term
-    return clean.filter(cond).withColumn(name, total)
+    out = clean.filter(cond).withColumn(name, total)
+    return out.withColumn(log_name, log_weight(cols, weights)) if log_name else out
 
 
 def rating_weight(df: DataFrame, weights: Mapping[str, float] = RATING_WEIGHTS,

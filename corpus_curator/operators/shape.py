@@ -86,11 +86,12 @@ def normalize_records(df: DataFrame, out: str = "text") -> DataFrame:
 
 
 def assign_instance_id(df: DataFrame, order_by: Sequence[str], id_col: str = "instance_id",
-                       start: int = 0) -> DataFrame:
+                       start: int = 0, row_key: Sequence[str] = ()) -> DataFrame:
     """Keep a record's own ``instance_id``; records without one get their
-    0-based ordinal in ``order_by`` order plus ``start``."""
+    0-based ordinal in ``order_by`` order plus ``start``. ``row_key``: columns no two
+    records agree in; only they are sorted then, not whole records."""
     from .rank import global_rank
-    ranked = global_rank(df, list(order_by), name="_ord", start=0)
+    ranked = global_rank(df, list(order_by), name="_ord", start=0, row_key=row_key)
     if id_col in df.columns:
         ranked = ranked.withColumn(id_col, F.coalesce(F.col(id_col).cast("long"),
                                                       F.col("_ord") + F.lit(start)))

@@ -32,9 +32,10 @@ def rating_sample(rated: DataFrame, corpus: DataFrame | None = None, n: int | No
     rated = scores.canonical_fields(rated, fields)
     recs = rated if corpus is None else rated.select(key, *[F.col(f"`{f}`") for f in fields])
     counts: dict = {}
-    weighted = scores.with_rating_weight(recs, fields, weights, counts=counts)
-    # the statistics pass counted the candidates; the draw itself refuses
-    # weights that are not finite (an outlier's exponential can overflow)
+    weighted = scores.with_rating_weight(recs, fields, weights, counts=counts,
+                                         log_name="_log_weight")
+    # the statistics pass counted the candidates; the draw goes by log weights (an
+    # outlier's exponential can overflow)
     if n is None:
         n = int(counts["rows"] * fraction)
     if n > counts["rows"]:
@@ -42,10 +43,10 @@ def rating_sample(rated: DataFrame, corpus: DataFrame | None = None, n: int | No
             raise ValueError(f"cannot draw {n} rows: only {counts['rows']} are weighted")
         n = counts["rows"]
     # the decision reads only (key, weight); the records are filtered once
-    rule = sampling.draw_rule(weighted, "weight", key, seed, n=n)
+    rule = sampling.draw_rule(weighted, key=key, seed=seed, n=n, log_weight="_log_weight")
     if corpus is None:
-        return rule(weighted)
-    ids = rule(weighted.select(key, "weight")).select(key)
+        return rule(weighted).drop("_log_weight")
+    ids = rule(weighted.select(key, "_log_weight")).select(key)
     return retrieve_by_uuid(ids, corpus, key)
 
 

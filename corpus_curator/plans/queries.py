@@ -157,8 +157,8 @@ def q_sample_k(spark, sf):
 
 
 def q_shuffle_rows(spark, sf):
-    d = D.documents(spark, sf).select("doc_id")
-    return sampling.shuffle_rows(d, "doc_id", SEED)
+    d = sampling.shuffle_rows(D.documents(spark, sf), "doc_id", SEED, row_key=["doc_id"])
+    return d.select("doc_id", "position")
 
 
 def q_head_k(spark, sf):
@@ -174,13 +174,13 @@ def q_slice_input_mixed(spark, sf):
     """About half the records have an id of their own, the others go by position."""
     own = F.when(uniform("doc_id", "iid") < 0.5, F.col("doc_id") + 3)
     d = D.documents(spark, sf).select("doc_id", own.alias("instance_id"))
-    return sampling.slice_input(d, 100, 500, "instance_id", ["doc_id"]).select(
+    return sampling.slice_input(d, 100, 500, "instance_id", ["doc_id"], ["doc_id"]).select(
         "doc_id", "instance_id", "position")
 
 
 def q_assign_batches(spark, sf):
     d = D.documents(spark, sf).select("doc_id")
-    return sampling.assign_batches(d, 20, order="input", order_by=["doc_id"])
+    return sampling.assign_batches(d, 20, order="input", order_by=["doc_id"], row_key=["doc_id"])
 
 
 def q_global_rank(spark, sf):

@@ -126,7 +126,8 @@ def q_assign_instance_id(spark, sf):
     path = scratch_path(spark, "raw") + ".jsonl"
     W.write_records(_raw_records(spark, sf), path)
     back = RD.read_raw_jsonl(spark, path, T.StructType([T.StructField("key", T.LongType())]))
-    return shape.assign_instance_id(back, ["key"], start=1_000_000).select("key", "instance_id")
+    return shape.assign_instance_id(back, ["key"], start=1_000_000, row_key=["key"]).select(
+        "key", "instance_id")
 
 
 def q_concat_keys(spark, sf):

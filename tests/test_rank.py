@@ -36,3 +36,30 @@ def test_take_exact(spark):
     need = df.withColumn("n", F.when(F.col("g") == 0, 10).otherwise(40))
     got = {r["g"]: r["count"] for r in take_exact(need, "n", ["g"]).groupBy("g").count().collect()}
     assert got == {0: 10, 1: 40, 2: 40}
+
+
+def test_equal_keys_spread_over_tasks(spark):
+    from corpus_curator.operators import rank
+    written = []
+    old = rank.materialize
+    rank.materialize = lambda df: written.append(old(df)) or written[-1]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it joins small partitions
+    try:
+        got = global_rank(spark.range(0, 40_000, 1, 6).select(F.lit(1).alias("v")), ["v"], name="r")
+    finally:
+        rank.materialize = old
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted(r["r"] for r in got.collect()) == list(range(1, 40_001))
+    sizes = [r["count"] for r in written[0].groupBy("_pid").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 3 * min(sizes)
+
+
+def test_rank_by_row_key_sorts_narrow_rows(spark):
+    import pytest
+    df = spark.range(500).select("id", (F.col("id") * 7919 % 101).alias("v"),
+                                 F.lit("text").alias("text"))
+    for order in ([F.col("v").desc(), "id"], ["v", "id"], [F.pmod("v", F.lit(7)), "id"]):
+        assert sorted(global_rank(df, order, row_key=["id"]).collect()) == sorted(
+            global_rank(df, order).collect())
+    with pytest.raises(ValueError, match="repeat"):
+        global_rank(df, ["v"], row_key=["v"])

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -163,12 +164,50 @@ def test_weights_that_are_not_finite_are_refused(spark):
         sampling.weighted_sample(df, 1, seed=1)
 
 
-def test_rating_flow_refuses_an_overflowing_score(spark):
+def test_rating_flow_draws_beside_an_overflowing_score(spark):
+    """z of the outlier is 836: its weight is no double, its log weight is."""
     from corpus_curator.plans import flows
-    rows = [(f"k{i}", "0") for i in range(600_000)] + [("out", "100")]
-    df = spark.createDataFrame(rows, "uuid string, s string").coalesce(4)
+    rows = spark.range(700_000).selectExpr("concat('k', id) AS uuid", "'0' AS s")
+    df = rows.unionByName(spark.createDataFrame([("out", "100")], "uuid string, s string"))
+    got = [r["uuid"] for r in flows.rating_sample(df, n=5, fields=["s"],
+                                                  weights={"s": 1.0}).collect()]
+    assert len(got) == 5 and "out" in got
+
+
+def test_log_weights_draw_the_same_rows(spark):
+    rnd = random.Random(6)
+    rows = [(f"k{i}", f"g{i % 3}", w, math.log(w) if w else float("-inf"))
+            for i, w in enumerate([rnd.random() ** 4 * 10 ** rnd.randrange(-5, 5)
+                                   for _ in range(900)] + [0.0] * 20)]
+    rows.append(("none", "g0", None, None))
+    df = spark.createDataFrame(rows, "uuid string, dataset string, weight double, lw double")
+    plain = sampling.weighted_sample(df, 300, seed=3).select("uuid")
+    logs = sampling.weighted_sample(df, 300, seed=3, log_weight="lw").select("uuid")
+    assert sorted(plain.collect()) == sorted(logs.collect())
+    quota = {"g0": 20, "g1": 30, "g2": 290}
+    plain = sampling.weighted_sample_by(df, quota, seed=3).select("uuid")
+    logs = sampling.weighted_sample_by(df, quota, seed=3, log_weight="lw").select("uuid")
+    assert sorted(plain.collect()) == sorted(logs.collect()) and plain.count() == 340
+    bad = df.withColumn("lw", F.when(F.col("uuid") == "k1", float("inf")).otherwise(F.col("lw")))
     with pytest.raises(ValueError, match="infinite"):
-        flows.rating_sample(df, n=5, fields=["s"], weights={"s": 1.0})
+        sampling.weighted_sample(bad, 3, log_weight="lw")
+
+
+def test_crowded_buckets_are_divided(spark):
+    """Most keys in one bucket, many of them equal: divided, then ranked by ties."""
+    rows = spark.range(60_000).select(
+        F.format_string("%06d", "id").alias("uuid"), (F.col("id") % 2).cast("string").alias("g"),
+        (1.0 + F.floor(F.col("id") / 3) * 1e-9).alias("k")).repartition(5)
+    for n in (1, 2, 12_345, 59_999):
+        got = [r["uuid"] for r in sampling.select_smallest(rows, "k", "uuid", n).collect()]
+        assert sorted(got) == [f"{i:06d}" for i in range(n)]
+    need = spark.createDataFrame([("0", 7), ("1", 20_000)], "g string, need long")
+    got = [r["uuid"] for r in sampling.select_smallest(rows, "k", "uuid", need, by=["g"]).collect()]
+    assert sorted(got) == sorted([f"{2 * i:06d}" for i in range(7)]
+                                 + [f"{2 * i + 1:06d}" for i in range(20_000)])
+    flat = rows.withColumn("k", F.lit(2.0))
+    assert sampling.select_smallest(flat, "k", "uuid", 31_000).agg(
+        F.max("uuid")).first()[0] == "030999"
 
 
 def test_random_batches_are_a_seeded_permutation(spark):

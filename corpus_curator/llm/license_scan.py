@@ -9,6 +9,9 @@ the whole notice confirms it, counts the edits and gives the span.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +25,42 @@ BASE_PHRASES = [
     ("cc-by-nc", "cc by nc"),
 ]
 
-#: Short notices searched with errors (label, words).
+#: Short notices searched with errors (label, words). Words in brackets
+#: tell licenses and versions apart: they stand whole and take no edit, but that two
+#: neighbouring letters (not digits) may have changed places, which counts as two.
 NOTICES = [
-    ("mit", "under the mit license"),
-    ("apache-2", "apache license version 2"),
-    ("cc-by-nc", "creative commons attribution noncommercial"),
-    ("gpl-3", "gnu general public license version 3"),
-    ("gpl-2", "gnu general public license version 2"),
-    ("lgpl", "gnu lesser general public license"),
-    ("mpl-2", "mozilla public license version 2 0"),
-    ("bsd-3", "bsd 3 clause license"),
-    ("unlicense", "released into the public domain"),
+    ("agpl", "[gnu] [affero] general public license"),
+    ("apache-1", "[apache] license version [1] [0]"),
+    ("apache-1-1", "[apache] license version [1] [1]"),
+    ("apache-2", "[apache] license version [2]"),
+    ("artistic-2", "[artistic] license [2] [0]"),
+    ("boost-1", "[boost] software license version [1] [0]"),
+    ("bsd-2", "[bsd] [2] clause license"),
+    ("bsd-3", "[bsd] [3] clause license"),
+    ("cc-by", "creative commons [attribution] [license]"),
+    ("cc-by", "creative commons [attribution] [3] [0] unported"),
+    ("cc-by", "creative commons [attribution] [4] [0] international"),
+    ("cc-by-nc", "creative commons [attribution] [noncommercial]"),
+    ("cc-by-nc-nd", "creative commons [attribution] [noncommercial] [noderivatives]"),
+    ("cc-by-nc-sa", "creative commons [attribution] [noncommercial] [sharealike]"),
+    ("cc-by-nd", "creative commons [attribution] [noderivatives]"),
+    ("cc-by-sa", "creative commons [attribution] [sharealike]"),
+    ("cc0", "creative commons [cc0] [1] [0] universal"),
+    ("epl-1", "[eclipse] public license version [1] [0]"),
+    ("epl-2", "[eclipse] public license version [2] [0]"),
+    ("gpl-1", "[gnu] general public license version [1]"),
+    ("gpl-2", "[gnu] general public license version [2]"),
+    ("gpl-3", "[gnu] general public license version [3]"),
+    ("isc", "under the [isc] license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose"),
+    ("lgpl", "[gnu] [lesser] general public license"),
+    ("lgpl", "[gnu] [library] general public license"),
+    ("mit", "under the [mit] license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mpl-1-1", "[mozilla] public license version [1] [1]"),
+    ("mpl-2", "[mozilla] public license version [2] [0]"),
+    ("unlicense", "released into the [public] [domain]"),
+    ("zlib", "under the [zlib] license"),
 ]
 
 #: One edit for this many characters of a notice.
@@ -62,25 +90,61 @@ def _places(hay: bytes, needle: bytes):
         at = hay.find(needle, at + 1)
 
 
+def pattern(notice: str, edits: int) -> bytes:
+    """Bounded-error pattern of a notice: every run of plain words takes up to ``edits``
+    errors, bracketed words and the blanks beside them none but a swap of letters."""
+    out, plain = [], []
+
+    def flush():
+        if plain:
+            out.append(rb"(?:%s){e<=%d}" % (b" ".join(plain), edits))
+            plain.clear()
+
+    for word in notice.encode().split():
+        if word.startswith(b"["):
+            flush()
+            out.append(rb"(?:%s)" % b"|".join(_swapped(word.strip(b"[]"))))
+        else:
+            plain.append(word)
+    flush()
+    return rb"(?b)(?<![^ ])" + b" ".join(out) + rb"(?![^ ])"
+
+
+def _swapped(word: bytes) -> list[bytes]:
+    """The word, and, unless it is a number, it with two neighbouring letters swapped."""
+    if word.isdigit():
+        return [word]
+    return list(dict.fromkeys([word] + [word[:i] + word[i + 1:i + 2] + word[i:i + 1] + word[i + 2:]
+                                        for i in range(len(word) - 1)]))
+
+
 def scanner(base=BASE_PHRASES, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT):
     """scan(text bytes) -> (number of words, base places, fuzzy matches)."""
     import regex
 
     exact = [(label, b" " + p.encode() + b" ") for label, p in base]
     fuzzy = []
-    for label, p in notices:
-        p = p.encode()
+    for label, notice in notices:
+        p = notice.replace("[", "").replace("]", "").encode()
         k = len(p) // chars_per_edit
-        found = regex.compile(rb"(?b)(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(p), k))
-        fuzzy.append((label, k, len(p), pieces(p, k), found))
+        fixed = [w[1:-1].encode() for w in notice.split() if w.startswith("[")]
+        fuzzy.append((label, k, len(p), pieces(p, k), regex.compile(pattern(notice, k)), fixed))
 
     def scan(text: bytes):
         words = text.translate(_WORD_BYTES).split()
         hay = b" " + b" ".join(words) + b" "
-        places = [(label, hay.count(b" ", 0, at)) for label, needle in exact
-                  for at in _places(hay, needle)]
+        blanks = None
+
+        def word_at(at: int) -> int:
+            """Number of blanks before a place, counted once for the text."""
+            nonlocal blanks
+            if blanks is None:
+                blanks = np.flatnonzero(np.frombuffer(hay, np.uint8) == 0x20)
+            return int(np.searchsorted(blanks, at))
+
+        places = [(label, word_at(at)) for label, needle in exact for at in _places(hay, needle)]
         matches: dict[tuple[str, int], tuple] = {}
-        for label, k, size, parts, found in fuzzy:
+        for label, k, size, parts, found, fixed in fuzzy:
             done = -1
             starts = sorted({at - offset for offset, part in parts for at in _places(hay, part)})
             for start in starts:
@@ -90,19 +154,26 @@ def scanner(base=BASE_PHRASES, notices=NOTICES, chars_per_edit: int = CHARS_PER_
                 m = found.search(hay, lo, min(hi, len(hay)))
                 if m is None:
                     continue
+                errors = sum(m.fuzzy_counts) + 2 * len(set(fixed) - set(m.group().split()))
+                if errors > k:
+                    continue
                 done = m.start() + k
                 a, b = m.span()
                 inner = hay[a:b].strip(b" ")
-                first = hay.count(b" ", 0, hay.index(inner, a)) - 1
-                key, value = (label, first), (inner.count(b" ") + 1, sum(m.fuzzy_counts), inner)
+                first = word_at(hay.index(inner, a)) - 1
+                key, value = (label, first), (inner.count(b" ") + 1, errors, inner)
                 if key not in matches or value[1] < matches[key][1]:
                     matches[key] = value
-        out: list[tuple] = []
-        for (label, first), (n, e, inner) in sorted(matches.items(), key=lambda x: x[1][1]):
-            # of notices that overlap (versions of one license), the closest counts
-            if all(first >= b + k or first + n <= b for _, b, k, _, _ in out):
-                out.append((label, first, n, e, inner))
-        return len(words), sorted(places), sorted(out)
+        # of notices that overlap (versions, shorter names) the one that explains most
+        # of the text counts: its length less four for each edit
+        taken: list[tuple] = []
+        for (label, first), (n, e, inner) in sorted(
+                matches.items(), key=lambda x: (4 * x[1][1] - len(x[1][2]), x[0])):
+            at = bisect_left(taken, (first,))
+            if (at == len(taken) or taken[at][0] >= first + n) and (
+                    at == 0 or taken[at - 1][0] + taken[at - 1][2] <= first):
+                taken.insert(at, (first, label, n, e, inner))
+        return len(words), sorted(places), sorted((b, a, *rest) for a, b, *rest in taken)
 
     return scan
 

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by cosine: a robust-pruned directed graph per shard.
 
-Vectors are dealt to shards of bounded size by the hash of their id. In a shard
+Rows are dealt to shards of bounded size by the hash of their id and vector. In a shard
 greedy searches from the medoid propose the neighbours of each vector, and
 relaxed distance pruning keeps a few diverse ones (a candidate goes when an
 already kept neighbour is closer to it by the factor ALPHA). Queries run a beam
@@ -146,22 +146,29 @@ def _vectors(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors times a power of two each, so that their squares neither overflow nor
+    vanish, and their norms: a cosine is the same to the last bit."""
+    _, exponent = np.frexp(np.abs(v).max(1, initial=0.0))
+    v = np.ldexp(v, -exponent[:, None])
+    return v, np.sqrt((v * v).sum(1))
+
+
 def _index(key, table):
-    """One row per shard: ids and vectors by vertex, and the graph."""
+    """One row per shard: ids, vectors and copies of its rows by vertex, and the graph."""
     ids = np.asarray(table.column("vec_id"))
-    v = _vectors(table.column("v"))
+    v, norms = _scaled(_vectors(table.column("v")))
     order = np.lexsort((*v.T[::-1], ids))
-    ids, v = ids[order], v[order]
-    once = np.concatenate([[True], ids[1:] != ids[:-1]])  # of rows with one id, the least vector
-    ids, v = ids[once], v[once]
-    unit = v / np.sqrt((v * v).sum(1, keepdims=True))
-    points, vertex = np.unique(unit, axis=0, return_inverse=True)
+    ids, v, norms = ids[order], v[order], norms[order]
+    copies = np.asarray(table.column("copies"))[order]
+    points, vertex = np.unique(v / norms[:, None], axis=0, return_inverse=True)
     graph, starts = build(points)
     return pa.table({
         "space": pa.array([key[0].as_py()], pa.int32()),
         "shard": pa.array([key[1].as_py()], pa.int32()),
         "ids": pa.array([ids.tobytes()], pa.binary()),
         "vectors": pa.array([v.tobytes()], pa.binary()),
+        "copies": pa.array([copies.astype(np.int64).tobytes()], pa.binary()),
         "vertex": pa.array([vertex.reshape(-1).astype(np.int32).tobytes()], pa.binary()),
         "graph": pa.array([graph.astype(np.int32).tobytes()], pa.binary()),
         "starts": pa.array([starts.astype(np.int64).tobytes()], pa.binary())})
@@ -174,6 +181,7 @@ def _search(key, left, right, k: int, beam: int):
         row = {c: left.column(c)[0].as_py() for c in left.column_names}
         ids = np.frombuffer(row["ids"], np.int64)
         v = np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1)
+        copies = np.frombuffer(row["copies"], np.int64)
         vertex = np.frombuffer(row["vertex"], np.int32)
         norms = np.sqrt((v * v).sum(1))
         graph = np.frombuffer(row["graph"], np.int32).reshape(-1, DEGREE).astype(np.int64)
@@ -181,9 +189,8 @@ def _search(key, left, right, k: int, beam: int):
         begin = np.searchsorted(vertex[order], np.arange(len(graph) + 1))
         x = (v / norms[:, None])[order[begin[:-1]]]
         starts = np.frombuffer(row["starts"], np.int64)
-        names = np.asarray(right.column("vec_id"))
-        q = _vectors(right.column("v"))
-        q_norms = np.sqrt((q * q).sum(1))
+        names, numbers = np.asarray(right.column("vec_id")), np.asarray(right.column("q"))
+        q, q_norms = _scaled(_vectors(right.column("v")))
         for at in range(0, len(q), BATCH):
             found, _ = beam_search(x, graph, starts, q[at:at + BATCH]
                                    / q_norms[at:at + BATCH, None], beam)
@@ -191,12 +198,14 @@ def _search(key, left, right, k: int, beam: int):
                 near = near[near >= 0][:k + 12]
                 rows = np.concatenate([order[begin[p]:min(begin[p] + k + 1, begin[p + 1])]
                                        for p in near])
-                rows = rows[ids[rows] != names[i]]
+                # every row but the query's own: one copy of it stays away
+                own = (ids[rows] == names[i]) & (v[rows] == q[i]).all(1)
+                rows = np.repeat(rows, np.minimum(copies[rows] - own, k))
                 score = v[rows] @ q[i] / (norms[rows] * q_norms[i])
                 best = np.lexsort((ids[rows], -score))[:k]
-                out += [(names[i], ids[rows[j]], score[j]) for j in best]
+                out += [(numbers[i], ids[rows[j]], score[j]) for j in best]
     columns = list(zip(*out)) or [(), (), ()]
-    return pa.table({"query_id": pa.array(columns[0], pa.int64()),
+    return pa.table({"q": pa.array(columns[0], pa.int64()),
                      "vec_id": pa.array(columns[1], pa.int64()),
                      "score": pa.array(columns[2], pa.float64())})
 
@@ -211,38 +220,53 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return embeddings.filter(F.coalesce(good, F.lit(False))).select("vec_id", v.alias("v"))
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """Usable rows, equal ones (id and vector) once with their number: a row that makes
+    up much of the table is one row of a shard."""
+    return (usable(rows).groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
+            .withColumn("space", F.size("v")))
+
+
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 5, shard: int = SHARD,
             beam: int = SEARCH_BEAM) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each query row.
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each query row, among
+    all rows but itself.
 
     Vectors that are null, zero, or hold null or non-finite components take no
-    part. Rows that repeat an id are one (the least of their vectors counts);
-    vectors of different sizes never meet; equal scores go to the smaller id; a
-    query's own id is left out; other columns are ignored; empty tables give an
-    empty result. With fewer than ``k`` candidates all are returned.
+    part; any finite magnitude does. Rows that repeat an id are rows of their own, as
+    queries and as candidates: also another row of the query's id, and an equal one,
+    can be found. Vectors of different sizes never meet; equal scores go to the smaller
+    id; other columns are ignored; empty tables give an empty result. With fewer than
+    ``k`` candidates all are returned.
     """
-    rows = usable(embeddings).withColumn("space", F.size("v"))
+    rows = saved(_distinct(embeddings), "ann-rows")
     counts = {r["space"]: r["count"] for r in rows.groupBy("space").count().collect()}
     shards = {d: max(1, -(-n // shard)) for d, n in counts.items()} or {0: 1}
     number = F.create_map(*[F.lit(x) for pair in sorted(shards.items()) for x in pair])[
         F.col("space")]
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), number).cast("int"))
-    index = saved(dealt.groupBy("space", "shard").applyInArrow(
-        _index, "space int, shard int, ids binary, vectors binary, vertex binary, "
-                "graph binary, starts binary"), "ann-index")
-    asked = (usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-             .withColumn("space", F.size("v"))
-             .withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.greatest(
-                 F.lit(1), F.ceil(F.lit(sum(counts.values())) / F.lit(50 * QUERY_BLOCK))))
-                 .cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), number).cast("int"))
+    # a task for each shard: adaptive execution would join their small inputs
+    index = saved(dealt.repartition(sum(shards.values()), "space", "shard")
+                  .groupBy("space", "shard").applyInArrow(
+        _index, "space int, shard int, ids binary, vectors binary, copies binary, "
+                "vertex binary, graph binary, starts binary"), "ann-index")
+    blocks_of = F.greatest(F.lit(1), F.ceil(F.lit(sum(counts.values()))
+                                            / F.lit(50 * QUERY_BLOCK)))
+    numbered = saved(_distinct(queries).withColumn("q", F.monotonically_increasing_id()),
+                     "ann-queries")
+    asked = (numbered.drop("copies")
+             .withColumn("block", F.pmod(F.xxhash64("q", F.lit(3)), blocks_of).cast("int"))
              .withColumn("shard", F.explode(F.sequence(F.lit(0), number - 1))))
     blocks = asked.select("space", "block").distinct()
-    target = index.join(blocks, "space").toDF("i_space", "i_shard", "ids", "vectors", "vertex",
-                                              "graph", "starts", "i_block")
+    target = index.join(blocks, "space").toDF("i_space", "i_shard", "ids", "vectors", "copies",
+                                              "vertex", "graph", "starts", "i_block")
     found = (target.groupBy("i_space", "i_shard", "i_block").cogroup(
         asked.groupBy("space", "shard", "block"))
         .applyInArrow(lambda key, a, b: _search(key, a, b, k, beam),
-                      "query_id bigint, vec_id bigint, score double"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+                      "q bigint, vec_id bigint, score double"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    ranked = (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+              .join(numbered.select("q", F.col("vec_id").alias("query_id"), "copies"), "q"))
+    # equal query rows have equal answers
+    return ranked.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+        "query_id", "rank", "vec_id", "score")

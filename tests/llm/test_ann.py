@@ -50,7 +50,9 @@ def test_ties_copies_and_unusable_rows(spark):
                       data.filter("vec_id in (0, 50, 100, 200)")).collect()
     mine = {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
             for q in (0, 50, 100, 200)}
-    assert mine[0] == [100, 101, 102, 103, 104] and mine[100] == [0, 101, 102, 103, 104]
+    # 100 stands twice: it is found twice, asks twice, and each of the two finds the other
+    assert mine[0] == [100, 100, 101, 102, 103]
+    assert mine[100] == [0, 0, 100, 100, 101, 101, 102, 102, 103, 103]
     assert mine[50] == [] and mine[200] == []
 
 
@@ -66,3 +68,35 @@ def test_pruning_keeps_diverse_neighbours():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     kept = ann.robust_prune(x, np.array([0]), np.array([[1, 2, 3]]), 2, 1.2)[0]
     assert kept.tolist() == [1, 3]
+
+
+def _lists(got):
+    out = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 3)))
+    return out
+
+
+def test_rows_that_share_an_id_are_candidates(spark):
+    data = table(spark, [(0, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [0.0, 1.0]), (8, [.5, .5])])
+    got = ann.nearest(data, data.filter("vec_id = 0")).collect()
+    assert _lists(got) == {0: [(7, 1.0), (8, 0.707), (7, 0.0)]}
+
+
+def test_extreme_magnitudes(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [0.0, 5e-324]),
+            (4, [-1.7e308, 0.0])]
+    data = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ann.nearest(data, data.filter("vec_id = 0")).collect()
+    found = _lists(got)[0]
+    assert sorted(found[:2]) == [(1, 0.707), (2, 0.707)] and found[2:] == [(3, 0.0), (4, -1.0)]
+
+
+def test_recall_over_many_shards(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(16).astype(np.float32).tolist()) for i in range(1200)]
+    data = table(spark, rows)
+    got = _lists(ann.nearest(data, data.filter(F.col("vec_id") % 50 == 0), shard=20).collect())
+    want = brute(rows, range(0, 1200, 50))
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in best}) for q, best in want.items())
+    assert hits / (5 * len(want)) >= 0.9

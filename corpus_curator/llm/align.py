@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import saved
+from .tables import saved, tidy
 
 #: Bytes of a byte range, of a block of short texts, and ranges composed at once.
 CHUNK = 256 << 10
@@ -455,7 +455,7 @@ def _long_blocks(docs: DataFrame, sides: Pairs, size: int, fan: int) -> DataFram
                 yield _rows(_fragment(*(c[r].as_py() for c in batch.columns), encoder), schema)
 
     tables = [saved(ranges.select("row", "no", "lo", "hi", "start", "part")
-                    .repartition("row", "no").mapInArrow(fragments, PIECE), "align-fragments")]
+                    .repartition("row", "no").mapInArrow(tidy(fragments), PIECE), "align-fragments")]
 
     def reduced(table: pa.Table) -> pa.Table:
         width = len(sides()[1].token)
@@ -552,7 +552,7 @@ def align(docs: DataFrame, sides: Pairs, chunk: int = CHUNK, block: int = BLOCK,
         for n, (ids, texts) in enumerate(_texts_of(batches, block)):
             yield _rows([_short_block((part << 32) + n, ids, texts, encoder)], block_schema)
 
-    held = saved(docs.filter(~large).mapInArrow(blocks, schema), "align-blocks").unionByName(
+    held = saved(docs.filter(~large).mapInArrow(tidy(blocks), schema), "align-blocks").unionByName(
         saved(_long_blocks(docs.filter(large), sides, chunk, fan), "align-long"))
     wanted = held.select("block", F.explode(F.arrays_zip("keys", "held")).alias("p")).select(
         "block", F.col("p.keys").alias("key"), F.col("p.held").alias("held"))

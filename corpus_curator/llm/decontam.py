@@ -17,17 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import (WORD_BYTES, bloom, bloom_bits, bloom_hits, numbered, saved, shingle_hashes,
-                     slices, text_bytes, word_hashes)
+from .tables import (WordHashes, WORD_BYTES, bloom, bloom_bits, bloom_hits, numbered, saved, shingle_hashes, slices, text_bytes, tidy)
 
 SHINGLE = 5
 #: A document contains an item when it has this share of the item's shingles.
 CONTAINMENT_PERCENT = 80
 
 
-def _shingles(text: bytes, width: int) -> np.ndarray:
+def _shingles(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
     words = text.translate(WORD_BYTES).split()
-    return shingle_hashes(word_hashes(words), width) if len(words) >= width else np.empty(
+    return shingle_hashes(hashes(words), width) if len(words) >= width else np.empty(
         0, np.uint64)
 
 
@@ -42,12 +41,13 @@ def item_shingles(benchmark: DataFrame, percent: int = CONTAINMENT_PERCENT) -> D
     fewer than five words is one shingle of that width. Items with the same id
     stay apart by ``item`` (their own hash)."""
     def run(batches):
+        hashes = WordHashes()
         for ids, texts in slices(batches):
             rows = []
             for item, text in zip(ids, texts):
                 width = min(SHINGLE, len(text.translate(WORD_BYTES).split()))
                 if width:
-                    s = np.unique(_shingles(text, width))  # hashes: their order is random
+                    s = np.unique(_shingles(text, width, hashes))  # hashes: their order is random
                     rows.append((item, width, s.view(np.int64).tolist(),
                                  s[:sketch_size(len(s), percent)].view(np.int64).tolist()))
             if rows:
@@ -79,11 +79,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame,
     shared = docs.sparkSession.sparkContext.broadcast(bloom(probes, bits))
 
     def probe(batches):
-        known = shared.value
+        known, hashes = shared.value, WordHashes()
         for rows, ids, texts in slices(batches):
             out = []
             for row, doc_id, text in zip(rows, ids, texts):
-                hits = [s[bloom_hits(known, s)] for s in (_shingles(text, w) for w in widths)]
+                hits = [s[bloom_hits(known, s)] for s in (_shingles(text, w, hashes) for w in widths)]
                 hits = np.unique(np.concatenate(hits)) if hits else ()
                 if len(hits):
                     out.append((row, doc_id, hits.view(np.int64).tolist()))
@@ -96,7 +96,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame,
     found = saved(docs.select((F.col(number) if number else F.monotonically_increasing_id())
                               .alias("row"), "doc_id",
                               text_bytes())
-                  .mapInArrow(probe, "row bigint, doc_id bigint, hits array<bigint>"),
+                  .mapInArrow(tidy(probe), "row bigint, doc_id bigint, hits array<bigint>"),
                   "bench-hits")
     sketches = items.select("item", F.explode("sketch").alias("hash"))
     pairs = (found.select("row", F.explode("hits").alias("hash")).join(sketches, "hash")

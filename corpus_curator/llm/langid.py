@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import remainder
+from .tables import remainder, tidy
 
 #: Rows the field is fitted on: about this many per language (whole texts), at most MAX_WORDS words.
 SAMPLE_PER_LANGUAGE = 200
@@ -259,10 +259,11 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Field:
                 sorted(picked.collect(), key=lambda r: (r["doc_id"], r["text"]))])
 
 
-def predict(docs: DataFrame, field: Field, carry: bool = False) -> DataFrame:
+def predict(docs: DataFrame, field: Field, carry: bool = False, prefix: str = "") -> DataFrame:
     """One row per document: ``doc_id, lang_pred, score, switches, n_words``; with
     ``carry`` all columns of ``docs`` instead of ``doc_id`` (of those that have a
-    name of the result, the document's).
+    name of the result, the document's). ``prefix`` is put before the names of the
+    result, where they would clash.
 
     ``score`` is the share of the posterior mass of all words (those with a
     letter) on the predicted language; ``switches`` counts changes of label
@@ -317,9 +318,10 @@ def predict(docs: DataFrame, field: Field, carry: bool = False) -> DataFrame:
                 columns = batch.slice(at, SLICE).columns
                 yield flush(columns[:len(names)], columns[place].to_pylist())
 
-    found = rows.mapInArrow(run, schema)
+    found = rows.mapInArrow(tidy(run), schema)
     return found.select(*[F.col(f"c_{c}").alias(c) for c in names],
-                        *[c for c in own.names if c not in names])
+                        *[F.col(c).alias(prefix + c) for c in own.names
+                          if prefix + c not in names])
 
 
 def identify(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import mix64, text_bytes, word_hashes
+from .tables import WordHashes, mix64, text_bytes
 
 ORDER = 3
 BACKOFF = 0.4
@@ -38,7 +38,7 @@ def gram_hashes(texts: list[bytes], order: int, bits: int) -> tuple[np.ndarray,
     each order that ends in a word; 0 where the text begins too late for it."""
     split = [t.lower().split() for t in texts]
     sizes = np.array([len(w) for w in split], dtype=np.int64)
-    words = word_hashes([w for ws in split for w in ws])
+    words = WordHashes()([w for ws in split for w in ws])
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = np.zeros((order, len(words)), np.uint64)
     chain = np.zeros(len(words), np.uint64)

@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .tables import block_pairs, mix64, saved, shingle_hashes, slices, text_bytes, word_hashes
+from .tables import (WordHashes, block_pairs, mix64, saved, shingle_hashes, slices, text_bytes,
+                     tidy)
 
 SHINGLE = 5
 #: Link when PERCENT * union <= 100 * intersection.
@@ -98,9 +99,9 @@ def estimate(one: np.ndarray, many: np.ndarray, n_one: int, n_many: np.ndarray):
     return (same - chance) / np.maximum(filled, 1), filled
 
 
-def _sketch(texts: list[bytes]):
+def _sketch(texts: list[bytes], hashes: WordHashes):
     for text in texts:
-        yield np.unique(shingle_hashes(word_hashes(text.lower().split()), SHINGLE))
+        yield np.unique(shingle_hashes(hashes(text.lower().split()), SHINGLE))
 
 
 def _node(shingles: np.ndarray) -> bytes:
@@ -114,8 +115,9 @@ def sketches(docs: DataFrame, row: str | None = None) -> DataFrame:
     names = ["doc_id", row] if row else ["doc_id"]
 
     def run(batches):
+        hashes = WordHashes()
         for *ids, texts in slices(batches):
-            sets = list(_sketch(texts))
+            sets = list(_sketch(texts, hashes))
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(c, pa.int64()) for c in ids],
                  pa.array([len(s) for s in sets], pa.int64()),
@@ -124,7 +126,7 @@ def sketches(docs: DataFrame, row: str | None = None) -> DataFrame:
                 names=[*names, "n_shingles", "node", "regs"])
 
     return docs.select(*names, text_bytes()).mapInArrow(
-        run, ", ".join(f"{c} bigint" for c in names)
+        tidy(run), ", ".join(f"{c} bigint" for c in names)
         + ", n_shingles bigint, node binary, regs binary")
 
 
@@ -246,7 +248,7 @@ def link(docs: DataFrame, percent: int = PERCENT, band_block: int = BAND_BLOCK,
                 [pa.array(key[which].view(np.int64)),
                  pa.array(nodes, pa.binary()).take(pa.array(which[0]))], names=["key", "node"])
 
-    bands = classes.select("node", "regs").mapInArrow(keys, "key bigint, node binary")
+    bands = classes.select("node", "regs").mapInArrow(tidy(keys), "key bigint, node binary")
     # bands with the same members (most bands of a small group) are looked at once
     shared = (bands.groupBy("key").agg(F.count("*").alias("n_members"),
                                        F.bit_xor(F.xxhash64("node")).alias("x"),
@@ -266,8 +268,9 @@ def link(docs: DataFrame, percent: int = PERCENT, band_block: int = BAND_BLOCK,
     wanted = sized.join(classes.select("node", "rep"), "node")
 
     def sets(batches):
+        hashes = WordHashes()
         for ids, texts in slices(batches, 256):
-            found = list(_sketch(texts))
+            found = list(_sketch(texts, hashes))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_node(s) for s in found], pa.binary()),
                  pa.array([s.tobytes() for s in found], pa.binary())],
@@ -276,7 +279,7 @@ def link(docs: DataFrame, percent: int = PERCENT, band_block: int = BAND_BLOCK,
     key = row or "doc_id"
     reps = wanted.select((F.col("rep")[row] if row else F.col("rep")).alias(key)).distinct()
     full = (docs.select(key, text_bytes()).join(reps, key, "left_semi")
-            .mapInArrow(sets, "node binary, shingles binary").dropDuplicates(["node"]))
+            .mapInArrow(tidy(sets), "node binary, shingles binary").dropDuplicates(["node"]))
     pairs = block_pairs(wanted, "component", "node", exact_block)
     proven = saved(pairs.join(full, "node").select("pair", "side", "node", "shingles")
                    .groupBy("pair").applyInArrow(_confirmed(percent), "a binary, b binary")

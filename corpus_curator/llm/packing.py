@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import Memo, saved, slices
+from .tables import Memo, saved, slices, tidy
 
 SEQUENCE = 4096
 END_ID = 1
@@ -114,7 +114,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) ->
                     pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "part"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECE_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), PIECE_SCHEMA)
 
 
 def _best_pattern(value: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:

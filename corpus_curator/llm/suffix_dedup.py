@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import mix64, saved, slices, text_bytes
+from .tables import mix64, saved, slices, text_bytes, tidy
 
 LENGTH = 200
 GRAM = 96
@@ -267,9 +267,11 @@ def _cut(text: bytes, spans: list[tuple[int, int, bytes | None]]) -> tuple[bytes
 
 
 def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (),
-                   with_text: bool = False) -> DataFrame:
+                   with_text: bool = False, prefix: str = "") -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``,
     the columns named in ``carry`` and, with ``with_text``, ``kept`` (bytes left).
+    ``prefix`` is put before the names of the result (not ``doc_id``, not carried ones),
+    where they would clash.
 
     A byte goes if it lies in a string of 200 bytes that also starts elsewhere in
     the same or another document, as judged on the input. Null text counts as
@@ -279,7 +281,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (),
     """
     spark = docs.sparkSession
     grams = saved(docs.select(text_bytes()).mapInArrow(
-        _counts, "gram bigint, n bigint, low bigint, high bigint")
+        tidy(_counts), "gram bigint, n bigint, low bigint, high bigint")
         .groupBy("gram").agg(F.sum("n").alias("n"), F.min("low").alias("low"),
                              F.max("high").alias("high")).filter("n > 1")
         .select("gram", (F.col("low") == F.col("high")).alias("same")), "repeat-grams")
@@ -342,7 +344,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (),
     marked = saved(docs.select(*[F.col(c).alias(f"c_{c}") for c in carry],
                                F.monotonically_increasing_id().alias("row"),
                                F.col("doc_id").cast("bigint"), text_bytes())
-                   .mapInArrow(collect, schema), "repeat-runs")
+                   .mapInArrow(tidy(collect), schema), "repeat-runs")
 
     runs = marked.filter("hit").select("row", F.inline("runs"))
     contexts = saved(runs.groupBy("gram", "context").agg(
@@ -427,7 +429,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (),
         *names, "doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"),
         F.lit(0).cast("bigint").alias("n_spans"), F.col("sha").alias("kept_sha256"),
         F.col("text").alias("kept"))
-    out = touched.mapInArrow(cut, final).unionByName(rest)
+    out = touched.mapInArrow(tidy(cut), final).unionByName(rest)
     named = [F.col(n).alias(c) for n, c in zip(names, carry) if c != "doc_id"]
-    return out.select("doc_id", *named, "n_bytes", "n_removed", "n_spans", "kept_sha256",
-                      *(["kept"] if with_text else []))
+    result = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
+    return out.select("doc_id", *named, *[F.col(c).alias(prefix + c) for c in result])

@@ -33,14 +33,43 @@ def numbered(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return saved(df.withColumn(row, F.monotonically_increasing_id()), name), row
 
 
+#: About so many bytes of a batch become Python objects at once.
+SLICE_BYTES = 4 << 20
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[list[list]]:
-    """Column lists of at most ``size`` rows of each batch."""
+    """Column lists of at most ``size`` rows, and about ``SLICE_BYTES``, of each batch."""
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
+        rows = batch.num_rows
+        step = max(1, min(size, rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, rows, step):
+            part = batch.slice(at, step)
             yield [column.to_pylist() for column in part.columns]
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; what it held is given back to the system at the end of
+    the task, because Python workers live on from stage to stage."""
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return tidied
+
+
+def _release() -> None:
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 def text_bytes(column: str = "text"):
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias(column)
@@ -75,16 +104,15 @@ class Memo(dict):
         return value
 
 
-_WORDS: Memo | None = None
+class WordHashes:
+    """64-bit hash of every word, with a memo that lives as long as its owner (a task)."""
 
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hash of every word."""
-    global _WORDS
-    if _WORDS is None:
+    def __init__(self, limit: int = 150_000):
         import xxhash
-        _WORDS = Memo(xxhash.xxh3_64_intdigest, 150_000)  # stays with the worker
-    return np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+        self.memo = Memo(xxhash.xxh3_64_intdigest, limit)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.memo.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:

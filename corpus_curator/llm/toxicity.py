@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Memo, remainder, slices
+from .tables import Memo, remainder, slices, tidy
 
 #: Labelled rows the classifier is fitted on: about so many toxic and clean ones.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 6000
@@ -77,7 +77,7 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])],
                                          names=["trigram", "n"])
 
-    found = docs.select("text").mapInArrow(run, "trigram bigint, n bigint")
+    found = docs.select("text").mapInArrow(tidy(run), "trigram bigint, n bigint")
     out = np.zeros(V ** 3)
     for r in found.groupBy("trigram").agg(F.sum("n").alias("n")).collect():  # at most V cubed
         out[r["trigram"]] = r["n"]
@@ -391,7 +391,7 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC,
 
     # the sample is bounded by its two parameters, so is its broadcast
     rows = (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-            .select("y", "text").mapInArrow(run, "y int, features binary").collect())
+            .select("y", "text").mapInArrow(tidy(run), "y int, features binary").collect())
     numbers, weights, bias = fit([(r["y"], np.frombuffer(r["features"], np.uint32))
                                   for r in rows])
     if len(weights):
@@ -419,4 +419,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                  pa.array([model.score(reader.features(t or "")) for t in texts], pa.float64())],
                 names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id bigint, score double")

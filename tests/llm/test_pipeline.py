@@ -95,3 +95,27 @@ def test_near_stage_threshold_is_eighty_percent(spark):
         assert sorted(p for band in places for p in band) == list(range(near_dup.REGISTERS))
         assert math.prod(1 - (percent / 100) ** len(band) for band in places) <= near_dup.MISS
     assert len(near_dup.layout(85)) == 42
+
+
+def test_stages_with_clashing_columns_and_without_rows(spark, tmp_path):
+    import corpus_pipeline as pipeline
+    from pyspark.sql import functions as F
+
+    rows = [(i, " ".join(words(90, 500 + i, 9000))) for i in range(12)]
+    rows.append((20, rows[3][1]))
+    spark.createDataFrame([(1, " ".join(words(20, 77, 9000)))], "item_id bigint, text string"
+                          ).write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ("score", "lang_pred", "switches", "n_words", "kept", "n_bytes", "n_removed", "n_spans",
+             "kept_sha256", "row_number", "row", "hit", "stage_kept", "STAGE__x", "component_id")
+    for n, given in enumerate((rows, [])):
+        now = docs(spark, given)
+        for name in names:
+            now = now.withColumn(name, F.lit("0"))
+        columns = now.columns
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            path = str(tmp_path / f"{n}-{k}")
+            now = stage(spark, now, str(tmp_path))
+            assert k == 4 or now.columns == columns
+            now.write.parquet(path)
+            now = spark.read.parquet(path)
+        assert sorted(r.doc_id for r in now.collect()) == [i for i, _ in given[:12]]

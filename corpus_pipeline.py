@@ -20,12 +20,22 @@ MIN_LANGUAGE_SCORE = 0.5
 NEAR_PERCENT = 80
 
 
+def unused(docs: DataFrame) -> str:
+    """A prefix of result columns that no column of ``docs`` has."""
+    prefix = "stage_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised. Texts without a letter go, and
     those in which no language holds half of the words' posterior. The field is
     learnt from the documents at hand."""
-    found = langid.predict(docs, langid.learn(docs), carry=True)
-    keep = (F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)
+    own = unused(docs)
+    found = langid.predict(docs, langid.learn(docs), carry=True, prefix=own)
+    keep = ((F.col(f"{own}lang_pred") != "und")
+            & (F.col(f"{own}score") >= MIN_LANGUAGE_SCORE))
     return found.filter(keep).select(*docs.columns)
 
 
@@ -43,13 +53,14 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that repeat. What is left of a character
     that was cut in two is dropped; ``n_chars`` counts the text that stays."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = suffix_dedup.remove_repeats(docs, carry=carry, with_text=True)
+    own = unused(docs)
+    found = suffix_dedup.remove_repeats(docs, carry=carry, with_text=True, prefix=own)
 
     @F.pandas_udf("string")
     def decoded(kept):
         return kept.map(lambda b: b.decode("utf-8", "ignore"))
 
-    out = found.withColumn("text", decoded("kept")).withColumn("n_chars", F.length("text").cast(
+    out = found.withColumn("text", decoded(f"{own}kept")).withColumn("n_chars", F.length("text").cast(
         docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 

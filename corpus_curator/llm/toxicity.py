@@ -22,8 +22,6 @@ from .tables import Memo, remainder, slices, tidy
 
 #: Labelled rows the classifier is fitted on: about so many toxic and clean ones.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 6000
-#: Features kept, by strength of evidence.
-MAX_FEATURES = 30_000
 STEPS = 300
 LASSO = 3e-4
 
@@ -57,9 +55,14 @@ _EDGE = ".,;:!?\"'()[]{}<>…*#%&~^=/\\"
 _PUNCTUATION = "".join(x for x in _EDGE if x not in LEET and x not in HIDDEN)
 
 
+_CODES = {chr(o): int(_CODE[o]) for o in range(0x180) if chr(o).isalpha()}
+
+
 def _code(ch: str) -> int:
-    o = ord(ch)
-    return int(_CODE[o if o < 0x180 else 0x180]) if ch.isalpha() else 0
+    found = _CODES.get(ch)
+    if found is None:
+        return int(_CODE[0x180]) if ch.isalpha() and ch > "\u017f" else 0
+    return found
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -114,8 +117,8 @@ def forms(token: str) -> set[str]:
 
 def lattice(word: str, masked: bool = True):
     """(letters given, cost) options at every place; a blank given is a word
-    boundary. A string is a letter that stays; None stands for a hiding symbol: any letter (only if ``masked``,
-    else it vanishes)."""
+    boundary. A string is a letter that stays; a number stands for so many hiding
+    symbols: any letters (only if ``masked``, else they vanish)."""
     apart = ("'" in word or "’" in word) and len(re.findall("['’]+", word)) > 1
     at = 0
     while at < len(word):
@@ -124,7 +127,7 @@ def lattice(word: str, masked: bool = True):
             run += 1
         at += run
         if ch in HIDDEN and masked:
-            yield from [None] * run
+            yield run
         elif ch.isalpha():
             yield ch if run == 1 else [(ch, 0.4), (ch * 2, 0.0 if run == 2 else 0.8)]
         elif ch in LEET:
@@ -146,45 +149,137 @@ def lattice(word: str, masked: bool = True):
 MASK, NO_MASK = 1.0, 4.0
 
 
+class Steps:
+    """Hiding symbols after states of given costs: what each state of the last two
+    characters costs then, and the letters that lead there. The costs, less their
+    least, come round after some steps: a long run is a beginning, a round taken many
+    times, and a rest, so it takes little time and memory. States that lag by more than
+    any two characters can make good, and by more than ``decode`` keeps, count alike."""
+
+    def __init__(self, spent: np.ndarray, n: int, cost: np.ndarray):
+        self.cost = cost[:, :, 1:27]
+        begin, rest, seen = [], [], {}
+        lag = 8.0 + 4.0 * float(cost.max())
+        self.parts: list[tuple[list, int]] = [(begin, 1)]
+        while len(begin) < n:
+            spent = self._step(spent, begin)
+            least = spent.min()
+            key = np.minimum(np.round(spent - least, 6), lag).tobytes() if n > 16 else None
+            if key in seen:
+                first, before = seen[key]
+                round_ = begin[first:]
+                times, left = divmod(n - len(begin), len(round_))
+                spent = spent + (least - before) * times
+                for _ in range(left):
+                    spent = self._step(spent, rest)
+                self.parts += [(round_, times), (rest, 1)]
+                break
+            if key:
+                seen[key] = len(begin), least
+        self.spent = spent
+
+    def _step(self, spent: np.ndarray, chosen: list) -> np.ndarray:
+        total = spent[:, :, None] + self.cost
+        least = total.argmin(0)
+        given = np.take_along_axis(total, least[None], 0)[0] + MASK
+        after = spent + NO_MASK
+        better = given < after[:, 1:27]
+        after[:, 1:27] = np.where(better, given, after[:, 1:27])
+        chosen.append((least.astype(np.int8), better))
+        return after
+
+    def letters(self, x: int, y: int) -> tuple[str, tuple[int, int]]:
+        """Letters given on the way to (x, y), and the state it starts from."""
+        out = []
+        for steps, times in reversed(self.parts):
+            for _ in range(times):
+                for least, better in reversed(steps):
+                    if 1 <= y <= 26 and better[x, y - 1]:
+                        out.append(LETTERS[y - 1])
+                        x, y = int(least[x, y - 1]), x
+        return "".join(reversed(out)), (x, y)
+
+
 def tail(a: int, b: int, n: int, cost: np.ndarray, keep: int) -> list[tuple]:
     """(cost, (code, code), letters) of the ``keep`` cheapest ends of a word after
     ``a`` and ``b`` when ``n`` hiding symbols follow."""
     spent = np.full((V, V), np.inf)
     spent[a, b] = 0.0
-    letters = slice(1, 27)
-    steps = []
-    for _ in range(n):
-        total = spent[:, :, None] + cost[:, :, letters]
-        least = total.argmin(0)
-        given = np.take_along_axis(total, least[None], 0)[0] + MASK
-        spent = spent + NO_MASK
-        better = given < spent[:, letters]
-        spent[:, letters] = np.where(better, given, spent[:, letters])
-        steps.append((least, better))
-    ends = spent + cost[:, :, 0]
+    steps = Steps(spent, n, cost)
+    ends = steps.spent + cost[:, :, 0]
     out = []
     for at in np.argsort(ends, axis=None, kind="stable")[:keep]:
-        end = x, y = divmod(int(at), V)
-        if np.isinf(ends[x, y]):
+        end = divmod(int(at), V)
+        if np.isinf(ends[end]):
             break
-        text = ""
-        for least, better in reversed(steps):
-            if 1 <= y <= 26 and better[x, y - 1]:
-                text = LETTERS[y - 1] + text
-                x, y = int(least[x, y - 1]), x
-        out.append((float(ends[end]), end, text))
+        out.append((float(ends[end]), end, steps.letters(*end)[0]))
     return out
 
 
-def decode(word: str, cost: np.ndarray, keep: int = 4, masked: bool = True,
+class _Masked(tuple):
+    """A path that ends in a run of hiding symbols: (steps, state, paths before)."""
+
+
+def _written(path) -> str:
+    letters = []
+    while path:
+        if path.__class__ is _Masked:
+            steps, end, paths = path
+            text, start = steps.letters(*end)
+            letters.append(text)
+            path = paths[start]
+        else:
+            path, given = path
+            letters.append(given)
+    return "".join(reversed(letters))
+
+
+_RUNS = re.compile(r"(.)\1*", re.S)
+
+
+def _decode_letters(word: str, flat: memoryview, keep: int) -> list[str]:
+    """``decode`` of a word of letters, some repeated: nearly always there is one state."""
+    states = [(0.0, 0, 0, "")]
+    for m in _RUNS.finditer(word):
+        ch, run = m[1], m.end() - m.start()
+        z = _code(ch)
+        after = []
+        if run == 1:
+            for spent, a, b, text in states:
+                after.append((spent + flat[(a * V + b) * V + z], b, z, text + ch))
+        else:
+            twice = 0.0 if run == 2 else 0.8
+            for spent, a, b, text in states:
+                one = spent + 0.4 + flat[(a * V + b) * V + z]
+                two = spent + twice + flat[(a * V + b) * V + z] + flat[(b * V + z) * V + z]
+                after += [(one, b, z, text + ch), (two, z, z, text + ch + ch)]
+        if len(after) > 1:
+            best: dict[tuple[int, int], tuple] = {}
+            for state in after:
+                known = best.get(state[1:3])
+                if known is None or state[0] < known[0]:
+                    best[state[1:3]] = state
+            after = list(best.values())
+        states = after
+    ends = sorted((spent + flat[(a * V + b) * V], text) for spent, a, b, text in states)
+    return [text for spent, text in ends[:keep] if spent <= ends[0][0] + 4.0]
+
+
+#: Decodings of a token that give features: the best, and others within 4 of its cost.
+KEEP = 4
+
+
+def decode(word: str, cost: np.ndarray, keep: int = KEEP, masked: bool = True,
            tails: dict | None = None) -> list[str]:
     """Restored forms of a lower-case word, the likeliest first: Viterbi over
     the lattice, a state being the last two characters. Restored words are set
     apart by blanks. ``tails`` remembers what ``tail`` found: hiding symbols at the
     end of a word are restored from the two characters before them."""
+    flat = memoryview(cost.reshape(-1))
+    if word.isalpha() and len(word) <= 200:
+        return _decode_letters(word, flat, keep)
     stem = word.rstrip(HIDDEN) if masked else word
     hidden, word = len(word) - len(stem), stem
-    flat = memoryview(cost.reshape(-1))
     # a path is (path before, letters given): long words cost no copies
     states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}
     for options in lattice(word, masked):
@@ -196,20 +291,32 @@ def decode(word: str, cost: np.ndarray, keep: int = 4, masked: bool = True,
                 best = after.get((b, z))
                 if best is None or spent < best[0]:
                     after[b, z] = (spent, (path, options))
-        elif options is None:
-            ends: dict[int, list] = {}
-            for (a, b), (spent, path) in states.items():
-                after[a, b] = (spent + NO_MASK, path)
-                ends.setdefault(b, []).append((a, spent, path))
-            for b, rows in ends.items():
-                total = cost[[r[0] for r in rows], b, 1:27] + np.array(
-                    [[r[1]] for r in rows]) + MASK
-                least = total.argmin(0).tolist()
-                for z, i in enumerate(least):
-                    spent = float(total[i, z])
-                    best = after.get((b, z + 1))
-                    if best is None or spent < best[0]:
-                        after[b, z + 1] = (spent, (rows[i][2], LETTERS[z]))
+        elif options.__class__ is int and options > 2:
+            spent = np.full((V, V), np.inf)
+            for (a, b), (total, _) in states.items():
+                spent[a, b] = total
+            run = Steps(spent, options, cost)
+            paths = {k: path for k, (_, path) in states.items()}
+            after = {(int(a), int(b)): (float(run.spent[a, b]), _Masked((run, (int(a), int(b)),
+                                                                         paths)))
+                     for a, b in zip(*np.nonzero(np.isfinite(run.spent)))}
+        elif options.__class__ is int:
+            for _ in range(options):
+                after = {}
+                ends: dict[int, list] = {}
+                for (a, b), (spent, path) in states.items():
+                    after[a, b] = (spent + NO_MASK, path)
+                    ends.setdefault(b, []).append((a, spent, path))
+                for b, rows in ends.items():
+                    total = cost[[r[0] for r in rows], b, 1:27] + np.array(
+                        [[r[1]] for r in rows]) + MASK
+                    least = total.argmin(0).tolist()
+                    for z, i in enumerate(least):
+                        spent = float(total[i, z])
+                        best = after.get((b, z + 1))
+                        if best is None or spent < best[0]:
+                            after[b, z + 1] = (spent, (rows[i][2], LETTERS[z]))
+                states = after
         else:
             steps = [(given, (0, 0) if given == " " else [_code(ch) for ch in given], price)
                      for given, price in options]
@@ -241,11 +348,7 @@ def decode(word: str, cost: np.ndarray, keep: int = 4, masked: bool = True,
                 last[end] = (spent + more, (path, given) if given else path)
     ends = []
     for spent, path in sorted(last.values(), key=lambda x: x[0])[:keep + 1]:
-        letters = []
-        while path:
-            path, given = path
-            letters.append(given)
-        text = "".join(reversed(letters)).strip()
+        text = _written(path).strip()
         if text:
             ends.append((spent, text))
     ends.sort()
@@ -256,9 +359,26 @@ def _bucket(name: str) -> int:
     return zlib.crc32(name.encode())
 
 
+_WHOLE, _START = _bucket("w"), _bucket("p")
+
+
 def word_features(word: str) -> set[int]:
-    """The word and its beginnings (inflected forms share them)."""
-    return {_bucket("w" + word)} | {_bucket(f"p{word[:k]}") for k in (4, 5, 6) if len(word) >= k}
+    """The word and its beginnings of 4 to 6 letters (inflected forms share them)."""
+    crc32 = zlib.crc32
+    data = word.encode()
+    n = len(word)
+    if n < 4:
+        return {crc32(data, _WHOLE)}
+    if len(data) == n:
+        parts = data[:4], data[4:5], data[5:6]
+    else:
+        parts = word[:4].encode(), word[4:5].encode(), word[5:6].encode()
+    four = crc32(parts[0], _START)
+    five = crc32(parts[1], four)  # of a shorter word: the same again
+    return {crc32(data, _WHOLE), four, five, crc32(parts[2], five)}
+
+
+_NONE: frozenset = frozenset()
 
 
 class Reader:
@@ -266,6 +386,7 @@ class Reader:
 
     def __init__(self, cost: np.ndarray, known: dict[int, int] | None = None):
         self.cost, self.known = cost, known
+        self.flat = memoryview(cost.reshape(-1))
         self.tokens = Memo(self._token, 200_000)
         self.tails: dict = {}
         self.phrases = Memo(self._phrase, 20_000)
@@ -273,7 +394,8 @@ class Reader:
     def _keep(self, names: set[int]):
         if self.known is None:
             return frozenset(names)
-        return frozenset(self.known[n] for n in names if n in self.known)
+        found = names & self.known.keys() if self.known else ()
+        return frozenset(self.known[n] for n in found) if found else _NONE
 
     def _restored(self, raw: str) -> set[int]:
         texts = decode(raw, self.cost, tails=self.tails)
@@ -283,6 +405,12 @@ class Reader:
 
     def _token(self, token: str):
         low = token.lower()
+        if low.isalpha() and len(low) <= 200:
+            names = word_features(low)
+            if _DOUBLE.search(low):
+                for text in _decode_letters(low, self.flat, KEEP):
+                    names |= word_features(text)
+            return self._keep(names)
         names = {f for w in _WORD.findall(low) for f in word_features(w)}
         for form in forms(low):
             names |= self._restored(form)
@@ -346,7 +474,7 @@ def fit(rows: list[tuple[int, np.ndarray]]):
             df0[known(f)] += 1
     ratio = np.log((df1 + 0.5) / (n1 + 1)) - np.log((df0 + 0.5) / (n0 + 1))
     good = np.flatnonzero(ratio > 1.0)
-    good = good[np.argsort(-(ratio * df1)[good], kind="stable")][:MAX_FEATURES]
+    good = good[np.argsort(-(ratio * df1)[good], kind="stable")]
     number = np.full(len(names), -1, np.int32)
     number[good] = np.arange(len(good))
     columns = [number[known(f)] for _, f in rows]
@@ -378,8 +506,8 @@ def learn(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC,
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = [min(1.0, clean / max(counts.get(0, 0), 1)), min(1.0, toxic / max(counts.get(1, 0), 1))]
     unit = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
-    picked = known.filter(unit < F.when(F.col("y") == 1, share[1]).otherwise(share[0])).limit(
-        2 * (toxic + clean))
+    picked = (known.filter(unit < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * (toxic + clean)))
 
     def run(batches):
         reader = Reader(cost)

@@ -142,3 +142,67 @@ def test_odd_rows(spark):
     assert {r.score for r in quality.score_quality(docs(spark, rows), empty).collect()} == {0.5}
     assert quality.score_quality(docs(spark, []), some).collect() == []
     assert toxicity.score_toxicity(docs(spark, []), some).collect() == []
+
+
+def _enumerated(word, cost):
+    """Cost and restored form of every way through the lattice."""
+    from corpus_curator.llm import toxicity
+    ways = [(0.0, 0, 0, "")]
+    for options in toxicity.lattice(word):
+        after = []
+        if isinstance(options, str):
+            options = [(options, 0.0)]
+        if isinstance(options, int):
+            steps = [[("", toxicity.NO_MASK)] + [(x, toxicity.MASK) for x in toxicity.LETTERS]
+                     ] * options
+        else:
+            steps = [options]
+        for choices in steps:
+            after = []
+            for spent, a, b, text in ways:
+                for given, price in choices:
+                    x, y, total = a, b, spent + price
+                    for z in (0, 0) if given == " " else [toxicity._code(c) for c in given]:
+                        total += float(cost[x, y, z])
+                        x, y = y, z
+                    after.append((total, x, y, text + given))
+            ways = after
+    ends = [(spent + float(cost[a, b, 0]), text.strip()) for spent, a, b, text in ways]
+    return min(e for e in ends if e[1])
+
+
+def test_viterbi_finds_the_cheapest_of_all_ways():
+    from corpus_curator.llm import toxicity
+    rng = np.random.default_rng(8)
+    cost = rng.random((toxicity.V,) * 3).astype(np.float32) * 6
+    for word in ("letter", "aabbcc", "zzz", "h3ll0", "b*d", "i**t", "a.b.c", "@@b", "s  p a", "don't",
+                 "y'o'u", "b*g*d", "ééa", "a1lo|", "x**"):
+        want = _enumerated(word, cost)
+        got = toxicity.decode(word, cost)[0]
+        assert got == want[1], word
+
+
+def test_long_masked_runs():
+    import time
+
+    from corpus_curator.llm import toxicity
+    rng = np.random.default_rng(8)
+    cost = rng.random((toxicity.V,) * 3).astype(np.float32) * 6
+    for n in (20, 400):
+        spent = np.full((toxicity.V,) * 2, np.inf)
+        spent[1, 1] = 0.0
+        for _ in range(n):
+            total = spent[:, :, None] + cost[:, :, 1:27]
+            given = total.min(0) + toxicity.MASK
+            spent = spent + toxicity.NO_MASK
+            spent[:, 1:27] = np.minimum(given, spent[:, 1:27])
+        start = np.full((toxicity.V,) * 2, np.inf)
+        start[1, 1] = 0.0
+        steps = toxicity.Steps(start, n, cost)
+        assert np.allclose(steps.spent[np.isfinite(spent)], spent[np.isfinite(spent)])
+    begun = time.process_time()
+    reader = toxicity.Reader(cost)
+    assert toxicity.decode("a" + "*" * 1_000_000, cost)
+    assert toxicity.decode("a" + "*" * 1_000_000 + "b", cost)
+    assert reader.features("a" + "#" * 100_000 + "b" + "*" * 100_000)
+    assert time.process_time() - begun < 60

@@ -123,7 +123,7 @@ def _signed(a: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches):
-    for (texts,) in slices(batches, 1024):
+    for (texts,) in slices(batches, 256):
         for a, b in _buffers([len(t) for t in texts]):
             found = Anchors(texts[a:b])
             gram, context = _signed(found.gram), _signed(found.context)  # ordered as in Spark
@@ -308,8 +308,10 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (),
     def collect(batches):
         every, some = repeated.value, mixed.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            # about CHUNK bytes at once: they become Python objects and go back with them
+            step = max(1, min(256, batch.num_rows * CHUNK // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 *extra, rows, ids, column = part.columns
                 texts = column.to_pylist()
                 lists: list[list] = [[] for _ in texts]

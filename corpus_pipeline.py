@@ -16,10 +16,21 @@ from corpus_curator.llm.tables import numbered, saved, table
 #: A document whose predicted language holds less of the posterior is rejected.
 MIN_LANGUAGE_SCORE = 0.5
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 #: Documents of this Jaccard similarity (of five-word shingles) are near-duplicates.
 NEAR_PERCENT = 80
 
 
+def steady(spark: SparkSession) -> None:
+    """At most ``BATCH_ROWS`` rows cross to Python at once in this session: whole texts
+    are large, and workers and JVM hold a batch each on both ways."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting)) > BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+
 def unused(docs: DataFrame) -> str:
     """A prefix of result columns that no column of ``docs`` has."""
     prefix = "stage_"
@@ -32,6 +43,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised. Texts without a letter go, and
     those in which no language holds half of the words' posterior. The field is
     learnt from the documents at hand."""
+    steady(spark)
     own = unused(docs)
     found = langid.predict(docs, langid.learn(docs), carry=True, prefix=own)
     keep = ((F.col(f"{own}lang_pred") != "und")
@@ -43,6 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near-duplicates: the one of the smallest id, a null
     id after all others. Rows that repeat an id are documents of their own.
     Documents without a shingle stay."""
+    steady(spark)
     rows, row = numbered(docs, "near-rows")
     found = near_dup.link(rows, percent=NEAR_PERCENT, row=row)
     gone = saved(found.filter(~F.col("kept")).select(row), "near-gone")
@@ -52,6 +65,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that repeat. What is left of a character
     that was cut in two is dropped; ``n_chars`` counts the text that stays."""
+    steady(spark)
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     own = unused(docs)
     found = suffix_dedup.remove_repeats(docs, carry=carry, with_text=True, prefix=own)
@@ -67,11 +81,13 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that contain no benchmark item, whatever their id."""
+    steady(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), by_row=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, packed into sequences."""
+    steady(spark)
     return packing.pack(docs, tokenizer_path())
 
 

@@ -55,3 +55,5 @@ SQL["q_read_taxonomy"] = with_(["taxonomy"], "SELECT first, second, third FROM t
 SQL["q_write_ids"] = BASE["q_weighted_sample"]
 SQL["q_write_scores"] = BASE["q_uniform_scores"]
 SQL["q_annotate_stream"] = OA.SQL["q_annotate_summary"]
+SQL["q_retrieve_bucketed"] = BASE["q_retrieve_by_uuid"].replace(
+    "SELECT s.uuid, c.doc_id, c.source, c.text FROM", "SELECT s.uuid, c.doc_id, md5(c.text) AS text_md5 FROM")

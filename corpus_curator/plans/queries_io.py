@@ -6,6 +6,8 @@ computes the expected rows from the tables directly."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,12 +19,13 @@ from ..functions import replies as RP
 from ..functions.rand import uniform
 from ..operators import bradley_terry as BT
 from ..operators import sampling, shape
+from ..operators.retrieve import retrieve_by_uuid
 from ..session import scratch_path
 from ..sources import derived as D
 from ..sources import readers as RD
 from ..sources import writers as W
 from ..streaming.annotate_stream import annotate_stream, read_annotated
-from .queries import SEED, _rating_weights, r6
+from .queries import SEED, _corpus, _rating_weights, r6
 
 TEXT_SCHEMA = "doc_id long, text string, lang string"
 
@@ -122,6 +125,17 @@ def q_read_md(spark, sf):
     return back.select(F.col("label").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
 
 
+def q_retrieve_bucketed(spark, sf):
+    """A draw joined back to a corpus bucketed by id, which is not shuffled."""
+    path = scratch_path(spark, "bucketed")
+    name = os.path.basename(path).replace("-", "_")
+    W.write_bucketed(_corpus(spark, sf), name, "uuid", buckets=16, path=path)
+    w = _rating_weights(spark, sf)
+    ids = sampling.weighted_sample(w, w.count() // 2, seed=SEED).select("uuid")
+    return retrieve_by_uuid(ids, spark.table(name)).select(
+        "uuid", "doc_id", F.md5("text").alias("text_md5"))
+
+
 def q_assign_instance_id(spark, sf):
     path = scratch_path(spark, "raw") + ".jsonl"
     W.write_records(_raw_records(spark, sf), path)

@@ -6,11 +6,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import MD_SAMPLE_MARKER, SCORE_ALIASES, SCORE_FIELDS
+from ..session import materialize
 from ..operators.shape import normalize_records
 
 CORRUPT = "_corrupt_record"
@@ -92,22 +93,41 @@ def read_md_samples(spark: SparkSession, path: str) -> DataFrame:
     """Markdown files of sample blocks: a line starting with the sample marker
     opens a block (the rest of that line is returned as ``label``); lines are
     stripped and re-joined by newline, the block is stripped, empty blocks are
-    dropped. ``(file, block, label, text)``; one task per file."""
-    marker = MD_SAMPLE_MARKER.replace("-", r"\-")
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), "value")
-    head = f"(?m)^{marker}([^\\n]*)(\\n|$)"
-    blocks = files.select(
-        "file",
-        F.regexp_extract_all("value", F.lit(f"(?m)^{marker}([^\\n]*)"), 1).alias("labels"),
-        F.split("value", head).alias("parts"))
-    # parts[0] is whatever precedes the first marker
-    ex = blocks.select("file", F.posexplode(F.arrays_zip(
-        F.concat(F.array(F.lit(None).cast("string")), "labels").alias("label"),
-        F.col("parts").alias("body"))).alias("block", "z"))
-    lines = F.transform(F.split("z.body", "\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    dropped. ``(file, block, label, text)``; block 0 is what stands before a file's
+    first marker.
+
+    Records are separated by newline plus marker, so that Spark splits inside files:
+    a large file is read by several tasks. Blocks are numbered by their place: rows
+    of a split are counted, and the counts of a file's splits summed up before them."""
+    marker = MD_SAMPLE_MARKER
+    rows = materialize(
+        spark.read.option("lineSep", "\n" + marker).text(path)
+        .select(F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_block_start").alias("start"), "value")
+        .withColumn("row", F.monotonically_increasing_id()))
+    # one row per split; the first record of a file has no separator before it
+    opens = F.col("value").startswith(marker)
+    splits = rows.groupBy("file", "start").agg(
+        F.min("row").alias("first"), F.count(F.lit(1)).alias("n"),
+        F.min_by(opens, F.col("row")).alias("opens"))
+    order = Window.partitionBy("file").orderBy("start")
+    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("before"),
+                           F.first("opens").over(order).alias("opens"))
+    placed = rows.join(splits, ["file", "start"]).withColumn(
+        "at", F.col("row") - F.col("first") + F.col("before"))
+    head, leads = F.col("at") == 0, (F.col("at") == 0) & F.col("opens")
+    body = F.when(leads, F.substring("value", len(marker) + 1, 1 << 30)).otherwise(F.col("value"))
+    cut = F.instr("body", "\n")
+    label = (F.when(head & ~F.col("opens"), F.lit(None).cast("string"))
+             .when(cut == 0, F.col("body")).otherwise(F.expr("left(body, instr(body, '\n') - 1)")))
+    rest = (F.when(head & ~F.col("opens"), F.col("body")).when(cut == 0, F.lit(""))
+            .otherwise(F.expr("substring(body, instr(body, '\n') + 1)")))
+    lines = F.transform(F.split("rest", "\n"), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
     text = F.regexp_replace(F.array_join(lines, "\n"), r"(?U)^\s+|\s+$", "")
-    out = ex.select("file", "block", F.trim("z.label").alias("label"), text.alias("text"))
+    out = (placed.withColumn("body", body).withColumn("label", label).withColumn("rest", rest)
+           .select("file", (F.col("at") + F.col("opens").cast("long")).cast("int").alias("block"),
+                   F.trim("label").alias("label"), text.alias("text")))
     return out.filter(F.length("text") > 0)
 
 

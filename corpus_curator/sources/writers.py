@@ -51,10 +51,10 @@ def preview(df: DataFrame, n: int = 20) -> list:
 
 
 def write_bucketed(df: DataFrame, table: str, key: str = "uuid", buckets: int = 4096,
-                   mode: str = "overwrite") -> None:
+                   mode: str = "overwrite", path: str | None = None) -> None:
     """Save the corpus as a table bucketed and sorted by ``key`` (in the
-    session's warehouse folder). Later joins on ``key`` with the same bucket
+    session's warehouse folder, or under ``path``). Later joins on ``key`` with the same bucket
     count read it without shuffling it, so repeated draws shuffle only their
     ids."""
-    (df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key)
-     .saveAsTable(table))
+    writer = df.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)

@@ -47,3 +47,15 @@ def test_bucketed_corpus_is_not_shuffled(spark):
     # only the id side is exchanged; the bucketed scan feeds the join directly
     assert plan.count("Exchange hashpartitioning") <= 1
     spark.sql("DROP TABLE cc_test_bucketed")
+
+
+def test_registered_bucketed_join_exchanges_only_ids(spark):
+    from corpus_curator.plans.registry import all_queries
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = all_queries()["q_retrieve_bucketed"](spark, "/root/testdata/sf0.001")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    corpus = [p for p in plan.split("Join")[1:] if "bucketed" in p]
+    assert plan.count("Exchange hashpartitioning") <= 1 and "Bucketed: true" in plan and corpus

@@ -97,3 +97,31 @@ def test_cluster_settings_scale_with_input(spark):
     big = cluster_settings(100 << 40, 8000)
     assert int(small["spark.sql.shuffle.partitions"]) == 128
     assert int(big["spark.sql.shuffle.partitions"]) == 200_000  # capped
+
+
+def test_markdown_is_split_inside_files(spark, tmp_path):
+    """One large file and small ones, whole and in many splits: the same blocks."""
+    from corpus_curator.constants import MD_SAMPLE_MARKER as M
+    body = "".join(f"{M} {i}\n  line one of {i} \nline two\n\n" for i in range(3000))
+    files = {"a.md": body, "b.md": "before all\n" + body[:400], "c.md": f"{M}\n{M} 7\nx",
+             "d.md": "", "e.md": "only text", "f.md": f"{M} last"}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    seen = []
+    for size in ("128m", "2000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            rows = RD.read_md_samples(spark, str(tmp_path))
+            seen.append(sorted((r.file.rsplit("/", 1)[1], r.block, r.label, r.text)
+                               for r in rows.collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert seen[0] == seen[1]
+    a = [r for r in seen[0] if r[0] == "a.md"]
+    assert a[0] == ("a.md", 1, "0", "line one of 0\nline two") and len(a) == 3000
+    assert [r[1] for r in a] == list(range(1, 3001))
+    rest = {r[0]: [x[1:] for x in seen[0] if x[0] == r[0]] for r in seen[0] if r[0] > "b.md"}
+    assert rest == {"c.md": [(2, "7", "x")], "e.md": [(0, None, "only text")]}
+    assert [r for r in seen[0] if r[0] == "b.md"][0][1:] == (0, None, "before all")

@@ -57,7 +57,7 @@ class Encoder:
     other chunk goes through the tokenizer whole. Both memos are bounded.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer

@@ -33,7 +33,7 @@ from .tables import mix64, saved, slices, text_bytes, tidy
 LENGTH = 200
 GRAM = 96
 #: Bytes worked on at once in a task.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bits of the Bloom filters for each repeated k-gram, and at most in all.
 BITS_PER_KEY, MAX_BITS = 16, 1 << 29
 #: A k-gram with more distinct contexts than this is split by string.

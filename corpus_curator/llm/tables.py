@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
+#: Bytes of a row group of a written intermediate.
+ROW_GROUP = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,7 +25,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     lineage, survives lost executors and keeps column pruning."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    # a writer holds a row group of every open file in memory
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

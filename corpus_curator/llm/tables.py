@@ -26,7 +26,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     # a writer holds a row group of every open file in memory
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

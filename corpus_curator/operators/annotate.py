@@ -30,7 +30,8 @@ def annotate(df: DataFrame, fn: Callable, prompt_col: str = "prompt", reply_col:
              error_col: str | None = None) -> DataFrame:
     """Add ``reply_col`` = fn(prompt) for every row, or fn(prompt, class) with
     ``class_col`` (for example the prompt's size class, to pick a model by).
-    ``error_col`` keeps the text of the exception of a failed call. ``fn`` maps one prompt to
+    ``error_col`` keeps the text of the exception of a failed call (and of the
+    batch's, if that failed first). ``fn`` maps one prompt to
     one reply, or with ``vectorized=True`` a pandas Series of prompts to a
     Series of replies. Null prompts get a null reply.
 
@@ -61,9 +62,11 @@ def annotate(df: DataFrame, fn: Callable, prompt_col: str = "prompt", reply_col:
                 out = list(fn(*columns))
                 if len(out) == len(columns[0]):
                     return [(None if r is None else str(r), None) for r in out]
-            except Exception:
-                pass
-            # the batch call failed or answered a different number of prompts
+                wrong = f"{len(out)} replies for {len(columns[0])} prompts"
+            except Exception as e:
+                wrong = f"{type(e).__name__}: {e}"
+            # prompt by prompt; a prompt that fails again keeps what was wrong with the batch
+            return [(r, e and f"{e}; batch: {wrong}") for r, e in map(one, zip(*columns))]
         elif threads > 1:
             from concurrent.futures import ThreadPoolExecutor
             with ThreadPoolExecutor(max_workers=threads) as pool:

@@ -4,9 +4,9 @@ per item, degrees, pair texts, resume.
 Items are numbered 0..n-1 by a distributed dense index; a pair draws its first
 ordinal and its partner's offset from md5 variates of (pair id, seed), so the
 set of pairs is the same on any cluster. The top-up computes every item's
-deficit at once from the degree table and explodes that many extra pairs per
-item (the sequential reference shrinks a partner's deficit as it goes; the
-guarantee, every item has at least ``compare`` comparisons, is the same).
+deficit at once from the degree table and makes one stub per missing
+comparison; the stubs are shuffled and neighbours are paired, so that an extra
+pair serves two items.
 """
 
 from __future__ import annotations
@@ -76,26 +76,43 @@ def pair_budget(ids: DataFrame, n_pairs: int, compare: int) -> DataFrame:
 def balanced_pairs(ids: DataFrame, n_pairs: int, compare: int, seed: int | str = 0,
                    id_col: str = "id") -> DataFrame:
     """Random pairs topped up so that every id has at least ``compare``
-    comparisons. Adds ``added`` (false for the first ``n_pairs``)."""
+    comparisons. Adds ``added`` (false for the first ``n_pairs``).
+
+    The missing comparisons of all ids, in random order, are paired two by two. Where
+    both are of one id, or the last one is left over, each gets a random other id
+    instead: at most half of what is missing plus one pair for each such redraw."""
     idx, n = indexed_items(ids, id_col)
     check_pair_budget(n, n_pairs, compare)
     idx = materialize(idx)  # read six times below
     base = random_pairs(ids, n_pairs, seed, id_col, indexed=(idx, n))
     deg = pair_degrees(base)
-    need = (idx.join(deg.withColumnRenamed("id", id_col), id_col, "left")
-            .withColumn("_deficit", F.greatest(F.lit(compare) - F.coalesce(F.col("degree"), F.lit(0)),
-                                                F.lit(0)))
-            .filter(F.col("_deficit") > 0)
-            .select(F.col(id_col).alias("_self"), F.col("idx").alias("_si"),
-                    F.explode(F.sequence(F.lit(1), F.col("_deficit").cast("int"))).alias("_k")))
-    draw = F.concat(F.col("_self").cast("string"), F.lit(":"), F.col("_k").cast("string"))
-    extra = (need.withColumn("_pi", _partner(F.col("_si"), uniform(draw, f"{seed}:p"), n))
-             .withColumn("_flip", uniform(draw, f"{seed}:o") < 0.5))
-    extra = global_rank(extra, ["_self", "_k"], name="_r", start=0)
-    extra = extra.select(
-        (F.col("_r") + F.lit(n_pairs)).alias("pair_id"),
-        F.when(F.col("_flip"), F.col("_pi")).otherwise(F.col("_si")).alias("_i1"),
-        F.when(F.col("_flip"), F.col("_si")).otherwise(F.col("_pi")).alias("_i2"))
+    stubs = (idx.join(deg.withColumnRenamed("id", id_col), id_col, "left")
+             .withColumn("_deficit", F.greatest(F.lit(compare) - F.coalesce(F.col("degree"), F.lit(0)),
+                                                 F.lit(0)))
+             .filter(F.col("_deficit") > 0)
+             .select(F.col(id_col).alias("_self"), F.col("idx").alias("_si"),
+                     F.explode(F.sequence(F.lit(1), F.col("_deficit").cast("int"))).alias("_k")))
+    stub = F.concat(F.col("_self").cast("string"), F.lit(":"), F.col("_k").cast("string"))
+    stubs = global_rank(stubs.withColumn("_u", uniform(stub, f"{seed}:s")), ["_u", "_self", "_k"],
+                        name="_r", start=0)
+    slots = stubs.groupBy(F.floor(F.col("_r") / 2).alias("_slot")).agg(
+        F.min_by("_si", "_r").alias("_a"), F.max_by("_si", "_r").alias("_b"),
+        F.count(F.lit(1)).alias("_n"))
+
+    def redrawn(end: str, place: int):
+        draw = F.concat(F.col("_slot").cast("string"), F.lit(f":{place}"))
+        other = _partner(F.col(end), uniform(draw, f"{seed}:p"), n)
+        flip = uniform(draw, f"{seed}:o") < 0.5
+        return F.struct(F.lit(place).alias("_j"),
+                        F.when(flip, other).otherwise(F.col(end)).alias("_i1"),
+                        F.when(flip, F.col(end)).otherwise(other).alias("_i2"))
+
+    matched = F.struct(F.lit(0).alias("_j"), F.col("_a").alias("_i1"), F.col("_b").alias("_i2"))
+    made = (F.when(F.col("_n") == 1, F.array(redrawn("_a", 0)))
+            .when(F.col("_a") == F.col("_b"), F.array(redrawn("_a", 0), redrawn("_b", 1)))
+            .otherwise(F.array(matched)))
+    extra = global_rank(slots.select("_slot", F.inline(made)), ["_slot", "_j"], name="_r", start=0)
+    extra = extra.select((F.col("_r") + F.lit(n_pairs)).alias("pair_id"), "_i1", "_i2")
     extra = _to_ids(extra, idx, id_col).select("pair_id", "id_1", "id_2")
     return (base.withColumn("added", F.lit(False))
             .unionByName(extra.withColumn("added", F.lit(True))))

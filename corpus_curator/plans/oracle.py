@@ -265,16 +265,21 @@ cte("deg0", "SELECT id, count(*) AS degree FROM (SELECT id_1 AS id FROM base UNI
 cte("need", "SELECT self, si, deficit FROM (SELECT i.id AS self, i.idx AS si, "
     f"greatest({PAIR_COMPARE} - coalesce(d.degree, 0), 0) AS deficit FROM ids i "
     "LEFT JOIN deg0 d ON d.id = i.id) WHERE deficit > 0", ["ids", "deg0"])
-cte("extra0", "SELECT self, si, k, "
-    f"(si + 1 + CAST(floor({U('draw', f'{S}:p')} * (n - 1)) AS BIGINT)) % n AS pi, "
-    f"{U('draw', f'{S}:o')} < 0.5 AS flip FROM (SELECT self, si, k, "
-    "CAST(self AS VARCHAR) || ':' || CAST(k AS VARCHAR) AS draw FROM "
-    "(SELECT self, si, unnest(range(1, deficit + 1)) AS k FROM need)) x, nn", ["need", "nn"])
+cte("slots", "SELECT r // 2 AS slot, arg_min(si, r) AS a, arg_max(si, r) AS b, count(*) AS c FROM "
+    f"(SELECT si, row_number() OVER (ORDER BY {U('draw', f'{S}:s')}, self, k) - 1 AS r FROM "
+    "(SELECT self, si, k, CAST(self AS VARCHAR) || ':' || CAST(k AS VARCHAR) AS draw FROM "
+    "(SELECT self, si, unnest(range(1, deficit + 1)) AS k FROM need))) GROUP BY r // 2", ["need"])
+cte("redrawn", "SELECT slot, j, a, "
+    f"(a + 1 + CAST(floor({U('draw', f'{S}:p')} * (n - 1)) AS BIGINT)) % n AS b, "
+    f"{U('draw', f'{S}:o')} < 0.5 AS flip FROM (SELECT *, "
+    "CAST(slot AS VARCHAR) || ':' || CAST(j AS VARCHAR) AS draw FROM (SELECT slot, a, "
+    "unnest(range(c)) AS j FROM slots WHERE c = 1 OR a = b)) x, nn", ["slots", "nn"])
 cte("extra", "SELECT e.pair_id, i1.id AS id_1, i2.id AS id_2 FROM (SELECT "
-    f"(SELECT {PPD} * n FROM nn) + row_number() OVER (ORDER BY self, k) - 1 AS pair_id, "
-    "CASE WHEN flip THEN pi ELSE si END AS x1, CASE WHEN flip THEN si ELSE pi END AS x2 "
-    "FROM extra0) e JOIN ids i1 ON i1.idx = e.x1 JOIN ids i2 ON i2.idx = e.x2",
-    ["extra0", "ids", "nn"])
+    f"(SELECT {PPD} * n FROM nn) + row_number() OVER (ORDER BY slot, j) - 1 AS pair_id, x1, x2 "
+    "FROM (SELECT slot, 0 AS j, a AS x1, b AS x2 FROM slots WHERE c = 2 AND a <> b UNION ALL "
+    "SELECT slot, j, CASE WHEN flip THEN b ELSE a END, CASE WHEN flip THEN a ELSE b END "
+    "FROM redrawn)) e JOIN ids i1 ON i1.idx = e.x1 JOIN ids i2 ON i2.idx = e.x2",
+    ["slots", "redrawn", "ids", "nn"])
 cte("pairs", "SELECT pair_id, id_1, id_2, false AS added FROM base UNION ALL "
     "SELECT pair_id, id_1, id_2, true AS added FROM extra", ["base", "extra"])
 NL = "chr(10)"
@@ -337,7 +342,7 @@ SQL["q_check_pairs"] = with_(["pairs"], "SELECT (SELECT count(*) FROM pairs) AS
                              "(SELECT DISTINCT id FROM (SELECT id_1 AS id FROM pairs UNION ALL "
                              "SELECT id_2 FROM pairs)) u LEFT JOIN (SELECT DISTINCT doc_id FROM "
                              "documents) d ON d.doc_id = u.id")
-SQL["q_remaining_anti"] = with_(["pairs", "judg"], "SELECT pair_id, id_1, id_2 FROM pairs "
+SQL["q_remaining_stream"] = SQL["q_remaining_anti"] = with_(["pairs", "judg"], "SELECT pair_id, id_1, id_2 FROM pairs "
                                 "WHERE pair_id NOT IN (SELECT pair_id FROM judg)")
 SQL["q_remaining_watermark"] = with_(
     ["pairs", "judg"], "SELECT pair_id, id_1, id_2 FROM pairs WHERE pair_id > (SELECT "

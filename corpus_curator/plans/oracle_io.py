@@ -12,7 +12,11 @@ NL = "chr(10)"
 WS = "'^\\s+|\\s+$'"
 
 SQL: dict[str, str] = {}
-SQL["q_roundtrip_records"] = "SELECT doc_id, source AS dataset, md5(text) AS text_md5 FROM documents"
+SQL["q_roundtrip_records"] = (
+    "SELECT doc_id, source AS dataset, md5(text) AS text_md5, 'ok' AS status, NULL::VARCHAR AS broken "
+    "FROM documents UNION ALL SELECT NULL, source, NULL, 'corrupt', "
+    """'{"doc_id": ' || doc_id || ', "te' FROM documents """
+    f"WHERE {U('doc_id', 'broken')} < 0.03")
 _raw = (f"SELECT doc_id AS key, CASE WHEN {U('doc_id', 'iid')} < 0.5 THEN doc_id END AS instance_id, "
         "md5(text) AS text_md5 FROM documents")
 SQL["q_normalize_records"] = _raw

@@ -25,6 +25,7 @@ from ..sources import derived as D
 from ..sources import readers as RD
 from ..sources import writers as W
 from ..streaming.annotate_stream import annotate_stream, read_annotated
+from ..streaming.resume import remaining_stream
 from .queries import SEED, _corpus, _rating_weights, r6
 
 TEXT_SCHEMA = "doc_id long, text string, lang string"
@@ -58,11 +59,16 @@ def _titled(spark, sf) -> DataFrame:
 
 
 def q_roundtrip_records(spark, sf):
+    """Records by dataset, among them lines that break off; each keeps its status."""
     path = scratch_path(spark, "records")
     docs = D.documents(spark, sf).select("doc_id", "text", "lang", F.col("source").alias("dataset"))
     W.write_records(docs, path, partition_by="dataset")
+    docs.filter(uniform("doc_id", "broken") < 0.03).select("dataset", F.format_string(
+        '{"doc_id": %d, "te', "doc_id").alias("value")).write.mode("append").partitionBy(
+        "dataset").text(path)
     back = RD.read_records(spark, path, TEXT_SCHEMA)
-    return back.select("doc_id", "dataset", F.md5("text").alias("text_md5"))
+    return back.select("doc_id", "dataset", F.md5("text").alias("text_md5"), "status",
+                       F.col("_corrupt_record").alias("broken"))
 
 
 def q_dataset_from_path(spark, sf):
@@ -225,5 +231,20 @@ def q_annotate_stream(spark, sf):
     return v.select("instance_id", "status", "summary")
 
 
+def q_remaining_stream(spark, sf):
+    """Resume as a stream: the finished pairs pass first, then a file that replays all
+    pairs arrives; a third run has nothing new. What the second run let through."""
+    base = scratch_path(spark, "resume")
+    in_dir, out_dir, ckpt = f"{base}/in", f"{base}/out", f"{base}/checkpoint"
+    pairs = D.pairs(spark, sf).select("pair_id", "id_1", "id_2")
+    done = pairs.join(D.judgements(spark, sf), "pair_id", "left_semi")
+    schema = "pair_id long, id_1 long, id_2 long, round long"
+    for i, rows in enumerate((done, pairs, None)):
+        if rows is not None:
+            rows.withColumn("round", F.lit(i)).write.mode("append").json(in_dir)
+        remaining_stream(spark, in_dir, out_dir, ckpt, schema, "pair_id")
+    return read_annotated(spark, out_dir, schema).filter("round = 1").drop("round")
+
+
 QUERIES = {name: fn for name, fn in list(globals().items())
            if name.startswith("q_") and callable(fn)}

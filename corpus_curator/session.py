@@ -95,5 +95,7 @@ def cluster_settings(input_bytes: int, cores: int, target_partition_bytes: int =
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.ui.enabled": "false",
     }

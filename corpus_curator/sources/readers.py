@@ -46,29 +46,36 @@ def _json(spark: SparkSession, path, schema) -> DataFrame:
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path))
 
 
-def _with_status(df: DataFrame, bad=None) -> DataFrame:
-    """``status``: ``corrupt`` for rows of broken lines (their fields are null)."""
+def _with_status(df: DataFrame, bad=None, known: tuple[str, ...] = ()) -> DataFrame:
+    """``status``: ``corrupt`` for rows of broken lines (their fields are null, but for
+    ``known`` ones, which don't come from the line)."""
     wrong = F.col(CORRUPT).isNotNull()
     status = F.when(wrong if bad is None else wrong | bad, "corrupt").otherwise("ok")
-    fields = [F.when(F.col(CORRUPT).isNull(), F.col(f"`{c}`")).alias(c)
+    fields = [F.col(f"`{c}`") if c in known else F.when(~wrong, F.col(f"`{c}`")).alias(c)
               for c in df.columns if c != CORRUPT]
     return df.select(*fields, CORRUPT, status.alias("status"))
 
 
 def read_records(spark: SparkSession, path: str | list[str], schema, dataset: str | None = None,
-                 dataset_from_path: bool = False, rejects: bool = False) -> DataFrame:
+                 dataset_from_path: bool = False, rejects: bool = True) -> DataFrame:
     """JSON records (one per line) with a declared schema. ``dataset`` sets the
     column; ``dataset_from_path`` takes the parent directory name. A
     ``dataset=...`` partition directory is picked up as a column by Spark.
-    ``rejects``: adds ``_corrupt_record`` and ``status``, so that broken lines
-    can be told from records without values."""
+    ``_corrupt_record`` and ``status`` tell broken lines (``corrupt``: null fields, the
+    line kept, the dataset known) from records without values (``ok``); without
+    ``rejects`` these columns are left out, and a broken line is a row of nulls."""
     df = _json(spark, path, schema) if rejects else spark.read.schema(schema).json(path)
     if dataset is not None:
         df = df.withColumn("dataset", F.lit(dataset))
     elif dataset_from_path:
         df = df.withColumn("dataset", F.regexp_extract(F.col("_metadata.file_path"),
                                                        r"([^/]+)/[^/]+$", 1))
-    return _with_status(df) if rejects else df
+    if not rejects:
+        return df
+    given = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    elsewhere = tuple(c for c in df.columns if c not in given.fieldNames())
+    return _with_status(df, known=elsewhere if dataset is None and not dataset_from_path
+                        else (*elsewhere, "dataset"))
 
 
 def read_raw_jsonl(spark: SparkSession, path: str, extra_schema: T.StructType | None = None) -> DataFrame:

@@ -16,6 +16,21 @@ def test_balanced_pairs_invariants(spark):
     assert rep["n_pairs"] == len(rows) and rep["n_added"] == len(rows) - 600
 
 
+@pytest.mark.parametrize("n, n_pairs, compare", [(200, 600, 6), (2, 6, 6), (3, 5, 3), (51, 160, 6)])
+def test_top_up_serves_two_ids_with_a_pair(spark, n, n_pairs, compare):
+    ids = spark.range(n)
+    pairs = P.balanced_pairs(ids, n_pairs, compare, seed=3)
+    deg = {r["id"]: r["degree"] for r in P.pair_degrees(pairs.filter("not added")).collect()}
+    missing = sum(max(0, compare - deg.get(i, 0)) for i in range(n))
+    added = [(r["id_1"], r["id_2"]) for r in pairs.filter("added").collect()]
+    after = {r["id"]: r["degree"] for r in P.pair_degrees(pairs).collect()}
+    assert all(after[i] >= compare for i in range(n)) and all(a != b for a, b in added)
+    over = sum(after.values()) - sum(deg.values()) - missing  # ends that no id was missing
+    assert len(added) >= -(-missing // 2) and 2 * len(added) == missing + over
+    if n >= 50:
+        assert over <= max(2, missing // 10)
+
+
 def test_budget_precondition(spark):
     with pytest.raises(ValueError):
         P.balanced_pairs(spark.range(100), 10, 6)

@@ -88,3 +88,15 @@ def test_vectorized_wrong_length_falls_back(spark):
 
     got = sorted(r["reply"] for r in annotate(df, fn, vectorized=True, partitions=1).collect())
     assert got == ["ra", "rb", "rc"]
+
+
+def test_batch_error_is_kept(spark):
+    df = spark.createDataFrame([("a",), (None,)], "prompt string")
+
+    def fn(s):
+        raise RuntimeError("down")
+
+    got = {r["prompt"]: (r["reply"], r["error"]) for r in annotate(
+        df, fn, vectorized=True, error_col="error").collect()}
+    assert got == {"a": (FAILED, "RuntimeError: down; batch: RuntimeError: down"),
+                   None: (None, None)}

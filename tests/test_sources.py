@@ -59,8 +59,11 @@ def test_broken_lines_are_kept(spark):
     got = {r["status"]: (r["pair_id"], r["_corrupt_record"])
            for r in RD.read_judgements(spark, path).collect()}
     assert got == {"ok": (1, None), "corrupt": (None, '{"task": "t", "pair_id": 2, "pa')}
-    rows = RD.read_records(spark, path, "task string, pair_id long", rejects=True)
-    assert sorted(r["status"] for r in rows.collect()) == ["corrupt", "ok"]
+    rows = RD.read_records(spark, path, "task string, pair_id long", dataset="d")
+    assert sorted((r["status"], r["dataset"], r["pair_id"]) for r in rows.collect()) == [
+        ("corrupt", "d", None), ("ok", "d", 1)]
+    plain = RD.read_records(spark, path, "task string, pair_id long", rejects=False)
+    assert plain.columns == ["task", "pair_id"] and plain.count() == 2
 
 
 def test_taxonomy_roundtrip(spark):

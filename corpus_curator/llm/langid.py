@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 
 from .tables import remainder, tidy
 
-#: Rows the field is fitted on: about this many per language (whole texts), at most MAX_WORDS words.
+#: Rows the field is fitted on: about this many per language (whole texts), of which parts with
+#: at most MAX_WORDS words in all, as many of each language, in random order.
 SAMPLE_PER_LANGUAGE = 200
 MAX_WORDS = 200_000
 BUCKETS = 1 << 17
@@ -204,14 +205,15 @@ def fit(texts: list[tuple[str, str]], seed: int = 7, steps: int = STEPS) -> Fiel
         cuts = [0, *np.cumsum(rng.integers(8, 60, size=len(ids) // 8 + 1)).tolist()]
         parts += [(label, ids[a:b]) for a, b in zip(cuts, [*cuts[1:], len(ids)]) if ids[a:b]]
     parts = [parts[j] for j in rng.permutation(len(parts))]
-    order, begins, y, total = [], [], [], 0
-    for n, (label, ids) in enumerate(parts):
-        if total >= MAX_WORDS:
-            break
+    order, begins, y, taken, used = [], [], [], 0, [0] * k
+    for label, ids in parts:
+        if used[label] >= MAX_WORDS / k:
+            continue
         order += ids
-        begins += [n % 6 == 0] + [False] * (len(ids) - 1)
+        begins += [taken % 6 == 0] + [False] * (len(ids) - 1)
         y += [label] * len(ids)
-        total += len(ids)
+        taken += 1
+        used[label] += len(ids)
     order, begins, y = np.array(order), np.array(begins), np.array(y)
     found = [np.array(features(w, halves[h]), np.int32) for h, w in types]
     flat = np.concatenate(found)
@@ -254,7 +256,8 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Field:
     unit = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1))) / float(1 << 30)
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items())
                            for x in (lang, min(1.0, per_language / n))])
-    picked = rows.filter(unit < share[F.col("lang")]).limit(2 * per_language * len(counts))
+    picked = rows.filter(unit < share[F.col("lang")]).orderBy(
+        F.xxhash64("doc_id", "text"), "doc_id", "text").limit(2 * per_language * len(counts))
     return fit([(r["text"], r["lang"]) for r in
                 sorted(picked.collect(), key=lambda r: (r["doc_id"], r["text"]))])
 

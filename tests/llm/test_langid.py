@@ -56,6 +56,24 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     assert langid.learn(wrong).labels == ["en"]
 
 
+def test_sample_is_the_same_however_rows_are_partitioned(spark):
+    rows = [(i, text(lang, 30, i), lang) for i, lang in
+            enumerate(itertools.islice(itertools.cycle(STEMS), 240))]
+    rows += [(7, text("en", 5, 1000 + i), "en") for i in range(300)]  # an id that repeats
+    table = docs(spark, rows)
+    a, b = (langid.learn(table.repartition(n), per_language=20) for n in (1, 7))
+    assert np.array_equal(a.weights, b.weights) and a.lexicon == b.lexicon
+
+
+def test_every_language_gets_its_share_of_words(monkeypatch):
+    monkeypatch.setattr(langid, "MAX_WORDS", 600)
+    rows = [(text("en", 400, i), "en") for i in range(40)] + [(text("de", 100, 99), "de")]
+    field = langid.fit(rows)
+    memo = langid.Emissions(field)
+    (ids,), table = memo.rows([text("de", 40, 5)])
+    assert table[ids].sum(0).argmax() == field.labels.index("de")
+
+
 def test_odd_rows(spark):
     rows = odd_rows() + [(9, "123 456 !!"), (10, "x")]
     got = {str((r.doc_id, r.n_words)): (r.lang_pred, r.score) for r in langid.identify(

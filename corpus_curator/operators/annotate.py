@@ -2,19 +2,21 @@
 built on it (pairwise rating, summary, first-level tag, second/third-level tag,
 flat tags, edit).
 
-``annotate`` is a ``mapInPandas``: each task receives Arrow batches of its
+``annotate`` is a ``mapInArrow``: each task receives Arrow batches of its
 partition, cuts them into groups of ``batch_size`` prompts and calls the
 function on them (optionally from a small thread pool, like concurrent calls
-to a service). A call that raises yields the failure sentinel for that prompt;
+to a service). Only the prompts of a group become Python objects, other columns
+pass as they are. A call that raises yields the failure sentinel for that prompt;
 nothing is collected to the driver. Partition count bounds the parallelism
 towards the service.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,13 +29,14 @@ from ..functions import replies as RP
 def annotate(df: DataFrame, fn: Callable, prompt_col: str = "prompt", reply_col: str = "reply",
              batch_size: int = 25, threads: int = 1, vectorized: bool = False,
              partitions: int | None = None, class_col: str | None = None,
-             error_col: str | None = None) -> DataFrame:
+             error_col: str | None = None, keep_prompt: bool = True) -> DataFrame:
     """Add ``reply_col`` = fn(prompt) for every row, or fn(prompt, class) with
     ``class_col`` (for example the prompt's size class, to pick a model by).
     ``error_col`` keeps the text of the exception of a failed call (and of the
     batch's, if that failed first). ``fn`` maps one prompt to
     one reply, or with ``vectorized=True`` a pandas Series of prompts to a
-    Series of replies. Null prompts get a null reply.
+    Series of replies. Null prompts get a null reply. ``keep_prompt=False`` leaves the
+    prompts out of the result, so that they do not cross back from Python.
 
     The input partitioning is kept; ``partitions`` spreads the prompts over that
     many tasks instead (the cost is per prompt, not per byte).
@@ -44,7 +47,8 @@ def annotate(df: DataFrame, fn: Callable, prompt_col: str = "prompt", reply_col:
     if partitions:
         df = df.repartition(partitions)
     added = [reply_col] + ([error_col] if error_col else [])
-    schema = T.StructType(df.schema.fields + [T.StructField(c, T.StringType(), True)
+    kept = [f for f in df.schema.fields if keep_prompt or f.name != prompt_col]
+    schema = T.StructType(kept + [T.StructField(c, T.StringType(), True)
                                               for c in added])
 
     def one(args):
@@ -76,22 +80,38 @@ def annotate(df: DataFrame, fn: Callable, prompt_col: str = "prompt", reply_col:
     given = [prompt_col] + ([class_col] if class_col else [])
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for start in range(0, len(pdf), batch_size):
-                out.extend(call(*[pdf[c].iloc[start:start + batch_size] for c in given]))
-            for k, c in enumerate(added):
-                pdf[c] = pd.Series([r[k] for r in out], index=pdf.index, dtype=object)
-            yield pdf
+        for batch in batches:
+            step = _whole_groups(batch, batch_size)
+            for at in range(0, batch.num_rows, step):
+                part, out = batch.slice(at, step), []
+                for start in range(0, part.num_rows, batch_size):
+                    group = part.slice(start, batch_size)
+                    out.extend(call(*[group.column(c).to_pandas() for c in given]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(f.name) for f in kept]
+                    + [pa.array([r[k] for r in out], pa.string()) for k in range(len(added))],
+                    names=schema.names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
-def rate_pairs(docs: DataFrame, pairs: DataFrame, task: str, fn: Callable,
+#: About so many bytes of a batch go back at once.
+PART_BYTES = 4 << 20
+
+
+def _whole_groups(batch: pa.RecordBatch, batch_size: int) -> int:
+    """Rows of as many groups as hold about ``PART_BYTES``, one at least."""
+    rows = PART_BYTES * batch.num_rows // max(1, batch.nbytes)
+    return max(1, rows // batch_size) * batch_size
+
+
+def rate_pairs(docs: DataFrame, pairs: DataFrame, task: str | Sequence[str], fn: Callable,
                templates: Mapping[str, str] | None = None, id_col: str = "doc_id",
                text_col: str = "text", expected_n: int | None = None, **kw) -> DataFrame:
     """Pairwise rating job: ``(task, pair_id, pair_ids, win, why, status)`` for
-    every pair (rejected ones keep their status and null win). With
+    every pair (rejected ones keep their status and null win). ``task`` may be a list:
+    the texts of a pair are brought together once for the prompts of all tasks. With
     ``expected_n`` (the ``n`` recorded with the pair set) a different number
     of documents is refused."""
     from .pairs import pair_texts, require_pair_set
@@ -99,9 +119,13 @@ def rate_pairs(docs: DataFrame, pairs: DataFrame, task: str, fn: Callable,
         require_pair_set(expected_n, docs)
     templates = templates or PR.default_templates()
     t = pair_texts(pairs, docs, id_col, text_col)
-    p = PR.render_pair_prompt(t, templates[task]).select("pair_id", "id_1", "id_2", "prompt")
-    r = RP.parse_choice(annotate(p, fn, **kw))
-    return r.select(F.lit(task).alias("task"), "pair_id", F.array("id_1", "id_2").alias("pair_ids"),
+    slots = {"text_1": "text_1", "text_2": "text_2"}
+    prompts = F.array(*[F.struct(F.lit(name).alias("task"),
+                                 PR.render(templates[name], slots).alias("prompt"))
+                        for name in ([task] if isinstance(task, str) else task)])
+    p = t.select("pair_id", "id_1", "id_2", F.inline(prompts))
+    r = RP.parse_choice(annotate(p, fn, keep_prompt=False, **kw))
+    return r.select("task", "pair_id", F.array("id_1", "id_2").alias("pair_ids"),
                     "win", "why", "status")
 
 
@@ -112,7 +136,7 @@ def summarize(docs: DataFrame, fn: Callable, templates: Mapping[str, str] | None
     templates = templates or PR.default_templates()
     p = PR.render_prompt(docs.select(F.col(id_col).alias("instance_id"), text_col),
                          templates["summary"], text_col, max_chars).drop(text_col)
-    v = RP.validate_summary(annotate(p, fn, **kw), literal=literal)
+    v = RP.validate_summary(annotate(p, fn, keep_prompt=False, **kw), literal=literal)
     return v.select("instance_id", "summary", "status")
 
 
@@ -124,7 +148,7 @@ def tag_first_level(records: DataFrame, fn: Callable, templates: Mapping[str, st
     templates = templates or PR.default_templates()
     p = PR.render_prompt(records.select("instance_id", "summary"), templates["tag_first_level"],
                          text_col, max_chars)
-    v = RP.validate_first_level(annotate(p, fn, **kw), literal=literal)
+    v = RP.validate_first_level(annotate(p, fn, keep_prompt=False, **kw), literal=literal)
     return v.select("instance_id", "summary", "first_level_tag", "first_level_explanation", "status")
 
 
@@ -138,7 +162,7 @@ def tag_second_third(records: DataFrame, taxonomy: DataFrame, fn: Callable,
     p = PR.render_subtree_prompt(base, taxonomy, templates["tag_second_third_level"], text_col,
                                  max_chars=max_chars)
     bad = p.filter(F.col("status") != "ok").withColumn("reply", F.lit(None).cast("string"))
-    ok = annotate(p.filter(F.col("status") == "ok"), fn, **kw)
+    ok = annotate(p.filter(F.col("status") == "ok"), fn, keep_prompt=False, **kw)
     v = RP.validate_second_third(ok.drop("status"), taxonomy, literal=literal)
     bad = bad.select("instance_id", "summary", "first_level_tag",
                      F.lit(None).cast("string").alias("second_level_tag"),
@@ -158,7 +182,7 @@ def tag_flat(docs: DataFrame, fn: Callable, templates: Mapping[str, str] | None
     templates = templates or PR.default_templates()
     p = PR.render_prompt(docs.select(F.col(id_col).alias("instance_id"), text_col),
                          templates["tag"], text_col, max_chars).drop(text_col)
-    v = RP.validate_flat_tags(annotate(p, fn, **kw), literal=literal)
+    v = RP.validate_flat_tags(annotate(p, fn, keep_prompt=False, **kw), literal=literal)
     return v.select("instance_id", "tags", "status")
 
 
@@ -167,6 +191,6 @@ def edit_documents(docs: DataFrame, fn: Callable, templates: Mapping[str, str] |
     """Keeps the text and adds ``edited_text`` (null when the call failed)."""
     templates = templates or PR.default_templates()
     p = PR.render_edit_prompt(docs, templates, lang_col, text_col)
-    r = annotate(p, fn, **kw)
+    r = annotate(p, fn, keep_prompt=False, **kw)
     return r.withColumn("edited_text", F.when(F.col("reply") != FAILED, F.col("reply"))).drop(
-        "prompt", "reply")
+        "reply")

@@ -100,3 +100,39 @@ def test_batch_error_is_kept(spark):
         df, fn, vectorized=True, error_col="error").collect()}
     assert got == {"a": (FAILED, "RuntimeError: down; batch: RuntimeError: down"),
                    None: (None, None)}
+
+
+def test_other_columns_pass_untouched_and_prompts_stay_behind(spark):
+    big = 2 ** 53 + 1
+    df = spark.createDataFrame([("a", big), ("b", None), (None, 3)], "prompt string, key long")
+    kept = annotate(df, str.upper, partitions=1)
+    assert {(r["key"], r["prompt"], r["reply"]) for r in kept.collect()} == {
+        (big, "a", "A"), (None, "b", "B"), (3, None, None)}
+    bare = annotate(df, str.upper, keep_prompt=False)
+    assert bare.columns == ["key", "reply"]
+    assert {tuple(r) for r in bare.collect()} == {(big, "A"), (None, "B"), (3, None)}
+
+
+def test_parts_of_a_batch_are_whole_groups_of_few_bytes():
+    import pyarrow as pa
+    from corpus_curator.operators.annotate import PART_BYTES, _whole_groups
+    batch = pa.RecordBatch.from_pydict({"prompt": ["x" * 4000] * 10_000})
+    step = _whole_groups(batch, 25)
+    assert step % 25 == 0 and 0 < step * 4000 <= PART_BYTES
+    assert _whole_groups(pa.RecordBatch.from_pydict({"prompt": ["x" * PART_BYTES] * 2}), 25) == 25
+    assert _whole_groups(batch.slice(0, 0), 25) >= 25
+
+
+def test_tasks_share_the_texts_of_a_pair(spark):
+    from corpus_curator.functions.annotators import rate_rule
+    from corpus_curator.operators.annotate import rate_pairs
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(i, i, (i * 7 + 1) % 20) for i in range(20)],
+                                  "pair_id long, id_1 long, id_2 long")
+    tasks = ["educational_value", "expertise"]
+    both = rate_pairs(docs, pairs, tasks, rate_rule)
+    apart = [rate_pairs(docs, pairs, t, rate_rule) for t in tasks]
+    assert sorted(map(str, both.collect())) == sorted(
+        str(r) for x in apart for r in x.collect())
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2

@@ -14,7 +14,10 @@ bt_scores    the optimum those steps approach, by Newton steps with distributed
 
 Both iterate over distributed tables of items and compressed pairs, all tasks
 at once, and hand the item table over by file every step or two, so that the plan
-does not grow. Nothing but the largest residual and counts reaches the driver.
+does not grow. ``bt_scores`` joins by one number per (task, item) and lays the pairs
+out by their item once for each Newton step, so that a step of the conjugate
+gradients moves sums only. Nothing but the largest residual and counts reaches the
+driver.
 """
 
 from __future__ import annotations
@@ -104,21 +107,25 @@ def bt_loss(matches: DataFrame, scores: DataFrame) -> DataFrame:
     return j.groupBy("task").agg(F.sum(nll).alias("loss"))
 
 
-_GROUP = ["task", "component"]
+#: Rows of pairs that make a partition of their layout worth while.
+_PART_ROWS = 50_000
 
 
-def _linearised(items: DataFrame, pairs: DataFrame, prior: float) -> tuple[DataFrame, DataFrame]:
-    """The Newton system at ``theta``: weights ``(task, id, other, w)`` of the pairs, and
-    items with ``g`` (wins minus expected wins) and ``diag``, in the start state of the
-    conjugate gradients (``d`` is the step so far, ``rz`` the norm before the last)."""
-    other = items.select("task", F.col("id").alias("other"), F.col("theta").alias("_to"))
-    own = items.select("task", "id", F.col("theta").alias("_t"))
+def _linearised(items: DataFrame, pairs: DataFrame, prior: float,
+                parts: int) -> tuple[DataFrame, DataFrame]:
+    """The Newton system at ``theta``: weights ``(node, other, w)`` of the pairs, kept by
+    the executors in ``parts`` partitions by ``node`` (release them with ``unpersist``),
+    and the start state of the conjugate gradients: ``r`` (wins minus expected wins),
+    ``diag``, and the step so far, ``d``."""
+    other = items.select(F.col("node").alias("other"), F.col("theta").alias("_to"))
+    own = items.select("node", F.col("theta").alias("_t"))
     p = 1 / (1 + F.exp(F.col("_to") - F.col("_t")))
-    joined = materialize(pairs.join(other, ["task", "other"]).join(own, ["task", "id"]).select(
-        "task", "id", "other", (F.col("n") * p * (1 - p)).alias("w"),
-        (F.col("n") * p).alias("expected")))
-    sums = joined.groupBy("task", "id").agg(F.sum("w").alias("diag"),
-                                            F.sum("expected").alias("expected"))
+    joined = (pairs.join(other, "other").join(own, "node").select(
+        "node", "other", (F.col("n") * p * (1 - p)).alias("w"),
+        (F.col("n") * p).alias("expected"))
+        .repartition(parts, "node").sortWithinPartitions("node").persist())
+    sums = joined.groupBy("node").agg(F.sum("w").alias("diag"),
+                                      F.sum("expected").alias("expected"))
     mine = 1 / (1 + F.exp(-F.col("theta")))  # against the prior's opponent
 
     def known(c):
@@ -126,58 +133,79 @@ def _linearised(items: DataFrame, pairs: DataFrame, prior: float) -> tuple[DataF
 
     g = F.col("wins") + prior - known("expected") - 2 * prior * mine
     diag = known("diag") + 2 * prior * mine * (1 - mine)
-    start = (items.join(sums, ["task", "id"], "left").withColumn("g", g)
-             .withColumn("diag", diag).drop("expected")
-             .withColumn("r", F.col("g")).withColumn("z", F.col("g") / F.col("diag"))
-             .withColumns({c: F.lit(0.0) for c in ("p", "s", "d", "alpha", "rz", "rz0")}))
-    return joined.drop("expected"), materialize(start)
-
-
-def _gradient_step(now: DataFrame, weights: DataFrame) -> DataFrame:
-    """One step of the conjugate gradients, preconditioned by the diagonal, in every
-    component. The Newton matrix is never formed: it is applied by a join and a sum.
-    Both inner products of a step come from one aggregate (``p`` and its image ``s``
-    follow by recurrence)."""
-    other = now.select("task", F.col("id").alias("other"), F.col("z").alias("_zo"))
-    sums = (weights.join(other, ["task", "other"]).groupBy("task", "id")
-            .agg(F.sum(F.col("w") * F.col("_zo")).alias("_s")))
-    image = F.col("diag") * F.col("z") - F.coalesce("_s", F.lit(0.0))
-    now = now.join(sums, ["task", "id"], "left").withColumn("_w", image).drop("_s")
-    norms = now.groupBy(*_GROUP).agg(F.sum(F.col("r") * F.col("z")).alias("_rz"),
-                                     F.sum(F.col("z") * F.col("_w")).alias("_zw"))
-    beta = F.when(F.col("alpha") > 0, F.col("_rz") / F.col("rz")).otherwise(F.lit(0.0))
-    curve = F.col("_zw") - F.when(F.col("alpha") > 0, F.col("_b") * F.col("_rz") / F.col(
-        "alpha")).otherwise(F.lit(0.0))
-    return (now.join(norms, _GROUP)
-            .withColumn("_b", beta).withColumn("_c", curve)
-            .withColumn("alpha", F.when((F.col("_c") > 0) & (F.col("_rz") > 0),
-                                        F.col("_rz") / F.col("_c")).otherwise(F.lit(0.0)))
-            .withColumn("p", F.col("z") + F.col("_b") * F.col("p"))
-            .withColumn("s", F.col("_w") + F.col("_b") * F.col("s"))
+    start = items.join(sums, "node", "left").select(
+        "node", "grp", diag.alias("diag"), g.alias("r"),
+        *[F.lit(0.0).alias(c) for c in ("p", "s", "d")])
+    return joined, materialize(start)
+
+
+def _imaged(now: DataFrame, weights: DataFrame) -> DataFrame:
+    """``now`` with ``_w``, the image of the preconditioned residual. The Newton matrix is
+    never formed: it is applied by a join and a sum. It is symmetric, so every item sends
+    its share to the others: the pairs stay where they are."""
+    z = F.col("r") / F.col("diag")
+    sums = (weights.join(now.select("node", z.alias("_z")), "node")
+            .groupBy(F.col("other").alias("node")).agg(F.sum(F.col("w") * F.col("_z")).alias("_s")))
+    image = F.col("diag") * z - F.coalesce("_s", F.lit(0.0))
+    return now.join(sums, "node", "left").withColumn("_w", image).drop("_s")
+
+
+def _norms(imaged: DataFrame, before: DataFrame | None) -> DataFrame:
+    """``(grp, alpha, beta, rz, rz0)`` of a step of the conjugate gradients, preconditioned
+    by the diagonal, in every component: both inner products of a step come from one
+    aggregate. ``before``: the same of the last step."""
+    z = F.col("r") / F.col("diag")
+    sums = imaged.groupBy("grp").agg(F.sum(F.col("r") * z).alias("_rz"),
+                                     F.sum(z * F.col("_w")).alias("_zw"))
+    beta = curve = F.lit(0.0)
+    first = F.col("_rz")
+    if before is not None:
+        sums = sums.join(before, "grp")
+        beta = F.when(F.col("alpha") > 0, F.col("_rz") / F.col("rz")).otherwise(F.lit(0.0))
+        curve = F.when(F.col("alpha") > 0, beta * F.col("_rz") / F.col("alpha")).otherwise(
+            F.lit(0.0))
+        first = F.greatest("rz0", "_rz")
+    curve = F.col("_zw") - curve
+    alpha = F.when((curve > 0) & (F.col("_rz") > 0), F.col("_rz") / curve).otherwise(F.lit(0.0))
+    return sums.select("grp", alpha.alias("alpha"), beta.alias("beta"), F.col("_rz").alias("rz"),
+                       first.alias("rz0"))
+
+
+def _gradient_step(imaged: DataFrame, norms: DataFrame) -> DataFrame:
+    """One step in every component (``p`` and its image ``s`` follow by recurrence)."""
+    return (imaged.join(norms.select("grp", "alpha", "beta"), "grp")
+            .withColumn("p", F.col("r") / F.col("diag") + F.col("beta") * F.col("p"))
+            .withColumn("s", F.col("_w") + F.col("beta") * F.col("s"))
             .withColumn("d", F.col("d") + F.col("alpha") * F.col("p"))
             .withColumn("r", F.col("r") - F.col("alpha") * F.col("s"))
-            .withColumn("z", F.col("r") / F.col("diag")).withColumn("rz", F.col("_rz"))
-            .withColumn("rz0", F.greatest("rz0", "rz")).drop("_w", "_zw", "_rz", "_b", "_c"))
+            .drop("_w", "alpha", "beta"))
 
 
-#: Conjugate-gradient steps per written table; the share of the residual norm at
-#: which they stop; the largest move of a theta in one Newton step.
-_UNROLL, _FORCING, _REACH = 1, 0.05, 2.0
+#: The largest and least share of the residual norm at which the conjugate gradients
+#: stop; the largest move of a theta in one Newton step.
+_FORCING, _FINEST, _REACH = 0.05, 1e-3, 2.0
 
 
-def _newton_step(start: DataFrame, weights: DataFrame, budget: int) -> tuple[DataFrame, int]:
+def _forcing(gap: float, tol: float) -> float:
+    """Near the optimum a Newton step is worth solving as exactly as it is good, but for
+    no more than ``tol``."""
+    return min(_FORCING, max(gap / 2, tol / (2 * gap), _FINEST))
+
+
+def _newton_step(items: DataFrame, start: DataFrame, weights: DataFrame, budget: int,
+                 forcing: float) -> tuple[DataFrame, int]:
     """Items with the next ``theta``, and the passes made."""
-    now, made = start, 0
+    now, norms, made = start, None, 0
     while made < budget:
-        for _ in range(_UNROLL):
-            now = _gradient_step(now, weights)
-        now, made = materialize(now), made + _UNROLL
-        if not now.filter(F.col("rz") > F.col("rz0") * (_FORCING * _FORCING)).limit(1).count():
+        imaged = materialize(_imaged(now, weights))
+        norms = materialize(_norms(imaged, norms))
+        now, made = _gradient_step(imaged, norms), made + 1
+        if not norms.filter(F.col("rz") > F.col("rz0") * (forcing * forcing)).limit(1).count():
             break
-    far = now.groupBy(*_GROUP).agg(F.max(F.abs("d")).alias("_far"))
+    far = materialize(now.groupBy("grp").agg(F.max(F.abs("d")).alias("_far")))
     scale = F.least(F.lit(1.0), F.lit(_REACH) / F.greatest("_far", F.lit(1e-300)))
-    return now.join(far, _GROUP).select("task", "id", "component", "wins",
-                                        (F.col("theta") + scale * F.col("d")).alias("theta")), made
+    return items.join(now.select("node", "d"), "node").join(far, "grp").select(
+        "node", "grp", "wins", (F.col("theta") + scale * F.col("d")).alias("theta")), made
 
 
 def bt_scores(matches: DataFrame, prior: float = 0.0, max_iter: int = 600,
@@ -203,48 +231,59 @@ def bt_scores(matches: DataFrame, prior: float = 0.0, max_iter: int = 600,
     if prior > 0:
         least = counts.groupBy("task").agg(F.least(F.min("winner"), F.min("loser"))
                                            .alias("component"))
-        parts = materialize(all_items(counts).join(least, "task"))
+        parts = all_items(counts).join(least, "task")
     else:
-        parts = materialize(strong_components(counts.select(
-            "task", F.col("winner").alias("a"), F.col("loser").alias("b"))))
-        ends = [parts.select("task", F.col("id").alias(c), F.col("component").alias(f"_{c}"))
-                for c in ("winner", "loser")]
-        counts = materialize(counts.join(ends[0], ["task", "winner"])
-                             .join(ends[1], ["task", "loser"])
-                             .filter("_winner = _loser and winner <> loser")
-                             .select("task", "winner", "loser", "n"))
-    sides = (counts.select("task", F.col("winner").alias("id"), F.col("loser").alias("other"),
-                           "n", F.col("n").alias("won"))
-             .unionByName(counts.select("task", F.col("loser").alias("id"),
-                                        F.col("winner").alias("other"), "n",
+        parts = strong_components(counts.select(
+            "task", F.col("winner").alias("a"), F.col("loser").alias("b")))
+    parts = materialize(parts.withColumn("node", F.monotonically_increasing_id()))
+    group = parts.groupBy("task", "component").agg(F.min("node").alias("grp"))
+    ends = [parts.select("task", F.col("id").alias(c), F.col("component").alias(f"_{c}"),
+                         F.col("node").alias(n))
+            for c, n in (("winner", "a"), ("loser", "b"))]
+    counts = materialize(counts.join(ends[0], ["task", "winner"]).join(ends[1], ["task", "loser"])
+                         .filter("_winner = _loser and a <> b").select("a", "b", "n"))
+    sides = (counts.select(F.col("a").alias("node"), F.col("b").alias("other"), "n",
+                           F.col("n").alias("won"))
+             .unionByName(counts.select(F.col("b").alias("node"), F.col("a").alias("other"), "n",
                                         F.lit(0).cast("long").alias("won")))
-             .filter("id <> other").groupBy("task", "id", "other")
-            .agg(F.sum("n").alias("n"), F.sum("won").alias("won")))
+             .groupBy("node", "other").agg(F.sum("n").alias("n"), F.sum("won").alias("won")))
     sides = materialize(sides)
     pairs = sides.drop("won")
     # an item whose only matches are with itself has no pair, only the prior
-    wins = sides.groupBy("task", "id").agg(F.sum("won").alias("wins"))
+    played = sides.groupBy("node").agg(F.sum("won").alias("wins"), F.sum("n").alias("games"))
+    nodes = parts.filter("id is not null").join(group, ["task", "component"]).select("node", "grp")
     if prior > 0:
-        wins = parts.select("task", "id").join(wins, ["task", "id"], "left").fillna(0, ["wins"])
-    items = materialize(parts.join(wins, ["task", "id"]).withColumn("theta", F.lit(0.0)))
+        items = nodes.join(played, "node", "left").fillna(0, ["wins", "games"])
+        # as against opponents of strength 1 throughout
+        theta = F.log((F.col("wins") + prior) / (F.col("games") - F.col("wins") + prior))
+    else:
+        items, theta = nodes.join(played, "node"), F.lit(0.0)
+    items = materialize(items.withColumn("theta", theta).drop("games"))
+    spread = min(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                 1 + sides.count() // _PART_ROWS)
     made = 0
     while True:
-        weights, start = _linearised(items, pairs, prior)
+        weights, start = _linearised(items, pairs, prior, spread)
         made += 1
-        gap = start.agg(F.max(F.abs("g"))).first()[0]
-        if gap is None or gap <= tol or (made >= max_iter and not tol):
+        gap = start.agg(F.max(F.abs("r"))).first()[0]
+        last = gap is None or gap <= tol or (made >= max_iter and not tol)
+        if not last and made < max_iter:
+            items, more = _newton_step(items, start, weights, max_iter - made,
+                                       _forcing(gap, tol))
+            items, made = materialize(items), made + more
+            weights.unpersist()
+            continue
+        weights.unpersist()
+        if last:
             break
-        if made >= max_iter:
-            raise RuntimeError(f"theta still moves: expected wins are off by {gap:.2g} after "
-                               f"{made} passes")
-        items, more = _newton_step(start, weights, max_iter - made)
-        items, made = materialize(items), made + more
-    theta = items.select("task", "id", "component", "theta")
+        raise RuntimeError(f"theta still moves: expected wins are off by {gap:.2g} after "
+                           f"{made} passes")
+    theta = items.select("node", "grp", "theta")
     if centre:
-        mean = theta.groupBy("task", "component").agg(F.avg("theta").alias("_m"))
-        theta = theta.join(mean, ["task", "component"]).select(
-            "task", "id", "component", (F.col("theta") - F.col("_m")).alias("theta"))
-    return (parts.join(theta.drop("component"), ["task", "id"], "left")
+        mean = theta.groupBy("grp").agg(F.avg("theta").alias("_m"))
+        theta = theta.join(mean, "grp").select(
+            "node", (F.col("theta") - F.col("_m")).alias("theta"))
+    return (parts.join(theta.select("node", "theta"), "node", "left")
             .select("task", "id", "theta", F.col("theta").isNotNull().alias("finite"),
                     "component"))
 

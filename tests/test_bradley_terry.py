@@ -184,3 +184,44 @@ def test_residuals_are_zero_at_the_optimum(spark):
         s = BT.bt_scores(m, prior=prior, tol=1e-8, centre=prior == 0)
         off = [r["residual"] for r in BT.bt_residuals(m, s, prior).collect()]
         assert len(off) == 3 and max(map(abs, off)) < 1e-7
+
+
+def test_scores_of_two_tasks_reach_their_optima(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"t{t}", int(w), int(l)) for t in range(2)
+            for w, l in rng.integers(0, 30, (150 + 60 * t, 2)) if w != l]
+    m = spark.createDataFrame([(t, i, w, l) for i, (t, w, l) in enumerate(rows)] + [
+        ("t0", 999, 3, None), (None, 1000, 1, 2)],
+        "task string, pair_id long, winner long, loser long")
+    got = {(r["task"], r["id"]): r["theta"] for r in BT.bt_scores(
+        m, prior=0.5, tol=1e-6, centre=False).collect()}
+    for task in ("t0", "t1"):
+        n = np.zeros((30, 30))
+        for t, w, l in rows:
+            n[w, l] += t == task
+        ids = np.flatnonzero((n + n.T).sum(1))
+        theta = np.array([got[task, int(i)] for i in ids])
+        n = n[np.ix_(ids, ids)]
+        p = 1 / (1 + np.exp(theta[None] - theta[:, None]))
+        off = n.sum(1) - ((n + n.T) * p).sum(1) + 0.5 - 1 / (1 + np.exp(-theta))
+        assert np.abs(off).max() < 2e-6
+    assert got["t0", None] is None
+
+
+def test_a_pass_leaves_the_pairs_where_they_are(spark):
+    items = spark.createDataFrame([(i, 0, 1, 0.1 * i) for i in range(8)],
+                                  "node long, grp long, wins long, theta double")
+    pairs = spark.createDataFrame([(i, j, 1) for i in range(8) for j in range(8) if i != j],
+                                  "node long, other long, n long")
+    weights, start = BT._linearised(items, pairs, 0.5, 4)
+    assert weights.count() == 56
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = BT._imaged(start, weights)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    weights.unpersist()
+    # down to the layout of the pairs: the state and the sums move, the pairs do not
+    above = plan.split("InMemoryTableScan")[0]
+    assert "InMemoryTableScan" in plan and above.count("Exchange hashpartitioning") == 2

@@ -56,6 +56,7 @@ _PUNCTUATION = "".join(x for x in _EDGE if x not in LEET and x not in HIDDEN)
 
 
 _CODES = {chr(o): int(_CODE[o]) for o in range(0x180) if chr(o).isalpha()}
+_LEADING = re.compile(f"[{''.join(_CODES)}]*")
 
 
 def _code(ch: str) -> int:
@@ -234,37 +235,72 @@ def _written(path) -> str:
     return "".join(reversed(letters))
 
 
-_RUNS = re.compile(r"(.)\1*", re.S)
+_REPEATED = re.compile(r"([^\W\d_])\1+")
+
+
+def _along(text: str, a: int, b: int, spent: float, flat: memoryview) -> tuple[float, int, int]:
+    """Cost and last two characters after letters that stay."""
+    for ch in text:
+        z = _CODES.get(ch)
+        if z is None:
+            z = _code(ch)
+        spent += flat[(a * V + b) * V + z]
+        a, b = b, z
+    return spent, a, b
+
+
+def _cheapest(after: list[tuple]) -> list[tuple]:
+    """Of the states with the same last two characters the first of the cheapest."""
+    best: dict[tuple[int, int], tuple] = {}
+    for state in after:
+        known = best.get(state[1:3])
+        if known is None or state[0] < known[0]:
+            best[state[1:3]] = state
+    return list(best.values())
 
 
 def _decode_letters(word: str, flat: memoryview, keep: int) -> list[str]:
     """``decode`` of a word of letters, some repeated: nearly always there is one state."""
     states = [(0.0, 0, 0, "")]
-    for m in _RUNS.finditer(word):
-        ch, run = m[1], m.end() - m.start()
-        z = _code(ch)
-        after = []
-        if run == 1:
-            for spent, a, b, text in states:
-                after.append((spent + flat[(a * V + b) * V + z], b, z, text + ch))
-        else:
-            twice = 0.0 if run == 2 else 0.8
+    at = 0
+    while at < len(word):
+        m = _REPEATED.search(word, at)
+        to = m.start() if m else len(word)
+        while at < to and len(states) > 1:
+            ch = word[at]
+            z = _code(ch)
+            states = _cheapest([(spent + flat[(a * V + b) * V + z], b, z, text + ch)
+                                for spent, a, b, text in states])
+            at += 1
+        if at < to:
+            ((spent, a, b, text),) = states
+            states = [(*_along(word[at:to], a, b, spent, flat), text + word[at:to])]
+        if m:
+            ch, after = m[1], []
+            z, twice = _code(ch), 0.0 if m.end() - to == 2 else 0.8
             for spent, a, b, text in states:
                 one = spent + 0.4 + flat[(a * V + b) * V + z]
                 two = spent + twice + flat[(a * V + b) * V + z] + flat[(b * V + z) * V + z]
                 after += [(one, b, z, text + ch), (two, z, z, text + ch + ch)]
-        if len(after) > 1:
-            best: dict[tuple[int, int], tuple] = {}
-            for state in after:
-                known = best.get(state[1:3])
-                if known is None or state[0] < known[0]:
-                    best[state[1:3]] = state
-            after = list(best.values())
-        states = after
+            states, to = _cheapest(after), m.end()
+        at = to
     ends = sorted((spent + flat[(a * V + b) * V], text) for spent, a, b, text in states)
     return [text for spent, text in ends[:keep] if spent <= ends[0][0] + 4.0]
 
 
+def readings(word: str, most: int = 8) -> list[str] | None:
+    """Every way through the lattice of a word of letters: a repeated letter stays once
+    or twice. None if there are more than ``most`` ways."""
+    out, at = [""], 0
+    for m in _REPEATED.finditer(word):
+        if 2 * len(out) > most:
+            return None
+        once = word[at:m.start() + 1]
+        out = [x + once + more for x in out for more in ("", m[1])]
+        at = m.end()
+    return [x + word[at:] for x in out]
+
+
 #: Decodings of a token that give features: the best, and others within 4 of its cost.
 KEEP = 4
 
@@ -282,6 +318,13 @@ def decode(word: str, cost: np.ndarray, keep: int = KEEP, masked: bool = True,
     hidden, word = len(word) - len(stem), stem
     # a path is (path before, letters given): long words cost no copies
     states: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}
+    plain = _LEADING.match(word).end()
+    if m := _DOUBLE.search(word, 0, plain):
+        plain = m.start()
+    if plain:  # one way leads through letters that are not repeated
+        spent, a, b = _along(word[:plain], 0, 0, 0.0, flat)
+        states = {(a, b): (spent, (None, word[:plain]))}
+        word = word[plain:]
     for options in lattice(word, masked):
         after: dict[tuple[int, int], tuple] = {}
         if options.__class__ is str:
@@ -362,59 +405,65 @@ def _bucket(name: str) -> int:
 _WHOLE, _START = _bucket("w"), _bucket("p")
 
 
-def word_features(word: str) -> set[int]:
+def word_features(word: str) -> tuple[int, ...]:
     """The word and its beginnings of 4 to 6 letters (inflected forms share them)."""
     crc32 = zlib.crc32
     data = word.encode()
     n = len(word)
     if n < 4:
-        return {crc32(data, _WHOLE)}
+        return (crc32(data, _WHOLE),)
     if len(data) == n:
         parts = data[:4], data[4:5], data[5:6]
     else:
         parts = word[:4].encode(), word[4:5].encode(), word[5:6].encode()
     four = crc32(parts[0], _START)
     five = crc32(parts[1], four)  # of a shorter word: the same again
-    return {crc32(data, _WHOLE), four, five, crc32(parts[2], five)}
+    return crc32(data, _WHOLE), four, five, crc32(parts[2], five)
 
 
 _NONE: frozenset = frozenset()
 
 
 class Reader:
-    """Features of texts, with a memo by token."""
+    """Features of texts, with a memo by lower-case token without punctuation at its ends."""
 
     def __init__(self, cost: np.ndarray, known: dict[int, int] | None = None):
         self.cost, self.known = cost, known
         self.flat = memoryview(cost.reshape(-1))
-        self.tokens = Memo(self._token, 200_000)
+        # few tokens have evidence; without ``known`` each keeps all its features
+        self.tokens = Memo(self._token, 200_000 if known is None else 400_000)
         self.tails: dict = {}
         self.phrases = Memo(self._phrase, 20_000)
 
-    def _keep(self, names: set[int]):
-        if self.known is None:
-            return frozenset(names)
-        found = names & self.known.keys() if self.known else ()
-        return frozenset(self.known[n] for n in found) if found else _NONE
+    def _features(self, words) -> frozenset[int]:
+        """Features of the words, those with evidence if it is known which have any."""
+        known = self.known
+        if known is None:
+            return frozenset([f for word in words for f in word_features(word)])
+        found = [known[f] for word in words for f in word_features(word) if f in known]
+        return frozenset(found) if found else _NONE
 
-    def _restored(self, raw: str) -> set[int]:
+    def _restored(self, raw: str) -> frozenset[int]:
         texts = decode(raw, self.cost, tails=self.tails)
         if any(x in raw for x in HIDDEN):
             texts += decode(raw, self.cost, masked=False)
-        return {f for text in texts for word in text.split() for f in word_features(word)}
+        return self._features({word for text in texts for word in text.split()})
 
-    def _token(self, token: str):
-        low = token.lower()
+    def _token(self, low: str) -> frozenset[int]:
         if low.isalpha() and len(low) <= 200:
-            names = word_features(low)
+            found = self._features((low,))
             if _DOUBLE.search(low):
-                for text in _decode_letters(low, self.flat, KEEP):
-                    names |= word_features(text)
-            return self._keep(names)
-        names = {f for w in _WORD.findall(low) for f in word_features(w)}
+                # ways that add no evidence need not be compared by their cost
+                ways = readings(low) if self.known is not None else None
+                if ways is None or not self._features(ways) <= found:
+                    found |= self._features(_decode_letters(low, self.flat, KEEP))
+            return found
+        found = self._features(_WORD.findall(low))
         for form in forms(low):
-            names |= self._restored(form)
-        return self._keep(names)
+            # a form of letters alone is a word of the token
+            found |= (self.tokens[form] if form.isalpha() and form != low
+                      else self._restored(form))
+        return found
 
     def _phrase(self, raw: str):
         """Letters set apart: all of them, without one at either end (a word of one
@@ -422,13 +471,12 @@ class Reader:
         letters = re.split(r"(?<=\S)(?=\s)", raw)
         tries = {raw, "".join(letters[1:]).lstrip(), "".join(letters[:-1])}
         tries.update(x for x in re.split(r"\s{2,}", raw) if len(x) > 3)
-        return self._keep({f for form in tries for f in self._restored(form)})
+        return _NONE.union(*map(self._restored, tries))
 
     def features(self, text: str) -> set[int]:
-        out: set[int] = set()
-        for found in map(self.tokens.__getitem__, set(text.split())):
-            if found:
-                out |= found
+        # punctuation at the ends is no word and is stripped from every form
+        tokens = {x.strip(_PUNCTUATION) for x in set(text.lower().split())}
+        out = set().union(*filter(None, map(self.tokens.__getitem__, tokens)))
         for m in _SPACED.finditer(text):
             raw = m.group().lower()
             if _LETTER.search(raw) or _CURRENCY.search(raw):

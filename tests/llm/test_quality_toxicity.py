@@ -206,3 +206,38 @@ def test_long_masked_runs():
     assert toxicity.decode("a" + "*" * 1_000_000 + "b", cost)
     assert reader.features("a" + "#" * 100_000 + "b" + "*" * 100_000)
     assert time.process_time() - begun < 60
+
+
+def test_one_memo_entry_for_a_word_however_written():
+    reader = reader_of("idiot", "clown")
+    plain = reader.features("iidiot cl0wn")
+    assert reader.features('"Iidiot", [IIDIOT] iidiot. Cl0wn; cl0wn... {cl0wn}') == plain
+    assert set(reader.tokens) == {"iidiot", "cl0wn"}
+
+
+def test_words_are_decoded_only_if_a_way_has_evidence(monkeypatch):
+    decoded = []
+    letters = toxicity._decode_letters
+    monkeypatch.setattr(toxicity, "_decode_letters",
+                        lambda word, *a: decoded.append(word) or letters(word, *a))
+    every = reader_of("idiot", "clown", "letter", "bookkeeper")
+    known = {toxicity._bucket("widiot"): 0, toxicity._bucket("pclow"): 1}
+    reader = toxicity.Reader(every.cost, known)
+    for text in ("letter iddiot. bookkeeper aabbccddee", "Cloown, bookkeeper!", "'iidiot' ***",
+                 "i.d.i.o.t. bookkeeper", "idiot clown letter", "iidiot%%% letter"):
+        want = {known[f] for f in every.features(text) if f in known}
+        decoded.clear()
+        assert reader.features(text) == want, text
+        assert not {"letter", "bookkeeper"} & set(decoded)
+    assert reader.features("iiddiioott") == {0} and decoded[-1] == "iiddiioott"
+
+
+def test_readings_are_the_ways_through_the_lattice():
+    for word in ("letter", "aab", "abb", "zzz", "éérr", "plain", "жжа", "a"):
+        ways = [""]
+        for options in toxicity.lattice(word):
+            given = [options] if isinstance(options, str) else [x for x, _ in options]
+            ways = [w + x for w in ways for x in given]
+        assert sorted(toxicity.readings(word)) == sorted(ways)
+    assert toxicity.readings("aabbccdd") is None
+    assert toxicity.decode("ab" * 500_000, reader_of("idiot").cost) == ["ab" * 500_000]
